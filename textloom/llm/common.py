@@ -47,7 +47,7 @@ def shuffle_parts(spark: SparkSession) -> int:
 
 def row_hash(text: str = "text") -> F.Column:
     """32 bits of a text, which with doc_id name a row where ids repeat."""
-    return F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).cast("int")
+    return (F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")) - 2**31).cast("int")
 
 
 def documents_of(docs: DataFrame) -> DataFrame:

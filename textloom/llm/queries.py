@@ -6,10 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import decontaminate, mixing, secrets, sharding
+from textloom.llm import decontaminate, lines, mixing, quality, secrets, sharding, tokens
 from textloom.llm.common import table
 
 
+def op1_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return tokens.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -23,10 +29,19 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(docs, secrets.train(secrets.default_samples(docs)))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op9_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.digest(table(spark, sf_dir, "documents"))
 
 
+def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.clean(table(spark, sf_dir, "documents"), with_text=False)
+
+
 #: Poisson counts and copies: the cumulative distribution of each source is a list, and a count is the number of its values below the document's hash.
 OP5_SQL = """
 WITH sizes AS (SELECT coalesce(source, '') AS src, sum(strlen(coalesce(text, ''))) AS bytes FROM documents GROUP BY 1),
@@ -43,10 +58,13 @@ FROM copies
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_tokens": op1_tokens,
     "op2_decontaminate": op2_decontaminate,
     "op5_mix": op5_mix,
     "op6_secrets": op6_secrets,
+    "op8_quality": op8_quality,
     "op9_shard": op9_shard,
+    "op10_lines": op10_lines,
 }
 
 ORACLES: dict[str, str] = {"op5_mix": OP5_SQL}
