@@ -9,7 +9,8 @@ BASE_BYTES = 0x9E3779B97F4A7C15
 BASE_WORDS = 0xD6E8FEB86659FD93
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-NONE = U(0xFFFFFFFFFFFFFFFF)
+#: Low bits of an order that give way to a place: the same ones in every batch, so that texts cut alike everywhere.
+PLACE_BITS = 28
 
 _random = np.random.Generator(np.random.PCG64(20240229))
 #: A random 64-bit value for each byte; FOLDED has one value for A-Z and a-z.
@@ -81,17 +82,21 @@ def words(data: np.ndarray, offsets: np.ndarray, values: np.ndarray = VALUES) ->
     return starts, ends, h, np.searchsorted(starts, offsets)
 
 
-def sliding_first_min(values: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Minimum of each run of `width` values and the first place that holds it."""
+def sliding_first_min(values: np.ndarray, width: int) -> np.ndarray:
+    """For each run of `width` values, the first place of its least one by the high bits.
+
+    The low bits carry the place, so that one minimum does both; what decides depends on the run's values alone.
+    """
     n = len(values) - width + 1
     if n <= 0:
-        return np.zeros(0, values.dtype), np.zeros(0, np.int64)
-    low, at, have = values, np.arange(len(values), dtype=np.int32 if len(values) < 2**31 else np.int64), 1
+        return np.zeros(0, np.int64)
+    bits = PLACE_BITS
+    if len(values) >> bits:
+        raise ValueError("too many values at once")
+    low = ((values >> U(bits)) << U(bits)) | np.arange(len(values), dtype=np.uint64)
+    have = 1
     while have < width:
         shift = min(have, width - have)
-        right = low[shift:]
-        less = right < low[: len(right)]
-        at = np.where(less, at[shift:], at[: len(right)])
-        low = np.where(less, right, low[: len(right)])
+        low = np.minimum(low[:-shift], low[shift:])
         have += shift
-    return low[:n], at[:n]
+    return (low[:n] & U((1 << bits) - 1)).astype(np.int64)

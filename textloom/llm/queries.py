@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import decontaminate, lines, mixing, quality, secrets, sharding, tokens
+from textloom.llm import decontaminate, lines, mixing, passages, quality, secrets, sharding, suffixes, tokens
 from textloom.llm.common import table
 
 
@@ -20,6 +20,10 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.dedup(table(spark, sf_dir, "documents"), with_text=False)
+
+
 def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -29,6 +33,10 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(docs, secrets.train(secrets.default_samples(docs)))
 
 
+def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.dedup(table(spark, sf_dir, "documents"), with_text=False)
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
@@ -60,8 +68,10 @@ FROM copies
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_tokens": op1_tokens,
     "op2_decontaminate": op2_decontaminate,
+    "op4_passages": op4_passages,
     "op5_mix": op5_mix,
     "op6_secrets": op6_secrets,
+    "op7_suffixes": op7_suffixes,
     "op8_quality": op8_quality,
     "op9_shard": op9_shard,
     "op10_lines": op10_lines,
