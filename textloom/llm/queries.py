@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import decontaminate, lines, mixing, passages, quality, secrets, sharding, suffixes, tokens
+from textloom.llm import decontaminate, jaccard, lines, mixing, passages, quality, secrets, sharding, suffixes, tokens
 from textloom.llm.common import table
 
 
@@ -20,6 +20,10 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classify(table(spark, sf_dir, "documents"))
+
+
 def op4_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.dedup(table(spark, sf_dir, "documents"), with_text=False)
 
@@ -68,6 +72,7 @@ FROM copies
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_tokens": op1_tokens,
     "op2_decontaminate": op2_decontaminate,
+    "op3_jaccard": op3_jaccard,
     "op4_passages": op4_passages,
     "op5_mix": op5_mix,
     "op6_secrets": op6_secrets,
