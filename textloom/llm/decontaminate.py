@@ -79,17 +79,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = 5, share: float =
     items = _item_windows(benchmark.select("item_id", "text"), width)
     hashed = items.select("item_id", "item_pos", "windows", F.xxhash64(*[F.col("key")[i] for i in range(width)]).alias("_h")).distinct()
     if hashed.count() <= BROADCAST_WINDOWS:
-        hashed = F.broadcast(hashed)
+        hashed, items = F.broadcast(hashed), F.broadcast(items)
     own = docs.where("text is not null").select("doc_id", "text")
     words = own.select("doc_id", _plain(F.col("text")).alias("_w"))
     hashes = words.select("doc_id", F.explode(F.transform(_starts(F.col("_w"), width), lambda i: F.xxhash64(*[F.get("_w", i + k) for k in range(width)]))).alias("_h"))
     met = hashes.join(hashed, "_h").groupBy("doc_id", "item_id").agg(F.count_distinct("item_pos").alias("_m"), F.first("windows").alias("_n"))
     pairs = met.where(F.col("_m") >= share * F.col("_n")).select("doc_id", "item_id")
 
-    found = own.join(pairs.select(F.col("doc_id").alias("_d")).distinct(), F.col("doc_id").eqNullSafe(F.col("_d")), "left_semi").distinct()
-    aligned = found.select("doc_id", _tokens(F.col("text")).alias("w")).select("doc_id", "w", F.explode(_starts(F.col("w"), width)).alias("doc_pos"))
-    part = F.slice("w", F.col("doc_pos") + 1, width)
-    windows = aligned.select("doc_id", "doc_pos", F.transform(part, _bare).alias("key"), part.alias("doc_vals"))
+    found = own.join(pairs.select(F.col("doc_id").alias("_d")).distinct(), F.col("doc_id").eqNullSafe(F.col("_d")), "left_semi")
+    cut = F.transform(_starts(F.col("w"), width), lambda i: F.struct(i.alias("doc_pos"), F.slice(F.col("b"), i + 1, width).alias("key"), F.slice(F.col("w"), i + 1, width).alias("doc_vals")))
+    aligned = found.select("doc_id", _tokens(F.col("text")).alias("w")).select("doc_id", "w", F.transform("w", _bare).alias("b"))
+    windows = aligned.select("doc_id", F.explode(cut).alias("x")).select("doc_id", "x.*")
     matched = windows.join(items.withColumnRenamed("vals", "item_vals"), "key")
     slots = F.filter(F.arrays_zip(F.col("item_vals").alias("i"), F.col("doc_vals").alias("d")), lambda z: z["i"].startswith("<"))
     first_slot = F.when(F.col("item_pos") == 0, F.slice(slots, 2, width)).otherwise(slots)  # the first word as a name is no slot
@@ -99,7 +99,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = 5, share: float =
     grids = matched.withColumn("stretch", F.explode(F.array(F.struct(F.lit(0).alias("grid"), F.floor(at / F.col("windows")).alias("no")), F.struct(F.lit(1).alias("grid"), F.floor(at / F.col("windows") + 0.5).alias("no")))))
     same = F.size(F.filter("slots", lambda z: z["i"] != z["d"])) == 0
     by = grids.groupBy("doc_id", "item_id", "windows", "stretch").agg(
-        F.count_distinct("item_pos").alias("matched"), F.count_distinct(F.when(same, F.col("item_pos"))).alias("as_is"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"),
+        F.count_distinct("item_pos").alias("matched"), F.count_distinct(F.when(same, F.col("item_pos"))).alias("as_is"), F.array_distinct(F.flatten(F.collect_set(F.when(F.size("slots") > 0, F.col("slots"))))).alias("slots"),
     )
     values = F.size("slots")
     consistent = (F.size(F.array_distinct(F.transform("slots", lambda z: z["i"]))) == values) & (F.size(F.array_distinct(F.transform("slots", lambda z: z["d"]))) == values)
