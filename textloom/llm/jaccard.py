@@ -18,13 +18,13 @@ from textloom.llm.sketch import ROWS, merge, partition_sketch
 
 @dataclass(frozen=True)
 class Join:
-    """Shingles of `words` words; two sets link at 100 * intersection >= percent * union. log2 sizes the sketch of document frequencies, `common` is where a token counts as common, block bounds the shingles that one task compares."""
+    """Shingles of `words` words; two sets link at 100 * intersection >= percent * union. log2 sizes the sketch of document frequencies, `common` is the estimated frequency from which tokens are ordered by it, block bounds the shingles that one task compares."""
 
     words: int = 3
     percent: int = 90
     orders: int = 3
     log2: int = 28
-    common: int = 64
+    common: int = 4
     block: int = 2_000_000
     step: int = 2_000_000
 
@@ -58,19 +58,20 @@ def _sketch(docs: DataFrame, join: Join):
     return merge(docs.select("text").mapInArrow(run, ROWS), 1, join.log2, join.common)
 
 
-def prefixes(shingles: np.ndarray, join: Join, repeated: np.ndarray, common: np.ndarray) -> list[np.ndarray]:
+def prefixes(shingles: np.ndarray, join: Join, repeated: np.ndarray, level: np.ndarray) -> list[np.ndarray]:
     """For each order, the prefix tokens that other documents may have; empty lists if one order has none.
 
-    Tokens of one document come first, then repeated ones, then common ones: any function of a token is a valid global
-    order. Where the first tier fills the prefix, no other set can reach the threshold.
+    Tokens of one document come first, then the others by their estimated frequency, rare ones first, and within a
+    quarter octave by a hash: any function of a token is a valid global order. Where tokens of this document alone fill
+    the prefix, no other set can reach the threshold.
     """
     n = join.prefix(len(shingles)) - int((~repeated).sum())
     if n <= 0:
         return []
-    tokens, tier = shingles[repeated], common[repeated]
+    tokens = shingles[repeated]
     out = []
     for seed in ORDER_SEEDS[: join.orders]:
-        order = np.lexsort((H.mix(tokens ^ H.U(seed)), tier))[:n]
+        order = np.lexsort((H.mix(tokens ^ H.U(seed)), level))[:n]
         out.append(tokens[order])
     return out if all(len(x) for x in out) else []
 
@@ -92,7 +93,7 @@ def _sets(docs: DataFrame, join: Join, sketch) -> DataFrame:
                 two[row] = H.mix(s ^ H.U(0xBE5466CF34E90C6C)).sum(dtype=np.uint64).astype(np.int64)
                 repeated = sketch.value.repeated(s)
                 if len(s) - repeated.sum() < join.prefix(len(s)):
-                    found = prefixes(s, join, repeated, sketch.value.hot(s))
+                    found = prefixes(s, join, repeated, sketch.value.level(s[repeated]))
                     if found:
                         tokens[row], sets[row] = [x.tobytes() for x in found], s.tobytes()
             yield pa.RecordBatch.from_arrays([ids, crcs, pa.array(n), pa.array(one), pa.array(two), pa.array(tokens, pa.list_(pa.binary())), pa.array(sets, pa.binary())], ["doc_id", "row_crc", "n", "sig1", "sig2", "prefixes", "shingles"])
