@@ -14,7 +14,6 @@ index    one row a hash bucket of document keys: levels (sizes of the hash funct
 from __future__ import annotations
 
 import os
-import re
 import zlib
 
 import numpy as np
@@ -24,19 +23,22 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import NULL_ID, documents_of, id_out, scratch_dir, shuffle_parts
-from textloom.llm.hashing import U, mix
+from textloom.llm.common import NULL_ID, documents_of, id_out, scratch_dir, shuffle_parts, text_steps
+from textloom.llm.hashing import BASE_BYTES, BASE_WORDS, U, VALUES, inverse, mix, powers, prefix
+from textloom.llm.repeats import spread
 
 #: A chunk ends after so many tokens.
 CHUNK_TOKENS = 1_000_000
-#: Words whose ids a Python worker remembers at most.
-CACHED_WORDS = 400_000
+#: Distinct words whose ids a Python worker remembers at most, and bytes of text that it encodes in one step.
+CACHED_WORDS = 1_500_000
+STEP = 8_000_000
 GAMMA = 1.5
 LEVELS = 48
 BLOCK = 512
 
-#: A text may be cut before a blank only if no white space stands before it; control characters are left to the tokenizer.
-UNCUT = re.compile("\\s |[\x1c-\x1f\x85]")
+#: Bytes that are letters, and punctuation marks but for the apostrophe.
+LETTER = np.isin(np.arange(256), np.frombuffer(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", np.uint8))
+SIGN = np.isin(np.arange(256), np.frombuffer(b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~", np.uint8))
 
 _encoders: dict[str, "Encoder"] = {}
 
@@ -44,8 +46,11 @@ _encoders: dict[str, "Encoder"] = {}
 class Encoder:
     """Encodes with the tokenizers library; words that came before are not encoded anew.
 
-    Only for byte-level tokenizers whose pre-tokenizer keeps a blank with the word behind it: there a blank after a
-    non-blank always starts a new piece, so that pieces of a text are encoded independently.
+    Only for byte-level tokenizers whose pre-tokenizer keeps a blank with the word behind it and a lone line feed by
+    itself: there every blank or line feed between other characters starts a new piece, as does a punctuation mark other
+    than an apostrophe behind a letter, and pieces are independent. So a text is cut before each of them, equal cuts are found by two 64-bit hashes, and each distinct one is encoded
+    once. Texts where this might not hold (other white space, two blanks in a row, control characters, special tokens)
+    are encoded whole.
     """
 
     def __init__(self, path: str, end_id: int):
@@ -53,27 +58,139 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.kind = np.dtype("<u2") if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.dtype("<u4")
-        self.end = np.array([end_id], self.kind).tobytes()
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.words: dict[str, bytes] = {}
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Raw ids of each text, with the end id."""
-        plain = [not UNCUT.search(t) and not any(a in t for a in self.added) for t in texts]
-        split = [t.split(" ") if p else None for t, p in zip(texts, plain, strict=True)]
-        if len(self.words) > CACHED_WORDS:
-            self.words.clear()
-        new = {w for s in split if s for w in s[1:] if w not in self.words}
-        new = list(new)
-        fresh = dict(zip(new, self.whole([" " + w for w in new]), strict=True))
-        self.words.update(fresh)
-        firsts = iter(self.whole([s[0] if s else t for s, t in zip(split, texts, strict=True)]))
-        get = self.words.__getitem__
-        return [b"".join([next(firsts), *map(get, s[1:]), self.end]) if s else next(firsts) + self.end for s in split]
+        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.kind = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
+        self.end = end_id
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        blank, feed = (self.tokenizer.id_to_token(self.ids(x)[0])[0] for x in (" a", "\n"))
+        names = [self.tokenizer.id_to_token(i) or "" for i in range(size)]
+        self.opens = {b" ": np.array([n.startswith(blank) for n in names]), b"\n": np.array([n.startswith(feed) for n in names])}
+        self.forget()
+
+    def forget(self) -> None:
+        self.known = [np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)]  # hash, check, place, length
+        self.pool = [np.zeros(0, self.kind)]
+        self.pooled = 0
+
+    def ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
+
+    def together(self, cuts: list[bytes]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Ids and lengths of cuts that all begin with a blank, or all with a line feed: encoded as one text, where only a cut's first token opens with that sign."""
+        ids, lengths = [], []
+        for at in range(0, len(cuts), 5000):
+            own = self.ids(b"".join(cuts[at : at + 5000]).decode())
+            begins = np.flatnonzero(self.opens[cuts[0][:1]][own])
+            if len(begins) != len(cuts[at : at + 5000]):
+                raise ValueError("this tokenizer's words can't be told apart")
+            ids.append(own)
+            lengths.append(np.diff(begins, append=len(own)))
+        return ids, lengths
+
+    def learn(self, data: np.ndarray, begins: np.ndarray, ends: np.ndarray, hashes: np.ndarray, checks: np.ndarray) -> None:
+        raw, heads = data.tobytes(), data[begins]
+        groups = [np.flatnonzero(heads == 32), np.flatnonzero(heads == 10), np.flatnonzero((heads != 32) & (heads != 10))]
+        ids, lengths = [np.zeros(0, self.kind)], []
+        for own in groups:
+            cuts = [raw[a:b] for a, b in zip(begins[own].tolist(), ends[own].tolist(), strict=True)]
+            if cuts and heads[own[0]] in (32, 10):
+                more, sizes = self.together(cuts)
+            else:
+                more = [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast([c.decode() for c in cuts], add_special_tokens=False)]
+                sizes = [np.array([len(x) for x in more], np.int64)]
+            ids += more
+            lengths += sizes
+        order, sizes = np.concatenate(groups), np.concatenate(lengths)
+        places = self.pooled + np.cumsum(sizes) - sizes
+        self.pool.append(np.concatenate(ids))
+        self.pooled += int(sizes.sum())
+        both = [np.concatenate(x) for x in zip(self.known, (hashes[order], checks[order], places, sizes), strict=True)]
+        order = np.argsort(both[0], kind="stable")
+        self.known = [x[order] for x in both]
+
+    def find(self, hashes: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which are known, and where in the table."""
+        if not len(self.known[0]):
+            return np.zeros(len(hashes), bool), np.zeros(len(hashes), np.int64)
+        at = np.minimum(np.searchsorted(self.known[0], hashes), len(self.known[0]) - 1)
+        met = self.known[0][at] == hashes
+        if (self.known[1][at[met]] != checks[met]).any():
+            raise ValueError("two words of one hash")
+        return met, at
+
+    def cuttable(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Texts that may be cut."""
+        after = np.append(data[1:], 0)
+        gap = (data == 32) | (data == 10)
+        next_gap = np.append(gap[1:], False)
+        inner = offsets[1:-1]
+        next_gap[inner[(inner > 0) & (inner <= len(data))] - 1] = False
+        bad = (data < 32) & (data != 10) | gap & next_gap | (data == 0xC2) & ((after == 0x85) | (after == 0xA0)) | (data == 0xE1) & (after == 0x9A) | (data == 0xE2) & ((after == 0x80) | (after == 0x81)) | (data == 0xE3) & (after == 0x80)
+        out = np.ones(len(offsets) - 1, bool)
+        out[np.searchsorted(offsets, np.flatnonzero(bad), "right") - 1] = False
+        raw = data.tobytes()
+        for sign in self.added:
+            at = raw.find(sign)
+            while at >= 0:
+                out[np.searchsorted(offsets, at, "right") - 1] = False
+                at = raw.find(sign, at + 1)
+        return out
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, each with the end id behind, and where each text's ids end."""
+        n = len(offsets) - 1
+        plain = self.cuttable(data, offsets)
+        sizes = np.diff(offsets)
+        start = np.zeros(len(data) + 1, bool)
+        start[:-1] = (data == 32) | (data == 10)
+        start[1:-1] |= LETTER[data[:-1]] & SIGN[data[1:]]
+        start[offsets[:-1][sizes > 0]] = True
+        begins = np.flatnonzero(start[:-1])
+        owner = np.searchsorted(offsets, begins, "right") - 1
+        ends = np.append(begins[1:], len(data))
+        own = plain[owner]
+        begins, ends, owner = begins[own], ends[own], owner[own]
+        hashes, checks = (
+            mix((p[ends] - p[begins]) * powers(inverse(base), max(1, len(data)))[begins] + (ends - begins).astype(np.uint64))
+            for base in (BASE_BYTES, BASE_WORDS)
+            for p in (prefix(VALUES[data], base),)
+        )
+        order = np.argsort(hashes, kind="stable")
+        new = np.ones(len(order), bool)
+        new[1:] = hashes[order][1:] != hashes[order][:-1]
+        number = np.empty(len(order), np.int64)
+        number[order] = np.cumsum(new) - 1
+        first = order[new]
+        if (checks != checks[first][number]).any():
+            raise ValueError("two words of one hash")
+        if len(self.known[0]) > CACHED_WORDS:
+            self.forget()
+        met, at = self.find(hashes[first], checks[first])
+        if not met.all():
+            fresh = first[~met]
+            self.learn(data, begins[fresh], ends[fresh], hashes[fresh], checks[fresh])
+            _, at = self.find(hashes[first], checks[first])
+        if len(self.pool) > 1:
+            self.pool = [np.concatenate(self.pool)]
+        places, lengths = self.known[2][at][number], self.known[3][at][number]
+        counts = np.bincount(owner, lengths, n).astype(np.int64)
+        whole = {}
+        for i in np.flatnonzero(~plain).tolist():
+            whole[i] = self.ids(data[offsets[i] : offsets[i + 1]].tobytes().decode())
+            counts[i] = len(whole[i])
+        stops = np.cumsum(counts + 1)
+        out = np.full(int(stops[-1]) if n else 0, self.end, self.kind)
+        if len(owner):
+            before = np.cumsum(lengths) - lengths
+            of_text = np.zeros(n, np.int64)
+            heads = np.concatenate([[True], owner[1:] != owner[:-1]])
+            of_text[owner[heads]] = before[heads]
+            target = (stops - counts - 1)[owner] + before - of_text[owner]
+            which, inside = spread(lengths)
+            out[target[which] + inside] = self.pool[0][places[which] + inside]
+        for i, x in whole.items():
+            out[stops[i] - 1 - len(x) : stops[i] - 1] = x
+        return out, stops
 
 
 def encoder(path: str, end_id: int) -> Encoder:
@@ -96,26 +213,32 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, shards: i
     def run(batches):
         own = encoder(tokenizer, end_id)
         shard = TaskContext.get().partitionId()
-        chunk, ids, raw, tokens = 0, [], [], 0
+        chunk, held, tokens = 0, [], 0
 
         def row():
-            ends = np.cumsum([len(x) // own.kind.itemsize for x in raw])
+            keys, lengths, ids = (np.concatenate(x) for x in zip(*held, strict=True))
             return pa.RecordBatch.from_pylist(
-                [{"shard": shard, "chunk": chunk, "n_docs": len(ids), "n_tokens": tokens, "width": own.kind.itemsize, "doc_ids": np.array(ids, "<i8").tobytes(), "ends": ends.astype("<u4").tobytes(), "ids": b"".join(raw)}],
+                [{"shard": shard, "chunk": chunk, "n_docs": len(keys), "n_tokens": len(ids), "width": own.kind.itemsize, "doc_ids": keys.astype("<i8").tobytes(), "ends": np.cumsum(lengths).astype("<u4").tobytes(), "ids": ids.tobytes()}],
                 schema,
             )
 
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1)
-            for at in range(0, len(keys), 256):
-                for key, x in zip(keys[at : at + 256], own.encode(texts.slice(at, 256).to_pylist()), strict=True):
-                    ids.append(key)
-                    raw.append(x)
-                    tokens += len(x) // own.kind.itemsize
-                    if tokens >= CHUNK_TOKENS:
+            keys = batch.column(0).to_numpy()
+            for first, last, data, offsets in text_steps(batch, step=STEP):
+                ids, stops = own.encode(data, offsets)
+                lengths = np.diff(stops, prepend=0)
+                at = 0
+                while at < last - first:  # chunks end with a document
+                    room = np.searchsorted(stops, (stops[at - 1] if at else 0) + CHUNK_TOKENS - tokens)
+                    upto = min(last - first, max(at + 1, int(room)))
+                    begin = int(stops[at - 1]) if at else 0
+                    held.append((keys[first + at : first + upto], lengths[at:upto], ids[begin : int(stops[upto - 1])]))
+                    tokens += int(stops[upto - 1]) - begin
+                    at = upto
+                    if tokens >= CHUNK_TOKENS or at < last - first:
                         yield row()
-                        chunk, ids, raw, tokens = chunk + 1, [], [], 0
-        if ids:
+                        chunk, held, tokens = chunk + 1, [], 0
+        if held:
             yield row()
 
     schema = pa.schema([("shard", pa.int32()), ("chunk", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("width", pa.int32()), ("doc_ids", pa.binary()), ("ends", pa.binary()), ("ids", pa.binary())])
