@@ -221,7 +221,8 @@ def classify(docs: DataFrame, join: Join = Join()) -> DataFrame:
 
     Equal sets are one class, whose least id stands for it; links are looked for between classes only. Nulls and texts
     without words have no shingles and link with nothing; a null doc_id counts as larger than any other and is returned
-    as null; repeated rows get a row each; an empty table gives an empty result; other columns are ignored.
+    as null; repeated rows get a row each, and an id is taken to name one text (rows of one id with different texts may
+    share a component); an empty table gives an empty result; other columns are ignored.
     """
     return _components(documents_of(docs), join).select(id_out().alias("doc_id"), F.col("n").alias("n_shingles"), id_out("component").alias("component_id"))
 
