@@ -5,9 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textloom.llm.common import materialize
+
 #: Rates above this are split: a Poisson variable is the sum of independent ones of at most this mean, each inverted on its own.
 PART_RATE = 16.0
 
+#: Up to so many sources the rates are broadcast (two numbers and a name each); beyond, both sides are salted and shuffled.
+BROADCAST_SOURCES = 100_000
+SALTS = 32
+
 #: The inverted distribution is cut where less than 2 ** -52 is left; for a mean of at most PART_RATE this is before 80.
 MOST = 80
 
@@ -42,9 +48,10 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, epochs: floa
     else:
         pairs = F.create_map(*[F.lit(x) for k, v in weights.items() for x in (k, float(v))]) if weights else F.lit(None).cast("map<string,double>")
         weighted = sizes.withColumn("_weight", F.when(F.col("_bytes") > 0, F.coalesce(F.try_element_at(pairs, F.col("_source")), F.lit(0.0))).otherwise(0.0))
-    total = weighted.agg(F.sum("_bytes").alias("_all"), F.sum("_weight").alias("_weights"))  # one row
-    rate = F.when(F.col("_weight") > 0, F.col("_weight") / F.col("_weights") * F.col("_all") * epochs / F.col("_bytes")).otherwise(0.0)
-    return weighted.join(F.broadcast(total)).select("_source", rate.alias("_rate"))
+    weighted = materialize(docs.sparkSession, weighted)
+    total = weighted.agg(F.coalesce(F.sum("_bytes"), F.lit(0)).alias("bytes"), F.coalesce(F.sum("_weight"), F.lit(0.0)).alias("weights")).first()
+    rate = F.when(F.col("_weight") > 0, F.col("_weight") / total.weights * total.bytes * epochs / F.col("_bytes")).otherwise(0.0)
+    return weighted.select("_source", rate.alias("_rate"))
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, epochs: float = 1.0, seed: int = 0) -> DataFrame:
@@ -53,17 +60,24 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, epochs: float
     The count inverts the Poisson distribution at a hash of (seed, doc_id), so it is the same on every run. Adds rate,
     n_copies, copy_no (from 0) and mix_key, a hash of (seed, doc_id, copy_no); rows are dealt to partitions by mix_key
     and sorted by it there, which is a global shuffle: the rates are computed from two numbers a source and joined as
-    a table, which Spark broadcasts only while it is small, and a hot source's rows are never brought together.
+    a table, broadcast up to BROADCAST_SOURCES rows and joined on salted keys beyond, so a hot source's rows are never
+    brought together. The sums are made once and stored in the shared folder.
     Null ids hash as the empty string; null texts count 0 bytes; repeated rows get the same count each; an empty table
     stays empty; columns of the added names in the input are replaced.
     """
-    own = ["rate", "n_copies", "copy_no", "mix_key", "_source", "_rate"]
+    own = ["rate", "n_copies", "copy_no", "mix_key", "_source", "_rate", "_salt"]
     df = docs.drop(*own).withColumn("_source", F.coalesce(F.col("source"), F.lit("")))
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     parts = F.greatest(F.ceil(F.col("_rate") / PART_RATE).cast("int"), F.lit(1))
     one = _poisson(F.col("_rate"), _uniform(F.lit(str(seed)), key, F.lit("0")))
     many = F.aggregate(F.sequence(F.lit(0), parts - 1), F.lit(0), lambda n, i: n + _poisson(F.col("_rate") / parts, _uniform(F.lit(str(seed)), key, i.cast("string"))))
-    counted = df.join(rates(docs, weights, epochs), "_source").withColumn("n_copies", F.when(F.col("_rate") <= PART_RATE, one).otherwise(many))
+    by_source = rates(docs, weights, epochs)
+    if by_source.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
+        joined = df.join(F.broadcast(by_source), "_source")
+    else:
+        salted = by_source.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = df.withColumn("_salt", F.pmod(F.crc32(key.cast("binary")), F.lit(SALTS)).cast("int")).join(salted, ["_source", "_salt"]).drop("_salt")
+    counted = joined.withColumn("n_copies", F.when(F.col("_rate") <= PART_RATE, one).otherwise(many))
     copies = counted.where("n_copies > 0").withColumn("copy_no", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1)))
     keyed = copies.withColumn("mix_key", F.md5(F.concat_ws(":", F.lit(f"{seed}:place"), key, F.col("copy_no").cast("string"))))
     return keyed.withColumnRenamed("_rate", "rate").drop("_source").repartition("mix_key").sortWithinPartitions("mix_key", "copy_no")
