@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.sources.scratch import materialize, scratch_dir, scratch_path
+
+__all__ = ["NULL_ID", "STEP_BYTES", "documents_of", "id_out", "materialize", "row_hash", "scratch_dir", "scratch_path", "shuffle_parts", "table", "text_steps"]
+
 #: Bytes of text that one vectorised step works on at a time; bounds a Python worker's memory.
 STEP_BYTES = 2_000_000
 
@@ -23,24 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if shared is None:
-        shared = tempfile.mkdtemp(prefix="textloom-")
-        atexit.register(shutil.rmtree, shared, ignore_errors=True)
-        spark.sparkContext.setCheckpointDir(f"file://{shared}")
-        shared = spark.sparkContext.getCheckpointDir()
-    return shared
-
-
-def materialize(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it back: cuts the lineage and survives lost executors."""
-    path = f"{scratch_dir(spark)}/stage-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def shuffle_parts(spark: SparkSession) -> int:
     return max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
@@ -68,7 +49,7 @@ def text_steps(batch: pa.RecordBatch, column: str = "text", step: int = STEP_BYT
     if not batch.num_rows:
         return
     array = batch.column(column).cast(pa.large_string())
-    offsets = np.frombuffer(array.buffers()[1], np.int64, count=array.offset + array.num_rows + 1 if hasattr(array, "num_rows") else array.offset + len(array) + 1)[array.offset :]
+    offsets = np.frombuffer(array.buffers()[1], np.int64, count=array.offset + len(array) + 1)[array.offset :]
     data = np.frombuffer(array.buffers()[2], np.uint8) if array.buffers()[2] is not None and array.buffers()[2].size else np.zeros(0, np.uint8)
     row, n = 0, len(array)
     while row < n:

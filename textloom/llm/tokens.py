@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import NULL_ID, documents_of, id_out, scratch_dir, shuffle_parts, text_steps
+from textloom.llm.common import NULL_ID, documents_of, id_out, scratch_path, shuffle_parts, text_steps
 from textloom.llm.hashing import BASE_BYTES, BASE_WORDS, U, VALUES, inverse, mix, powers, prefix
 from textloom.llm.repeats import spread
 
@@ -388,9 +388,7 @@ def read_back(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
 
 def digest(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:
     """Writes all documents to the shared folder and reads each back by its key. Null texts have the end id alone; repeated rows are all stored; an empty table gives an empty result; other columns are ignored."""
-    import uuid
-
     spark = docs.sparkSession
-    path = f"{scratch_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "tokens")
     write(docs, path, tokenizer, end_id)
     return read_back(spark, path, docs)
