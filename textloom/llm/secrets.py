@@ -37,7 +37,8 @@ def default_samples(docs: DataFrame) -> DataFrame:
     width = (20 + F.col("id") % 30).cast("int")
     b64 = F.base64(F.unhex("x"))
     random = digest.select(F.explode(F.array(F.col("x").substr(F.lit(1), width), b64.substr(F.lit(1), width), F.regexp_replace(b64, "[+/=]", "").substr(F.lit(1), width), F.upper(F.regexp_replace(b64, "[+/=]", "")).substr(F.lit(1), width))).alias("token"))
-    few = docs.where("text is not null").select("doc_id", "text").orderBy(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), "doc_id").limit(TRAINING_DOCUMENTS)
+    ids = docs.where("doc_id is not null").select(F.col("doc_id").alias("_d")).distinct().orderBy(F.crc32(F.col("_d").cast("string").cast("binary")), "_d").limit(TRAINING_DOCUMENTS)
+    few = docs.join(F.broadcast(ids), F.col("doc_id") == F.col("_d"), "left_semi")  # TRAINING_DOCUMENTS numbers
     words = few.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"[A-Za-z_-]{6,}"), 0)).alias("token")).where(~F.col("token").rlike(HEX) & ~F.col("token").rlike(ACCESS))
     distinct = words.groupBy("token").agg(F.count(F.lit(1)).alias("n")).orderBy(F.crc32(F.col("token").cast("binary")), "token").limit(TRAINING_ROWS)
     joined = distinct.select(F.explode(F.array(F.col("token"), F.concat(F.lower("token"), F.lit("_"), F.reverse(F.lower("token"))), F.initcap(F.concat_ws("-", "token", "token")), F.upper("token"), F.upper(F.concat("token", F.reverse("token"))), F.concat(F.initcap("token"), F.initcap(F.reverse("token"))))).alias("token"))
