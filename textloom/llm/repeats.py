@@ -94,9 +94,12 @@ def sketch_of(docs: DataFrame, kind: Kind) -> Sketch:
 
 def spread(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For counts [2, 1]: owners [0, 0, 1] and places in the owner [0, 1, 0]."""
-    counts = counts.astype(np.int64)
-    owner = np.repeat(np.arange(len(counts)), counts)
-    return owner, np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+    total = int(counts.sum(dtype=np.int64))
+    kind = np.int32 if total < 2**31 else np.int64
+    counts = counts.astype(kind)
+    inside = np.arange(total, dtype=kind)
+    inside -= np.repeat(np.cumsum(counts, dtype=kind) - counts, counts)
+    return np.repeat(np.arange(len(counts), dtype=kind), counts), inside
 
 
 def window_hashes(r: Runs, chosen: np.ndarray, kind: Kind) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

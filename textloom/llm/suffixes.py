@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -11,14 +13,15 @@ from textloom.llm.common import shuffle_parts
 from textloom.llm.repeats import REMOVED, Kind, ranges, remove, runs_of, spread
 
 #: Bytes of passages that a task gathers before it deals them out.
-GATHERED = 16_000_000
-PACKED = "part int, keys binary, docs binary, crcs binary, firsts binary, lefts binary, counts binary, texts binary"
-BYTES = Kind(words=False, gram=18, log2=28, depth=1, step=1_000_000)
+GATHERED = 4_000_000
+PACKED = "part int, keys binary, rest binary"
+#: What stands in rest, compressed: doc ids, row checksums, first windows' places, bytes before the anchor, windows; then the passages.
+REST = (np.int64, np.int32, np.uint32, np.uint8, np.uint8)
+BYTES = Kind(words=False, gram=18, log2=28, depth=1, hot=50_000, step=1_000_000)
 
 
 def _deal(docs: DataFrame, kind: Kind, sketch, parts: int) -> DataFrame:
     """The passages of runs whose anchors are estimated repeated, dealt by the anchors' keys."""
-    names = [c.split()[0] for c in PACKED.split(", ")]
     more = kind.window - 1
 
     def run(batches):
@@ -36,9 +39,13 @@ def _deal(docs: DataFrame, kind: Kind, sketch, parts: int) -> DataFrame:
             runs = [x[order] for x in runs]
             edges = np.searchsorted(part[order], np.arange(parts + 1))
             ends = np.concatenate([[0], np.cumsum(lengths[order])])
-            rows = [(p, *[x[a:b].tobytes() for x in runs], texts[ends[a] : ends[b]].tobytes()) for p, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if a < b]
-            columns = list(zip(*rows, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32())] + [pa.array(c, pa.binary()) for c in columns[1:]], names)
+            rows = []
+            for p, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
+                if a < b:
+                    rest = b"".join([*[x[a:b].tobytes() for x in runs[1:]], texts[ends[a] : ends[b]].tobytes()])
+                    rows.append((p, runs[0][a:b].tobytes(), zlib.compress(rest, 1)))
+            part, keys, rest = zip(*rows, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(keys, pa.binary()), pa.array(rest, pa.binary())], ["part", "keys", "rest"])
 
         for batch in batches:
             ids, crcs = batch.column(0).to_numpy(), batch.column(1).to_numpy()
@@ -49,8 +56,8 @@ def _deal(docs: DataFrame, kind: Kind, sketch, parts: int) -> DataFrame:
                 if len(chosen):
                     owner, inside = spread(r.count[chosen] + more)
                     doc = r.doc[chosen]
-                    lefts = (r.anchor[chosen] - r.first[chosen]).astype(np.uint16)
-                    held.append((r.key[chosen], ids[doc], crcs[doc], r.first[chosen].astype(np.uint32), lefts, r.count[chosen].astype(np.uint16), r.units[r.at[chosen][owner] + inside]))
+                    lefts = (r.anchor[chosen] - r.first[chosen]).astype(np.uint8)
+                    held.append((r.key[chosen], ids[doc], crcs[doc], r.first[chosen].astype(np.uint32), lefts, r.count[chosen].astype(np.uint8), r.units[r.at[chosen][owner] + inside]))
                     size += len(owner) + 28 * len(chosen)
                 if size > GATHERED:
                     yield flush()
@@ -62,24 +69,24 @@ def _deal(docs: DataFrame, kind: Kind, sketch, parts: int) -> DataFrame:
 
 
 class Suffixes:
-    """Byte strings, one a row of a matrix, with the polynomial hashes of all their prefixes."""
+    """Byte strings, one a column of a matrix, with the polynomial hashes of all their prefixes."""
 
     def __init__(self, text: np.ndarray, starts: np.ndarray, lengths: np.ndarray, step: int, most: int):
-        """Row i reads text[starts[i]], text[starts[i] + step] and so on, lengths[i] bytes and at most `most`."""
+        """Column i reads text[starts[i]], text[starts[i] + step] and so on, lengths[i] bytes and at most `most`."""
         self.lengths = np.minimum(lengths, most).astype(np.int64)
-        self.bytes = np.zeros((len(starts), most), np.uint8)
-        self.hashes = np.zeros((len(starts), most + 1), np.uint64)
+        self.bytes = np.zeros((most, len(starts)), np.uint8)
+        self.hashes = np.zeros((most + 1, len(starts)), np.uint64)
         for m in range(most):
             there = self.lengths > m
-            self.bytes[there, m] = text[starts[there] + step * m]
-            self.hashes[:, m + 1] = self.hashes[:, m] * H.U(H.BASE_BYTES) + H.VALUES[self.bytes[:, m]]
+            self.bytes[m, there] = text[starts[there] + step * m]
+            self.hashes[m + 1] = self.hashes[m] * H.U(H.BASE_BYTES) + H.VALUES[self.bytes[m]]
 
     def common(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Length of the common extension of each pair of rows: a binary search over prefix hashes."""
         low, high = np.zeros(len(x), np.int64), np.minimum(self.lengths[x], self.lengths[y])
         while (open_ := low < high).any():
             middle = (low + high + 1) >> 1
-            same = self.hashes[x, middle] == self.hashes[y, middle]
+            same = self.hashes[middle, x] == self.hashes[middle, y]
             low = np.where(same & open_, middle, low)
             high = np.where(same | ~open_, high, middle - 1)
         return low
@@ -88,9 +95,8 @@ class Suffixes:
         """Whether row x sorts before row y; `equal` for equal ones."""
         n = self.common(x, y)
         end_x, end_y = n == self.lengths[x], n == self.lengths[y]
-        last = self.bytes.shape[1] - 1
-        at = np.minimum(n, last)
-        differ = self.bytes[x, at] < self.bytes[y, at]
+        at = np.minimum(n, len(self.bytes) - 1)
+        differ = self.bytes[at, x] < self.bytes[at, y]
         return np.where(end_x & end_y, equal, np.where(end_x, True, np.where(end_y, False, differ)))
 
     def sort(self, groups: np.ndarray) -> np.ndarray:
@@ -136,21 +142,21 @@ class Suffixes:
             at = near[a : a + (1 << 16)]
             x, y = order[at - 1], order[at]
             found = self.common(x, y)
-            same = self.bytes[x] == self.bytes[y]
-            true = np.minimum(np.where(same.all(1), same.shape[1], same.argmin(1)), np.minimum(self.lengths[x], self.lengths[y]))
+            same = self.bytes[:, x] == self.bytes[:, y]
+            true = np.minimum(np.where(same.all(0), len(same), same.argmin(0)), np.minimum(self.lengths[x], self.lengths[y]))
             if (found != true).any():  # two strings of one hash: the bytes themselves decide
                 return self._plain(groups)
             common[at] = found
         return order, common
 
     def _plain(self, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order = np.array(sorted(range(len(groups)), key=lambda i: (groups[i], self.bytes[i, : self.lengths[i]].tobytes())), np.int64)
+        order = np.array(sorted(range(len(groups)), key=lambda i: (groups[i], self.bytes[: self.lengths[i], i].tobytes())), np.int64)
         common = np.full(len(order), -1, np.int64)
         for k in range(1, len(order)):
             x, y = order[k - 1], order[k]
             if groups[x] == groups[y]:
                 n = min(self.lengths[x], self.lengths[y])
-                same = self.bytes[x, :n] == self.bytes[y, :n]
+                same = self.bytes[:n, x] == self.bytes[:n, y]
                 common[k] = n if same.all() else same.argmin()
         return order, common
 
@@ -162,43 +168,82 @@ def _ids(order: np.ndarray, common: np.ndarray, depth: int) -> np.ndarray:
     return out
 
 
+def _unpack(table: pa.Table) -> tuple[np.ndarray, ...]:
+    keys = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("keys")]
+    parts: list[list[np.ndarray]] = [[] for _ in range(len(REST) + 1)]
+    for own, packed in zip(keys, table.column("rest"), strict=True):
+        raw, at = zlib.decompress(packed.as_py()), 0
+        for into, kind in zip(parts, REST, strict=False):
+            size = len(own) * np.dtype(kind).itemsize
+            into.append(np.frombuffer(raw[at : at + size], kind))
+            at += size
+        parts[-1].append(np.frombuffer(raw[at:], np.uint8))
+    return np.concatenate(keys), *[np.concatenate(x) for x in parts]
+
+
+def distinct(keys: np.ndarray, lefts: np.ndarray, begins: np.ndarray, lengths: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Passages that stand for all equal ones, ascending by key, and each passage's place among them. Equal ones are found by hash and compared byte by byte."""
+    p = H.prefix(H.VALUES[text], H.BASE_BYTES)
+    whole = H.mix((p[begins + lengths] - p[begins]) * H.powers(H.inverse(H.BASE_BYTES), len(p))[begins] + (lengths * 256 + lefts).astype(np.uint64))
+    order = np.lexsort((whole, keys))
+    new = np.concatenate([[True], (keys[order][1:] != keys[order][:-1]) | (whole[order][1:] != whole[order][:-1])])
+    number = np.empty(len(keys), np.int64)
+    number[order] = np.cumsum(new) - 1
+    chosen = order[new]
+    stands = chosen[number]
+    owner, inside = spread(lengths)
+    same = (lengths == lengths[stands]) & (lefts == lefts[stands])
+    same[owner[text[begins[owner] + inside] != text[np.minimum(begins[stands][owner] + inside, len(text) - 1)]]] = False
+    if not same.all():  # two passages of one hash: none stands for another
+        order = np.argsort(keys, kind="stable")
+        number[order] = np.arange(len(keys))
+        return order, number
+    return chosen, number
+
+
 def match(table: pa.Table, kind: Kind) -> pa.Table:
     """Of one part's passages, the windows that a smaller doc_id has too.
 
-    Passages of one key are aligned at their anchors. The suffixes that start there and the reversed prefixes that end
-    there are sorted; neighbours' common extensions give, for each place of a window around its anchor, classes of equal
-    left and right parts, and the least doc_id of a class of both decides.
+    Equal passages of one key are sorted once, with their least doc_id. Passages of one key are aligned at their
+    anchors. The suffixes that start there and the reversed prefixes that end there are sorted; neighbours' common
+    extensions give, for each place of a window around its anchor, classes of equal left and right parts, and the
+    least doc_id of a class of both decides.
     """
-    read = lambda c, t: np.concatenate([np.frombuffer(x.as_py(), t) for x in table.column(c)])
-    keys, docs, crcs, firsts, lefts, counts, text = (read(c, t) for c, t in (("keys", np.uint64), ("docs", np.int64), ("crcs", np.int32), ("firsts", np.uint32), ("lefts", np.uint16), ("counts", np.uint16), ("texts", np.uint8)))
+    keys, docs, crcs, firsts, lefts, counts, text = _unpack(table)
     lefts, counts = lefts.astype(np.int64), counts.astype(np.int64)
     lengths = counts + kind.window - 1
     begins = np.cumsum(lengths) - lengths
-    by_key = np.argsort(keys, kind="stable")
-    docs, crcs, firsts, lefts, counts, lengths, begins = (x[by_key] for x in (docs, crcs, firsts, lefts, counts, lengths, begins))
-    groups = np.cumsum(np.concatenate([[True], keys[by_key][1:] != keys[by_key][:-1]])) - 1
+    chosen, number = distinct(keys, lefts, begins, lengths, text)
+    doc = np.full(len(chosen), np.iinfo(np.int64).max)
+    np.minimum.at(doc, number, docs)
+    groups = np.cumsum(np.concatenate([[True], keys[chosen][1:] != keys[chosen][:-1]])) - 1
+    own_lefts, own_counts = lefts[chosen], counts[chosen]
     reach = kind.window - kind.gram
-    anchor = begins + lefts
-    right, right_common = Suffixes(text, anchor, lengths - lefts, 1, kind.window).classes(groups)
-    left, left_common = Suffixes(text, anchor - 1, lefts, -1, reach).classes(groups)
-    gone = np.zeros((len(docs), reach + 1), bool)  # by the window's place in its run
+    anchor = begins[chosen] + own_lefts
+    right, right_common = Suffixes(text, anchor, lengths[chosen] - own_lefts, 1, kind.window).classes(groups)
+    left, left_common = Suffixes(text, anchor - 1, own_lefts, -1, reach).classes(groups)
+    least = np.full((len(chosen), reach + 1), np.iinfo(np.int64).max)  # by the window's place in its run
     for before in range(reach + 1):  # bytes of the window that stand before the anchor
-        place = lefts - before
-        rows = np.flatnonzero((place >= 0) & (place < counts))
+        place = own_lefts - before
+        rows = np.flatnonzero((place >= 0) & (place < own_counts))
         if len(rows):
-            both = _ids(left, left_common, before)[rows] * (len(docs) + 1) + _ids(right, right_common, kind.window - before)[rows]
+            both = _ids(left, left_common, before)[rows] * (len(chosen) + 1) + _ids(right, right_common, kind.window - before)[rows]
             order = np.argsort(both, kind="stable")
             new = np.concatenate([[True], both[order][1:] != both[order][:-1]])
-            least = np.minimum.reduceat(docs[rows][order], np.flatnonzero(new))[np.cumsum(new) - 1]
-            hit = rows[order][docs[rows][order] > least]
-            gone[hit, place[hit]] = True
-    a, b = ranges(gone.ravel(), np.repeat(np.arange(len(docs)), reach + 1))
-    run, inside = a // (reach + 1), a % (reach + 1)
-    return pa.table({"doc_id": docs[run], "row_crc": crcs[run], "first": (firsts[run] + inside).astype(np.int32), "count": (b - a).astype(np.int32)})
+            lowest = np.minimum.reduceat(doc[rows][order], np.flatnonzero(new))[np.cumsum(new) - 1]
+            least[rows[order], place[rows[order]]] = lowest
+    out = []
+    for a in range(0, len(docs), 1 << 16):
+        own = slice(a, a + (1 << 16))
+        gone = docs[own, None] > least[number[own]]
+        starts, ends = ranges(gone.ravel(), np.repeat(np.arange(len(gone)), reach + 1))
+        run, inside = starts // (reach + 1), starts % (reach + 1)
+        out.append(pa.table({"doc_id": docs[own][run], "row_crc": crcs[own][run], "first": (firsts[own][run] + inside).astype(np.int32), "count": (ends - starts).astype(np.int32)}))
+    return pa.concat_tables(out)
 
 
 def _found(docs: DataFrame, kind: Kind, sketch) -> DataFrame:
-    parts = 4 * shuffle_parts(docs.sparkSession)
+    parts = 8 * shuffle_parts(docs.sparkSession)
     return _deal(docs, kind, sketch, parts).groupBy("part").applyInArrow(lambda t: match(t, kind), REMOVED)
 
 
