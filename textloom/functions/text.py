@@ -64,10 +64,13 @@ def simple_terms(c: Column | str) -> Column:
 
 
 def ngrams(tokens: Column | str, n: int, glue: str = " ") -> Column:
-    """Runs of n tokens, joined."""
+    """Runs of n tokens, joined. The shifted arrays are arguments, so they are made once and not once a run."""
     t = col(tokens)
-    at = F.when(F.size(t) >= n, F.sequence(F.lit(0), F.size(t) - n)).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.concat_ws(glue, *[F.get(t, i + k) for k in range(n)]))
+    if n == 1:
+        return t
+    count = F.greatest(F.size(t) - n + 1, F.lit(0))
+    shifted = F.arrays_zip(*[F.slice(t, k + 1, count).alias(f"w{k}") for k in range(n)])
+    return F.transform(shifted, lambda z: F.concat_ws(glue, *[z[f"w{k}"] for k in range(n)]))
 
 
 def candidates(c: Column | str, stopwords: list[str]) -> Column:
@@ -77,11 +80,11 @@ def candidates(c: Column | str, stopwords: list[str]) -> Column:
 
 
 def keep_first(items: Column | str) -> Column:
-    """Of items that are equal but for case, the first; in order."""
-    x = col(items)
-    empty = F.struct(F.array().cast("array<string>").alias("seen"), F.array().cast("array<string>").alias("out"))
-    step = lambda a, w: F.when(F.array_contains(a["seen"], F.lower(w)), a).otherwise(F.struct(F.array_append(a["seen"], F.lower(w)).alias("seen"), F.array_append(a["out"], w).alias("out")))
-    return F.aggregate(x, empty, step, lambda a: a["out"])
+    """Of items that are equal but for case, the first; in order. Sorted by (lower case, place), equal neighbours go, and the places bring the order back."""
+    numbered = F.array_sort(F.transform(col(items), lambda w, i: F.struct(F.lower(w).alias("l"), i.alias("i"), w.alias("w"))))
+    before = F.concat(F.array(F.lit(None).cast("struct<l:string,i:int,w:string>")), F.slice(numbered, 1, F.greatest(F.size(numbered) - 1, F.lit(0))))
+    pairs = F.filter(F.arrays_zip(numbered.alias("a"), before.alias("b")), lambda z: z["a"].isNotNull() & (z["b"].isNull() | (z["a"]["l"] != z["b"]["l"])))
+    return F.transform(F.array_sort(F.transform(pairs, lambda z: F.struct(z["a"]["i"].alias("i"), z["a"]["w"].alias("w")))), lambda x: x["w"])
 
 
 def delimited_terms(c: Column | str, stopwords: list[str]) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from textloom.functions import text as T
 from textloom.operators import concepts, metrics, ranking
 from textloom.operators import vectors as X
 from textloom.queries.joins import COS, DIMS, STAGES, VERDICTS, assembled, domain_dim, hits, hits_sql, verdicts
@@ -76,7 +77,7 @@ def a06(spark, d):
 @query("a07_concept_audit", f"""WITH {TOKENS_SQL}, occ AS (SELECT term, doc_id, source FROM tok JOIN documents USING (doc_id) WHERE length(term) > 3)
 SELECT term AS concept, count(*) AS occurrences, count(DISTINCT source) AS books, count(DISTINCT doc_id) AS chapters, max(source) AS last_source, array_to_string(list_sort(list_distinct(list(lang)))[1:10], ',') AS sample FROM occ JOIN documents USING (doc_id, source) GROUP BY term HAVING count(*) >= 5""")
 def a07(spark, d):
-    x = tokens(spark, d).where("length(term) > 3").join(docs(spark, d).select("doc_id", "source", "lang"), "doc_id")
+    x = docs(spark, d).select("doc_id", "source", "lang", F.explode(T.words("text")).alias("term")).where("length(term) > 3")
     sample = F.array_join(F.slice(F.array_sort(F.collect_set("lang")), 1, 10), ",")  # languages: few, so the set is small
     out = x.groupBy(F.col("term").alias("concept")).agg(F.count(F.lit(1)).alias("occurrences"), F.count_distinct("source").alias("books"), F.count_distinct("doc_id").alias("chapters"), F.max("source").alias("last_source"), sample.alias("sample"))
     return out.where("occurrences >= 5")
