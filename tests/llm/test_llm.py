@@ -40,7 +40,7 @@ PASSAGE = prose(2, 80)
 ODD = [
     (1, None, "a"), (2, "", "a"), (3, "   \n\t ", None), (4, LONG, "b"), (5, prose(3, 30) + "\n" + PASSAGE + "\n" + prose(4, 30), "b"), (6, prose(5, 60) + " " + PASSAGE, "b"),
     (7, prose(6, 120), "a"), (7, prose(6, 120), "a"), (8, prose(6, 120), "a"), (9, prose(6, 119) + " other", "a"), (None, prose(6, 120), "a"), (10, "word " * 400, "c"), (11, "word " * 300, "c"),
-    (12, "ünïcödé \x00 text\r\nwith\tcontrol", "a"), (13, "one", "a"), (14, "One", "a"), (15, "two words", "a"),
+    (12, "ünïcödé \x00 text\r\nwith\tcontrol\n\xa0\n\xa0\n\u2003", "a"), (13, "one", "a"), (14, "One", "a"), (15, "two words", "a"),
 ]
 
 

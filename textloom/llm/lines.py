@@ -37,7 +37,7 @@ def repeated_words(words: list[bytes]) -> int:
     return covered
 
 
-def line_fails(line: str, words: list[str]) -> str:
+def line_fails(line: str, words: list[bytes]) -> str:
     """The rule that a line with words fails, or the empty string."""
     letters = len(line) - line.count(" ")
     if sum(line.count(c) for c in SYMBOLS) * 10 > letters:
@@ -65,13 +65,13 @@ def judge(text: str, max_lost: float) -> tuple:
     duplicates = with_words = removed = lost = 0
     kept_lines = []
     for line in lines:
-        own = line.split()
+        own = line.encode().split()
         if not own:
             kept_lines.append(line)
             continue
         with_words += 1
         if line in seen:
-            duplicates += bool(line.encode().split())
+            duplicates += 1
         else:
             seen.add(line)
         if line_fails(line, own):
