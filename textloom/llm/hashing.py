@@ -29,7 +29,7 @@ def powers(base: int, n: int) -> np.ndarray:
         have = np.full(size, U(base & (2**64 - 1)))
         have[0] = 1
         have = np.cumprod(have)
-        if size <= 1 << 23:  # longer ones are made anew, so that one huge text doesn't stay in memory
+        if size <= 1 << 21:  # longer ones are made anew, so that one huge text doesn't stay in memory
             _powers[base] = have
     return have[:n]
 

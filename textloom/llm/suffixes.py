@@ -12,12 +12,14 @@ from textloom.llm import hashing as H
 from textloom.llm.common import shuffle_parts
 from textloom.llm.repeats import REMOVED, Kind, ranges, remove, runs_of, spread
 
+#: Passages that one step of a match works on.
+BLOCK = 1 << 14
 #: Bytes of passages that a task gathers before it deals them out.
 GATHERED = 4_000_000
 PACKED = "part int, keys binary, rest binary"
 #: What stands in rest, compressed: doc ids, row checksums, first windows' places, bytes before the anchor, windows; then the passages.
 REST = (np.int64, np.int32, np.uint32, np.uint8, np.uint8)
-BYTES = Kind(words=False, gram=18, log2=28, depth=1, hot=50_000, step=1_000_000)
+BYTES = Kind(words=False, gram=18, log2=28, depth=1, hot=50_000, step=500_000)
 
 
 def _deal(docs: DataFrame, kind: Kind, sketch, parts: int) -> DataFrame:
@@ -138,8 +140,8 @@ class Suffixes:
         order = self.sort(groups)
         common = np.full(len(order), -1, np.int64)
         near = np.flatnonzero(groups[order][1:] == groups[order][:-1]) + 1
-        for a in range(0, len(near), 1 << 16):
-            at = near[a : a + (1 << 16)]
+        for a in range(0, len(near), BLOCK):
+            at = near[a : a + BLOCK]
             x, y = order[at - 1], order[at]
             found = self.common(x, y)
             same = self.bytes[:, x] == self.bytes[:, y]
@@ -183,17 +185,25 @@ def _unpack(table: pa.Table) -> tuple[np.ndarray, ...]:
 
 def distinct(keys: np.ndarray, lefts: np.ndarray, begins: np.ndarray, lengths: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Passages that stand for all equal ones, ascending by key, and each passage's place among them. Equal ones are found by hash and compared byte by byte."""
-    p = H.prefix(H.VALUES[text], H.BASE_BYTES)
-    whole = H.mix((p[begins + lengths] - p[begins]) * H.powers(H.inverse(H.BASE_BYTES), len(p))[begins] + (lengths * 256 + lefts).astype(np.uint64))
+    whole = np.zeros(len(keys), np.uint64)
+    for a in range(0, len(keys), BLOCK):
+        at = slice(a, a + BLOCK)
+        owner, inside = spread(lengths[at])
+        terms = H.VALUES[text[begins[at][owner] + inside]] * H.powers(H.BASE_BYTES, 1 << 10)[inside]
+        whole[at] = np.add.reduceat(terms, np.cumsum(lengths[at]) - lengths[at])
+    whole = H.mix(whole + (lengths * 256 + lefts).astype(np.uint64))
     order = np.lexsort((whole, keys))
     new = np.concatenate([[True], (keys[order][1:] != keys[order][:-1]) | (whole[order][1:] != whole[order][:-1])])
     number = np.empty(len(keys), np.int64)
     number[order] = np.cumsum(new) - 1
     chosen = order[new]
     stands = chosen[number]
-    owner, inside = spread(lengths)
     same = (lengths == lengths[stands]) & (lefts == lefts[stands])
-    same[owner[text[begins[owner] + inside] != text[np.minimum(begins[stands][owner] + inside, len(text) - 1)]]] = False
+    for a in range(0, len(keys), BLOCK):
+        at = slice(a, a + BLOCK)
+        owner, inside = spread(lengths[at])
+        differ = text[begins[at][owner] + inside] != text[np.minimum(begins[stands[at]][owner] + inside, len(text) - 1)]
+        same[a + owner[differ]] = False
     if not same.all():  # two passages of one hash: none stands for another
         order = np.argsort(keys, kind="stable")
         number[order] = np.arange(len(keys))
@@ -233,8 +243,8 @@ def match(table: pa.Table, kind: Kind) -> pa.Table:
             lowest = np.minimum.reduceat(doc[rows][order], np.flatnonzero(new))[np.cumsum(new) - 1]
             least[rows[order], place[rows[order]]] = lowest
     out = []
-    for a in range(0, len(docs), 1 << 16):
-        own = slice(a, a + (1 << 16))
+    for a in range(0, len(docs), BLOCK):
+        own = slice(a, a + BLOCK)
         gone = docs[own, None] > least[number[own]]
         starts, ends = ranges(gone.ravel(), np.repeat(np.arange(len(gone)), reach + 1))
         run, inside = starts // (reach + 1), starts % (reach + 1)
