@@ -92,33 +92,42 @@ def keyword_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", sto
     return x.select(key, "word", "tf", (related * place / (case + freq / related + spread / related)).alias("score"))
 
 
-def _apart(k: int):
-    """Pairs of the words of _w that stand k places apart."""
-    pair = lambda i: F.struct(F.get("_w", i).alias("a"), F.get("_w", i + k).alias("b"))
-    return F.when(F.size("_w") > k, F.transform(F.sequence(F.lit(0), F.size("_w") - 1 - k), pair)).otherwise(F.array().cast("array<struct<a:string,b:string>>"))
-
-
 def word_ranks(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 2, rounds: int = 10, damping: float = 0.85, stopwords: list[str] | None = None) -> DataFrame:
-    """(key, word, rank): PageRank with a fixed number of rounds over each document's graph of words that stand at most `window` apart."""
+    """(key, word, rank): PageRank with a fixed number of rounds over each document's graph of words that stand at most `window` apart.
+
+    A document's graph is as small as the document, so it is built and ranked where the document is read: no shuffle.
+    """
     stop = stopwords or []
-    words = docs.select(key, F.filter(T.words(text, "[a-z]{3,}"), lambda w: ~w.isin(stop)).alias("_w"))
-    pairs = F.concat(*[_apart(k) for k in range(1, window + 1)])
-    edges = words.select(key, F.explode(pairs).alias("e")).select(key, "e.a", "e.b").where("a != b")
-    edges = edges.unionByName(edges.select(key, F.col("b").alias("a"), F.col("a").alias("b"))).groupBy(key, "a", "b").agg(F.count(F.lit(1)).alias("w"))
-    edges = edges.withColumn("share", F.col("w") / F.sum("w").over(Window.partitionBy(key, "a"))).repartition(key).sortWithinPartitions(key)
-
-    # one document's graph is small: its rounds run in one task on sorted arrays, without a shuffle a round
-    def one(pdf):
+    words = docs.select(F.col(key).cast("long").alias(key), F.filter(T.words(text, "[a-z]{3,}"), lambda w: ~w.isin(stop)).alias("_w"))
+
+    def ranked(tokens):
         import numpy as np
-        import pandas as pd
 
-        names, codes = np.unique(pdf[["a", "b"]].to_numpy(str).ravel(), return_inverse=True)
-        a, b = codes.reshape(-1, 2).T
-        rank = np.full(len(names), 1.0 / len(names))
-        order = np.lexsort((a, b))
-        a, b, share = a[order], b[order], pdf["share"].to_numpy()[order]
+        names, codes = np.unique(np.asarray(tokens, str), return_inverse=True)
+        n = len(names)
+        ends = [(codes[:-k], codes[k:]) for k in range(1, window + 1)]
+        a, b = (np.concatenate(x) for x in zip(*ends, strict=True))
+        apart = a != b
+        a, b = np.concatenate([a[apart], b[apart]]), np.concatenate([b[apart], a[apart]])
+        edges, weight = np.unique(a.astype(np.int64) * n + b, return_counts=True)
+        a, b = edges // n, edges % n
+        share = weight / np.bincount(a, weight, n)[a]
+        linked = np.bincount(a, minlength=n) > 0
+        names, place = names[linked], np.cumsum(linked) - 1
+        a, b, n = place[a], place[b], int(linked.sum())
+        rank = np.full(n, 1.0 / max(1, n))
         for _ in range(rounds):
-            rank = (1 - damping) / len(names) + damping * np.bincount(b, share * rank[a], len(names))
-        return pd.DataFrame({key: pdf[key].iloc[0], "word": names, "rank": rank})
+            rank = (1 - damping) / max(1, n) + damping * np.bincount(b, share * rank[a], n)
+        return names, rank
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for one, tokens in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                own = tokens.as_py() or []
+                if len(own) > 1:
+                    names, rank = ranked(own)
+                    yield pa.RecordBatch.from_pydict({key: pa.array([one] * len(names), pa.int64()), "word": pa.array(names.tolist(), pa.string()), "rank": pa.array(rank)})
 
-    return edges.groupBy(key).applyInPandas(one, f"{key} long, word string, rank double")
+    return words.mapInArrow(run, f"{key} long, word string, rank double")
