@@ -265,6 +265,25 @@ def test_leaks(spark, none):
     assert decontaminate.leaks(none, items).count() == 0 and decontaminate.leaks(frame(spark, docs), items.where("item_id > 5")).count() == 0
 
 
+def test_leaks_reparameterised(spark):
+    """An item whose template repeats inside it, values that become equal, a few clashing windows, a short item."""
+    fill = prose(31, 60)
+    gift = "On Monday Anna pays 7 dollars and Bob pays 9 dollars and Carl pays 12 dollars for the gift so how much do they pay in all"
+    given = "On Friday Dora pays 21 dollars and Emil pays 34 dollars and Fred pays 55 dollars for the gift so how much do they pay in all"
+    shop = "If Tom has 3 apples and buys 5 more apples at the shop in town how many apples does he have after that"
+    short = "who wrote moby dick"
+    docs = [
+        (1, f"{fill}. {given} {fill}", "a"), (2, f"{fill}. {shop.replace('3', '8').replace('5', '8').replace('Tom', 'Ann')} {fill}", "a"),
+        (3, f"{fill} {ITEM.replace('12', '40').replace('If Alice', 'If Erin')} {fill}", "a"), (4, f"{fill} Who wrote Moby {fill}", "a"), (5, f"{fill} who wrote moby dick {fill}", "a"),
+        (6, f"{fill}. {given.replace('for the gift', 'then for the gift')} {fill}", "a"), (7, fill, "a"), (8, f"{fill}. {ITEM.replace('will Alice', 'will Carol')} {fill}", "a"),
+    ]
+    items = spark.createDataFrame([(0, gift), (1, shop), (2, short), (3, ITEM)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in decontaminate.leaks(frame(spark, docs), items).collect()}
+    assert {(1, 0), (2, 1), (3, 3), (5, 2), (6, 0)} <= set(got) and {d for d, _ in got}.isdisjoint({4, 7})
+    assert got[1, 0].coverage == 1 and got[2, 1].coverage == 1 and got[6, 0].matched >= got[6, 0].windows - 4
+    assert got[3, 3].matched == 21 and (8, 3) not in got  # 2 and 5 of 23 windows clash
+
+
 def test_leaks_found_in_the_tables(spark, sf_dir):
     """Documents that hold an item word for word are all found, and no others."""
     docs = duckdb.sql(f"SELECT doc_id, text FROM '{sf_dir}/documents.parquet'").fetchall()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Units that count as such right after a number.
@@ -47,14 +47,23 @@ def _starts(words: F.Column, width: int) -> F.Column:
     return F.when(n >= width, F.sequence(F.lit(0), n - width)).otherwise(F.array().cast("array<int>"))
 
 
+def _hashes(words: F.Column, width: int) -> F.Column:
+    return F.transform(_starts(words, width), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(width)]))
+
+
+def _cuts(bare: F.Column, words: F.Column, width: int) -> F.Column:
+    return F.transform(_starts(words, width), lambda i: F.struct(i.alias("doc_pos"), F.slice(bare, i + 1, width).alias("key"), F.slice(words, i + 1, width).alias("doc_vals")))
+
+
 def _item_windows(benchmark: DataFrame, width: int) -> DataFrame:
-    """(item_id, item_pos, key, vals, needed): windows with two literal words at least. An item's first word may follow any text in a document, so its windows are there with it as a word and as a name."""
+    """(item_id, item_pos, key, vals, windows): windows with two literal words at least; an item of fewer than `width` words is one window. An item's first word may follow any text in a document, so its windows are there with it as a word and as a name."""
     tokens = benchmark.where("text is not null and item_id is not null").select("item_id", _tokens(F.col("text")).alias("w0"))
     # one row an item: repeated ids keep the longest text, the first of equally long ones
     tokens = tokens.groupBy("item_id").agg(F.max(F.struct(F.size("w0").alias("n"), F.col("w0"))).alias("_x")).select("item_id", F.col("_x.w0").alias("w0"))
     as_name = F.concat(F.array(F.concat(F.lit("<name="), F.col("w0")[0], F.lit(">"))), F.slice("w0", 2, 1_000_000))
     both = tokens.withColumn("w", F.explode(F.when((F.size("w0") > 0) & ~F.col("w0")[0].startswith("<"), F.array(F.col("w0"), as_name)).otherwise(F.array(F.col("w0")))))
-    rows = both.select("item_id", "w", F.explode(_starts(F.col("w"), width)).alias("item_pos"))
+    whole = F.when(F.size("w") > 0, F.array(F.lit(0)))
+    rows = both.select("item_id", "w", F.explode(F.when(F.size("w") >= width, _starts(F.col("w"), width)).otherwise(whole)).alias("item_pos"))
     part = F.slice("w", F.col("item_pos") + 1, width)
     rows = rows.select("item_id", "item_pos", F.transform(part, _bare).alias("key"), part.alias("vals")).distinct()
     literal = F.size(F.filter("key", lambda k: ~k.startswith("<")))
@@ -68,44 +77,63 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = 5, share: float =
 
     Every word is canonicalised (numbers, units after numbers and names inside sentences become typed placeholders),
     template windows of `width` words are joined by hash, and a document is reported for an item when at least `share`
-    of the item's windows stand in one stretch of it and the slots are consistent: there, each value of the item has one
-    value in the document and the reverse. Where slots are not consistent, windows with the item's own values count.
+    of the item's windows stand in one stretch of it and agree on the slots. A stretch is one alignment of the item with
+    the document, or, as words may be put in or left out, the alignments about the one with most windows; each window of
+    the item then counts at its nearest place. Each value of the item has one value in the document, that of most windows;
+    windows with another one don't count. Several values of the item may have the same one in the document. If more
+    windows have the item's own values, those count.
 
     First pass: hashes of all windows of all documents against the benchmark's, which are broadcast only up to
-    BROADCAST_WINDOWS. Second pass: exact templates, positions and slots of the few documents found. Items with fewer
-    than `width` words have no window and match nothing. Null texts match nothing; a null doc_id is reported as null;
+    BROADCAST_WINDOWS. Second pass: exact templates, positions and slots of the few documents found. An item of fewer
+    than `width` words is one window. Null texts match nothing; a null doc_id is reported as null;
     repeated rows count as one document; empty tables give an empty result; other columns are ignored.
     """
     items = _item_windows(benchmark.select("item_id", "text"), width)
-    hashed = items.select("item_id", "item_pos", "windows", F.xxhash64(*[F.col("key")[i] for i in range(width)]).alias("_h")).distinct()
-    if hashed.count() <= BROADCAST_WINDOWS:
+    # get() is null behind the end of a short item, and nulls don't change the hash
+    hashed = items.select("item_id", "item_pos", "windows", F.size("key").alias("_k"), F.xxhash64(*[F.get("key", F.lit(i)) for i in range(width)]).alias("_h")).distinct()
+    sizes = {r["_k"]: r["count"] for r in hashed.groupBy("_k").count().collect()}  # `width` numbers at most
+    hashed = hashed.drop("_k")
+    if sum(sizes.values()) <= BROADCAST_WINDOWS:
         hashed, items = F.broadcast(hashed), F.broadcast(items)
+    widths = sorted({width, *sizes})
     own = docs.where("text is not null").select("doc_id", "text")
     words = own.select("doc_id", _plain(F.col("text")).alias("_w"))
-    hashes = words.select("doc_id", F.explode(F.transform(_starts(F.col("_w"), width), lambda i: F.xxhash64(*[F.get("_w", i + k) for k in range(width)]))).alias("_h"))
+    hashes = words.select("doc_id", F.explode(F.concat(*[_hashes(F.col("_w"), n) for n in widths])).alias("_h"))
     met = hashes.join(hashed, "_h").groupBy("doc_id", "item_id").agg(F.count_distinct("item_pos").alias("_m"), F.first("windows").alias("_n"))
     pairs = met.where(F.col("_m") >= share * F.col("_n")).select("doc_id", "item_id")
 
     found = own.join(pairs.select(F.col("doc_id").alias("_d")).distinct(), F.col("doc_id").eqNullSafe(F.col("_d")), "left_semi")
-    cut = F.transform(_starts(F.col("w"), width), lambda i: F.struct(i.alias("doc_pos"), F.slice(F.col("b"), i + 1, width).alias("key"), F.slice(F.col("w"), i + 1, width).alias("doc_vals")))
+    cut = F.concat(*[_cuts(F.col("b"), F.col("w"), n) for n in widths])
     aligned = found.select("doc_id", _tokens(F.col("text")).alias("w")).select("doc_id", "w", F.transform("w", _bare).alias("b"))
     windows = aligned.select("doc_id", F.explode(cut).alias("x")).select("doc_id", "x.*")
     matched = windows.join(items.withColumnRenamed("vals", "item_vals"), "key")
     slots = F.filter(F.arrays_zip(F.col("item_vals").alias("i"), F.col("doc_vals").alias("d")), lambda z: z["i"].startswith("<"))
     first_slot = F.when(F.col("item_pos") == 0, F.slice(slots, 2, width)).otherwise(slots)  # the first word as a name is no slot
     matched = matched.withColumn("slots", F.when(F.col("item_vals")[0].startswith("<name"), first_slot).otherwise(slots))
-    # stretches of the document as long as the item, in two grids that overlap by half
-    at = F.col("doc_pos") - F.col("item_pos")
-    grids = matched.withColumn("stretch", F.explode(F.array(F.struct(F.lit(0).alias("grid"), F.floor(at / F.col("windows")).alias("no")), F.struct(F.lit(1).alias("grid"), F.floor(at / F.col("windows") + 0.5).alias("no")))))
+    # all that follows is about one document and one item: dealt once
+    pair = ["doc_id", "item_id", "windows"]
     same = F.size(F.filter("slots", lambda z: z["i"] != z["d"])) == 0
-    by = grids.groupBy("doc_id", "item_id", "windows", "stretch").agg(
-        F.count_distinct("item_pos").alias("matched"), F.count_distinct(F.when(same, F.col("item_pos"))).alias("as_is"), F.array_distinct(F.flatten(F.collect_set(F.when(F.size("slots") > 0, F.col("slots"))))).alias("slots"),
-    )
-    values = F.size("slots")
-    consistent = (F.size(F.array_distinct(F.transform("slots", lambda z: z["i"]))) == values) & (F.size(F.array_distinct(F.transform("slots", lambda z: z["d"]))) == values)
-    best = by.withColumn("matched", F.when(consistent, F.col("matched")).otherwise(F.col("as_is"))).where(F.col("matched") >= share * F.col("windows"))
-    out = best.groupBy("doc_id", "item_id", "windows").agg(F.max(F.struct("matched", values.alias("slots"))).alias("_b"))
-    return out.select("doc_id", "item_id", "windows", F.col("_b.matched").alias("matched"), (F.col("_b.matched") / F.col("windows")).alias("coverage"), F.col("_b.slots").alias("slots"))
+    matched = matched.repartition("doc_id", "item_id").withColumn("at", F.col("doc_pos") - F.col("item_pos"))
+    places = matched.groupBy(*pair, "item_pos", "at").agg(F.max(F.struct(same.alias("same"), F.col("slots"))).alias("x")).select(*pair, "item_pos", "at", "x.*")
+    # stretches: each alignment by itself, and parts of the document as long as the item, in two grids that overlap by half
+    grid = lambda n, no: F.struct(F.lit(n).alias("grid"), no.cast("long").alias("no"))
+    part = F.col("at") / F.col("windows")
+    places = places.withColumn("stretch", F.explode(F.array(grid(0, F.floor(part)), grid(1, F.floor(part + 0.5)), grid(2, F.col("at")))))
+    stretch = [*pair, "stretch"]
+    places = places.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*stretch, "at")))
+    places = places.withColumn("_main", F.max(F.struct("_n", (-F.col("at")).alias("at"))).over(Window.partitionBy(*stretch)))
+    off = F.abs(F.col("at") + F.col("_main.at"))
+    near = places.groupBy(*stretch, "item_pos").agg(F.min(F.struct(off.alias("off"), F.col("at"), F.col("same"), F.col("slots"))).alias("x")).select(*stretch, "item_pos", "x.same", "x.slots")
+    # each value of the item with the document's value that most windows have
+    slot = near.select(*stretch, "item_pos", "same", F.explode_outer(F.array_distinct("slots")).alias("z"))
+    slot = slot.withColumn("_c", F.count(F.lit(1)).over(Window.partitionBy(*stretch, "z.i", "z.d")))
+    most = F.max(F.struct(F.col("_c"), (F.col("z.i") == F.col("z.d")).alias("same"), F.col("z.d").alias("d"))).over(Window.partitionBy(*stretch, "z.i"))
+    slot = slot.withColumn("_ok", F.col("z").isNull() | (F.col("z.d") == most["d"]))
+    agreed = slot.groupBy(*stretch, "item_pos").agg(F.min("_ok").alias("ok"), F.first("same").alias("same"), F.collect_set("z.i").alias("values"))
+    counted = lambda c: F.struct(F.sum(F.col(c).cast("long")).alias("matched"), F.size(F.array_distinct(F.flatten(F.collect_list(F.when(F.col(c), F.col("values")))))).alias("slots"))
+    best = agreed.groupBy(*stretch).agg(F.greatest(counted("ok"), counted("same")).alias("_b")).where(F.col("_b.matched") >= share * F.col("windows"))
+    out = best.groupBy(*pair).agg(F.max("_b").alias("_b"))
+    return out.select(*pair, F.col("_b.matched").alias("matched"), (F.col("_b.matched") / F.col("windows")).alias("coverage"), F.col("_b.slots").alias("slots"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, width: int = 5, share: float = 0.8) -> DataFrame:
