@@ -115,6 +115,42 @@ def test_density_clusters(spark):
     assert {(r.doc_id, r.pos): r.label for r in got} == {(1, 0): 0, (1, 1): 0, (1, 2): -1, (2, 0): -1}
 
 
+def test_density_clusters_in_blocks(spark, tmp_path):
+    """Every vector has a row, whatever its id, and blocks change nothing."""
+    import math
+    import random
+
+    from textloom.queries import QUERIES
+
+    r = random.Random(5)
+    rows = [(1980 + i, [r.gauss(0, 1) for _ in range(4)], i % 3) for i in range(90)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    df.write.parquet(str(tmp_path / "embeddings.parquet"))
+    unit = {i: [x / math.hypot(*v) for x in v] for i, v, _ in rows}
+
+    def expected(similarity):
+        out = {}
+        for k in range(3):
+            ids, n = [i for i, _, y in rows if y == k], 0
+            for i in ids:
+                if (k, i) in out:
+                    continue
+                members, todo = {i}, [i]
+                while todo:
+                    a = todo.pop()
+                    new = {b for b in ids if b not in members and sum(x * y for x, y in zip(unit[a], unit[b], strict=True)) >= similarity}
+                    members |= new
+                    todo += new
+                out |= {(k, m): n if len(members) > 1 else -1 for m in members}
+                n += len(members) > 1
+        return out
+
+    as_dict = lambda d: {(x[0], x[1]): x[2] for x in d.collect()}
+    assert as_dict(QUERIES["v14_density_clusters"](spark, str(tmp_path))) == expected(0.5)
+    assert len(set(expected(0.9).values())) > 3
+    assert as_dict(cluster.density_clusters(df, "label", "vec_id", "embedding", 0.9, block=7)) == expected(0.9)
+
+
 def test_cascade_tiers(spark):
     terms = spark.createDataFrame([("API gateway",), ("www",), ("anything",), ("model says",)], "term string")
     aliases = classify.build_aliases(spark.createDataFrame([("api gateway", "concept", 0), ("api-gateway", "keyword", 1)], "term string, kind string, pos int"))

@@ -1,44 +1,62 @@
-"""Clusters: density clusters of small groups, k-means topics, and their summaries."""
+"""Clusters: density clusters, k-means topics, and their summaries."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.operators.components import components
 
-def density_clusters(df: DataFrame, key: str, pos: str, vector: str, similarity: float = 0.8, least: int = 2) -> DataFrame:
-    """(key, pos, label): within each document's few terms, those linked by cosines of at least `similarity` form a cluster if there are `least` of them; others get -1.
 
-    Labels are numbered by their first member. A document's terms are a bounded list, so a group is one Arrow batch.
+#: Rows of a block; two blocks are compared in one task.
+BLOCK = 2048
+
+
+def density_clusters(df: DataFrame, key: str, pos: str, vector: str, similarity: float = 0.8, least: int = 2, block: int = BLOCK) -> DataFrame:
+    """(key, pos, label): within each key, vectors linked by cosines of at least `similarity`, directly or through others, form a cluster if there are `least` of them; others get -1.
+
+    Labels are numbered by their first member; pos names a row of its key. Each key's rows are dealt into blocks of
+    about `block` rows by a hash, all pairs of blocks are compared, and each pair gives a spanning forest of its links.
     """
 
-    def one(pdf):
+    def links(pdf):
         import numpy as np
+        import pandas as pd
 
-        pdf = pdf.sort_values(pos, ignore_index=True)
         x = np.array([list(v) for v in pdf[vector]], float)
         length = np.linalg.norm(x, axis=1, keepdims=True)
         x = np.divide(x, length, out=np.zeros_like(x), where=length > 0)
-        near = x @ x.T >= similarity
-        label = np.full(len(x), -1)
-        nxt = 0
-        seen = np.zeros(len(x), bool)
-        for i in range(len(x)):
-            if seen[i]:
-                continue
-            members, frontier = {i}, [i]
-            while frontier:
-                found = set(np.flatnonzero(near[frontier.pop()]).tolist()) - members
-                members |= found
-                frontier += found
-            at = list(members)
-            seen[at] = True
-            if len(at) >= least:
-                label[at] = nxt
-                nxt += 1
-        return pdf[[key, pos]].assign(label=label)
-
-    return df.select(key, pos, vector).groupBy(key).applyInPandas(one, f"{key} long, {pos} long, label int")
+        rest, edges = np.arange(len(x)), []
+        while len(rest):
+            frontier, rest = rest[:1], rest[1:]
+            while len(frontier) and len(rest):
+                found = []
+                for some in np.array_split(frontier, -(-len(frontier) // 512)):
+                    near = x[some] @ x[rest].T >= similarity
+                    hit = near.any(0)
+                    edges.append((some[near.argmax(0)[hit]], rest[hit]))
+                    found.append(rest[hit])
+                    rest = rest[~hit]
+                frontier = np.concatenate(found)
+        u, v = (np.concatenate(e) for e in zip(*edges, strict=True)) if edges else (np.zeros(0, int),) * 2
+        at = pdf[pos].to_numpy()
+        return pd.DataFrame({"_key": pdf[key].iloc[0], "_u": at[u], "_v": at[v]})
+
+    rows = df.select(key, pos, vector)
+    blocks = rows.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / block).alias("_blocks")).withColumnRenamed(key, "_key")
+    dealt = rows.join(blocks, F.col(key).eqNullSafe(F.col("_key"))).withColumn("_b", F.pmod(F.xxhash64(pos), F.col("_blocks")))
+    others = F.col("_blocks") - 1
+    dealt = dealt.withColumn("_o", F.explode(F.sequence(F.lit(0).cast("long"), others)))
+    # a block meets itself in its pairs with others
+    dealt = dealt.where((F.col("_b") != F.col("_o")) | (others == 0)).select(key, pos, vector, F.least("_b", "_o").alias("_i"), F.greatest("_b", "_o").alias("_j"))
+    found = dealt.groupBy(key, "_i", "_j").applyInPandas(links, "_key long, _u long, _v long")
+    node = lambda c: F.struct(F.col("_key").alias("key"), F.col(c).alias("pos"))
+    roots = components(found.select(node("_u").alias("u"), node("_v").alias("v")))
+    named = rows.select(key, pos, F.struct(F.col(key).cast("long").alias("key"), F.col(pos).cast("long").alias("pos")).alias("node")).join(roots, "node", "left")
+    named = named.withColumn("root", F.coalesce("root", "node"))
+    clusters = named.groupBy("root").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least)
+    clusters = clusters.select("root", (F.row_number().over(Window.partitionBy("root.key").orderBy("root.pos")) - 1).alias("_label"))
+    return named.join(clusters, "root", "left").select(F.col(key).cast("long").alias(key), F.col(pos).cast("long").alias(pos), F.coalesce("_label", F.lit(-1)).alias("label"))
 
 
 def kmeans_topics(df: DataFrame, key: str, vector: str, k: int = 5, seed: int = 42):
