@@ -20,20 +20,20 @@ def _small_star(e: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def components(edges: DataFrame, most: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root): for each node of an edge (u, v), the least node that can be reached.
 
     Each round keeps one row an edge at most, sums with partial aggregates and joins whose skewed partitions Spark
-    splits, and is written to the shared folder; rounds grow with the logarithm of the nodes. It ends when nothing moves.
+    splits, and is written to the shared folder in place of the round before it; rounds grow with the logarithm of the
+    nodes. It ends when nothing moves.
     """
     spark = edges.sparkSession
     e = edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     e = materialize(spark, e)
     state = None
-    for _ in range(most):
+    while True:
         seen = e.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if (seen.n, seen.s) == state or not seen.n:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         state = (seen.n, seen.s)
-        e = materialize(spark, _small_star(_large_star(e)))
-    raise RuntimeError("components did not settle")
+        e = materialize(spark, _small_star(_large_star(e)), e)

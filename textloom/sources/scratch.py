@@ -6,14 +6,24 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Has Spark delete the shuffle files of a query when it ends; a lost one is made again from its inputs.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+_paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
 
 def scratch_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a temporary folder where it is unset (tests)."""
+    """spark.checkpoint.dir. Where it is unset, a temporary folder in local mode (tests), and an error on a cluster, whose executors would each write to a disk of their own."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if shared is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         own = tempfile.mkdtemp(prefix="textloom-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(f"file://{own}")
@@ -25,8 +35,32 @@ def scratch_path(spark: SparkSession, name: str = "stage") -> str:
     return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it back: cuts the lineage and survives lost executors."""
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Queries run inside leave no shuffle files behind."""
+    before = spark.conf.get(FREE_SHUFFLES, "false")
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(FREE_SHUFFLES, before)
+
+
+def materialize(spark: SparkSession, df: DataFrame, *done: DataFrame) -> DataFrame:
+    """Writes df as Parquet to the shared folder and reads it back: cuts the lineage and survives lost executors. Then deletes `done`, materialised tables that nothing reads any more."""
     path = scratch_path(spark)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with shuffles_freed(spark):
+        df.write.parquet(path)
+    discard(spark, *done)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+def discard(spark: SparkSession, *tables: DataFrame) -> None:
+    """Deletes the files of tables that materialize() returned."""
+    for table in tables:
+        path = _paths.pop(table, None)
+        if path is not None:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
