@@ -59,6 +59,13 @@ def rows(sf_dir):
     return duckdb.sql(f"SELECT doc_id, text, source FROM '{sf_dir}/documents.parquet' ORDER BY 1").fetchall()
 
 
+#: Rows without ids and ids with several texts: unrelated, near and equal ones.
+IDENTITY = [
+    (None, prose(40, 130), "a"), (None, prose(41, 130), "a"), (None, prose(42, 130), "b"), (None, prose(42, 129) + " other", "b"), (None, prose(41, 130), "a"), (3, prose(43, 130), "a"), (3, prose(44, 130), "a"),
+    (3, prose(44, 130), "a"), (2, prose(45, 20) + " " + PASSAGE, "a"), (2, prose(46, 30) + " " + PASSAGE, "a"), (None, PASSAGE, "a"), (None, None, "a"), (None, None, "a"), (9, prose(43, 129) + " other", None),
+]
+
+
 # ---- repeated passages -------------------------------------------------------------------------------------------
 
 
@@ -89,7 +96,7 @@ def test_passages(spark, odd, rows, module, hot):
     kind = dataclasses.replace(passages.WORDS if by_word else suffixes.BYTES, hot=hot)
     sample = [r[:2] for r in rows if len(r[1]) < 2500][:70] + [(i + 1000, t) for i, t, _ in rows[:10] if len(t) < 2500]
     small = [(i, t if t is None or len(t) < 5000 else t[:5000], s) for i, t, s in ODD]
-    for docs in ([(i, t) for i, t, _ in small], sample):
+    for docs in ([(i, t) for i, t, _ in small], sample, [r[:2] for r in IDENTITY]):
         df = frame(spark, [(i, t, "a") for i, t in docs])
         got = module.dedup(df, kind, with_text=False).collect()
         assert sorted(map(tuple, got), key=repr) == removed(docs, by_word)
@@ -183,6 +190,27 @@ def test_jaccard(spark, rows, k, percent, block):
     assert sorted(map(tuple, got.collect()), key=repr) == linked(docs, k, percent)
 
 
+@pytest.mark.parametrize("block", [2_000_000, 300])
+def test_jaccard_rows_without_ids(spark, block):
+    join = jaccard.Join(words=5, percent=80, block=block)
+    docs = [r[:2] for r in IDENTITY]
+    got = jaccard.classify(frame(spark, IDENTITY), join)
+    assert sorted(map(tuple, got.collect()), key=repr) == linked(docs, 5, 80)
+    kept = Counter((r.doc_id, r.text) for r in jaccard.keep_one(frame(spark, IDENTITY), join).collect())
+    # one of each group of near copies, with or without ids; the rows without words
+    near = [t for t in kept if t[0] is None and t[1] in (prose(42, 130), prose(42, 129) + " other")]
+    assert len(near) == 1 and kept.pop(near[0]) == 1
+    assert kept == Counter({(None, prose(40, 130)): 1, (None, prose(41, 130)): 1, (3, prose(43, 130)): 1, (3, prose(44, 130)): 1, (2, IDENTITY[8][1]): 1, (2, IDENTITY[9][1]): 1, (None, PASSAGE): 1, (None, None): 2})
+
+
+def test_long_texts_in_pieces_of_windows(monkeypatch):
+    values = np.random.default_rng(3).integers(0, 2**64, 5000, dtype=np.uint64)
+    monkeypatch.setattr(hashing, "PLACE_BITS", 8)
+    got = hashing.sliding_first_min(values, 20)
+    high = values >> np.uint64(8)
+    assert got.tolist() == [i + int(high[i : i + 20].argmin()) for i in range(5000 - 19)]
+
+
 def test_jaccard_keeps_one(spark, odd, none):
     kept = jaccard.keep_one(odd, jaccard.Join(words=5, percent=80))
     assert kept.columns == odd.columns
@@ -205,17 +233,20 @@ def tokenizer():
     return pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
 
 
-def test_tokens(spark, odd, none, tmp_path):
+@pytest.mark.parametrize("docs", [ODD, IDENTITY, [(None, "same text", "a")] * 40 + [(5, "same text", "a")] * 40 + [(5, f"text {i}", "a") for i in range(30)]])
+def test_tokens(spark, none, docs, monkeypatch):
     from tokenizers import Tokenizer
 
+    monkeypatch.setattr(tokens, "BUCKET_KEYS", 7)
     t = Tokenizer.from_file(tokenizer())
-    got = tokens.digest(odd, tokenizer()).orderBy("start").collect()
-    key = lambda x: (x[0] is None, x[0] or 0, zlib.crc32((x[1] or "").encode()))
-    start = 0
-    for (i, text, _), r in zip(sorted(ODD, key=key), got, strict=True):
+    wanted = Counter()
+    for i, text, _ in docs:
         ids = np.array([*t.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
-        assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (i, start, len(ids), zlib.crc32(ids.tobytes()))
-        start += len(ids)
+        wanted[i, len(ids), zlib.crc32(ids.tobytes())] += 1
+    got = tokens.digest(frame(spark, docs), tokenizer()).orderBy("start").collect()
+    assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == wanted
+    order = [math.inf if r.doc_id is None else r.doc_id for r in got]
+    assert order == sorted(order) and [r.start for r in got] == [0, *np.cumsum([r.n_tokens for r in got])[:-1].tolist()]
     assert tokens.digest(none, tokenizer()).count() == 0
 
 
@@ -223,7 +254,37 @@ def test_token_lookup(spark, odd, tmp_path):
     path = str(tmp_path / "tokens")
     tokens.write(odd, path, tokenizer(), shards=3)
     asked = spark.createDataFrame([(4,), (5,), (99,), (12345,), (4,)], "doc_id long")
-    assert {r.doc_id for r in tokens.lookup(spark, path, asked).collect()} == {4, 5}
+    found = tokens.lookup(spark, path, asked)
+    assert {r.doc_id for r in found.collect()} == {4, 5}
+    e = tokens.encoder(tokenizer(), 0)
+    ids = {r.doc_id: r.ids for r in tokens.fetch(spark, path, found).collect()}
+    assert ids == {4: [*e.ids(LONG).tolist(), 0], 5: [*e.ids(ODD[4][1]).tolist(), 0]}
+
+
+@pytest.mark.parametrize("column", ["fingerprints", "offsets", "chunks", "lengths", "bits"])
+def test_corrupted_index_is_found(spark, rows, tmp_path, column):
+    """Every answer comes through the index: a wrong one can't give rows."""
+    docs = frame(spark, rows[:60])
+    path = str(tmp_path / "tokens")
+    tokens.write(docs, path, tokenizer(), shards=2)
+    assert tokens.read_back(spark, path, tokens.keys_of(docs)).count() == 60
+    index = spark.read.parquet(f"{path}/index").toPandas()
+    width = {"offsets": 8, "lengths": 8}.get(column, 4)
+    index[column] = [(np.frombuffer(x, f"<u{width}") ^ 1).tobytes() if len(x) % width == 0 else x for x in index[column]]
+    spark.createDataFrame(index, tokens.INDEX).write.mode("overwrite").parquet(f"{path}/index")
+    with pytest.raises(Exception, match="the index (lacks|says)"):
+        tokens.read_back(spark, path, tokens.keys_of(docs)).count()
+
+
+def test_encoder_when_hashes_clash(rows, monkeypatch):
+    e = tokens.Encoder(tokenizer(), 0)
+    monkeypatch.setattr(tokens, "mix", lambda h: h & np.uint64(0xFFF))
+    texts = [x[1] for x in rows[:40]]
+    got = []
+    for _, _, data, offsets in text_steps(pa.RecordBatch.from_arrays([pa.array(texts)], ["text"]), step=30_000):
+        ids, stops = e.encode(data, offsets)
+        got += np.split(ids, stops[:-1])
+    assert [x.tolist() for x in got] == [[*x.ids, 0] for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
 def test_encoder_is_exact(rows):
@@ -240,9 +301,11 @@ def test_encoder_is_exact(rows):
 
 @pytest.mark.parametrize("n", [0, 1, 2, 700, 20_000])
 def test_perfect_hash(n):
-    keys = np.unique(np.random.default_rng(n).integers(0, 2**64, n, dtype=np.uint64))
-    built = tokens.build(keys)
-    assert sorted(tokens.slots(keys, *built).tolist()) == list(range(len(keys)))
+    keys = np.random.default_rng(n).integers(0, 2**64, n, dtype=np.uint64)
+    keys[: n // 2] = 7  # one id many times
+    nth = np.arange(n, dtype=np.uint64)
+    built = tokens.build(keys, nth)
+    assert sorted(tokens.slots(keys, nth, *built).tolist()) == list(range(n))
 
 
 # ---- decontamination ---------------------------------------------------------------------------------------------

@@ -7,15 +7,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.sources.scratch import materialize, scratch_dir, scratch_path
+from textloom.sources.scratch import discard, materialize, scratch_dir, scratch_path, shuffles_freed
 
-__all__ = ["NULL_ID", "STEP_BYTES", "documents_of", "id_out", "materialize", "row_hash", "scratch_dir", "scratch_path", "shuffle_parts", "table", "text_steps"]
+__all__ = ["MOST_ID", "ROW", "STEP_BYTES", "counted_parts", "discard", "documents_of", "id_out", "materialize", "order_ids", "row_identity", "scratch_dir", "scratch_path", "shuffle_parts", "shuffles_freed", "table", "text_steps"]
 
 #: Bytes of text that one vectorised step works on at a time; bounds a Python worker's memory.
 STEP_BYTES = 2_000_000
 
-#: Stands for a null doc_id where ids are compared: larger than any id.
-NULL_ID = np.iinfo(np.int64).max
+#: Where ids are compared, a null one counts as this: larger than any id.
+MOST_ID = np.iinfo(np.int64).max
+
+#: What names a row: doc_id and 64 bits of its text, or, without a doc_id (known is false), 128 bits of the text. Rows that agree in it are equal in id and text.
+ROW = ("doc_id", "known", "tag")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,22 +29,30 @@ def shuffle_parts(spark: SparkSession) -> int:
     return max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def row_hash(text: str = "text") -> F.Column:
-    """32 bits of a text, which with doc_id name a row where ids repeat."""
-    return (F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")) - 2**31).cast("int")
+def row_identity(text: str = "text") -> list[F.Column]:
+    """The columns of ROW: doc_id (of a row without one, 64 bits of its text), known (whether it has one) and tag."""
+    whole = F.coalesce(F.col(text), F.lit(""))
+    return [F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.lit("without id"), whole)).alias("doc_id"), F.col("doc_id").isNotNull().alias("known"), F.xxhash64(whole).alias("tag")]
 
 
 def documents_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, row_crc): other columns go, null texts become empty, null ids NULL_ID."""
-    return docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NULL_ID))).alias("doc_id"),
-        F.coalesce(F.col("text"), F.lit("")).alias("text"),
-        row_hash().alias("row_crc"),
-    )
+    """(doc_id, known, tag, text): other columns go, null texts become empty."""
+    return docs.select(*row_identity(), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+
+
+def id_out() -> F.Column:
+    return F.when(F.col("known"), F.col("doc_id"))
+
+
+def order_ids(ids: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Ids to compare by: rows without one come last and are not smaller than each other."""
+    return np.where(known, ids, MOST_ID)
 
 
-def id_out(name: str = "doc_id") -> F.Column:
-    return F.when(F.col(name) != F.lit(int(NULL_ID)), F.col(name))
+def counted_parts(docs: DataFrame, bytes_a_part: int, least: int) -> int:
+    """Parts of about so many bytes of text each, from the counted bytes of all texts; `least` at least."""
+    total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
+    return max(least, -(-int(total) // bytes_a_part))
 
 
 def text_steps(batch: pa.RecordBatch, column: str = "text", step: int = STEP_BYTES):

@@ -91,8 +91,9 @@ def sliding_first_min(values: np.ndarray, width: int) -> np.ndarray:
     if n <= 0:
         return np.zeros(0, np.int64)
     bits = PLACE_BITS
-    if len(values) >> bits:
-        raise ValueError("too many values at once")
+    if len(values) >> bits:  # a longer text in pieces that overlap
+        step = (1 << bits) - width
+        return np.concatenate([sliding_first_min(values[a : a + step + width - 1], width) + a for a in range(0, n, step)])
     low = ((values >> U(bits)) << U(bits)) | np.arange(len(values), dtype=np.uint64)
     have = 1
     while have < width:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm import hashing as H
-from textloom.llm.common import documents_of, id_out, materialize, text_steps
+from textloom.llm.common import ROW, documents_of, id_out, materialize, order_ids, text_steps
 from textloom.llm.sketch import ROWS, Sketch, merge, partition_sketch
 
 
@@ -43,7 +43,8 @@ class Runs:
     anchor: np.ndarray
     key: np.ndarray
     at: np.ndarray  # first window's place in the arrays of the step
-    units: np.ndarray  # hashes of the step's units, or its bytes
+    units: np.ndarray  # prefix hashes of the step's words, or its bytes
+    words: np.ndarray  # the step's words as hashes, or its bytes
 
 
 def runs_of(batch: pa.RecordBatch, kind: Kind) -> Iterator[Runs]:
@@ -73,7 +74,7 @@ def runs_of(batch: pa.RecordBatch, kind: Kind) -> Iterator[Runs]:
             numbered = np.cumsum(start) - 1
             count = np.bincount(numbered[valid], minlength=len(at))
             doc = owner[at]
-            yield Runs(doc + row, at - bounds[doc] + base, count, anchor[at] - bounds[doc] + base, grams[anchor[at]], at, p if kind.words else units)
+            yield Runs(doc + row, at - bounds[doc] + base, count, anchor[at] - bounds[doc] + base, grams[anchor[at]], at, p if kind.words else units, units)
 
 
 def sketch_of(docs: DataFrame, kind: Kind) -> Sketch:
@@ -102,33 +103,48 @@ def spread(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(counts), dtype=kind), counts), inside
 
 
-def window_hashes(r: Runs, chosen: np.ndarray, kind: Kind) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, run and place within the run of each window of the chosen runs."""
+def window_hashes(r: Runs, chosen: np.ndarray, kind: Kind, second: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, run and place within the run of each window of words of the chosen runs; the second hash has another base and other values of the words."""
     owner, inside = spread(r.count[chosen])
     at = r.at[chosen][owner] + inside
-    p = r.units if kind.words else H.prefix(H.VALUES[r.units], H.BASE_WORDS)
-    return H.mix((p[at + kind.window] - p[at]) * H.powers(H.inverse(H.BASE_WORDS), len(p))[at]), chosen[owner], inside
+    base = H.BASE_BYTES if second else H.BASE_WORDS
+    p = H.prefix(H.mix(r.words ^ H.U(0x3C6EF372FE94F82B)), base) if second else r.units
+    return H.mix((p[at + kind.window] - p[at]) * H.powers(H.inverse(base), len(p))[at]), chosen[owner], inside
 
 
-REMOVED = "doc_id long, row_crc int, first int, count int"
+REMOVED = "doc_id long, known boolean, tag long, first int, count int"
+
+
+def ids_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The columns of ROW."""
+    return batch.column("doc_id").to_numpy(), batch.column("known").to_numpy(zero_copy_only=False), batch.column("tag").to_numpy()
 
 
 def hot_windows(docs: DataFrame, kind: Kind, sketch) -> DataFrame:
-    """(doc_id, row_crc, first, count 1) of removed windows with a hot anchor, without groups: the least doc_id of each window is aggregated with partial sums, and joined back to the windows by a join whose skewed partitions Spark splits."""
+    """Removed windows with a hot anchor, without groups: the least doc_id of each window is aggregated with partial sums, and joined back to the windows by a join whose skewed partitions Spark splits. Windows of bytes are compared as they are, those of words by two hashes."""
 
     def run(batches):
         for batch in batches:
-            ids, crcs = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            ids, known, tags = ids_of(batch)
             for r in runs_of(batch.select(["text"]), kind):
                 chosen = np.flatnonzero(sketch.value.hot(r.key))
-                if len(chosen):
-                    h, owner, inside = window_hashes(r, chosen, kind)
+                for a in range(0, len(chosen), 1 << 14):
+                    if kind.words:
+                        one, owner, inside = window_hashes(r, chosen[a : a + (1 << 14)], kind)
+                        two, _, _ = window_hashes(r, chosen[a : a + (1 << 14)], kind, second=True)
+                        raw = np.stack([one, two], axis=1).view(np.uint8)
+                    else:
+                        counts, inside = spread(r.count[chosen[a : a + (1 << 14)]])
+                        owner = chosen[a : a + (1 << 14)][counts]
+                        raw = np.lib.stride_tricks.sliding_window_view(r.units, kind.window)[r.at[owner] + inside]
+                    width, n = raw.shape[1], len(raw)
+                    windows = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1, dtype=np.int32) * width).tobytes()), pa.py_buffer(raw.tobytes())])
                     doc = r.doc[owner]
-                    yield pa.RecordBatch.from_pydict({"key": r.key[owner].view(np.int64), "h": h.view(np.int64), "doc_id": ids[doc], "row_crc": crcs[doc], "first": (r.first[owner] + inside).astype(np.int32)})
+                    yield pa.RecordBatch.from_arrays([windows, pa.array(ids[doc]), pa.array(known[doc]), pa.array(tags[doc]), pa.array((r.first[owner] + inside).astype(np.int32))], ["window", *ROW, "first"])
 
-    found = materialize(docs.sparkSession, docs.select("doc_id", "row_crc", "text").mapInArrow(run, "key long, h long, doc_id long, row_crc int, first int"))
-    least = found.groupBy("key", "h").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "h", "least")
-    return found.join(least, ["key", "h"]).where("doc_id > least").select("doc_id", "row_crc", "first", F.lit(1).alias("count"))
+    found = materialize(docs.sparkSession, docs.select(*ROW, "text").mapInArrow(run, "window binary, doc_id long, known boolean, tag long, first int"))
+    least = found.groupBy("window").agg(F.min(F.when(F.col("known"), F.col("doc_id"))).alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1 and least is not null").select("window", "least")
+    return found.join(least, "window").where("doc_id > least or not known").select(*ROW, "first", F.lit(1).alias("count"))
 
 
 def ranges(flags: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -140,28 +156,29 @@ def ranges(flags: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.flatnonzero(flags & ~before), np.flatnonzero(flags & ~after) + 1
 
 
-def _covered(n: int, firsts: np.ndarray, counts: np.ndarray, window: int) -> np.ndarray:
-    marks = np.zeros(n + 1, np.int64)
-    np.add.at(marks, firsts, 1)
-    np.add.at(marks, firsts + counts + window - 1, -1)
+def _covered(n: int, packed: np.ndarray, window: int) -> np.ndarray:
+    """Which of n units runs of windows cover; a run is its first window's place and, in the low 32 bits, its number of windows."""
+    firsts, counts = packed >> 32, packed & 0xFFFFFFFF
+    marks = np.bincount(firsts, minlength=n + 1) - np.bincount(firsts + counts + window - 1, minlength=n + 1)
     return np.cumsum(marks)[:n] > 0
 
 
 def apply_removals(docs: DataFrame, removed: DataFrame, kind: Kind, with_text: bool) -> DataFrame:
     """Takes what the removed windows cover out of each text: counts, a digest of what is left, and the rest itself if asked for. One shuffle of the texts, by document."""
-    lists = removed.groupBy("doc_id", "row_crc").agg(F.collect_list("first").alias("firsts"), F.collect_list("count").alias("counts"))
-    joined = docs.join(lists, ["doc_id", "row_crc"], "left").select(id_out().alias("doc_id"), "text", "firsts", "counts")
+    packed = F.shiftleft(F.col("first").cast("long"), 32) + F.col("count")  # a set: equal rows bring the same windows
+    lists = removed.groupBy(*ROW).agg(F.collect_set(packed).alias("runs"))
+    joined = docs.join(lists, list(ROW), "left").select(id_out().alias("doc_id"), "text", "runs")
     names = ["doc_id", "n_words" if kind.words else "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept_text"] * with_text
 
     def run(batches):
         for batch in batches:
             rows = []
-            for text, firsts, counts in zip(batch.column(1), batch.column(2), batch.column(3), strict=True):
+            for text, runs in zip(batch.column(1), batch.column(2), strict=True):
                 raw = text.as_py().encode()
                 units = raw.split() if kind.words else np.frombuffer(raw, np.uint8)
                 n, gone, spans, kept = len(units), 0, 0, None
-                if firsts.is_valid:
-                    mask = _covered(n, firsts.values.to_numpy(), counts.values.to_numpy(), kind.window)
+                if runs.is_valid:
+                    mask = _covered(n, runs.values.to_numpy(), kind.window)
                     gone, spans = int(mask.sum()), int(mask[:1].sum() + (mask[1:] & ~mask[:-1]).sum())
                     kept = [w for w, m in zip(units, mask.tolist(), strict=True) if not m] if kind.words else units[~mask].tobytes()
                 rest = b" ".join(units if kept is None else kept) if kind.words else raw if kept is None else kept

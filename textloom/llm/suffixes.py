@@ -9,16 +9,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from textloom.llm import hashing as H
-from textloom.llm.common import shuffle_parts
-from textloom.llm.repeats import REMOVED, Kind, ranges, remove, runs_of, spread
+from textloom.llm.common import ROW, counted_parts, order_ids, shuffle_parts
+from textloom.llm.repeats import REMOVED, Kind, ids_of, ranges, remove, runs_of, spread
 
 #: Passages that one step of a match works on.
 BLOCK = 1 << 14
 #: Bytes of passages that a task gathers before it deals them out.
 GATHERED = 4_000_000
-PACKED = "part int, keys binary, rest binary"
-#: What stands in rest, compressed: doc ids, row checksums, first windows' places, bytes before the anchor, windows; then the passages.
-REST = (np.int64, np.int32, np.uint32, np.uint8, np.uint8)
+PACKED = "part int, runs int, rest binary"
+#: What stands in rest, compressed: ids, whether they are known, row tags, first windows' places, bytes before the anchor, windows; then the passages.
+REST = (np.int64, np.bool_, np.int64, np.uint32, np.uint8, np.uint8)
+#: Bytes of text whose passages one part holds, were all of them to repeat.
+PART_BYTES = 8_000_000
 BYTES = Kind(words=False, gram=18, log2=28, depth=1, hot=50_000, step=500_000)
 
 
@@ -30,11 +32,11 @@ def _deal(docs: DataFrame, kind: Kind, sketch, parts: int) -> DataFrame:
         held, size = [], 0
 
         def flush():
-            runs = [np.concatenate(x) for x in zip(*[h[:6] for h in held], strict=True)]
-            texts = np.concatenate([h[6] for h in held])
+            runs = [np.concatenate(x) for x in zip(*[h[:7] for h in held], strict=True)]
+            texts = np.concatenate([h[7] for h in held])
             part = (H.mix(runs[0] ^ H.U(0xA5A5)) % H.U(parts)).astype(np.int64)
             order = np.argsort(part, kind="stable")
-            lengths = runs[5].astype(np.int64) + more
+            lengths = runs[6].astype(np.int64) + more
             begins = np.cumsum(lengths) - lengths
             owner, inside = spread(lengths[order])
             texts = texts[begins[order][owner] + inside]
@@ -42,15 +44,15 @@ def _deal(docs: DataFrame, kind: Kind, sketch, parts: int) -> DataFrame:
             edges = np.searchsorted(part[order], np.arange(parts + 1))
             ends = np.concatenate([[0], np.cumsum(lengths[order])])
             rows = []
-            for p, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
-                if a < b:
-                    rest = b"".join([*[x[a:b].tobytes() for x in runs[1:]], texts[ends[a] : ends[b]].tobytes()])
-                    rows.append((p, runs[0][a:b].tobytes(), zlib.compress(rest, 1)))
-            part, keys, rest = zip(*rows, strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(keys, pa.binary()), pa.array(rest, pa.binary())], ["part", "keys", "rest"])
+            for p in np.flatnonzero(np.diff(edges)).tolist():
+                a, b = edges[p], edges[p + 1]
+                rest = b"".join([*[x[a:b].tobytes() for x in runs[1:]], texts[ends[a] : ends[b]].tobytes()])
+                rows.append((p, b - a, zlib.compress(rest, 1)))
+            part, counts, rest = zip(*rows, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(counts, pa.int32()), pa.array(rest, pa.binary())], ["part", "runs", "rest"])
 
         for batch in batches:
-            ids, crcs = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            ids, known, tags = ids_of(batch)
             for r in runs_of(batch.select(["text"]), kind):
                 met = sketch.value.repeated(r.key)
                 met[met] = ~sketch.value.hot(r.key[met])
@@ -59,15 +61,15 @@ def _deal(docs: DataFrame, kind: Kind, sketch, parts: int) -> DataFrame:
                     owner, inside = spread(r.count[chosen] + more)
                     doc = r.doc[chosen]
                     lefts = (r.anchor[chosen] - r.first[chosen]).astype(np.uint8)
-                    held.append((r.key[chosen], ids[doc], crcs[doc], r.first[chosen].astype(np.uint32), lefts, r.count[chosen].astype(np.uint8), r.units[r.at[chosen][owner] + inside]))
-                    size += len(owner) + 28 * len(chosen)
+                    held.append((r.key[chosen], ids[doc], known[doc], tags[doc], r.first[chosen].astype(np.uint32), lefts, r.count[chosen].astype(np.uint8), r.units[r.at[chosen][owner] + inside]))
+                    size += len(owner) + 31 * len(chosen)
                 if size > GATHERED:
                     yield flush()
                     held, size = [], 0
         if held:
             yield flush()
 
-    return docs.select("doc_id", "row_crc", "text").mapInArrow(run, PACKED)
+    return docs.select(*ROW, "text").mapInArrow(run, PACKED)
 
 
 class Suffixes:
@@ -171,16 +173,23 @@ def _ids(order: np.ndarray, common: np.ndarray, depth: int) -> np.ndarray:
 
 
 def _unpack(table: pa.Table) -> tuple[np.ndarray, ...]:
-    keys = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("keys")]
     parts: list[list[np.ndarray]] = [[] for _ in range(len(REST) + 1)]
-    for own, packed in zip(keys, table.column("rest"), strict=True):
+    for runs, packed in zip(table.column("runs").to_pylist(), table.column("rest"), strict=True):
         raw, at = zlib.decompress(packed.as_py()), 0
         for into, kind in zip(parts, REST, strict=False):
-            size = len(own) * np.dtype(kind).itemsize
+            size = runs * np.dtype(kind).itemsize
             into.append(np.frombuffer(raw[at : at + size], kind))
             at += size
         parts[-1].append(np.frombuffer(raw[at:], np.uint8))
-    return np.concatenate(keys), *[np.concatenate(x) for x in parts]
+    return tuple(np.concatenate(x) for x in parts)
+
+
+def _anchors(text: np.ndarray, places: np.ndarray, gram: int) -> np.ndarray:
+    """Hashes of the anchors, from the passages."""
+    out = np.zeros(len(places), np.uint64)
+    for m in range(gram):
+        out += H.VALUES[text[places + m]] * H.powers(H.BASE_WORDS, gram)[m]
+    return H.mix(out)
 
 
 def distinct(keys: np.ndarray, lefts: np.ndarray, begins: np.ndarray, lengths: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -219,10 +228,12 @@ def match(table: pa.Table, kind: Kind) -> pa.Table:
     extensions give, for each place of a window around its anchor, classes of equal left and right parts, and the
     least doc_id of a class of both decides.
     """
-    keys, docs, crcs, firsts, lefts, counts, text = _unpack(table)
+    ids, known, tags, firsts, lefts, counts, text = _unpack(table)
+    docs = order_ids(ids, known)
     lefts, counts = lefts.astype(np.int64), counts.astype(np.int64)
     lengths = counts + kind.window - 1
     begins = np.cumsum(lengths) - lengths
+    keys = _anchors(text, begins + lefts, kind.gram)
     chosen, number = distinct(keys, lefts, begins, lengths, text)
     doc = np.full(len(chosen), np.iinfo(np.int64).max)
     np.minimum.at(doc, number, docs)
@@ -248,12 +259,12 @@ def match(table: pa.Table, kind: Kind) -> pa.Table:
         gone = docs[own, None] > least[number[own]]
         starts, ends = ranges(gone.ravel(), np.repeat(np.arange(len(gone)), reach + 1))
         run, inside = starts // (reach + 1), starts % (reach + 1)
-        out.append(pa.table({"doc_id": docs[own][run], "row_crc": crcs[own][run], "first": (firsts[own][run] + inside).astype(np.int32), "count": (ends - starts).astype(np.int32)}))
+        out.append(pa.table({"doc_id": ids[own][run], "known": known[own][run], "tag": tags[own][run], "first": (firsts[own][run] + inside).astype(np.int32), "count": (ends - starts).astype(np.int32)}))
     return pa.concat_tables(out)
 
 
 def _found(docs: DataFrame, kind: Kind, sketch) -> DataFrame:
-    parts = 8 * shuffle_parts(docs.sparkSession)
+    parts = counted_parts(docs, PART_BYTES, 8 * shuffle_parts(docs.sparkSession))
     return _deal(docs, kind, sketch, parts).groupBy("part").applyInArrow(lambda t: match(t, kind), REMOVED)
 
 
@@ -263,10 +274,11 @@ def dedup(docs: DataFrame, kind: Kind = BYTES, with_text: bool = True) -> DataFr
     A suffix array of a whole corpus can't be held by one machine. So passages meet by their anchors' keys (see
     repeats.py; anchors that a sketch knows to be in one document only stay at home), each part sorts its passages'
     suffixes by mergesort with hash comparisons, and equal windows stand next to each other there. Anchors estimated in
-    `hot` documents or more go by aggregation and a skew-split join of their windows' 128-bit hashes instead.
+    `hot` documents or more don't go into such groups, which they would fill: each of their windows is a row, grouped and
+    joined by its bytes.
 
-    Null texts have no bytes; a null doc_id counts as larger than any other and is returned as null; strings don't
-    repeat within one doc_id; rows with equal id and text get equal results; texts shorter than a window stay whole;
+    Null texts have no bytes; a null doc_id counts as larger than any other and is returned as null (rows without one
+    are documents of their own, which take nothing from each other); strings don't repeat within one doc_id; rows with equal id and text get equal results; texts shorter than a window stay whole;
     kept_text replaces what is no longer UTF-8; an empty table gives an empty result; other columns are ignored.
     """
     return remove(docs, kind, _found, with_text)

@@ -3,12 +3,15 @@
 File format, two Parquet tables under one path (any file system that Spark reads; the commit protocol makes half-written
 files of lost executors invisible):
 
-payload  one row a chunk: shard, chunk, n_docs, n_tokens, doc_ids (int64, little-endian), ends (uint32: tokens up to the
-         end of each document), ids (raw uint16 or uint32, little-endian), width (2 or 4 bytes). Shards hold ascending,
-         disjoint ranges of doc_id, chunks and documents ascend within them.
+payload  one row a chunk: shard, chunk, n_docs, n_tokens, doc_ids (int64, little-endian), known (a byte each, 0 for a
+         document without an id, whose doc_id is a hash of its text), ends (uint32: tokens up to the end of each
+         document), ids (raw uint16 or uint32, little-endian), width (2 or 4 bytes). Shards hold ascending, disjoint
+         ranges of documents, chunks and documents ascend within them; documents without an id come last.
 index    one row a hash bucket of document keys: levels (sizes of the hash function's levels, uint64), bits (their bit
          arrays, packed), ranks (set bits before each 512-bit block, uint32), and by the key's minimal perfect hash:
          fingerprints (uint32), shards, chunks (uint32), offsets, starts, lengths (uint64; in tokens).
+
+A document's key is (doc_id, known, nth): nth counts the documents of one id from 0, in the order in which they are stored.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import NULL_ID, documents_of, id_out, scratch_path, shuffle_parts, text_steps
+from textloom.llm.common import documents_of, id_out, scratch_path, shuffle_parts, shuffles_freed, text_steps
 from textloom.llm.hashing import BASE_BYTES, BASE_WORDS, U, VALUES, inverse, mix, powers, prefix
 from textloom.llm.repeats import spread
 
@@ -32,6 +35,8 @@ CHUNK_TOKENS = 1_000_000
 #: Distinct words whose ids a Python worker remembers at most, and bytes of text that it encodes in one step.
 CACHED_WORDS = 1_500_000
 STEP = 8_000_000
+#: Keys of one hash bucket of the index, about.
+BUCKET_KEYS = 100_000
 GAMMA = 1.5
 LEVELS = 48
 BLOCK = 512
@@ -43,6 +48,10 @@ SIGN = np.isin(np.arange(256), np.frombuffer(b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~
 _encoders: dict[str, "Encoder"] = {}
 
 
+class Clash(Exception):
+    """Cuts that can't be told apart by their hashes."""
+
+
 class Encoder:
     """Encodes with the tokenizers library; words that came before are not encoded anew.
 
@@ -82,22 +91,23 @@ class Encoder:
             own = self.ids(b"".join(cuts[at : at + 5000]).decode())
             begins = np.flatnonzero(self.opens[cuts[0][:1]][own])
             if len(begins) != len(cuts[at : at + 5000]):
-                raise ValueError("this tokenizer's words can't be told apart")
+                return self.apart(cuts)
             ids.append(own)
             lengths.append(np.diff(begins, append=len(own)))
         return ids, lengths
 
+    def apart(self, cuts: list[bytes]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Ids and lengths of cuts, each encoded by itself."""
+        ids = [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast([c.decode() for c in cuts], add_special_tokens=False)]
+        return ids, [np.array([len(x) for x in ids], np.int64)]
+
     def learn(self, data: np.ndarray, begins: np.ndarray, ends: np.ndarray, hashes: np.ndarray, checks: np.ndarray) -> None:
         raw, heads = data.tobytes(), data[begins]
         groups = [np.flatnonzero(heads == 32), np.flatnonzero(heads == 10), np.flatnonzero((heads != 32) & (heads != 10))]
         ids, lengths = [np.zeros(0, self.kind)], []
         for own in groups:
             cuts = [raw[a:b] for a, b in zip(begins[own].tolist(), ends[own].tolist(), strict=True)]
-            if cuts and heads[own[0]] in (32, 10):
-                more, sizes = self.together(cuts)
-            else:
-                more = [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast([c.decode() for c in cuts], add_special_tokens=False)]
-                sizes = [np.array([len(x) for x in more], np.int64)]
+            more, sizes = self.together(cuts) if cuts and heads[own[0]] in (32, 10) else self.apart(cuts)
             ids += more
             lengths += sizes
         order, sizes = np.concatenate(groups), np.concatenate(lengths)
@@ -115,7 +125,7 @@ class Encoder:
         at = np.minimum(np.searchsorted(self.known[0], hashes), len(self.known[0]) - 1)
         met = self.known[0][at] == hashes
         if (self.known[1][at[met]] != checks[met]).any():
-            raise ValueError("two words of one hash")
+            raise Clash
         return met, at
 
     def cuttable(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -138,6 +148,15 @@ class Encoder:
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with the end id behind, and where each text's ids end."""
+        try:
+            return self.encode_cuts(data, offsets)
+        except Clash:
+            self.forget()
+            end = np.array([self.end], self.kind)
+            parts = [np.concatenate([self.ids(data[a:b].tobytes().decode()), end]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+            return np.concatenate([np.zeros(0, self.kind), *parts]), np.cumsum([len(x) for x in parts], dtype=np.int64)
+
+    def encode_cuts(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = len(offsets) - 1
         plain = self.cuttable(data, offsets)
         sizes = np.diff(offsets)
@@ -162,7 +181,7 @@ class Encoder:
         number[order] = np.cumsum(new) - 1
         first = order[new]
         if (checks != checks[first][number]).any():
-            raise ValueError("two words of one hash")
+            raise Clash
         if len(self.known[0]) > CACHED_WORDS:
             self.forget()
         met, at = self.find(hashes[first], checks[first])
@@ -199,13 +218,14 @@ def encoder(path: str, end_id: int) -> Encoder:
     return _encoders[path]
 
 
-PAYLOAD = "shard int, chunk int, n_docs long, n_tokens long, width int, doc_ids binary, ends binary, ids binary"
+PAYLOAD = "shard int, chunk int, n_docs long, n_tokens long, width int, doc_ids binary, known binary, ends binary, ids binary"
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, shards: int | None = None) -> None:
     """Encodes every whole text (null: empty), appends end_id, and writes payload and index under `path`.
 
-    Documents are dealt to shards by ranges of doc_id (null ids last) and sorted within them; equal ids stay together.
+    Documents are dealt to shards by ranges of (doc_id, hash of the text), those without an id last, and sorted within
+    them; rows of one id, or equal ones, may be dealt to several shards.
     """
     spark = docs.sparkSession
     parts = shards or shuffle_parts(spark)
@@ -216,14 +236,14 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, shards: i
         chunk, held, tokens = 0, [], 0
 
         def row():
-            keys, lengths, ids = (np.concatenate(x) for x in zip(*held, strict=True))
+            keys, known, lengths, ids = (np.concatenate(x) for x in zip(*held, strict=True))
             return pa.RecordBatch.from_pylist(
-                [{"shard": shard, "chunk": chunk, "n_docs": len(keys), "n_tokens": len(ids), "width": own.kind.itemsize, "doc_ids": keys.astype("<i8").tobytes(), "ends": np.cumsum(lengths).astype("<u4").tobytes(), "ids": ids.tobytes()}],
+                [{"shard": shard, "chunk": chunk, "n_docs": len(keys), "n_tokens": len(ids), "width": own.kind.itemsize, "doc_ids": keys.astype("<i8").tobytes(), "known": known.astype(np.uint8).tobytes(), "ends": np.cumsum(lengths).astype("<u4").tobytes(), "ids": ids.tobytes()}],
                 schema,
             )
 
         for batch in batches:
-            keys = batch.column(0).to_numpy()
+            keys, known = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
             for first, last, data, offsets in text_steps(batch, step=STEP):
                 ids, stops = own.encode(data, offsets)
                 lengths = np.diff(stops, prepend=0)
@@ -232,7 +252,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, shards: i
                     room = np.searchsorted(stops, (stops[at - 1] if at else 0) + CHUNK_TOKENS - tokens)
                     upto = min(last - first, max(at + 1, int(room)))
                     begin = int(stops[at - 1]) if at else 0
-                    held.append((keys[first + at : first + upto], lengths[at:upto], ids[begin : int(stops[upto - 1])]))
+                    held.append((keys[first + at : first + upto], known[first + at : first + upto], lengths[at:upto], ids[begin : int(stops[upto - 1])]))
                     tokens += int(stops[upto - 1]) - begin
                     at = upto
                     if tokens >= CHUNK_TOKENS or at < last - first:
@@ -241,10 +261,12 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, shards: i
         if held:
             yield row()
 
-    schema = pa.schema([("shard", pa.int32()), ("chunk", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("width", pa.int32()), ("doc_ids", pa.binary()), ("ends", pa.binary()), ("ids", pa.binary())])
-    rows = documents_of(docs).repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "row_crc")
-    rows.select("doc_id", "text").mapInArrow(run, PAYLOAD).write.option("compression", "zstd").parquet(f"{path}/payload")
-    _index(spark, path, parts).write.parquet(f"{path}/index")
+    schema = pa.schema([("shard", pa.int32()), ("chunk", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("width", pa.int32()), ("doc_ids", pa.binary()), ("known", pa.binary()), ("ends", pa.binary()), ("ids", pa.binary())])
+    rows = documents_of(docs).select((~F.col("known")).alias("unknown"), "doc_id", "tag", "text", F.monotonically_increasing_id().alias("_row"))
+    dealt = rows.repartitionByRange(parts, "unknown", "doc_id", "tag", "_row").sortWithinPartitions("unknown", "doc_id", "tag")
+    with shuffles_freed(spark):
+        dealt.select("doc_id", ~F.col("unknown"), "text").mapInArrow(run, PAYLOAD).write.option("compression", "zstd").parquet(f"{path}/payload")
+        _index(spark, path).write.parquet(f"{path}/index")
 
 
 def payload(spark: SparkSession, path: str) -> DataFrame:
@@ -260,46 +282,81 @@ def chunk_starts(spark: SparkSession, path: str) -> DataFrame:
     return sizes.join(shards, "shard").select("shard", "chunk", (F.col("_before") + F.coalesce(F.sum("n_tokens").over(within), F.lit(0))).alias("first"))
 
 
-def _places(spark: SparkSession, path: str, crc: bool = False) -> DataFrame:
-    """(doc_id, shard, chunk, offset, n_tokens[, ids_crc32]) of every stored document; with crc, from the raw ids."""
+def _stored(r: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, whether they are known, begins and ends of a chunk's documents."""
+    ends = np.frombuffer(r["ends"], "<u4").astype(np.int64)
+    return np.frombuffer(r["doc_ids"], "<i8"), np.frombuffer(r["known"], np.uint8) == 1, np.concatenate([[0], ends[:-1]]), ends
+
+
+def _same_before(ids: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """How many documents of the same id stand right before each."""
+    new = np.ones(len(ids), bool)
+    new[1:] = (ids[1:] != ids[:-1]) | (known[1:] != known[:-1])
+    heads = np.flatnonzero(new)
+    return np.arange(len(ids)) - heads[np.cumsum(new) - 1]
+
+
+def _places(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, known, nth, shard, chunk, offset, n_tokens, start) of every stored document."""
 
     def run(batches):
         for batch in batches:
             for r in batch.to_pylist():
-                keys = np.frombuffer(r["doc_ids"], "<i8")
-                ends = np.frombuffer(r["ends"], "<u4").astype(np.int64)
-                begins = np.concatenate([[0], ends[:-1]])
-                columns = {"doc_id": keys, "shard": np.full(len(keys), r["shard"], np.int32), "chunk": np.full(len(keys), r["chunk"], np.int32), "offset": begins, "n_tokens": ends - begins}
-                if crc:
-                    wide = np.frombuffer(r["ids"], "<u2" if r["width"] == 2 else "<u4").astype("<u4")
-                    columns["ids_crc32"] = np.array([zlib.crc32(wide[a:b]) for a, b in zip(begins, ends, strict=True)], np.int64)
-                yield pa.RecordBatch.from_pydict(columns)
+                ids, known, begins, ends = _stored(r)
+                same = _same_before(ids, known)
+                head = np.arange(len(ids)) == same  # of the chunk's first id, of which the chunk before may have more
+                yield pa.RecordBatch.from_pydict({
+                    "doc_id": ids, "known": known, "same": same, "head": head, "shard": np.full(len(ids), r["shard"], np.int32), "chunk": np.full(len(ids), r["chunk"], np.int32),
+                    "offset": begins, "n_tokens": ends - begins,
+                })
+
+    def edges(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                ids, known, _, _ = _stored(r)
+                same = _same_before(ids, known)
+                first = int((np.arange(len(ids)) == same).sum())
+                rows = [(ids[0], known[0], first, True)] + [(ids[-1], known[-1], int(same[-1]) + 1, False)] * (first < len(ids))
+                a, b, c, d = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(a, pa.int64()), "known": pa.array(b, pa.bool_()), "n": pa.array(c, pa.int64()), "head": pa.array(d), "shard": pa.array([r["shard"]] * len(rows), pa.int32()), "chunk": pa.array([r["chunk"]] * len(rows), pa.int32())})
+
+    chunks = payload(spark, path).select("shard", "chunk", "doc_ids", "known", "ends")
+    place = "shard int, chunk int"
+    stored = chunks.mapInArrow(run, f"doc_id long, known boolean, same long, head boolean, {place}, offset long, n_tokens long")
+    # two rows a chunk at most: ids that go on from one chunk to the next
+    ends = chunks.mapInArrow(edges, f"doc_id long, known boolean, n long, head boolean, {place}")
+    earlier = Window.partitionBy("doc_id", "known").orderBy("shard", "chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.withColumn("carry", F.sum("n").over(earlier)).where("head and carry > 0").select("shard", "chunk", "carry")
+    whole = stored.join(chunk_starts(spark, path).join(carried, ["shard", "chunk"], "left"), ["shard", "chunk"])
+    nth = F.col("same") + F.when(F.col("head"), F.coalesce("carry", F.lit(0))).otherwise(0)
+    return whole.select("doc_id", "known", nth.cast("long").alias("nth"), "shard", "chunk", "offset", "n_tokens", (F.col("first") + F.col("offset")).alias("start"))
+
 
-    wanted = ["shard", "chunk", "doc_ids", "ends"] + ["width", "ids"] * crc
-    return payload(spark, path).select(*wanted).mapInArrow(run, "doc_id long, shard int, chunk int, offset long, n_tokens long" + ", ids_crc32 long" * crc)
+def _key_hash(ids: np.ndarray, rest: np.ndarray, seed: int) -> np.ndarray:
+    return mix(mix(ids ^ U((seed * 0x9E3779B97F4A7C15 + 1) % 2**64)) + rest * U(0xD6E8FEB86659FD93))
 
 
-def _level_hash(keys: np.ndarray, level: int, size: int) -> np.ndarray:
-    return (mix(keys ^ U((level * 0x9E3779B97F4A7C15 + 1) % 2**64)) % U(size)).astype(np.int64)
+def _level_hash(ids: np.ndarray, rest: np.ndarray, level: int, size: int) -> np.ndarray:
+    return (_key_hash(ids, rest, level) % U(size)).astype(np.int64)
 
 
-def fingerprint(keys: np.ndarray) -> np.ndarray:
-    return (mix(keys + U(0x5851F42D4C957F2D)) >> U(32)).astype(np.uint32)
+def fingerprint(ids: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    return (_key_hash(ids, rest, LEVELS) >> U(32)).astype(np.uint32)
 
 
-def build(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Levels, packed bits and ranks of a minimal perfect hash function of distinct 64-bit keys: a level's bit is set where one key alone falls; the others go on to the next level."""
-    left, sizes, bits = keys, [], []
+def build(ids: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Levels, packed bits and ranks of a minimal perfect hash function of distinct keys (two 64-bit numbers each): a level's bit is set where one key alone falls; the others go on to the next level."""
+    sizes, bits = [], []
     for level in range(LEVELS):
-        if not len(left):
+        if not len(ids):
             break
-        size = max(64, int(len(left) * GAMMA) + 63 & ~63)
-        at = _level_hash(left, level, size)
+        size = max(64, int(len(ids) * GAMMA) + 63 & ~63)
+        at = _level_hash(ids, rest, level, size)
         alone = np.bincount(at, minlength=size) == 1
         sizes.append(size)
         bits.append(alone)
-        left = left[~alone[at]]
-    if len(left):
+        ids, rest = ids[~alone[at]], rest[~alone[at]]
+    if len(ids):
         raise ValueError("keys are not distinct")
     flat = np.concatenate(bits) if bits else np.zeros(0, bool)
     flat = np.concatenate([flat, np.zeros(-len(flat) % BLOCK, bool)])
@@ -307,12 +364,12 @@ def build(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.array(sizes, np.uint64), np.packbits(flat, bitorder="little"), ranks.astype(np.uint32)
 
 
-def slots(keys: np.ndarray, levels: np.ndarray, bits: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+def slots(ids: np.ndarray, rest: np.ndarray, levels: np.ndarray, bits: np.ndarray, ranks: np.ndarray) -> np.ndarray:
     """The minimal perfect hash of each key, -1 where no level takes it: one bit a level, then a rank within one block."""
-    out = np.full(len(keys), -1, np.int64)
-    todo, base = np.arange(len(keys)), 0
+    out = np.full(len(ids), -1, np.int64)
+    todo, base = np.arange(len(ids)), 0
     for level, size in enumerate(levels.tolist()):
-        at = base + _level_hash(keys[todo], level, size)
+        at = base + _level_hash(ids[todo], rest[todo], level, size)
         hit = (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
         found, places = todo[hit], at[hit]
         blocks = places // BLOCK
@@ -323,72 +380,126 @@ def slots(keys: np.ndarray, levels: np.ndarray, bits: np.ndarray, ranks: np.ndar
     return out
 
 
-def _bucket(parts: int) -> F.Column:
-    return F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int")
+def _bucket(buckets: int) -> F.Column:
+    return F.pmod(F.xxhash64("doc_id", "known", "nth"), F.lit(buckets)).cast("int")
+
+
+def _keys(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    rest = pdf["nth"].to_numpy(np.int64) * 2 + pdf["known"].to_numpy(bool)
+    return pdf["doc_id"].to_numpy(np.int64).view(np.uint64), rest.view(np.uint64)
 
 
 INDEX = "bucket int, buckets int, n long, levels binary, bits binary, ranks binary, fingerprints binary, shards binary, chunks binary, offsets binary, starts binary, lengths binary"
 
 
-def _index(spark: SparkSession, path: str, parts: int) -> DataFrame:
-    # repeated keys: the index leads to the first of them, the others stand behind it
-    first = F.min(F.struct("shard", "chunk", "offset", "n_tokens"))
-    located = _places(spark, path).groupBy("doc_id").agg(first.alias("p")).select("doc_id", "p.*").join(chunk_starts(spark, path), ["shard", "chunk"])
+def _index(spark: SparkSession, path: str) -> DataFrame:
+    """The index table; buckets follow from the number of keys."""
+    keys = payload(spark, path).agg(F.coalesce(F.sum("n_docs"), F.lit(0)).alias("n")).first().n
+    buckets = max(1, -(-int(keys) // BUCKET_KEYS))
 
     def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        keys = pdf["doc_id"].to_numpy(np.int64).view(np.uint64)
-        levels, bits, ranks = build(keys)
-        at = np.argsort(slots(keys, levels, bits, ranks))
+        ids, rest = _keys(pdf)
+        levels, bits, ranks = build(ids, rest)
+        at = np.argsort(slots(ids, rest, levels, bits, ranks))
         pdf = pdf.iloc[at]
-        packed = {"levels": levels, "bits": bits, "ranks": ranks, "fingerprints": fingerprint(keys[at])}
+        packed = {"levels": levels, "bits": bits, "ranks": ranks, "fingerprints": fingerprint(ids[at], rest[at])}
         packed |= {"shards": pdf["shard"].to_numpy(np.uint32), "chunks": pdf["chunk"].to_numpy(np.uint32), "offsets": pdf["offset"].to_numpy(np.uint64)}
-        packed |= {"starts": (pdf["first"] + pdf["offset"]).to_numpy(np.uint64), "lengths": pdf["n_tokens"].to_numpy(np.uint64)}
-        return pd.DataFrame([{"bucket": key[0], "buckets": parts, "n": len(keys)} | {k: v.tobytes() for k, v in packed.items()}])
+        packed |= {"starts": pdf["start"].to_numpy(np.uint64), "lengths": pdf["n_tokens"].to_numpy(np.uint64)}
+        return pd.DataFrame([{"bucket": key[0], "buckets": buckets, "n": len(ids)} | {k: v.tobytes() for k, v in packed.items()}])
+
+    return _places(spark, path).withColumn("bucket", _bucket(buckets)).groupBy("bucket").applyInPandas(one, INDEX)
+
+
+def keys_of(docs: DataFrame) -> DataFrame:
+    """(doc_id, known, nth): the keys under which write() stores documents."""
+    counted = documents_of(docs).groupBy("doc_id", "known").agg(F.count(F.lit(1)).alias("_n"))
+    return counted.select("doc_id", "known", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias("nth"))
+
+
+PLACE = "doc_id long, known boolean, nth long, shard int, chunk int, offset long, start long, n_tokens long"
 
-    return located.withColumn("bucket", _bucket(parts)).groupBy("bucket").applyInPandas(one, INDEX)
 
+def lookup(spark: SparkSession, path: str, keys: DataFrame, strict: bool = False) -> DataFrame:
+    """Places (doc_id, known, nth, shard, chunk, offset, start, n_tokens) of the distinct keys that are stored: hash bucket, minimal perfect hash, fingerprint, place.
 
-def lookup(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
-    """(doc_id, shard, chunk, offset, start, n_tokens) of the distinct keys (column doc_id) that are stored: hash bucket, minimal perfect hash, fingerprint, place."""
+    keys: (doc_id) or (doc_id, known, nth); the former means the first document with that id. `strict`: a key that the
+    index does not know is an error.
+    """
     index = spark.read.schema(INDEX).parquet(f"{path}/index")
     found = index.select("buckets").first()
-    parts = found.buckets if found else 1
-    wanted = keys.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NULL_ID))).alias("doc_id")).distinct().withColumn("bucket", _bucket(parts))
-    schema = "doc_id long, shard int, chunk int, offset long, start long, n_tokens long"
+    buckets = found.buckets if found else 1
+    if "nth" not in keys.columns:
+        keys = keys.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(True).alias("known"), F.lit(0).cast("long").alias("nth")).distinct()
+    names = [c.split()[0] for c in PLACE.split(", ")]
 
     def one(asked: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
-        names = ["doc_id", "shard", "chunk", "offset", "start", "n_tokens"]
-        if not len(asked) or not len(index):
-            return pd.DataFrame({n: pd.Series(dtype=np.int64) for n in names})
-        r = index.iloc[0]
-        read = lambda c, t: np.frombuffer(r[c], t)
-        keys = asked["doc_id"].to_numpy(np.int64).view(np.uint64)
-        slot = slots(keys, read("levels", np.uint64), read("bits", np.uint8), read("ranks", np.uint32))
-        known = slot >= 0
-        known[known] = read("fingerprints", np.uint32)[slot[known]] == fingerprint(keys[known])
-        at = slot[known]
-        parts = [read(c, t)[at].astype(np.int64) for c, t in (("shards", np.uint32), ("chunks", np.uint32), ("offsets", np.uint64), ("starts", np.uint64), ("lengths", np.uint64))]
-        return pd.DataFrame(dict(zip(names, [keys[known].view(np.int64), *parts], strict=True)))
-
-    return wanted.groupBy("bucket").cogroup(index.groupBy("bucket")).applyInPandas(one, schema)
+        known = np.zeros(len(asked), bool)
+        out = pd.DataFrame({n: pd.Series(dtype=bool if n == "known" else np.int64) for n in names})
+        if len(asked) and len(index):
+            r = index.iloc[0]
+            read = lambda c, t: np.frombuffer(r[c], t)
+            ids, rest = _keys(asked)
+            slot = slots(ids, rest, read("levels", np.uint64), read("bits", np.uint8), read("ranks", np.uint32))
+            known = slot >= 0
+            known[known] = read("fingerprints", np.uint32)[slot[known]] == fingerprint(ids[known], rest[known])
+            at = slot[known]
+            kinds = {"shard": ("shards", np.uint32), "chunk": ("chunks", np.uint32), "offset": ("offsets", np.uint64), "start": ("starts", np.uint64), "n_tokens": ("lengths", np.uint64)}
+            out = asked.loc[known, ["doc_id", "known", "nth"]].reset_index(drop=True)
+            for n, (c, t) in kinds.items():
+                out[n] = read(c, t)[at].astype(np.int64)
+        if strict and not known.all():
+            raise ValueError(f"the index lacks {int((~known).sum())} of {len(known)} keys")
+        return out[names]
+
+    wanted = keys.select("doc_id", "known", "nth").withColumn("bucket", _bucket(buckets))
+    return wanted.groupBy("bucket").cogroup(index.groupBy("bucket")).applyInPandas(one, PLACE)
+
+
+def fetch(spark: SparkSession, path: str, places: DataFrame, with_ids: bool = True) -> DataFrame:
+    """(doc_id, known, nth, shard, chunk, offset, start, n_tokens, ids_crc32[, ids]): the raw ids at each place, cut out of its chunk by offset and length.
+
+    What stands there must be the document that the place is said to hold, in id and length; anything else is an error.
+    Places are packed by chunk (as many as a chunk has documents), and each chunk is read once.
+    """
+    names = ["doc_id", "known", "nth", "offset", "start", "n_tokens"]
+    packed = places.groupBy("shard", "chunk").agg(F.collect_list(F.struct(*names)).alias("_asked"))
 
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                r = {n: batch.column(n)[i].as_py() for n in ("shard", "chunk", "width", "doc_ids", "known", "ends", "ids")}
+                if r["ids"] is None:
+                    raise ValueError(f"the index says that there is a chunk {r['chunk']} in shard {r['shard']}")
+                ids, known, begins, ends = _stored(r)
+                asked = dict(zip(names, batch.column("_asked")[i].values.flatten(), strict=True))
+                offset, length = asked["offset"].to_numpy(), asked["n_tokens"].to_numpy()
+                at = np.searchsorted(begins, offset)
+                right = (at < len(begins)) & (length > 0)
+                at = np.where(right, at, 0)
+                right &= (begins[at] == offset) & (ends[at] - begins[at] == length) & (ids[at] == asked["doc_id"].to_numpy()) & (known[at] == asked["known"].to_numpy(zero_copy_only=False))
+                if not right.all():
+                    raise ValueError(f"shard {r['shard']}, chunk {r['chunk']}: {int((~right).sum())} places don't hold what the index says")
+                wide = np.frombuffer(r["ids"], "<u2" if r["width"] == 2 else "<u4").astype("<u4")
+                parts = [wide[a:b] for a, b in zip(offset.tolist(), (offset + length).tolist(), strict=True)]
+                columns = [asked["doc_id"], asked["known"], asked["nth"], pa.array(np.full(len(offset), r["shard"], np.int32)), pa.array(np.full(len(offset), r["chunk"], np.int32)), asked["offset"], asked["start"], asked["n_tokens"], pa.array([zlib.crc32(x) for x in parts], pa.int64())]
+                if with_ids:
+                    columns.append(pa.array(parts, pa.list_(pa.uint32())).cast(pa.list_(pa.int64())))
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "known", "nth", "shard", "chunk", "offset", "start", "n_tokens", "ids_crc32"] + ["ids"] * with_ids)
+
+    schema = "doc_id long, known boolean, nth long, shard int, chunk int, offset long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
+    chunks = payload(spark, path).select("shard", "chunk", "width", "doc_ids", "known", "ends", "ids")
+    return packed.join(chunks, ["shard", "chunk"], "left").mapInArrow(run, schema)
 
-def read_back(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32, shard, chunk, offset), a row for each stored document whose key is asked for, through the index and from the raw ids.
 
-    The places come from the index; stored documents with an id met before stand behind it, and their starts follow from their chunk's.
-    """
-    stored = _places(spark, path, crc=True)
-    found = lookup(spark, path, keys).select("doc_id", F.col("start").alias("_s"), F.struct("shard", "chunk", "offset").alias("_p"))
-    first = chunk_starts(spark, path)
-    rows = stored.join(found, "doc_id").join(first, ["shard", "chunk"])
-    start = F.when(F.col("_p") == F.struct("shard", "chunk", "offset"), F.col("_s")).otherwise(F.col("first") + F.col("offset"))
-    return rows.select(id_out().alias("doc_id"), start.cast("long").alias("start"), "n_tokens", "ids_crc32", "shard", "chunk", "offset")
+def read_back(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32, shard, chunk, offset) of the keys (keys_of()), all of which must be stored: places come from the index, and the ids from those places of the files."""
+    rows = fetch(spark, path, lookup(spark, path, keys, strict=True), with_ids=False)
+    return rows.select(id_out().alias("doc_id"), "start", "n_tokens", "ids_crc32", "shard", "chunk", "offset")
 
 
 def digest(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:
-    """Writes all documents to the shared folder and reads each back by its key. Null texts have the end id alone; repeated rows are all stored; an empty table gives an empty result; other columns are ignored."""
+    """Writes all documents to the shared folder and reads each back through the index. Null texts have the end id alone; repeated rows and rows without an id are all stored; an empty table gives an empty result; other columns are ignored."""
     spark = docs.sparkSession
     path = scratch_path(spark, "tokens")
     write(docs, path, tokenizer, end_id)
-    return read_back(spark, path, docs)
+    return read_back(spark, path, keys_of(docs))
