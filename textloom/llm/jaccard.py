@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm import hashing as H
-from textloom.llm.common import NULL_ID, documents_of, id_out, materialize, row_hash, shuffle_parts, text_steps
+from textloom.llm.common import ROW, discard, documents_of, materialize, row_identity, shuffle_parts, text_steps
 from textloom.llm.components import components
 from textloom.llm.sketch import ROWS, merge, partition_sketch
 
@@ -28,6 +28,11 @@ class Join:
     block: int = 2_000_000
     step: int = 2_000_000
 
+    @property
+    def least_size(self) -> int:
+        """Smaller sets link to equal ones only: with one element more the similarity is n / (n + 1) at most."""
+        return -(-self.percent // (100 - self.percent)) if self.percent < 100 else 2**62
+
     def prefix(self, n: int) -> int:
         """Tokens of a set of n that must hold one of any linked set's prefix, in any order."""
         return n - -(-self.percent * n // 100) + 1
@@ -76,7 +81,9 @@ def prefixes(shingles: np.ndarray, join: Join, repeated: np.ndarray, level: np.n
     return out if all(len(x) for x in out) else []
 
 
-SETS = "doc_id long, row_crc int, n long, sig1 long, sig2 long, prefixes array<binary>, shingles binary"
+SETS = "doc_id long, known boolean, tag long, n long, sig1 long, sig2 long, prefixes array<binary>, shingles binary"
+#: What names a set: its size and 128 bits of it.
+CLASS = ["sig1", "sig2", "n"]
 
 
 def _sets(docs: DataFrame, join: Join, sketch) -> DataFrame:
@@ -84,21 +91,22 @@ def _sets(docs: DataFrame, join: Join, sketch) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            ids, crcs = batch.column(0), batch.column(1)
             n, one, two = (np.zeros(batch.num_rows, np.int64) for _ in range(3))
             tokens, sets = [None] * batch.num_rows, [None] * batch.num_rows
             for row, s in shingle_sets(batch.select(["text"]), join):
                 n[row] = len(s)
                 one[row] = H.mix(s ^ H.U(0x452821E638D01377)).sum(dtype=np.uint64).astype(np.int64)
                 two[row] = H.mix(s ^ H.U(0xBE5466CF34E90C6C)).sum(dtype=np.uint64).astype(np.int64)
+                if len(s) < join.least_size:
+                    continue
                 repeated = sketch.value.repeated(s)
                 if len(s) - repeated.sum() < join.prefix(len(s)):
                     found = prefixes(s, join, repeated, sketch.value.level(s[repeated]))
                     if found:
                         tokens[row], sets[row] = [x.tobytes() for x in found], s.tobytes()
-            yield pa.RecordBatch.from_arrays([ids, crcs, pa.array(n), pa.array(one), pa.array(two), pa.array(tokens, pa.list_(pa.binary())), pa.array(sets, pa.binary())], ["doc_id", "row_crc", "n", "sig1", "sig2", "prefixes", "shingles"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ROW), pa.array(n), pa.array(one), pa.array(two), pa.array(tokens, pa.list_(pa.binary())), pa.array(sets, pa.binary())], [*ROW, *CLASS[2:], *CLASS[:2], "prefixes", "shingles"])
 
-    return docs.select("doc_id", "row_crc", "text").mapInArrow(run, SETS)
+    return docs.select(*ROW, "text").mapInArrow(run, SETS)
 
 
 def _first_tokens(reps: DataFrame) -> DataFrame:
@@ -110,21 +118,20 @@ def _first_tokens(reps: DataFrame) -> DataFrame:
                 tokens = np.frombuffer(lists[0], np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(tokens), rep)), pa.array(tokens)], ["rep", "token"])
 
-    return reps.select("rep", "prefixes").mapInArrow(run, "rep long, token long")
+    return reps.select("node", "prefixes").mapInArrow(run, "rep long, token long")
 
 
-def link_block(members: list[dict], join: Join) -> list[tuple[int, int]]:
+def link_block(members: list[dict], join: Join, across: bool = False) -> list[tuple[int, int]]:
     """Links that join what is linked among members (rep, side, prefixes, shingles): a spanning forest, not all pairs.
 
     A pair is verified only if it shares prefix tokens in every order, its sizes allow the threshold, and nothing joins
-    it yet. Members of two sides are compared across sides only.
+    it yet. With `across`, members of two sides are compared across sides only.
     """
     m = len(members)
-    if m < 2:
+    if m < 2 or across and len({x["side"] for x in members}) < 2:
         return []
     reps = np.array([x["rep"] for x in members])
     sides = np.array([x["side"] for x in members])
-    across = len(set(sides.tolist())) > 1
     sets = [np.frombuffer(x["shingles"], np.uint64) for x in members]
     sizes = np.array([len(s) for s in sets])
     _, flat = np.unique(np.concatenate(sets), return_inverse=True)
@@ -167,79 +174,113 @@ def link_block(members: list[dict], join: Join) -> list[tuple[int, int]]:
     return links
 
 
-def _links(reps: DataFrame, join: Join) -> DataFrame:
-    """Verified links (u, v) between class representatives.
-
-    Whoever shares a prefix token of the first order comes into one group (their transitive closure, found without any
-    list of a token's documents); groups are cut into blocks of bounded size and every pair of blocks is compared.
-    """
-    spark = reps.sparkSession
-    posted = materialize(spark, _first_tokens(reps))
-    least = posted.groupBy("token").agg(F.min("rep").alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1").select("token", "v")
-    near = components(posted.join(least, "token").where("rep != v").select(F.col("rep").alias("u"), "v"))
-    grouped = reps.join(near.withColumnRenamed("node", "rep"), "rep")
-    blocks = grouped.groupBy("root").agg(F.ceil(F.sum("n") / join.block).cast("int").alias("blocks"))
-    placed = grouped.join(blocks, "root").withColumn("side", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = placed.withColumn("_other", other).select("root", F.least("side", "_other").alias("i"), F.greatest("side", "_other").alias("j"), "side", "rep", "prefixes", "shingles")
+def _compare(placed: DataFrame, pairs: F.Column, join: Join) -> DataFrame:
+    """Links (u, v) found in pairs of blocks: each member (root, side, node, prefixes, shingles) goes to the blocks that `pairs` lists, and blocks i <= j of a root meet in one task."""
+    dealt = placed.withColumn("_other", F.explode(pairs)).select("root", F.least("side", "_other").alias("i"), F.greatest("side", "_other").alias("j"), "side", F.col("node").alias("rep"), "prefixes", "shingles")
 
     def run(batches):
-        key, members, out = None, [], []
+        key, members, out = (0, 0, 0), [], []
         for batch in batches:
             for r in batch.to_pylist():
                 if (own := (r["root"], r["i"], r["j"])) != key:
-                    out += link_block(members, join)
+                    out += link_block(members, join, key[1] != key[2])
                     key, members = own, []
                 members.append(r)
             if len(out) > 10_000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["u", "v"])
                 out = []
-        out += link_block(members, join)
+        out += link_block(members, join, key[1] != key[2])
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["u", "v"])
 
-    return dealt.repartition(2 * shuffle_parts(spark), "root", "i", "j").sortWithinPartitions("root", "i", "j", "rep").mapInArrow(run, "u long, v long")
+    return dealt.repartition(2 * shuffle_parts(placed.sparkSession), "root", "i", "j").sortWithinPartitions("root", "i", "j", "rep").mapInArrow(run, "u long, v long")
+
+
+def _blocks(grouped: DataFrame, join: Join, by: list[str]) -> DataFrame:
+    """Adds the number of blocks of each group and each member's block."""
+    blocks = grouped.groupBy(*by).agg(F.ceil(F.sum("n") / join.block).cast("int").alias("blocks"))
+    return grouped.join(blocks, by).withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+
+
+def _linked(reps: DataFrame, join: Join) -> DataFrame:
+    """(node, root): components of verified links between sets (node, n, prefixes, shingles).
+
+    Whoever shares a prefix token of the first order comes into one group (their transitive closure, found without any
+    list of a token's documents), which is cut into blocks of bounded size. First each block is compared with itself and
+    with its group's first block. That links the copies in a large group; after it only members outside of their group's
+    largest component are compared with all blocks.
+    """
+    spark = reps.sparkSession
+    posted = materialize(spark, _first_tokens(reps))
+    least = posted.groupBy("token").agg(F.min("rep").alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1").select("token", "v")
+    shared = materialize(spark, posted.join(least, "token").where("rep != v").select(F.col("rep").alias("u"), "v").distinct(), posted)
+    near = components(shared)
+    grouped = _blocks(reps.join(near, "node"), join, ["root"])
+    first = F.when(F.col("side") == 0, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.lit(0), F.col("side")))
+    links = materialize(spark, _compare(grouped, first, join), shared)
+    if grouped.where("blocks > 2").limit(1).count():
+        own = components(links)
+        large = grouped.where("blocks > 2").select("root", "blocks", "node", "n", "prefixes", "shingles").join(own.withColumnRenamed("root", "own"), "node", "left").withColumn("own", F.coalesce("own", "node"))
+        largest = large.groupBy("root", "own").agg(F.count(F.lit(1)).alias("_c")).groupBy("root").agg(F.max(F.struct("_c", "own")).alias("_m")).select("root", F.col("_m.own").alias("_largest"))
+        marked = large.join(largest, "root").withColumn("rest", F.col("own") != F.col("_largest"))
+        rest = _blocks(marked.where("rest").drop("blocks"), join, ["root"])
+        counts = rest.select("root", F.col("blocks").alias("_k")).distinct()
+        # blocks of the rest are 0 to k - 1, those of the largest component follow
+        other = _blocks(marked.where(~F.col("rest")).drop("blocks").join(counts, "root"), join, ["root"])
+        columns = ["root", "side", "node", "prefixes", "shingles", "_pairs"]
+        everything = F.sequence(F.lit(0), F.col("blocks") - 1)
+        of_rest = rest.join(other.select("root", F.col("blocks").alias("_b")).distinct(), "root", "left")
+        of_rest = of_rest.withColumn("_pairs", F.sequence(F.lit(0), F.col("blocks") + F.coalesce("_b", F.lit(0)) - 1))
+        of_other = other.withColumn("side", F.col("side") + F.col("_k")).withColumn("_pairs", F.sequence(F.lit(0), F.col("_k") - 1))
+        more = _compare(of_rest.select(columns).unionByName(of_other.select(columns)), F.col("_pairs"), join)
+        links = materialize(spark, links.unionByName(more), links, own)
+    found = components(links)
+    discard(spark, links, near)
+    return found
 
 
 def _components(docs: DataFrame, join: Join) -> DataFrame:
-    """(doc_id, row_crc, n, component), a row a row of docs (which documents_of made)."""
+    """(doc_id, known, tag, n, chief), a row a row of docs (which documents_of made); chief is the first row of its component: (unknown, doc_id, tag)."""
     spark = docs.sparkSession
     sketch = spark.sparkContext.broadcast(_sketch(docs, join))  # 2 ** log2 bits and the common cells
     sets = materialize(spark, _sets(docs, join, sketch))
-    classes = sets.where("n > 0").groupBy("sig1", "sig2", "n").agg(F.min("doc_id").alias("rep"))
-    candidates = sets.where("shingles is not null").join(classes, ["sig1", "sig2", "n"]).where("doc_id = rep")
-    reps = candidates.select("rep", "sig1", "sig2", "n", "prefixes", "shingles").dropDuplicates(["rep", "sig1", "sig2", "n"])
-    found = components(_links(materialize(spark, reps), join))
-    rooted = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("sig1", "sig2", "n", F.coalesce("root", "rep").alias("component"))
-    whole = sets.select("doc_id", "row_crc", "n", "sig1", "sig2")
-    linked = whole.where("n > 0").join(rooted, ["sig1", "sig2", "n"]).select("doc_id", "row_crc", "n", "component")
-    return linked.unionByName(whole.where("n = 0").select("doc_id", "row_crc", "n", F.col("doc_id").alias("component")))
+    whole = materialize(spark, sets.select(*ROW, *CLASS))
+    chief = F.struct((~F.col("known")).alias("unknown"), "doc_id", "tag")
+    classes = whole.where("n > 0").groupBy(*CLASS).agg(F.min(chief).alias("first"))
+    candidates = sets.where("shingles is not null").join(classes, CLASS).where(chief == F.col("first"))
+    # a number of its own for each set that may link, fixed by writing it
+    reps = candidates.dropDuplicates(CLASS).select(F.monotonically_increasing_id().alias("node"), *CLASS, "first", "prefixes", "shingles")
+    reps = materialize(spark, reps, sets)
+    found = _linked(reps.select("node", "n", "prefixes", "shingles"), join)
+    members = reps.select("node", *CLASS, "first").join(found, "node")
+    chiefs = members.groupBy("root").agg(F.min("first").alias("chief"))
+    moved = materialize(spark, members.join(chiefs, "root").select(*CLASS, "chief"), reps, found)
+    rooted = classes.join(moved, CLASS, "left").select(*CLASS, F.coalesce("chief", "first").alias("chief"))
+    linked = whole.where("n > 0").join(rooted, CLASS).select(*ROW, "n", "chief")
+    return linked.unionByName(whole.where("n = 0").select(*ROW, "n", chief.alias("chief")))
 
 
 def classify(docs: DataFrame, join: Join = Join()) -> DataFrame:
     """(doc_id, n_shingles, component_id): size of each document's shingle set, and the least doc_id that links lead to.
 
-    Equal sets are one class, whose least id stands for it; links are looked for between classes only. Nulls and texts
+    Equal sets are one class, whose first row stands for it; links are looked for between classes only. Nulls and texts
     without words have no shingles and link with nothing; a null doc_id counts as larger than any other and is returned
-    as null; repeated rows get a row each, and an id is taken to name one text (rows of one id with different texts may
-    share a component); an empty table gives an empty result; other columns are ignored.
+    as null; each row is a document of its own, whether its id is null, repeated or neither; an empty table gives an
+    empty result; other columns are ignored.
     """
-    return _components(documents_of(docs), join).select(id_out().alias("doc_id"), F.col("n").alias("n_shingles"), id_out("component").alias("component_id"))
+    component = F.when(~F.col("chief.unknown"), F.col("chief.doc_id"))
+    return _components(documents_of(docs), join).select(F.when(F.col("known"), F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
 def keep_one(docs: DataFrame, join: Join = Join()) -> DataFrame:
-    """The documents with the least doc_id of their component, with their own columns; of rows with equal id and text one stays."""
-    marked = docs.drop("_row").withColumn("_row", F.struct(documents_row()))
+    """The documents that come first in their component, by doc_id (null ids last, by their texts' hashes), with their own columns; of rows with equal id and text one stays, but all rows without words do."""
+    spark = docs.sparkSession
+    marked = docs.drop("_row").withColumn("_row", F.struct(*row_identity()))
     found = _components(documents_of(docs), join)
-    found = materialize(docs.sparkSession, found.groupBy("doc_id", "row_crc").agg(F.min("component").alias("component"), F.count(F.lit(1)).alias("copies"), F.max("n").alias("n")))
-    alone = found.where("doc_id = component and (copies = 1 or n = 0)").select(F.struct("doc_id", "row_crc").alias("_row"))
-    out = marked.join(alone, "_row", "left_semi")
-    several = found.where("doc_id = component and copies > 1 and n > 0").select(F.struct("doc_id", "row_crc").alias("_row"))
+    first = (F.col("n") == 0) | (F.struct((~F.col("known")).alias("unknown"), "doc_id", "tag") == F.col("chief"))
+    found = materialize(spark, found.where(first).groupBy(*ROW).agg(F.count(F.lit(1)).alias("copies"), F.max("n").alias("n")))
+    out = marked.join(found.where("copies = 1 or n = 0").select(F.struct(*ROW).alias("_row")), "_row", "left_semi")
+    several = found.where("copies > 1 and n > 0").select(F.struct(*ROW).alias("_row"))
     if several.limit(1).count():
         out = out.unionByName(marked.join(several, "_row", "left_semi").dropDuplicates(["_row"]))
     return out.drop("_row")
-
-
-def documents_row() -> list[F.Column]:
-    """doc_id and row_crc as documents_of() has them."""
-    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NULL_ID))).alias("doc_id"), row_hash().alias("row_crc")]
