@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.sources.scratch import materialize
+from textloom.sources.scratch import hand_over, materialize
 
 
 def _large_star(e: DataFrame) -> DataFrame:
@@ -34,6 +34,6 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         seen = e.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if (seen.n, seen.s) == state or not seen.n:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+            return hand_over(e, e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()))
         state = (seen.n, seen.s)
         e = materialize(spark, _small_star(_large_star(e)), e)

@@ -64,3 +64,11 @@ def discard(spark: SparkSession, *tables: DataFrame) -> None:
         if path is not None:
             folder = spark._jvm.org.apache.hadoop.fs.Path(path)
             folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def hand_over(table: DataFrame, view: DataFrame) -> DataFrame:
+    """Makes discard(view) delete the files of `table`, which `view` reads."""
+    path = _paths.pop(table, None)
+    if path is not None:
+        _paths[view] = path
+    return view
