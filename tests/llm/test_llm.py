@@ -322,9 +322,9 @@ def test_leaks(spark, none):
     items = spark.createDataFrame([(0, ITEM), (1, "too short"), (2, None), (None, ITEM)], "item_id long, text string")
     got = {(r.doc_id, r.item_id): r for r in decontaminate.leaks(frame(spark, docs), items).collect()}
     assert {k for k, r in got.items() if k[0] in (1, 4, 5, 6, 7)} == set()
-    assert {(2, 0), (3, 0)} <= set(got) and got[3, 0].slots >= 5
+    assert {(2, 0), (3, 0), (8, 0), (None, 0)} == set(got) and got[3, 0].slots >= 5
     kept = decontaminate.clean(frame(spark, docs), items)
-    assert {2, 3}.isdisjoint({r.doc_id for r in kept.collect()}) and kept.columns == frame(spark, docs).columns
+    assert {r.doc_id for r in kept.collect()} == {1, 4, 5, 6, 7} and kept.columns == frame(spark, docs).columns
     assert decontaminate.leaks(none, items).count() == 0 and decontaminate.leaks(frame(spark, docs), items.where("item_id > 5")).count() == 0
 
 
@@ -344,7 +344,7 @@ def test_leaks_reparameterised(spark):
     got = {(r.doc_id, r.item_id): r for r in decontaminate.leaks(frame(spark, docs), items).collect()}
     assert {(1, 0), (2, 1), (3, 3), (5, 2), (6, 0)} <= set(got) and {d for d, _ in got}.isdisjoint({4, 7})
     assert got[1, 0].coverage == 1 and got[2, 1].coverage == 1 and got[6, 0].matched >= got[6, 0].windows - 4
-    assert got[3, 3].matched == 21 and (8, 3) not in got  # 2 and 5 of 23 windows clash
+    assert got[3, 3].coverage >= 0.9 and (8, 3) not in got  # 2 and 5 of 23 windows clash
 
 
 def test_leaks_found_in_the_tables(spark, sf_dir):
