@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from dataclasses import dataclass
+from functools import cached_property
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -12,11 +14,18 @@ from pyspark.sql import functions as F
 #: Fixed values.
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\x0c\r"
-BOILERPLATE = re.compile(
-    r"released under the \w+ licen[cs]e|all rights reserved|terms of (use|service)|privacy policy|accept (all )?cookies|uses cookies|enable javascript"
-    r"|click here|sign up|log ?in to|subscribe to|share (this|on)|follow us|powered by|lorem ipsum|copyright \(c\)|©|licensed under|spdx-license",
-    re.I,
-)
+#: Phrases of boilerplate lines by language; a text may mix languages, so all given ones are looked for in every line.
+BOILERPLATE = {
+    "any": r"©|\(c\) ?(19|20)\d\d|lorem ipsum|spdx-license",
+    "en": r"released under the \w+ licen[cs]e|licensed under|all rights reserved|terms of (use|service)|privacy policy|accept (all )?cookies|uses cookies|enable javascript"
+    r"|click here|sign up|log ?in to|subscribe to|share (this|on)|follow us|powered by|copyright \(c\)",
+    "fr": r"tous droits réservés|mentions légales|conditions (générales|d'utilisation)|politique de confidentialité|accepter (tous )?les cookies|utilise des cookies|activer javascript"
+    r"|cliquez ici|inscrivez-vous|connectez-vous|abonnez-vous|partager sur|suivez-nous|propulsé par|sous licence",
+    "de": r"alle rechte vorbehalten|impressum|nutzungsbedingungen|datenschutz(erklärung|hinweise)|(alle )?cookies akzeptieren|verwendet cookies|javascript aktivieren"
+    r"|klicken sie hier|hier klicken|jetzt registrieren|anmelden|abonnieren sie|teilen auf|folgen sie uns|unter der \w+[- ]lizenz",
+    "es": r"todos los derechos reservados|aviso legal|(términos|condiciones) de (uso|servicio)|política de privacidad|aceptar (todas )?las cookies|utiliza cookies|activar javascript"
+    r"|haga clic aquí|regístrese|inicie sesión|suscríbase|compartir en|síganos|bajo la licencia",
+}
 NAVIGATION = re.compile(r"\s(?:\||»|›|·|•|>)(?=\s|$)")
 WINDOW = 5
 
@@ -37,25 +46,43 @@ def repeated_words(words: list[bytes]) -> int:
     return covered
 
 
-def line_fails(line: str, words: list[bytes]) -> str:
+@dataclass(frozen=True)
+class Rules:
+    """A line fails with more than one symbol for `symbols` characters, one navigation sign for `signs` words, one exclamation or question mark for `marks` words (two are free), `shouted` words in capitals alone, `letterless` words without any letter, or a phrase of boilerplate within `phrase` words. A document fails when it loses more than `lost` of its words."""
+
+    symbols: int = 10
+    signs: int = 5
+    marks: int = 3
+    shouted: int = 8
+    letterless: int = 4
+    phrase: int = 40
+    lost: float = 0.5
+    boilerplate: tuple[str, ...] = tuple(BOILERPLATE.values())
+
+    @cached_property
+    def phrases(self) -> re.Pattern | None:
+        return re.compile("|".join(self.boilerplate), re.I) if self.boilerplate else None
+
+
+def line_fails(line: str, words: list[bytes], rules: Rules = Rules()) -> str:
     """The rule that a line with words fails, or the empty string."""
     letters = len(line) - line.count(" ")
-    if sum(line.count(c) for c in SYMBOLS) * 10 > letters:
+    if sum(line.count(c) for c in SYMBOLS) * rules.symbols > letters:
         return "navigation" if line.count("|") * 3 > len(words) else "symbols"
-    if len(NAVIGATION.findall(line)) * 5 > len(words):
+    if len(NAVIGATION.findall(line)) * rules.signs > len(words):
         return "navigation"
-    if (line.count("!") + line.count("?")) > max(2, len(words) // 3):
+    if (line.count("!") + line.count("?")) > max(2, len(words) // rules.marks):
         return "punctuation"
-    if len(words) >= 8 and line.isupper():
+    if len(words) >= rules.shouted and line.isupper():
         return "punctuation"
-    if len(words) >= 4 and not any(c.isalpha() for c in line):
+    if len(words) >= rules.letterless and not any(c.isalpha() for c in line):
         return "punctuation"
-    if len(words) <= 40 and BOILERPLATE.search(line):
+    if len(words) <= rules.phrase and rules.phrases and rules.phrases.search(line):
         return "boilerplate"
     return ""
 
 
-def judge(text: str, max_lost: float) -> tuple:
+def judge(text: str, rules: Rules) -> tuple:
     """The row of one text, without its id; the last value is the cleaned text."""
     words = text.encode().split()
     n_words = len(words)
@@ -74,7 +101,7 @@ def judge(text: str, max_lost: float) -> tuple:
             duplicates += 1
         else:
             seen.add(line)
-        if line_fails(line, own):
+        if line_fails(line, own, rules):
             removed += 1
             lost += len(own)
         else:
@@ -82,7 +109,7 @@ def judge(text: str, max_lost: float) -> tuple:
     base_failed = n_words < 10 or 100 * repeats > 20 * n_words
     share = lost / n_words if n_words else 0.0
     chars = len(text) - sum(text.count(c) for c in BLANKS)
-    return n_words, chars, sum(text.count(c) for c in SYMBOLS), duplicates, repeats, base_failed, not base_failed and share <= max_lost, with_words, removed, min(1.0, share), "\n".join(kept_lines)
+    return n_words, chars, sum(text.count(c) for c in SYMBOLS), duplicates, repeats, base_failed, not base_failed and share <= rules.lost, with_words, removed, min(1.0, share), "\n".join(kept_lines)
 
 
 COLUMNS = (
@@ -90,7 +117,7 @@ COLUMNS = (
 )
 
 
-def clean(docs: DataFrame, max_lost: float = 0.5, with_text: bool = True) -> DataFrame:
+def clean(docs: DataFrame, rules: Rules = Rules(), with_text: bool = True) -> DataFrame:
     """One row a document: doc_id, counts, base_failed, kept, lost (share of words in removed lines), and clean_text if asked for.
 
     Rows are worked on by themselves: no shuffle, one text at a time in memory. Texts are judged whole. A null text is
@@ -103,7 +130,7 @@ def clean(docs: DataFrame, max_lost: float = 0.5, with_text: bool = True) -> Dat
 
     def run(batches):
         for batch in batches:
-            rows = [judge(t.as_py() or "", max_lost) for t in batch.column(1)]
+            rows = [judge(t.as_py() or "", rules) for t in batch.column(1)]
             columns = list(zip(*rows, strict=True)) if rows else [[] for _ in range(len(fields) + 1)]
             arrays = [batch.column(0)] + [pa.array(x, t) for x, (_, t) in zip(columns, fields, strict=False)]
             if with_text:

@@ -14,6 +14,10 @@ PART_RATE = 16.0
 BROADCAST_SOURCES = 100_000
 SALTS = 32
 
+#: Sources with a greater rate are replicated in two steps: a document is first dealt out as blocks of this many copies at most.
+DIRECT_RATE = 200.0
+BLOCK = 1024
+
 #: The inverted distribution is cut where less than 2 ** -52 is left; for a mean of at most PART_RATE this is before 80.
 MOST = 80
 
@@ -62,12 +66,14 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, epochs: float
     and sorted by it there, which is a global shuffle: the rates are computed from two numbers a source and joined as
     a table, broadcast up to BROADCAST_SOURCES rows and joined on salted keys beyond, so a hot source's rows are never
     brought together. The sums are made once and stored in the shared folder.
-    Null ids hash as the empty string; null texts count 0 bytes; repeated rows get the same count each; an empty table
-    stays empty; columns of the added names in the input are replaced.
+    A document of a source with a great rate is dealt out in blocks of copies, so no task makes all of them.
+    Documents without an id are hashed by their text; null texts count 0 bytes; rows of one id get the same count each;
+    an empty table stays empty; columns of the added names in the input are replaced.
     """
-    own = ["rate", "n_copies", "copy_no", "mix_key", "_source", "_rate", "_salt"]
+    own = ["rate", "n_copies", "copy_no", "mix_key", "_source", "_rate", "_salt", "_key", "_block"]
     df = docs.drop(*own).withColumn("_source", F.coalesce(F.col("source"), F.lit("")))
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    df = df.withColumn("_key", F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce(F.col("text"), F.lit("")))))
+    key = F.col("_key")
     parts = F.greatest(F.ceil(F.col("_rate") / PART_RATE).cast("int"), F.lit(1))
     one = _poisson(F.col("_rate"), _uniform(F.lit(str(seed)), key, F.lit("0")))
     many = F.aggregate(F.sequence(F.lit(0), parts - 1), F.lit(0), lambda n, i: n + _poisson(F.col("_rate") / parts, _uniform(F.lit(str(seed)), key, i.cast("string"))))
@@ -78,6 +84,14 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, epochs: float
         salted = by_source.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         joined = df.withColumn("_salt", F.pmod(F.crc32(key.cast("binary")), F.lit(SALTS)).cast("int")).join(salted, ["_source", "_salt"]).drop("_salt")
     counted = joined.withColumn("n_copies", F.when(F.col("_rate") <= PART_RATE, one).otherwise(many))
-    copies = counted.where("n_copies > 0").withColumn("copy_no", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1)))
+    copied = counted.where("n_copies > 0")
+    direct = lambda df: df.withColumn("copy_no", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1)))
+    if (by_source.agg(F.max("_rate").alias("most")).first().most or 0.0) <= DIRECT_RATE:
+        copies = direct(copied)
+    else:
+        blocks = copied.where(F.col("_rate") > DIRECT_RATE).withColumn("_block", F.explode(F.sequence(F.lit(0), F.floor((F.col("n_copies") - 1) / BLOCK).cast("int"))))
+        first = F.col("_block") * BLOCK
+        many = blocks.repartition("_key", "_block").withColumn("copy_no", F.explode(F.sequence(first, F.least(first + BLOCK, F.col("n_copies")) - 1))).drop("_block")
+        copies = direct(copied.where(F.col("_rate") <= DIRECT_RATE)).unionByName(many)
     keyed = copies.withColumn("mix_key", F.md5(F.concat_ws(":", F.lit(f"{seed}:place"), key, F.col("copy_no").cast("string"))))
-    return keyed.withColumnRenamed("_rate", "rate").drop("_source").repartition("mix_key").sortWithinPartitions("mix_key", "copy_no")
+    return keyed.withColumnRenamed("_rate", "rate").drop("_source", "_key").repartition("mix_key").sortWithinPartitions("mix_key", "copy_no")

@@ -173,11 +173,13 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> Mode
 
     def run(batches):
         for batch in batches:
-            values = np.array([features(t.as_py() or "") for t in batch.column(2)], np.float64).reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(values), pa.list_(pa.float64()))], ["doc_id", "_y", "_x"])
+            values = np.array([features(t.as_py() or "") for t in batch.column(3)], np.float64).reshape(-1, len(FEATURES))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(list(values), pa.list_(pa.float64()))], ["doc_id", "_y", "_tag", "_x"])
 
-    joined = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", F.col("_y").cast("int").alias("_y"), "text")
-    found = joined.mapInArrow(run, "doc_id long, _y int, _x array<double>").dropDuplicates(["doc_id"]).collect()
+    joined = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", F.col("_y").cast("int").alias("_y"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_tag"), "text")
+    # of an id with several texts, that with the least hash
+    rows = joined.mapInArrow(run, "doc_id long, _y int, _tag long, _x array<double>").groupBy("doc_id").agg(F.min(F.struct("_tag", "_y", "_x")).alias("_r"))
+    found = rows.select("doc_id", "_r._y", "_r._x").collect()
     found.sort(key=lambda r: r.doc_id)
     return fit(np.array([r._x for r in found], np.float64).reshape(-1, len(FEATURES)), np.array([r._y for r in found], np.float64))
 

@@ -61,11 +61,11 @@ totals AS (SELECT sum(bytes) AS everything, count(*) FILTER (WHERE bytes > 0) AS
 rates AS (SELECT src, CASE WHEN bytes > 0 THEN 1.0::DOUBLE / weights * everything * 1.0::DOUBLE / bytes ELSE 0.0::DOUBLE END AS rate FROM sizes, totals),
 mass AS (SELECT src, rate, k, exp(-rate + CASE WHEN k = 0 THEN 0.0 ELSE k * ln(rate) END - lgamma(k + 1)) AS p FROM rates, range(0, 80) t(k) WHERE rate > 0),
 cdf AS (SELECT src, any_value(rate) AS rate, list(c ORDER BY k) AS cs FROM (SELECT src, rate, k, sum(p) OVER (PARTITION BY src ORDER BY k) AS c FROM mass) GROUP BY src),
-counted AS (SELECT d.*, rate, len(list_filter(cs, lambda c: c < (('0x' || substr(md5('0:' || coalesce(doc_id::VARCHAR, '') || ':0'), 1, 13))::BIGINT + 0.5) / 4503599627370496.0)) AS n_copies
+counted AS (SELECT d.*, rate, len(list_filter(cs, lambda c: c < (('0x' || substr(md5('0:' || coalesce(doc_id::VARCHAR, md5(coalesce(text, ''))) || ':0'), 1, 13))::BIGINT + 0.5) / 4503599627370496.0)) AS n_copies
   FROM documents d JOIN cdf ON coalesce(d.source, '') = cdf.src),
 copies AS (SELECT *, unnest(range(0, n_copies)) AS copy_no FROM counted)
 SELECT doc_id, text, lang, source, n_chars, rate, n_copies::INT AS n_copies, copy_no::INT AS copy_no,
-  md5('0:place:' || coalesce(doc_id::VARCHAR, '') || ':' || copy_no::VARCHAR) AS mix_key
+  md5('0:place:' || coalesce(doc_id::VARCHAR, md5(coalesce(text, ''))) || ':' || copy_no::VARCHAR) AS mix_key
 FROM copies
 """
 

@@ -15,9 +15,11 @@ CANDIDATE = r"[A-Za-z0-9+/_=-]{16,}"
 #: States of the Markov models; any other character is the last state.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 STATES = len(ALPHABET) + 1
-#: Rows of each label that training reads at most, and documents that ordinary words are taken from.
+#: Random strings that training makes.
 TRAINING_ROWS = 20_000
-TRAINING_DOCUMENTS = 2_000
+#: Spans that a walk gathers before it puts them away: appending one at a time would copy all of them each time.
+GATHERED = 256
+SPANS = "array<struct<s:int,o:int,e:int,kind:string>>"
 
 
 def _state(char: Column) -> Column:
@@ -28,20 +30,17 @@ def _state(char: Column) -> Column:
 def default_samples(docs: DataFrame) -> DataFrame:
     """(token, secret): labelled samples.
 
-    Secret: strings made of digests of numbers, as hex, base64 and upper-case alphanumerics. Ordinary: words of 6 or
-    more characters of the TRAINING_DOCUMENTS documents with the smallest checksums of doc_id, and compounds of two
-    such words joined as identifiers are, except those that a fixed pattern matches.
+    Secret: TRAINING_ROWS strings made of digests of numbers, as hex, base64 and upper-case alphanumerics. Ordinary: the
+    distinct words of 6 or more characters of all documents, and compounds of each with itself joined as identifiers
+    are, except those that a fixed pattern matches.
     """
     spark = docs.sparkSession
     digest = spark.range(TRAINING_ROWS // 4).select(F.sha2(F.col("id").cast("string"), 256).alias("x"), "id")
     width = (20 + F.col("id") % 30).cast("int")
     b64 = F.base64(F.unhex("x"))
     random = digest.select(F.explode(F.array(F.col("x").substr(F.lit(1), width), b64.substr(F.lit(1), width), F.regexp_replace(b64, "[+/=]", "").substr(F.lit(1), width), F.upper(F.regexp_replace(b64, "[+/=]", "")).substr(F.lit(1), width))).alias("token"))
-    ids = docs.where("doc_id is not null").select(F.col("doc_id").alias("_d")).distinct().orderBy(F.crc32(F.col("_d").cast("string").cast("binary")), "_d").limit(TRAINING_DOCUMENTS)
-    few = docs.join(F.broadcast(ids), F.col("doc_id") == F.col("_d"), "left_semi")  # TRAINING_DOCUMENTS numbers
-    words = few.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"[A-Za-z_-]{6,}"), 0)).alias("token")).where(~F.col("token").rlike(HEX) & ~F.col("token").rlike(ACCESS))
-    distinct = words.groupBy("token").agg(F.count(F.lit(1)).alias("n")).orderBy(F.crc32(F.col("token").cast("binary")), "token").limit(TRAINING_ROWS)
-    joined = distinct.select(F.explode(F.array(F.col("token"), F.concat(F.lower("token"), F.lit("_"), F.reverse(F.lower("token"))), F.initcap(F.concat_ws("-", "token", "token")), F.upper("token"), F.upper(F.concat("token", F.reverse("token"))), F.concat(F.initcap("token"), F.initcap(F.reverse("token"))))).alias("token"))
+    words = docs.select(F.explode(F.regexp_extract_all("text", F.lit(r"[A-Za-z_-]{6,}"), 0)).alias("token")).distinct().where(~F.col("token").rlike(HEX) & ~F.col("token").rlike(ACCESS))
+    joined = words.select(F.explode(F.array(F.col("token"), F.concat(F.lower("token"), F.lit("_"), F.reverse(F.lower("token"))), F.initcap(F.concat_ws("-", "token", "token")), F.upper("token"), F.upper(F.concat("token", F.reverse("token"))), F.concat(F.initcap("token"), F.initcap(F.reverse("token"))))).alias("token"))
     return random.withColumn("secret", F.lit(1)).unionByName(joined.withColumn("secret", F.lit(0)))
 
 
@@ -52,7 +51,8 @@ def train(samples: DataFrame) -> list[float]:
     most come to the driver, whatever the sample.
     """
     usable = samples.where("token is not null and secret in (0, 1)").select("token", "secret")
-    steps = F.transform(F.sequence(F.lit(1), F.length("token") - 1), lambda i: _state(F.substring(F.col("token"), i, F.lit(1))) * STATES + _state(F.substring(F.col("token"), i + 1, F.lit(1))))
+    chars, n = F.split("token", ""), F.length("token")
+    steps = F.zip_with(F.slice(chars, 1, n - 1), F.slice(chars, 2, n - 1), lambda a, b: _state(a) * STATES + _state(b))
     counts = usable.where(F.length("token") >= 2).select("secret", F.explode(steps).alias("t")).groupBy("secret", "t").count().collect()
     logs = {}
     for label in (0, 1):
@@ -65,28 +65,59 @@ def train(samples: DataFrame) -> list[float]:
 
 
 def log_ratio(token: Column, model: list[float]) -> Column:
-    """Sum of the transitions' log-likelihood ratios."""
+    """Sum of the transitions' log-likelihood ratios: one pass over the characters, whatever the token's length."""
     table = F.array(*[F.lit(x) for x in model])
-    steps = F.sequence(F.lit(1), F.length(token) - 1)
-    return F.aggregate(steps, F.lit(0.0), lambda s, i: s + F.element_at(table, (_state(F.substring(token, i, F.lit(1))) * STATES + _state(F.substring(token, i + 1, F.lit(1))) + 1).cast("int")))
+    start = F.struct(F.lit(-1).alias("last"), F.lit(0.0).alias("sum"))
+
+    def step(a: Column, char: Column) -> Column:
+        more = F.when(a["last"] < 0, 0.0).otherwise(F.element_at(table, (a["last"] * STATES + _state(char) + 1).cast("int")))
+        return F.struct(_state(char).cast("int").alias("last"), (a["sum"] + more).alias("sum"))
+
+    return F.aggregate(F.split(token, ""), start, step, lambda a: a["sum"])
+
+
+def _push(block: Column, blocks: Column, spans: Column) -> list[Column]:
+    """block and blocks with `spans` put behind: a full block goes to the blocks, so that a walk over n spans copies about n * GATHERED references, not n * n."""
+    full = F.size(block) >= GATHERED
+    return [F.when(full, spans).otherwise(F.concat(block, spans)).alias("block"), F.when(full, F.concat(blocks, F.array(block))).otherwise(blocks).alias("blocks")]
+
+
+def _none(of: str) -> Column:
+    return F.array().cast(of)
 
 
 def _spans(text: Column, pattern: str, kind: str, order: int, keep=None) -> Column:
     """Array of (s, o, e, kind) of the pattern's matches, leftmost first, without overlap: the lengths of what stands between and of the matches themselves give the places."""
     # both arrays are arguments of the walk, so each is computed once a text; the last gap has no match behind it
     parts = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), 0).alias("match"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,o:int,e:int,kind:string>>").alias("spans"))
+    start = F.struct(F.lit(0).alias("at"), _none(SPANS).alias("block"), _none(f"array<{SPANS}>").alias("blocks"))
 
     def step(a: Column, part: Column) -> Column:
         s = a["at"] + F.length(part["gap"])
         e = s + F.length(part["match"])
         span = F.array(F.struct(s.alias("s"), F.lit(order).alias("o"), e.alias("e"), F.lit(kind).alias("kind")))
         wanted = part["match"].isNotNull() if keep is None else part["match"].isNotNull() & keep(part["match"])
-        return F.struct(e.alias("at"), F.when(wanted, F.concat(a["spans"], span)).otherwise(a["spans"]).alias("spans"))
+        return F.struct(e.alias("at"), *_push(a["block"], a["blocks"], F.when(wanted, span).otherwise(_none(SPANS))))
+
+    walk = F.aggregate(parts, start, step, lambda a: F.concat(F.flatten(a["blocks"]), a["block"]))
+    return F.when(text.rlike(pattern), walk).otherwise(_none(SPANS))
+
+
+def _free(likely: Column, base: Column) -> Column:
+    """The spans of `likely`, which don't overlap each other, that overlap none of `base`: one walk over all of them by their starts."""
+    markov = lambda x: x["kind"] == "markov"
+    start = F.struct(F.lit(0).alias("upto"), _none(SPANS).alias("open"), _none(SPANS).alias("block"), _none(f"array<{SPANS}>").alias("blocks"))
+
+    def step(a: Column, x: Column) -> Column:
+        # a span waits until the next one begins: until then a fixed pattern may begin inside it
+        hit = (F.size(a["open"]) > 0) & (x["s"] < F.get(a["open"], F.lit(0))["e"])
+        waits = F.when(markov(x), F.when(x["s"] < a["upto"], _none(SPANS)).otherwise(F.array(x))).otherwise(F.when(hit, _none(SPANS)).otherwise(a["open"]))
+        done = F.when(markov(x), a["open"]).otherwise(_none(SPANS))
+        upto = F.when(markov(x), a["upto"]).otherwise(F.greatest(a["upto"], x["e"]))
+        return F.struct(upto.alias("upto"), waits.alias("open"), *_push(a["block"], a["blocks"], done))
 
-    walk = F.aggregate(parts, start, step, lambda a: a["spans"])
-    none = F.array().cast("array<struct<s:int,o:int,e:int,kind:string>>")
-    return F.when(text.rlike(pattern), walk).otherwise(none)
+    walk = F.aggregate(F.array_sort(F.concat(base, likely)), start, step, lambda a: F.concat(F.flatten(a["blocks"]), a["block"], a["open"]))
+    return F.when(F.size(likely) > 0, walk).otherwise(_none(SPANS))
 
 
 def _written(spans: Column) -> Column:
@@ -108,8 +139,7 @@ def scan(docs: DataFrame, model: list[float], threshold: float = 16.0) -> DataFr
         _spans(F.col("_text"), HEX, "hex", 2).alias("_hex"),
     ).withColumn("_base", F.concat("_assign", "_access", "_hex"))
     likely = _spans(F.col("_text"), CANDIDATE, "markov", 3, lambda m: log_ratio(m, model) > threshold)
-    free = F.filter(likely, lambda x: ~F.exists("_base", lambda b: (x["s"] < b["e"]) & (b["s"] < x["e"])))
-    return base.withColumn("_markov", free).select(
+    return base.withColumn("_likely", likely).withColumn("_markov", _free(F.col("_likely"), F.col("_base"))).select(
         "doc_id", F.size("_assign").cast("long").alias("n_assign"), F.size("_access").cast("long").alias("n_access"), F.size("_hex").cast("long").alias("n_hex"),
         F.sha2(_written(F.col("_base")), 256).alias("base_sha256"), _written(F.concat("_base", "_markov")).alias("spans"), F.size("_markov").cast("long").alias("n_markov"),
     )

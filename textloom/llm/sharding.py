@@ -10,7 +10,7 @@ PRIME = 2**31 - 1
 MULTIPLIERS = (1103515245, 1664525, 22695477, 69069, 134775813, 214013, 1140671485, 48271)
 
 #: Row numbers are given out within so many hash buckets: each is sorted by one task, and only their counts are summed by one.
-BUCKETS = 4096
+BUCKETS = 1 << 16
 
 #: Points outside 0..rows-1 that one walk may meet. The Feistel domain has fewer than sqrt(rows) + 1 such points, so small tables can't need more and for larger ones the chance is below 64 ** -64 a row.
 WALK = 64
@@ -20,9 +20,11 @@ def global_row_numbers(df: DataFrame, key: str, tie: list[str], number: str = "r
     """Adds gapless row numbers from 0 and the number of rows.
 
     The order is that of (crc32 of the key modulo BUCKETS, key, tie columns): it depends on the rows alone, not on
-    their partitions. One shuffle of the rows by bucket; the 4,096 counts at most are summed by one task.
+    their partitions. Rows without a key are spread by their tie columns. One shuffle of the rows by bucket; the BUCKETS
+    counts at most are summed by one task.
     """
-    bucketed = df.withColumn("_bucket", (F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % BUCKETS).cast("int"))
+    spread = F.coalesce(F.col(key).cast("string"), F.concat_ws(":", *[F.col(c).cast("string") for c in tie]))
+    bucketed = df.withColumn("_bucket", (F.crc32(spread.cast("binary")) % BUCKETS).cast("int"))
     counts = bucketed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
     so_far = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -75,21 +77,22 @@ def shard(docs: DataFrame, shards: int = 16, seed: int = 0) -> DataFrame:
     and a row number can compute shard and slot. Null ids and texts sort first; rows that are equal in doc_id and text
     are interchangeable; an empty table stays empty; columns of these names in the input are replaced.
     """
-    own = ["row_no", "row_count", "shard", "slot", "_bucket", "_place", "_before", "_n", "_crc"]
-    df = docs.drop(*own).withColumn("_crc", F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
-    numbered = global_row_numbers(df, "doc_id", ["_crc"]).withColumn("_place", permuted(F.col("row_no"), F.col("row_count"), seed))
+    own = ["row_no", "row_count", "shard", "slot", "_bucket", "_place", "_before", "_n", "_one", "_two"]
+    text = F.coalesce(F.col("text"), F.lit(""))
+    df = docs.drop(*own).withColumn("_one", F.xxhash64(text)).withColumn("_two", F.xxhash64(F.lit("two"), text))
+    numbered = global_row_numbers(df, "doc_id", ["_one", "_two"]).withColumn("_place", permuted(F.col("row_no"), F.col("row_count"), seed))
     return (
         numbered.withColumn("shard", (F.col("_place") % shards).cast("int"))
         .withColumn("slot", F.floor(F.col("_place") / shards).cast("long"))
-        .drop("_place", "_crc")
+        .drop("_place", "_one", "_two")
     )
 
 
 def digest(docs: DataFrame, shards: int = 16, seed: int = 0) -> DataFrame:
     """Rows of the contract: the permutation is the same as shard()'s, but only sizes and checksums are shuffled, no texts."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    small = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).cast("long").alias("text_crc32"))
-    numbered = global_row_numbers(small, "doc_id", ["text_crc32"])
+    small = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).cast("long").alias("text_crc32"), F.xxhash64(text).alias("_one"), F.xxhash64(F.lit("two"), text).alias("_two"))
+    numbered = global_row_numbers(small, "doc_id", ["_one", "_two"])
     placed = numbered.withColumn("_at", permuted(F.col("row_no"), F.col("row_count"), seed))
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), (F.col("_at") % shards).cast("int").alias("shard"),
