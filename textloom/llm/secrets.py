@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,8 +18,8 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 STATES = len(ALPHABET) + 1
 #: Random strings that training makes.
 TRAINING_ROWS = 20_000
-#: Spans that a walk gathers before it puts them away: appending one at a time would copy all of them each time.
-GATHERED = 256
+#: Items of one chunk of a walk: what a walk gathers is copied at each of its steps, so long ones are cut.
+CHUNK = 256
 SPANS = "array<struct<s:int,o:int,e:int,kind:string>>"
 
 
@@ -76,48 +77,69 @@ def log_ratio(token: Column, model: list[float]) -> Column:
     return F.aggregate(F.split(token, ""), start, step, lambda a: a["sum"])
 
 
-def _push(block: Column, blocks: Column, spans: Column) -> list[Column]:
-    """block and blocks with `spans` put behind: a full block goes to the blocks, so that a walk over n spans copies about n * GATHERED references, not n * n."""
-    full = F.size(block) >= GATHERED
-    return [F.when(full, spans).otherwise(F.concat(block, spans)).alias("block"), F.when(full, F.concat(blocks, F.array(block))).otherwise(blocks).alias("blocks")]
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def _none(of: str) -> Column:
-    return F.array().cast(of)
+def _none() -> Column:
+    return F.array().cast(SPANS)
+
+
+def _walked(items: Column, total: Callable, add: Callable, walk: Callable) -> Column:
+    """Spans that walk(chunk, carry) finds in each chunk of the items; carry is what add() makes of the totals (integers) of the chunks before, from 0. In time linear in the items, but for one number a chunk."""
+
+    def carries(chunks: Column) -> Column:
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        more = lambda a, t: F.struct(add(a["at"], t).cast("int").alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out"))
+        return F.aggregate(F.transform(chunks, total), start, more, lambda a: a["out"])
+
+    def cut(all_: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.floor(F.greatest(F.size(all_) - 1, F.lit(0)) / CHUNK).cast("int"))
+        return F.transform(numbers, lambda i: F.slice(all_, i * CHUNK + 1, CHUNK))
+
+    return _let(items, lambda all_: _let(cut(all_), lambda chunks: F.flatten(F.zip_with(chunks, carries(chunks), walk))))
 
 
 def _spans(text: Column, pattern: str, kind: str, order: int, keep=None) -> Column:
     """Array of (s, o, e, kind) of the pattern's matches, leftmost first, without overlap: the lengths of what stands between and of the matches themselves give the places."""
-    # both arrays are arguments of the walk, so each is computed once a text; the last gap has no match behind it
+    # the last gap has no match behind it
     parts = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), 0).alias("match"))
-    start = F.struct(F.lit(0).alias("at"), _none(SPANS).alias("block"), _none(f"array<{SPANS}>").alias("blocks"))
+    length = lambda part: F.length(part["gap"]) + F.coalesce(F.length(part["match"]), F.lit(0))
 
     def step(a: Column, part: Column) -> Column:
         s = a["at"] + F.length(part["gap"])
-        e = s + F.length(part["match"])
+        e = a["at"] + length(part)
         span = F.array(F.struct(s.alias("s"), F.lit(order).alias("o"), e.alias("e"), F.lit(kind).alias("kind")))
         wanted = part["match"].isNotNull() if keep is None else part["match"].isNotNull() & keep(part["match"])
-        return F.struct(e.alias("at"), *_push(a["block"], a["blocks"], F.when(wanted, span).otherwise(_none(SPANS))))
+        return F.struct(e.alias("at"), F.when(wanted, F.concat(a["spans"], span)).otherwise(a["spans"]).alias("spans"))
+
+    def walk(chunk: Column, carry: Column) -> Column:
+        return F.aggregate(chunk, F.struct(carry.alias("at"), _none().alias("spans")), step, lambda a: a["spans"])
 
-    walk = F.aggregate(parts, start, step, lambda a: F.concat(F.flatten(a["blocks"]), a["block"]))
-    return F.when(text.rlike(pattern), walk).otherwise(_none(SPANS))
+    total = lambda chunk: F.aggregate(chunk, F.lit(0), lambda n, part: n + length(part))
+    return F.when(text.rlike(pattern), _walked(parts, total, lambda a, b: a + b, walk)).otherwise(_none())
 
 
 def _free(likely: Column, base: Column) -> Column:
-    """The spans of `likely`, which don't overlap each other, that overlap none of `base`: one walk over all of them by their starts."""
+    """The spans of `likely`, which don't overlap each other, that overlap none of `base`: one walk over all of them by their starts, as only the ends before and the next span matter to each."""
     markov = lambda x: x["kind"] == "markov"
-    start = F.struct(F.lit(0).alias("upto"), _none(SPANS).alias("open"), _none(SPANS).alias("block"), _none(f"array<{SPANS}>").alias("blocks"))
 
-    def step(a: Column, x: Column) -> Column:
-        # a span waits until the next one begins: until then a fixed pattern may begin inside it
-        hit = (F.size(a["open"]) > 0) & (x["s"] < F.get(a["open"], F.lit(0))["e"])
-        waits = F.when(markov(x), F.when(x["s"] < a["upto"], _none(SPANS)).otherwise(F.array(x))).otherwise(F.when(hit, _none(SPANS)).otherwise(a["open"]))
-        done = F.when(markov(x), a["open"]).otherwise(_none(SPANS))
+    def pairs(all_: Column) -> Column:
+        return F.arrays_zip(all_.alias("x"), F.slice(all_, 2, F.greatest(F.size(all_) - 1, F.lit(0))).alias("next"))
+
+    def step(a: Column, p: Column) -> Column:
+        x, after = p["x"], p["next"]
+        hit = (x["s"] < a["upto"]) | F.coalesce(~markov(after) & (after["s"] < x["e"]), F.lit(False))
         upto = F.when(markov(x), a["upto"]).otherwise(F.greatest(a["upto"], x["e"]))
-        return F.struct(upto.alias("upto"), waits.alias("open"), *_push(a["block"], a["blocks"], done))
+        return F.struct(upto.alias("upto"), F.when(markov(x) & ~hit, F.concat(a["spans"], F.array(x))).otherwise(a["spans"]).alias("spans"))
+
+    def walk(chunk: Column, carry: Column) -> Column:
+        return F.aggregate(chunk, F.struct(carry.alias("upto"), _none().alias("spans")), step, lambda a: a["spans"])
 
-    walk = F.aggregate(F.array_sort(F.concat(base, likely)), start, step, lambda a: F.concat(F.flatten(a["blocks"]), a["block"], a["open"]))
-    return F.when(F.size(likely) > 0, walk).otherwise(_none(SPANS))
+    ends = lambda chunk: F.aggregate(chunk, F.lit(0), lambda m, p: F.when(markov(p["x"]), m).otherwise(F.greatest(m, p["x"]["e"])))
+    found = _let(F.array_sort(F.concat(base, likely)), lambda all_: _walked(pairs(all_), ends, F.greatest, walk))
+    return F.when(F.size(likely) > 0, found).otherwise(_none())
 
 
 def _written(spans: Column) -> Column:
