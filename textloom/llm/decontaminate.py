@@ -22,8 +22,8 @@ NOT_NAMES = (
     "Al Como Con Cual Cuando Cuánto Cuántos De Del El Ella En Es Esta Este Hay Las Lo Los Más No Para Pero Por Qué Se Si Sin Su Sus Un Una Y Yo"
 )
 #: A capitalised word, wherever it stands: those of NOT_NAMES are words as others.
-NAME = r"(?<![\p{L}\p{N}])(?!(?:" + "|".join(sorted(set(NOT_NAMES.split()))) + r")(?![\p{L}\p{N}]))\p{Lu}\p{Ll}+(?![\p{L}\p{N}])"
-NUMBER = r"(?<![\p{L}\p{N}])[0-9][0-9.,]*"
+NAME = r"(?=\p{Lu})(?<![\p{L}\p{N}])(?!(?:" + "|".join(sorted(set(NOT_NAMES.split()))) + r")(?![\p{L}\p{N}]))\p{Lu}\p{Ll}+(?![\p{L}\p{N}])"
+NUMBER = r"(?=[0-9])(?<![\p{L}\p{N}])[0-9][0-9.,]*"
 UNIT = r"(?i)(<num=[^>]*>)(\x20?)(" + "|".join(UNITS) + r")(?![\p{L}\p{N}])"
 DROPPED = ".,;:!?\"'()[]{}"
 BLANKS = r"[\x20\x09-\x0D]+"
