@@ -59,6 +59,98 @@ def density_clusters(df: DataFrame, key: str, pos: str, vector: str, similarity:
     return named.join(clusters, "root", "left").select(F.col(key).cast("long").alias(key), F.col(pos).cast("long").alias(pos), F.coalesce("_label", F.lit(-1)).alias("label"))
 
 
+def hierarchy_labels(distance, least: int = 2):
+    """Labels (-1: none) of the clusters that HDBSCAN picks by excess of mass from a matrix of distances, one cluster of all points allowed: mutual reachability, its minimum spanning tree, the condensed tree, the most stable clusters."""
+    import numpy as np
+
+    n = len(distance)
+    if n < 2:
+        return np.full(n, -1)
+    near = min(n - 1, least)
+    core = np.partition(distance, near, axis=0)[near]
+    reach = np.maximum(np.maximum(core[:, None], core[None, :]), distance)
+    inside, best, frm, edges = np.zeros(n, bool), np.full(n, np.inf), np.zeros(n, int), []
+    at = 0
+    for _ in range(n - 1):
+        inside[at] = True
+        closer = ~inside & (reach[at] < best)
+        best[closer], frm[closer] = reach[at][closer], at
+        nxt = int(np.where(inside, np.inf, best).argmin())
+        edges.append((best[nxt], frm[nxt], nxt))
+        at = nxt
+    # the single-linkage tree: nodes n, n + 1, ... join two others at a distance
+    top, joined, size = list(range(n)), {}, [1] * n
+    find = lambda x: x if top[x] == x else find(top[x])
+    for d, a, b in sorted(edges):
+        a, b = find(a), find(b)
+        top[a] = top[b] = len(top)
+        joined[len(top)] = (a, b, d)
+        size.append(size[a] + size[b])
+        top.append(len(top))
+    # condensed: rows (parent cluster, child point or cluster, lambda, size); clusters are numbered from n in order of birth
+    points = lambda x: [x] if x < n else points(joined[x][0]) + points(joined[x][1])
+    rows, born, todo, clusters = [], {n: 0.0}, [(len(top) - 1, n)], n + 1
+    while todo:
+        node, own = todo.pop(0)
+        a, b, d = joined[node]
+        density = 1 / max(d, 1e-12)
+        large = [x for x in (a, b) if size[x] >= least]
+        for x in (a, b):
+            if len(large) == 2:
+                rows.append((own, clusters, density, size[x]))
+                born[clusters] = density
+                todo.append((x, clusters)) if x >= n else rows.append((clusters, x, density, 1))
+                clusters += 1
+            elif x in large:
+                todo.append((x, own)) if x >= n else rows.append((own, x, density, 1))
+            else:
+                rows += [(own, p, density, 1) for p in points(x)]
+    stable = {c: sum((lam - born[c]) * k for parent, _, lam, k in rows if parent == c) for c in born}
+    chosen, below = set(born), {c: [x for parent, x, _, _ in rows if parent == c and x >= n] for c in born}
+    for c in sorted(born, reverse=True):
+        under = sum(stable[x] for x in below[c])
+        if below[c] and under > stable[c]:
+            chosen.discard(c)
+            stable[c] = under
+        else:
+            drop = list(below[c])
+            while drop:
+                x = drop.pop()
+                chosen.discard(x)
+                drop += below[x]
+    parent = {x: (c, lam) for c, x, lam, _ in rows}
+    last = max(lam for c, _, lam, _ in rows if c == n)
+    labels = np.full(n, -1)
+    number = {c: i for i, c in enumerate(sorted(chosen))}
+    for p in range(n):
+        c = parent[p][0]
+        while c not in chosen and c in parent:
+            c = parent[c][0]
+        if c in chosen and (c != n or parent[p][1] >= last):
+            labels[p] = number[c]
+    return labels
+
+
+def term_clusters(terms: DataFrame, key: str, term: str, vector: str, least: int = 2) -> DataFrame:
+    """(key, term, label): density clusters (HDBSCAN on 1 - cosine) of each document's terms; -1 for terms in none, and for a single term.
+
+    For short lists of terms, of which extractors give a stated number a document: each list is one group.
+    """
+
+    def run(pdf):
+        import numpy as np
+
+        pdf = pdf.sort_values(term).reset_index(drop=True)
+        x = np.array([list(v) for v in pdf[vector]], float)
+        length = np.linalg.norm(x, axis=1, keepdims=True)
+        x = np.divide(x, length, out=np.zeros_like(x), where=length > 0)
+        distance = np.clip(1 - x @ x.T, 0, 2)
+        np.fill_diagonal(distance, 0)
+        return pdf[[key, term]].assign(label=hierarchy_labels(distance, least))
+
+    return terms.select(key, term, vector).groupBy(key).applyInPandas(run, f"{key} long, {term} string, label int")
+
+
 def kmeans_topics(df: DataFrame, key: str, vector: str, k: int = 5, seed: int = 42):
     """(key, topic, confidence) by k-means, confidence falling with the distance to the centre; and the centres."""
     from pyspark.ml.clustering import KMeans

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+import re
+from collections import Counter
+from statistics import median
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,47 +58,138 @@ def cosine_pairs(left: DataFrame, right: DataFrame, key: str = "doc_id") -> Data
 
 def bm25(docs: DataFrame, queries: DataFrame, key: str = "doc_id", query: str = "query_id", text: str = "text", k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """(query, key, score): Okapi BM25 with a smoothed positive idf; only documents that share a word with the query have a row."""
-    tokens = docs.select(key, F.explode(T.split_words(F.lower(F.col(text)))).alias("term"))
-    tf = tokens.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
-    length = docs.select(key, F.size(T.split_words(F.lower(F.col(text)))).alias("len"))
-    stats = length.agg(F.count(F.lit(1)).alias("_n"), F.avg("len").alias("_avg"))  # one row
-    asked = queries.select(query, F.explode(F.array_distinct(T.split_words(F.lower(F.col(text))))).alias("term"))
-    df = tf.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    words = T.split_words(F.lower(F.col(text)))
+    asked = queries.select(query, F.explode(F.array_distinct(words)).alias("term"))
+    stats = docs.agg(F.count(F.lit(1)).alias("_n"), F.avg(F.size(words)).alias("_avg"))  # one row
+    # only words that are asked for leave the place where they are read, with the length of their document
+    tokens = docs.select(key, words.alias("_w")).select(key, F.size("_w").alias("len"), F.explode("_w").alias("term"))
+    tf = tokens.join(asked.select("term").distinct(), "term", "left_semi").groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("len").alias("len"))
+    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (F.col("_n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("_avg")))
-    return asked.join(df, "term").join(tf, "term").join(length, key).join(F.broadcast(stats)).groupBy(query, key).agg(F.sum(part).alias("score"))
+    return asked.join(df, "term").join(tf, "term").join(F.broadcast(stats)).groupBy(query, key).agg(F.sum(part).alias("score"))
+
+
+def edits(a: str, b: str) -> int:
+    """Insertions, deletions and replacements between two strings."""
+    last = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row = [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (x != y)))
+        last = row
+    return last[-1]
+
+
+def alike(a: str, b: str, similar: float) -> bool:
+    """Whether 1 - edits / length of the longer one exceeds `similar`."""
+    longer = max(len(a), len(b))
+    if a == b or longer - min(len(a), len(b)) >= (1 - similar) * longer:
+        return a == b
+    return 1 - edits(a, b) / longer > similar
+
+
+SENTENCE = re.compile(r"[.!?\n]+")
+WORD = re.compile(r"[^\W\d_]\w*")
+
+
+def keywords_of(text: str, stop: frozenset[str], most: int, top: int | None, similar: float) -> list[tuple[str, int, float]]:
+    """(candidate, tf, score) of one text, best (lowest) first; see keyword_scores()."""
+    chunks, sentence_no, heads = [], [], []
+    for no, sentence in enumerate(s for s in SENTENCE.split(text) if s.strip()):
+        end = None
+        for m in WORD.finditer(sentence):
+            if end is None or sentence[end : m.start()].strip():  # a sign or a number between two words parts them
+                chunks.append([])
+                sentence_no.append(no)
+                heads.append(end is None)
+            chunks[-1].append(m[0])
+            end = m.end()
+    sentences = 1 + max(sentence_no, default=0)
+    tf, capital, acronym, where, pairs = Counter(), Counter(), Counter(), {}, Counter()
+    left, right = {}, {}
+    low = [[w.lower() for w in chunk] for chunk in chunks]
+    for chunk, words, no, head in zip(chunks, low, sentence_no, heads, strict=True):
+        tf.update(words)
+        pairs.update(zip(words, words[1:], strict=False))
+        for i, (raw, w) in enumerate(zip(chunk, words, strict=True)):
+            where.setdefault(w, []).append(no)
+            if len(raw) > 1 and raw.isupper():
+                acronym[w] += 1
+            elif raw[0].isupper() and not (head and i == 0):
+                capital[w] += 1
+    for (a, b), n in pairs.items():
+        right.setdefault(a, []).append(n)
+        left.setdefault(b, []).append(n)
+    weak = {w for w in tf if w in stop or len(w) < 3}
+    counts = [n for w, n in tf.items() if w not in weak]
+    if not counts:
+        return []
+    mean = sum(counts) / len(counts)
+    spread = math.sqrt(sum((n - mean) ** 2 for n in counts) / len(counts))
+    highest = max(tf.values())
+    share = lambda x: len(x) / sum(x) if x else 0.0
+    weight = {}
+    for w, n in tf.items():
+        if w not in weak:
+            related = 1 + (share(left.get(w)) + share(right.get(w))) * n / highest
+            place = math.log(math.log(3 + median(set(where[w]))))
+            case = max(acronym[w], capital[w]) / (1 + math.log(n))
+            weight[w] = place * related / (case + n / (mean + spread) / related + len(set(where[w])) / sentences / related)
+    found: Counter = Counter()
+    for words in low:
+        for i, w in enumerate(words):
+            if w not in weak:
+                for j in range(i + 1, min(i + most, len(words)) + 1):
+                    if words[j - 1] not in weak:
+                        found[tuple(words[i:j])] += 1
+    scored = []
+    for words, n in found.items():
+        product, total = 1.0, 0.0
+        for i, w in enumerate(words):
+            if w in weak:  # a weak word inside counts by how often its neighbours go with it
+                chance = pairs[words[i - 1], w] / tf[words[i - 1]] * pairs[w, words[i + 1]] / tf[words[i + 1]]
+                product *= 2 - chance
+                total -= 1 - chance
+            else:
+                product *= weight[w]
+                total += weight[w]
+        scored.append((round(product / (n * (total + 1)), 9), " ".join(words), n))
+    out: list[tuple[str, int, float]] = []
+    for score, words, n in sorted(scored):
+        if top is not None and len(out) >= top:
+            break
+        if not any(alike(words, x, similar) for x, _, _ in out):
+            out.append((words, n, score))
+    return out
+
+
+def keyword_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", stopwords: list[str] | None = None, most: int = 3, top: int | None = 20, similar: float = 0.9) -> DataFrame:
+    """(key, word, tf, score, rank), the best `top` candidates of 1 to `most` words of each document, lower is better, after the published YAKE statistics.
+
+    A word's weight comes from its casing, its place, frequency, relatedness to its neighbours and spread over sentences;
+    a candidate's from the product of its words' weights, over its frequency and their sum; candidates neither begin nor
+    end with a stopword or a word of fewer than three letters, and don't cross punctuation or numbers. A candidate goes
+    if it is alike (edit distance) to a better one. All that is counted belongs to one document, so it is computed where
+    the document is read: no shuffle. Null and blank texts have no row.
+    """
+    stop = frozenset(stopwords or [])
 
+    def run(batches):
+        import pyarrow as pa
 
-def keyword_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", stopwords: list[str] | None = None) -> DataFrame:
-    """(key, word, tf, score), lower is better: a word's casing, position, frequency, relatedness to neighbours and spread over sentences, after the published YAKE statistics."""
-    stop = stopwords or []
-    sentences = docs.select(key, F.posexplode(F.split(F.col(text), r"[.!?\n]+")).alias("sentence", "_s"))
-    words = sentences.select(key, "sentence", F.posexplode(F.regexp_extract_all("_s", F.lit("[A-Za-z][A-Za-z0-9_]*"), 0)).alias("place", "raw"))
-    own = Window.partitionBy(key, "sentence").orderBy("place")
-    w = words.withColumn("word", F.lower("raw")).withColumn("left", F.lag("word").over(own)).withColumn("right", F.lead("word").over(own))
-    stats = w.groupBy(key, "word").agg(
-        F.count(F.lit(1)).alias("tf"),
-        F.sum(((F.col("place") > 0) & F.col("raw").rlike("^[A-Z]")).cast("int")).alias("_cap"),
-        F.sum(((F.length("raw") > 1) & F.col("raw").rlike("^[A-Z0-9_]+$")).cast("int")).alias("_acronym"),
-        F.count_distinct("sentence").alias("_sentences"),
-        F.min("sentence").alias("_first"),
-        F.count("left").alias("_nl"), F.count_distinct("left").alias("_dl"), F.count("right").alias("_nr"), F.count_distinct("right").alias("_dr"),
-    )
-    doc = stats.groupBy(key).agg(F.avg("tf").alias("_mean"), F.stddev_pop("tf").alias("_std"), F.max("tf").alias("_max"))
-    count = sentences.groupBy(key).agg(F.count(F.lit(1)).alias("_all"))
-    x = stats.join(doc, key).join(count, key).where(F.length("word") > 2)
-    x = x.where(~F.col("word").isin(stop)) if stop else x
-    case = F.greatest("_cap", "_acronym") / (1 + F.log(F.col("tf").cast("double")))
-    place = F.log(F.log(3.0 + F.col("_first")) + 1)
-    freq = F.col("tf") / (F.col("_mean") + F.col("_std"))
-    side = lambda d, n: F.when(F.col(n) > 0, F.col(d) / F.col(n)).otherwise(0.0)
-    related = 1 + (side("_dl", "_nl") + side("_dr", "_nr")) * F.col("tf") / F.col("_max")
-    spread = F.col("_sentences") / F.col("_all")
-    return x.select(key, "word", "tf", (related * place / (case + freq / related + spread / related)).alias("score"))
-
-
-def word_ranks(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 2, rounds: int = 10, damping: float = 0.85, stopwords: list[str] | None = None) -> DataFrame:
-    """(key, word, rank): PageRank with a fixed number of rounds over each document's graph of words that stand at most `window` apart.
+        for batch in batches:
+            for one, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                found = keywords_of(t.as_py() or "", stop, most, top, similar)
+                if found:
+                    words, tf, score = zip(*found, strict=True)
+                    yield pa.RecordBatch.from_pydict({key: pa.array([one] * len(found), pa.int64()), "word": pa.array(words, pa.string()), "tf": pa.array(tf, pa.int64()), "score": pa.array(score, pa.float64()), "rank": pa.array(range(1, len(found) + 1), pa.int32())})
+
+    return docs.select(F.col(key).cast("long").alias(key), F.col(text).cast("string").alias(text)).mapInArrow(run, f"{key} long, word string, tf long, score double, rank int")
+
+
+def word_ranks(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 2, rounds: int = 100, damping: float = 0.85, tolerance: float = 1e-6, stopwords: list[str] | None = None) -> DataFrame:
+    """(key, word, rank): PageRank over each document's graph of words that stand at most `window` apart, until a round moves less than `tolerance` in all (after `rounds` at the latest).
 
     A document's graph is as small as the document, so it is built and ranked where the document is read: no shuffle.
     """
@@ -117,7 +213,9 @@ def word_ranks(docs: DataFrame, key: str = "doc_id", text: str = "text", window:
         a, b, n = place[a], place[b], int(linked.sum())
         rank = np.full(n, 1.0 / max(1, n))
         for _ in range(rounds):
-            rank = (1 - damping) / max(1, n) + damping * np.bincount(b, share * rank[a], n)
+            last, rank = rank, (1 - damping) / max(1, n) + damping * np.bincount(b, share * rank[a], n)
+            if np.abs(rank - last).sum() < tolerance:
+                break
         return names, rank
 
     def run(batches):

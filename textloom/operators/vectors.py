@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from typing import Protocol
 
@@ -25,10 +26,15 @@ def norm(a: Column | str) -> Column:
     return F.sqrt(dot(a, a))
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once: inside a lambda it would be computed for each element."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def unit(a: Column | str) -> Column:
     """The vector at length 1; zeros stay zeros."""
-    n = norm(a)
-    return F.when(n > 0, F.transform(col(a), lambda x: x / n)).otherwise(F.transform(col(a), lambda x: x.cast("double")))
+    scaled = lambda v, n: F.when(n > 0, F.transform(v, lambda x: x / n)).otherwise(F.transform(v, lambda x: x.cast("double")))
+    return once(col(a), lambda v: once(norm(v), lambda n: scaled(v, n)))
 
 
 def cosine(a: Column | str, b: Column | str, clamp: str = "none") -> Column:
@@ -64,15 +70,34 @@ def _scaled(v: Column | str, weight: float) -> Column:
     return F.transform(col(v), lambda x: x.cast("double") * weight)
 
 
+#: Bytes of queries that are broadcast at most; more are dealt in blocks.
+MOST_BYTES = 64_000_000
+
+
+def against(queries: DataFrame, rows: DataFrame, on: Column | None = None, bytes_a_row: int = 1000, most: int = MOST_BYTES) -> DataFrame:
+    """Every query with every row (`on`: of which this holds): a stated set of queries against all rows.
+
+    The queries are counted. Up to `most` bytes they are broadcast and the rows stay where they are; beyond, they are cut
+    into blocks of that size, and each row goes to each block.
+    """
+    blocks = -(-queries.count() * bytes_a_row // max(1, most))
+    if blocks <= 1:
+        joined = rows.crossJoin(F.broadcast(queries))
+        return joined if on is None else joined.where(on)
+    asked = queries.withColumn("_block", F.pmod(F.xxhash64(*queries.columns), F.lit(blocks)).cast("int"))
+    dealt = rows.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(asked, "_block").drop("_block")
+    return dealt if on is None else dealt.where(on)
+
+
 def top_similar(queries: DataFrame, base: DataFrame, query: str, key: str, vector: str, k: int, threshold: float = 0.0) -> DataFrame:
     """(query, key, score, rank): the k most similar rows of base for each query, itself excluded, by cosine of at least `threshold`.
 
-    A stated set of queries goes against all rows: the queries are grouped into one block of arrays for every task,
-    rows of base stay where they are, and only rows above the threshold reach the ranking. Ties go by key.
+    A stated set of queries goes against all rows, see against(); only rows above the threshold reach the ranking. Ties
+    go by key.
     """
     asked = queries.select(F.col(query).alias("_q"), unit(vector).alias("_qv"))
     rows = base.select(F.col(key).alias("_k"), unit(vector).alias("_kv"))
-    pairs = rows.join(asked, F.col("_q") != F.col("_k")).select("_q", "_k", dot("_qv", "_kv").alias("score")).where(F.col("score") >= threshold)
+    pairs = against(asked, rows, F.col("_q") != F.col("_k")).select("_q", "_k", dot("_qv", "_kv").alias("score")).where(F.col("score") >= threshold)
     rank = F.row_number().over(Window.partitionBy("_q").orderBy(F.desc("score"), "_k"))
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("_q").alias("query"), F.col("_k").alias("match"), "score", "rank")
 

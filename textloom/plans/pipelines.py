@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
-from textloom.operators import classify, concepts, filters, lexical, ranking
+from textloom.operators import classify, cluster, concepts, filters, lexical, ranking
 from textloom.operators import vectors as X
+from textloom.sources.scratch import materialize
 
 
 def extract_metadata(docs: DataFrame, keywords: DataFrame, domains: DataFrame, approved: DataFrame | None = None, stopwords: list[str] | None = None, top: int = 20, key: str = "doc_id") -> DataFrame:
@@ -34,25 +37,71 @@ def extract_metadata(docs: DataFrame, keywords: DataFrame, domains: DataFrame, a
     return x.select(key, "keywords", n_keywords.alias("n_keywords"), n_concepts.alias("n_concepts"), F.coalesce("n_noise", F.lit(0)).alias("n_noise"), "domain", "share", concepts.quality_score(n_keywords, n_concepts, "share", "_len").alias("quality"))
 
 
-def hybrid_concepts(docs: DataFrame, stopwords: list[str], key: str = "doc_id", top: int = 20, clean: bool = True, stem: bool = True, validate: bool = False, similar: float | None = None) -> DataFrame:
-    """(key, term, score, source): noise out, statistical and graph keywords merged, noisy phrases out, one term a stem, and the optional stages."""
+@dataclass(frozen=True)
+class Stages:
+    """Which stages hybrid_concepts() has, and their thresholds (None: the stage is left out)."""
+
+    clean: bool = True
+    phrases: bool = True
+    stems: bool = True
+    patterns: bool = True
+    seeds: float | None = 0.35
+    clusters: int | None = 2
+    similar: float | None = 0.15
+
+
+def concept_candidates(docs: DataFrame, stopwords: list[str], key: str = "doc_id", top: int = 20, clean: bool = True) -> DataFrame:
+    """(key, term, score, source): the best `top` statistical keywords and graph keywords of each document, merged."""
     texts = docs.select(key, (filters.clean_text("text") if clean else F.col("text")).alias("text"))
-    first = lambda o: Window.partitionBy(key).orderBy(*o)
-    scored = lexical.keyword_scores(texts, key, stopwords=stopwords).withColumn("score", F.round("score", 9))
-    scored = scored.withColumn("pos", F.row_number().over(first(["score", "word"]))).where(F.col("pos") <= top).select(key, "pos", F.col("word").alias("term"), "score")
+    scored = lexical.keyword_scores(texts, key, stopwords=stopwords, top=top).select(key, F.col("rank").alias("pos"), F.col("word").alias("term"), "score")
     ranked = lexical.word_ranks(texts, key, stopwords=stopwords).withColumn("rank", F.round("rank", 9))
-    ranked = ranked.withColumn("pos", F.row_number().over(first([F.desc("rank"), "word"]))).where(F.col("pos") <= top).select(key, "pos", F.col("word").alias("term"))
-    out = concepts.merge_terms(scored, ranked, key)
-    if clean:
-        out = out.where(filters.clean_phrase("term"))
-    if stem:
-        out = ranking.first_by(out, [key, F.lower(T.stem("term"))], ["score", "term"])
-    if validate:
-        out = out.where(filters.concept_reason("term").isNull())
-    if similar is not None:
-        v = lambda c: X.hash_embedding(c, 16)
-        out = out.join(docs.select(key, v(F.col("text")).alias("_d")), key).where(X.dot(v(F.col("term")), "_d") >= similar).drop("_d")
-    return out
+    best = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("rank"), "word"))
+    ranked = ranked.withColumn("pos", best).where(F.col("pos") <= top).select(key, "pos", F.col("word").alias("term"))
+    return concepts.merge_terms(scored, ranked, key)
+
+
+def audited_concepts(docs: DataFrame, stopwords: list[str], key: str = "doc_id", top: int = 20, stages: Stages = Stages(), seeds: list[str] | None = None, embed: X.Embedder = X.hash_embedding) -> DataFrame:
+    """(key, term, score, source, dropped): all candidates, with the stage that dropped each, or null.
+
+    Noise out, statistical and graph keywords merged, noisy phrases out (phrases), one term a stem (stems), concept
+    patterns (patterns), similarity to a seed phrase (seeds), the shortest of each density cluster (clusters), similarity
+    to the document (similar). A stage judges only what the stages before it left; nothing is computed twice.
+    """
+    out = concept_candidates(docs, stopwords, key, top, stages.clean).withColumn("dropped", F.lit(None).cast("string"))
+    left = F.col("dropped").isNull()
+    drop = lambda df, name, bad: df.withColumn("dropped", F.when(left & bad, name).otherwise(F.col("dropped")))
+    if stages.phrases:
+        out = drop(out, "phrases", ~filters.clean_phrase("term"))
+    if stages.stems:
+        place = F.row_number().over(Window.partitionBy(key, F.lower(T.stem("term")), F.col("dropped").isNull()).orderBy("score", "term"))
+        out = drop(out.withColumn("_place", place), "stems", F.col("_place") > 1).drop("_place")
+    if stages.patterns:
+        out = drop(out, "patterns", filters.concept_reason("term").isNotNull())
+    out = out.withColumn("_v", embed(F.col("term")))
+    if stages.seeds is not None and seeds:
+        known = docs.sparkSession.range(1).select(*[embed(F.lit(s)) for s in seeds]).first()  # a stated list of phrases
+        nearest = F.array_max(F.array(*[X.cosine("_v", F.array(*[F.lit(float(x)) for x in v])) for v in known]))
+        out = drop(out, "seeds", nearest < stages.seeds)
+    if stages.clusters is not None:
+        out = materialize(docs.sparkSession, out)  # read twice from here
+        labels = cluster.term_clusters(out.where("dropped is null"), key, "term", "_v", stages.clusters)
+        out = out.join(labels, [key, "term"], "left")
+        place = F.row_number().over(Window.partitionBy(key, "label").orderBy(F.length("term"), "score", "term"))
+        out = drop(out.withColumn("_place", place), "clusters", (F.col("label") >= 0) & (F.col("_place") > 1)).drop("_place", "label")
+    if stages.similar is not None:
+        out = out.join(docs.select(key, embed(F.col("text")).alias("_d")), key)
+        out = drop(out, "similar", X.cosine("_v", "_d") < stages.similar).drop("_d")
+    return out.drop("_v")
+
+
+def hybrid_concepts(docs: DataFrame, stopwords: list[str], key: str = "doc_id", top: int = 20, stages: Stages = Stages(), seeds: list[str] | None = None, embed: X.Embedder = X.hash_embedding) -> DataFrame:
+    """(key, term, score, source): what all stages of audited_concepts() leave."""
+    return audited_concepts(docs, stopwords, key, top, stages, seeds, embed).where("dropped is null").drop("dropped")
+
+
+def stage_counts(audited: DataFrame) -> DataFrame:
+    """(stage, terms): how many candidates each stage dropped, and how many were kept."""
+    return audited.groupBy(F.coalesce("dropped", F.lit("kept")).alias("stage")).agg(F.count(F.lit(1)).alias("terms"))
 
 
 def keyword_graph(queries: DataFrame, key: list[str], text: str = "text", top: int = 5, related: int = 5) -> DataFrame:
@@ -64,7 +113,7 @@ def keyword_graph(queries: DataFrame, key: list[str], text: str = "text", top: i
 
 def extract_terms(queries: DataFrame, stopwords: list[str], key: str = "doc_id", limit: int = 10, validate: float | None = None) -> DataFrame:
     """(key, term, score, models_agreed): candidates of both extractors, validated, ranked, in consensus, the best `limit`."""
-    merged = hybrid_concepts(queries, stopwords, key, clean=False, stem=False)
+    merged = concept_candidates(queries, stopwords, key, clean=False)
     n = F.count(F.lit(1)).over(Window.partitionBy(key))
     place = F.row_number().over(Window.partitionBy(key).orderBy("score", "term")) - 1
     ok = F.lit(True) if validate is None else X.dot(X.hash_embedding("term", 16), X.hash_embedding(F.lit("general programming"), 16)) >= validate
@@ -88,7 +137,7 @@ def cross_references(vectors: DataFrame, queries: DataFrame, key: str, vector: s
     """(query, match, base, boost, score, rank): cosine plus a bonus for one topic, above a threshold, the best k."""
     q = queries.select(F.col(key).alias("_q"), X.unit(vector).alias("_qv"), F.col(topic).alias("_qt"))
     rows = vectors.select(F.col(key).alias("_k"), X.unit(vector).alias("_kv"), F.col(topic).alias("_kt"))
-    pairs = rows.join(q, F.col("_q") != F.col("_k")).select("_q", "_k", F.round(X.dot("_qv", "_kv"), 6).alias("base"), F.when(F.col("_qt") == F.col("_kt"), bonus).otherwise(0.0).alias("boost"))
+    pairs = X.against(q, rows, F.col("_q") != F.col("_k")).select("_q", "_k", F.round(X.dot("_qv", "_kv"), 6).alias("base"), F.when(F.col("_qt") == F.col("_kt"), bonus).otherwise(0.0).alias("boost"))
     scored = pairs.withColumn("score", F.round(F.col("base") + F.col("boost"), 6)).where(F.col("score") >= least)
     best = F.row_number().over(Window.partitionBy("_q").orderBy(F.desc("score"), "_k"))
     return scored.withColumn("rank", best).where(F.col("rank") <= k).select(F.col("_q").alias("query"), F.col("_k").alias("match"), "base", "boost", "score", "rank")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from textloom.functions import text as T
 from textloom.operators import concepts, metrics, ranking
 from textloom.operators import vectors as X
+from textloom.queries.filters import CODE_WORDS, code_sql
 from textloom.queries.joins import COS, DIMS, STAGES, VERDICTS, assembled, domain_dim, hits, hits_sql, verdicts
 from textloom.queries.registry import TOKENS_SQL, docs, query, table, tokens
 
@@ -79,7 +80,9 @@ SELECT term AS concept, count(*) AS occurrences, count(DISTINCT source) AS books
 def a07(spark, d):
     x = docs(spark, d).select("doc_id", "source", "lang", F.explode(T.words("text")).alias("term")).where("length(term) > 3")
     sample = F.array_join(F.slice(F.array_sort(F.collect_set("lang")), 1, 10), ",")  # languages: few, so the set is small
-    out = x.groupBy(F.col("term").alias("concept")).agg(F.count(F.lit(1)).alias("occurrences"), F.count_distinct("source").alias("books"), F.count_distinct("doc_id").alias("chapters"), F.max("source").alias("last_source"), sample.alias("sample"))
+    # a word's occurrences in a document are counted first, then documents: no distinct count over occurrences
+    chapters = x.groupBy("term", "doc_id", "source", "lang").agg(F.count(F.lit(1)).alias("n"))
+    out = chapters.groupBy(F.col("term").alias("concept")).agg(F.sum("n").alias("occurrences"), F.size(F.collect_set("source")).cast("long").alias("books"), F.count(F.lit(1)).alias("chapters"), F.max("source").alias("last_source"), sample.alias("sample"))
     return out.where("occurrences >= 5")
 
 
@@ -96,7 +99,7 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, m) A
 def retrieved(spark, d):
     e = table(spark, d, "embeddings")
     q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), F.col("label").alias("ql"), F.col("embedding").alias("qe"))
-    sims = e.join(q, F.col("vec_id") != F.col("q")).select("q", F.col("vec_id").alias("m"), F.round(X.cosine("qe", "embedding"), 6).alias("score"), (F.col("ql") == F.col("label")).alias("rel"))
+    sims = X.against(q, e.select("vec_id", "embedding", "label"), F.col("vec_id") != F.col("q"), bytes_a_row=200).select("q", F.col("vec_id").alias("m"), F.round(X.cosine("qe", "embedding"), 6).alias("score"), (F.col("ql") == F.col("label")).alias("rel"))
     w = Window.partitionBy("q")
     return sims.withColumn("rk", F.row_number().over(w.orderBy(F.desc("score"), "m"))).withColumn("nrel", F.count_if("rel").over(w))
 
@@ -117,9 +120,10 @@ def a10(spark, d):
     return metrics.average_precision(retrieved(spark, d), "q", "rk", "rel", "nrel").withColumn("ap", F.round("ap", 6))
 
 
-@query("a11_code_query_recall", f"WITH {RETRIEVED}, h AS (SELECT q, max((rel AND rk <= 10)::INT) AS hit FROM ranked WHERE q % 200 = 0 GROUP BY q) SELECT round(avg(hit), 6) AS recall, count(*) AS n FROM h")
+@query("a11_code_query_recall", f"WITH {RETRIEVED}, code AS (SELECT doc_id FROM documents WHERE {code_sql('text')}), h AS (SELECT q, max((rel AND rk <= 10)::INT) AS hit FROM ranked WHERE q IN (SELECT doc_id FROM code) GROUP BY q) SELECT round(avg(hit), 6) AS recall, count(*) AS n FROM h")
 def a11(spark, d):
-    h = retrieved(spark, d).where("q % 200 = 0").groupBy("q").agg(F.max((F.col("rel") & (F.col("rk") <= 10)).cast("int")).alias("hit"))
+    code = docs(spark, d).where(T.is_code_query("text", CODE_WORDS)).select(F.col("doc_id").alias("q"))  # a query's text is the document of its id
+    h = retrieved(spark, d).join(code, "q", "left_semi").groupBy("q").agg(F.max((F.col("rel") & (F.col("rk") <= 10)).cast("int")).alias("hit"))
     return h.agg(F.round(F.avg("hit"), 6).alias("recall"), F.count(F.lit(1)).alias("n"))
 
 

@@ -23,13 +23,13 @@ def x02(spark, d):
     return temporal.as_of(e.where("event_id % 5 != 0"), b, ["user_id"], "ts", ["before"], "event_id").select("event_id", "before")
 
 
-@query("x03_interval_overlap", "WITH i AS (SELECT p_partkey AS id, p_partkey % 300 AS s, p_partkey % 300 + p_size AS e FROM part WHERE p_partkey <= 400) SELECT a.id AS a, b.id AS b FROM i a JOIN i b ON a.s <= b.e AND b.s <= a.e AND a.id < b.id")
+@query("x03_interval_overlap", "WITH i AS (SELECT p_partkey AS id, p_partkey * 10 AS s, p_partkey * 10 + p_size AS e FROM part) SELECT a.id AS a, b.id AS b FROM i a JOIN i b ON a.s <= b.e AND b.s <= a.e AND a.id < b.id")
 def x03(spark, d):
-    i = table(spark, d, "part").where("p_partkey <= 400").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % 300).alias("s"), (F.col("p_partkey") % 300 + F.col("p_size")).alias("e"))
+    i = table(spark, d, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") * 10).alias("s"), (F.col("p_partkey") * 10 + F.col("p_size")).alias("e"))
     return temporal.overlaps(i, i, "s", "e", 32).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).where("a < b")
 
 
-@query("x04_approximate_distinct", "SELECT l_returnflag, count(DISTINCT l_partkey) AS n, true AS close FROM lineitem GROUP BY 1")
+@query("x04_approximate_distinct")
 def x04(spark, d):
     g = table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.count_distinct("l_partkey").alias("n"), F.approx_count_distinct("l_partkey", 0.02).alias("a"))
-    return g.select("l_returnflag", "n", (F.abs(F.col("a") - F.col("n")) <= 0.1 * F.col("n")).alias("close"))
+    return g.select("l_returnflag", "n", F.col("a").alias("estimate"))

@@ -65,11 +65,11 @@ def p05(spark, d):
     return docs(spark, d).select("doc_id", P.clean_text("text").alias("clean"))
 
 
-PHRASES = f"{TERMS_SQL}, phrases AS (SELECT a.term || ' ' || b.term AS term FROM tok a JOIN tok b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 WHERE a.pos < 40 UNION SELECT term FROM terms)"
+PHRASES = f"{TERMS_SQL}, phrases AS (SELECT a.term || ' ' || b.term AS term FROM tok a JOIN tok b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 UNION SELECT term FROM terms)"
 
 
 def phrases(spark, d):
-    pairs = docs(spark, d).select(F.slice(T.words("text"), 1, 41).alias("w")).select(F.explode(T.ngrams("w", 2)).alias("term"))
+    pairs = docs(spark, d).select(T.words("text").alias("w")).select(F.explode(T.ngrams("w", 2)).alias("term"))
     return pairs.unionByName(terms(spark, d)).distinct()
 
 
@@ -111,7 +111,11 @@ def p10(spark, d):
 CODE_WORDS = ["function", "class", "method", "api", "code", "python", "with", "for"]
 
 
-@query("p11_code_query", f"SELECT conv_id, turn, list_has_any({split('lower(text)')}, [{L(CODE_WORDS)}]) OR {' OR '.join(f'contains(lower(text), {L([p])})' for p in V.CODE_PARTS)} AS is_code FROM conversations")
+def code_sql(c: str) -> str:
+    return f"(list_has_any({split(f'lower({c})')}, [{L(CODE_WORDS)}]) OR {' OR '.join(f'contains(lower({c}), {L([p])})' for p in V.CODE_PARTS)})"
+
+
+@query("p11_code_query", f"SELECT conv_id, turn, {code_sql('text')} AS is_code FROM conversations")
 def p11(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", T.is_code_query("text", CODE_WORDS).alias("is_code"))
 

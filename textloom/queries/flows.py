@@ -14,10 +14,10 @@ from textloom.operators import vectors as X
 from textloom.plans import pipelines
 from textloom.queries.filters import heuristic_sql, noise_sql
 from textloom.queries.joins import ALIAS_SQL, DIMS, DOMAINS, alias_dim, domain_dim, keyword_dim, term_list
-from textloom.queries.registry import TERMS_SQL, TOKENS_SQL, docs, literals, query, table, terms, tokens
-from textloom.queries.vectors import BM25, COS, labelled
+from textloom.queries.registry import BM25, TERMS_SQL, TOKENS_SQL, docs, literals, query, table, terms, tokens
+from textloom.queries.vectors import COS, labelled
 from textloom.queries.windows import STOP
-from textloom.sources import files, services
+from textloom.sources import files, http, services
 from textloom.sources.scratch import scratch_path
 from textloom.streaming import events
 
@@ -181,18 +181,14 @@ def s16(spark, d):
     return services.request(table(spark, d, "part").select("p_partkey", "p_name"), ["p_name"], "hits long", client).drop("p_name")
 
 
-@query("s17_summaries", "SELECT conv_id, turn, length(text) >= 0 AS done FROM conversations")
-def s17(spark, d):
-    return services.summarize(table(spark, d, "conversations"), "text").select("conv_id", "turn", (F.length("summary") <= F.length("text")).alias("done"))
-
+SIGNS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
-@query("s18_classify_client", "SELECT p_partkey, CASE WHEN length(p_type) % 2 = 0 THEN 'concept' ELSE 'keyword' END AS classification, 0.9::DOUBLE AS confidence FROM part WHERE p_partkey % 5 = 0")
-def s18(spark, d):
-    def client(term: str) -> dict:
-        return {"classification": "keyword" if len(term) % 2 else "concept", "confidence": 0.9}
 
-    open_rows = table(spark, d, "part").where("p_partkey % 5 = 0").select("p_partkey", "p_type")  # rows that no tier decided
-    return services.request(open_rows, ["p_type"], "classification string, confidence double", client).drop("p_type")
+@query("s17_summaries", f"""WITH p AS (SELECT conv_id, turn, list_filter(list_transform(string_split(regexp_replace(substr(text, 1, 8000), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: trim(s, {SIGNS})), lambda s: s <> '') AS p FROM conversations),
+b AS (SELECT conv_id, turn, list_sort(list_transform(p, lambda s, i: {{'l': -length(s), 'i': i, 's': s}}))[1:2] AS b FROM p)
+SELECT conv_id, turn, array_to_string(list_transform(list_sort(list_transform(b, lambda x: {{'i': x.i, 's': x.s}})), lambda x: x.s), ' ') AS summary FROM b""")
+def s17(spark, d):
+    return services.summarize(table(spark, d, "conversations"), "text").select("conv_id", "turn", "summary")
 
 
 PAGES = "pg AS (SELECT p_size AS book, p_partkey AS page, CASE p_partkey % 10 WHEN 3 THEN 'Index' || chr(10) || p_name WHEN 9 THEN 'About the author ' || p_name ELSE p_name END AS content FROM part)"
@@ -229,12 +225,22 @@ def o01_full(spark, d):
     return flagship(spark, d)
 
 
+HASHED = pipelines.Stages(seeds=-0.2, similar=-0.4)
+SEED_PHRASES = ["software architecture", "data structure", "machine learning", "design pattern"]
+
+
 @query("o02_hybrid_concepts")
 def o02(spark, d):
-    x = pipelines.hybrid_concepts(docs(spark, d), STOP)
+    # the surveyed chain; hash embeddings know no meaning, so their thresholds only show that the stages work
+    x = pipelines.hybrid_concepts(docs(spark, d), STOP, stages=HASHED, seeds=SEED_PHRASES)
     return x.select("doc_id", "term", F.round("score", 6).alias("score"), "source")
 
 
+@query("o02_stage_counts")
+def o02_counts(spark, d):
+    return pipelines.stage_counts(pipelines.audited_concepts(docs(spark, d), STOP, stages=HASHED, seeds=SEED_PHRASES))
+
+
 CASCADE = f"""{TERMS_SQL}, {ALIAS_SQL}, c AS (SELECT t.term, a.canonical_term, a.classification, ({heuristic_sql('t.term')}) AS reason FROM terms t LEFT JOIN aliases a ON lower(trim(t.term)) = a.alias)"""
 
 
@@ -253,6 +259,17 @@ def o04(spark, d):
     return pipelines.cascade(terms(spark, d), "term", alias_dim(spark, d)).select("term", "classification", "tier", "confidence", "rejection_reason")
 
 
+@query("s18_classify_client", f"WITH {CASCADE} SELECT term, CASE WHEN length(term) % 2 = 0 THEN 'concept' ELSE 'keyword' END AS classification, (CASE WHEN length(term) > 8 THEN 0.95 ELSE 0.6 END)::DOUBLE AS confidence, term AS canonical_term FROM c WHERE classification IS NULL AND reason IS NULL")
+def s18(spark, d):
+    def client(term: str) -> dict:
+        return {"classification": "keyword" if len(term) % 2 else "concept", "confidence": 0.95 if len(term) > 8 else 0.6, "canonical_term": term}
+
+    aliases = alias_dim(spark, d)
+    undecided = pipelines.cascade(terms(spark, d), "term", aliases).where("classification = 'unknown'").select("term")  # rows that no tier decided
+    answers, _ = http.classify_open(undecided, "term", client, aliases)
+    return answers
+
+
 @query("o05_keyword_graph", f"""WITH q AS (SELECT conv_id, turn, list_filter(list_filter(regexp_split_to_array(lower(text), '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> ''), lambda w: length(w) > 2 AND w NOT IN ({literals(V.SIMPLE_STOPWORDS)})) AS w FROM conversations),
 s AS (SELECT conv_id, turn, list_filter((list_filter(w, lambda x, i: list_position(w, x) = i))[1:10], lambda x: x NOT IN ({literals(V.GRAPH_GENERIC_TERMS)})) AS t FROM q), e AS (SELECT conv_id, turn, unnest(t) AS term, unnest(range(len(t))) AS pos FROM s)
 SELECT conv_id, turn, term, pos::INT AS pos, round(greatest(0.1, 1 - pos * 0.1), 6)::DOUBLE AS score FROM e""")

@@ -44,14 +44,14 @@ def raw_words(spark, d):
     return docs(spark, d).select("doc_id", F.posexplode(T.split_words("text")).alias("pos", "term"))
 
 
-@query("j02_ensemble_merge", f"""WITH {RAW}, a AS (SELECT doc_id, lower(term) AS k, arg_max(term, pos) AS term, arg_max(pos / 100.0, pos) AS score FROM raw WHERE pos < 30 GROUP BY ALL),
-b AS (SELECT doc_id, lower(term) AS k, arg_min(term, pos) AS term FROM raw WHERE pos >= 20 AND pos < 60 GROUP BY ALL)
+@query("j02_ensemble_merge", f"""WITH {RAW}, a AS (SELECT doc_id, lower(term) AS k, arg_max(term, pos) AS term, arg_max(pos / 100.0, pos) AS score FROM raw WHERE length(term) <= 7 GROUP BY ALL),
+b AS (SELECT doc_id, lower(term) AS k, arg_min(term, pos) AS term FROM raw WHERE length(term) >= 4 GROUP BY ALL)
 SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, coalesce(a.term, b.term) AS term, coalesce(score, 0.5)::DOUBLE AS score, CASE WHEN a.k IS NOT NULL AND b.k IS NOT NULL THEN 'both' WHEN a.k IS NOT NULL THEN 'yake' ELSE 'textrank' END AS source
 FROM a FULL JOIN b ON a.doc_id = b.doc_id AND a.k = b.k""")
 def j02(spark, d):
     w = raw_words(spark, d)
-    scored = w.where("pos < 30").withColumn("score", F.col("pos") / 100)
-    return concepts.merge_terms(scored, w.where("pos >= 20 and pos < 60"))
+    scored = w.where("length(term) <= 7").withColumn("score", F.col("pos") / 100)
+    return concepts.merge_terms(scored, w.where("length(term) >= 4"))
 
 
 @query("j03_score_reattachment", f"""WITH {TOKENS_SQL}, s AS (SELECT term, count(*)::DOUBLE AS score FROM tok GROUP BY term HAVING count(*) > 20), t AS (SELECT DISTINCT doc_id, term FROM tok)
@@ -63,16 +63,16 @@ def j03(spark, d):
     return x.withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("score"), "term")))
 
 
-STAGES = f"""{TOKENS_SQL}, gen AS (SELECT doc_id, term, min(pos) AS pos FROM tok WHERE pos < 40 GROUP BY ALL), val AS (SELECT term FROM tok GROUP BY term HAVING count(*) >= 3),
-ranked AS (SELECT doc_id, term, ((1 - pos / 40 * 0.3) + least(length(term) / 10, 1.0)) / 2 AS score FROM gen WHERE pos < 25)"""
+STAGES = f"""{TOKENS_SQL}, gen AS (SELECT doc_id, term, min(pos) AS pos, any_value(n) AS n FROM (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n FROM tok) GROUP BY ALL), val AS (SELECT term FROM tok GROUP BY term HAVING count(*) >= 3),
+ranked AS (SELECT doc_id, term, ((1 - pos / n * 0.3) + least(length(term) / 10, 1.0)) / 2 AS score FROM gen WHERE length(term) > 3)"""
 
 
 def assembled(spark, d):
-    w = tokens(spark, d)
-    gen = w.where("pos < 40").groupBy("doc_id", "term").agg(F.min("pos").alias("pos"))
+    w = docs(spark, d).select("doc_id", T.words("text").alias("w")).select("doc_id", F.size("w").alias("n"), F.posexplode("w").alias("pos", "term"))
+    gen = w.groupBy("doc_id", "term").agg(F.min("pos").alias("pos"), F.first("n").alias("n"))
     val = w.groupBy("term").agg(F.count(F.lit(1)).alias("n")).where("n >= 3").select("term", F.lit(True).alias("_v"))
-    ranked = gen.where("pos < 25").select("doc_id", "term", ranking.fallback_score("pos", F.lit(40), "term").alias("ranker_score"))
-    x = gen.join(val, "term", "left").join(ranked, ["doc_id", "term"], "left")
+    ranked = F.when(F.length("term") > 3, ranking.fallback_score("pos", F.col("n"), "term"))  # the ranker answers for longer terms only
+    x = gen.withColumn("ranker_score", ranked).join(val, "term", "left")
     return x.select("doc_id", "term", F.lit(0.8).alias("generator_score"), F.coalesce("_v", F.lit(False)).alias("validator_approved"), F.coalesce("ranker_score", F.lit(0.0)).alias("ranker_score"))
 
 
@@ -124,7 +124,7 @@ COS = f"{DOT} / (sqrt(list_inner_product(a.embedding::DOUBLE[], a.embedding::DOU
 def j08(spark, d):
     e = table(spark, d, "embeddings")
     a = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("i"), F.col("embedding").alias("a"))  # the stated queries
-    return e.join(a, F.col("vec_id") != F.col("i")).select("i", F.col("vec_id").alias("j"), F.round(X.cosine("a", "embedding"), 6).alias("score"))
+    return X.against(a, e, F.col("vec_id") != F.col("i"), bytes_a_row=200).select("i", F.col("vec_id").alias("j"), F.round(X.cosine("a", "embedding"), 6).alias("score"))
 
 
 #: A taxonomy made for the generated prose: frequent words, and phrases of them.
@@ -215,10 +215,10 @@ def j13(spark, d):
 @query("j14_intra_concept_pairs", """WITH s AS (SELECT p_brand AS concept, p_partkey AS pos, p_name || ' ' || p_partkey AS code FROM part),
 firsts AS (SELECT concept, arg_min(code, md5(pos || ':0')) AS negative FROM s GROUP BY concept),
 ring AS (SELECT concept, coalesce(lead(concept) OVER w, first_value(concept) OVER w) AS o FROM firsts WINDOW w AS (ORDER BY md5(concept || ':0') ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
-SELECT a.concept, a.pos AS i, b.pos AS j, a.code AS anchor, b.code AS positive, f.negative FROM s a JOIN s b ON a.concept = b.concept AND a.pos < b.pos AND b.pos <= a.pos + 100 JOIN ring r ON r.concept = a.concept JOIN firsts f ON f.concept = r.o WHERE r.o <> a.concept""")
+SELECT a.concept, a.pos AS i, b.pos AS j, a.code AS anchor, b.code AS positive, f.negative FROM s a JOIN s b ON a.pos % 100 = 0 AND a.concept = b.concept AND a.pos < b.pos JOIN ring r ON r.concept = a.concept JOIN firsts f ON f.concept = r.o WHERE r.o <> a.concept""")
 def j14(spark, d):
     s = table(spark, d, "part").select(F.col("p_brand").alias("concept"), F.col("p_partkey").alias("pos"), F.concat_ws(" ", "p_name", F.col("p_partkey").cast("string")).alias("code"))
-    return training.code_triplets(s, most=100)
+    return training.code_triplets(s, anchors=F.col("pos") % 100 == 0)  # the stated queries, against all snippets of their concepts
 
 
 @query("j15_dimension_lookup", f"WITH {DIMS} SELECT domain, array_to_string(list_sort(list_distinct(list(keyword))), ',') AS keywords FROM kw GROUP BY domain")

@@ -10,7 +10,7 @@ from textloom.operators import classify, cluster, lexical, training
 from textloom.operators import vectors as X
 from textloom.operators.filters import concept_reason
 from textloom.queries.joins import COS, DOT, alias_dim, term_list
-from textloom.queries.registry import TOKENS_SQL, docs, query, split, table, terms, tokens
+from textloom.queries.registry import BM25, TOKENS_SQL, docs, query, split, table, terms, tokens
 from textloom.queries.windows import NGRAMS, STOP, TFIDF, weights
 
 PAIRS = "embeddings a JOIN embeddings b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id"
@@ -20,7 +20,7 @@ def pairs(spark, d):
     """Each hundredth vector against all others."""
     e = table(spark, d, "embeddings")
     a = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("i"), F.col("embedding").alias("a"), F.col("label").alias("la"))
-    return e.join(a, F.col("vec_id") != F.col("i")).select("i", F.col("vec_id").alias("j"), "a", F.col("embedding").alias("b"), "la", F.col("label").alias("lb"))
+    return X.against(a, e, F.col("vec_id") != F.col("i"), bytes_a_row=200).select("i", F.col("vec_id").alias("j"), "a", F.col("embedding").alias("b"), "la", F.col("label").alias("lb"))
 
 
 @query("v01_tfidf", f"WITH {TFIDF} SELECT doc_id, count(*) AS terms, sum(tf)::BIGINT AS tf, max(df) AS max_df, round(sum(weight), 4) AS weight, round(max(weight), 6) AS top FROM tfidf GROUP BY doc_id")
@@ -72,11 +72,11 @@ def v05(spark, d):
     return c.join(nxt, ["conv_id", "turn"]).select("conv_id", "turn", F.round(X.dot("v", "w"), 6).alias("score"))
 
 
-@query("v06_similarity_matrix", f"SELECT a.vec_id AS i, b.vec_id AS j, round(least(1.0, greatest(-1.0, {COS})), 6) AS score FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id % 10 = 0")
+@query("v06_similarity_matrix", f"SELECT a.vec_id AS i, b.vec_id AS j, round(least(1.0, greatest(-1.0, {COS})), 6) AS score FROM embeddings a JOIN embeddings b ON a.vec_id % 100 = 0")
 def v06(spark, d):
     e = table(spark, d, "embeddings")
-    a = e.where("vec_id % 10 = 0").select(F.col("vec_id").alias("i"), F.col("label"), F.col("embedding").alias("a"))
-    return e.join(a, "label").select("i", F.col("vec_id").alias("j"), F.round(X.cosine("a", "embedding", "both"), 6).alias("score"))
+    a = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("i"), F.col("embedding").alias("a"))
+    return X.against(a, e, bytes_a_row=200).select("i", F.col("vec_id").alias("j"), F.round(X.cosine("a", "embedding", "both"), 6).alias("score"))
 
 
 @query("v07_semantic_validity", f"""WITH ref AS (SELECT {hashed_sql("'general programming'")} AS r), t AS (SELECT DISTINCT p_name AS term FROM part), s AS (SELECT term, round_even(list_inner_product({hashed_sql('term')}, r), 4) AS score FROM t, ref)
@@ -119,9 +119,7 @@ def v11(spark, d):
 
 @query("v12_keyword_statistics")
 def v12(spark, d):
-    x = lexical.keyword_scores(docs(spark, d), stopwords=STOP)
-    best = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.round("score", 9), "word"))
-    return x.withColumn("rank", best).where("rank <= 20").select("doc_id", "word", "tf", F.round("score", 6).alias("score"), "rank")
+    return lexical.keyword_scores(docs(spark, d), stopwords=STOP).select("doc_id", "word", "tf", F.round("score", 6).alias("score"), "rank")
 
 
 @query("v13_word_ranks")
@@ -133,6 +131,12 @@ def v13(spark, d):
 
 @query("v14_density_clusters")
 def v14(spark, d):
+    terms = lexical.keyword_scores(docs(spark, d), stopwords=STOP).select("doc_id", F.col("word").alias("term"))
+    return cluster.term_clusters(terms.withColumn("v", X.hash_embedding("term", 4)), "doc_id", "term", "v")
+
+
+@query("v14_similarity_clusters")
+def v14_similar(spark, d):
     x = table(spark, d, "embeddings").select(F.col("label").cast("long").alias("doc_id"), F.col("vec_id").alias("pos"), F.col("embedding").alias("v"))
     return cluster.density_clusters(x, "doc_id", "pos", "v", 0.5)
 
@@ -228,11 +232,11 @@ def v25(spark, d):
     return table(spark, d, "part").select("p_partkey", F.round(F.get(X.hash_embedding("p_name", 16, "fake"), 0), 6).alias("first"))
 
 
-@query("v26_seed_validation", f"WITH seeds AS (SELECT {hashed_sql('text')} AS s FROM benchmark WHERE item_id < 8), t AS (SELECT DISTINCT p_type AS term, {hashed_sql('p_type')} AS v FROM part) SELECT term, round(max(list_inner_product(v, s)), 6) AS best, max(list_inner_product(v, s)) >= 0.35 AS valid FROM t, seeds GROUP BY term")
+@query("v26_seed_validation", f"WITH seeds AS (SELECT {hashed_sql('text')} AS s FROM benchmark), t AS (SELECT DISTINCT p_type AS term, {hashed_sql('p_type')} AS v FROM part) SELECT term, round(max(list_inner_product(v, s)), 6) AS best, max(list_inner_product(v, s)) >= 0.35 AS valid FROM t, seeds GROUP BY term")
 def v26(spark, d):
-    seeds = table(spark, d, "benchmark").where("item_id < 8").select(X.hash_embedding("text", 8).alias("s"))  # a few given seeds
+    seeds = table(spark, d, "benchmark").select(X.hash_embedding("text", 8).alias("s"))
     t = table(spark, d, "part").select(F.col("p_type").alias("term")).distinct().withColumn("v", X.hash_embedding("term", 8))
-    return t.join(F.broadcast(seeds)).groupBy("term").agg(F.round(F.max(X.dot("v", "s")), 6).alias("best"), (F.max(X.dot("v", "s")) >= 0.35).alias("valid"))
+    return X.against(seeds, t, bytes_a_row=100).groupBy("term").agg(F.round(F.max(X.dot("v", "s")), 6).alias("best"), (F.max(X.dot("v", "s")) >= 0.35).alias("valid"))
 
 
 @query("v27_diagram_embedding", f"SELECT p_partkey, round({hashed_sql(chr(39) + 'Figure: ' + chr(39) + ' || p_name || ' + chr(39) + ' ' + chr(39) + ' || p_type')}[2], 6) AS second FROM part")
@@ -241,11 +245,6 @@ def v27(spark, d):
     return table(spark, d, "part").select("p_partkey", F.round(F.get(X.hash_embedding(text, 8), 1), 6).alias("second"))
 
 
-BM25 = f"""dw AS (SELECT doc_id, {split('lower(text)')} AS w FROM documents), tokb AS (SELECT doc_id, unnest(w) AS term FROM dw), ln AS (SELECT doc_id, len(w) AS l FROM dw), st AS (SELECT count(*) AS n, avg(l) AS a FROM ln),
-tf AS (SELECT doc_id, term, count(*) AS tf FROM tokb GROUP BY ALL), q AS (SELECT item_id AS query_id, unnest(list_distinct({split('lower(text)')})) AS term FROM benchmark), df AS (SELECT term, count(*) AS df FROM tf WHERE term IN (SELECT term FROM q) GROUP BY term),
-bm AS (SELECT query_id, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * l / a))) AS score FROM q JOIN df USING (term) JOIN tf USING (term) JOIN ln USING (doc_id), st GROUP BY ALL)"""
-
-
 def bm25(spark, d):
     q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     return lexical.bm25(docs(spark, d), q)

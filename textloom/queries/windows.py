@@ -11,7 +11,7 @@ from textloom.operators import documents, lexical, ranking
 from textloom.operators import vectors as X
 from textloom.queries.aggregates import RETRIEVED, retrieved
 from textloom.queries.joins import COS, STAGES, alias_dim, ALIAS_SQL, assembled
-from textloom.queries.registry import SPLIT, TOKENS_SQL, docs, literals, query, split, table, terms, TERMS_SQL, tokens
+from textloom.queries.registry import BM25, SPLIT, TOKENS_SQL, docs, literals, query, split, table, terms, TERMS_SQL, tokens
 
 STOP = ["the", "of", "and", "to", "in", "is", "it", "on", "for", "der", "die", "und", "de", "la", "le", "el"]
 NGRAMS = f"""words AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[a-z0-9_]{{2,}}'), lambda w: w NOT IN ({literals(STOP)})) AS w FROM documents),
@@ -49,17 +49,17 @@ def w03(spark, d):
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id")))
 
 
-@query("w04_relevance_ranking", f"""WITH sims AS (SELECT a.vec_id AS q, b.vec_id AS id, round(least(1.0, greatest(0.0, {COS})), 6) AS score FROM embeddings a JOIN embeddings b ON a.vec_id % 250 = 0) SELECT q, id, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, id) AS rank FROM sims""")
+@query("w04_relevance_ranking", f"""WITH sims AS (SELECT a.vec_id AS q, b.vec_id AS id, round(least(1.0, greatest(0.0, {COS})), 6) AS score FROM embeddings a JOIN embeddings b ON a.vec_id % 100 = 0) SELECT q, id, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, id) AS rank FROM sims""")
 def w04(spark, d):
     e = table(spark, d, "embeddings")
-    q = e.where("vec_id % 250 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("a"))
+    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("a"))
     x = e.join(F.broadcast(q)).select("q", F.col("vec_id").alias("id"), F.round(X.cosine("a", "embedding", "unit"), 6).alias("score"))
     return x.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id")))
 
 
-@query("w05_positional_score", f"WITH {TOKENS_SQL} SELECT doc_id, pos, term, round(greatest(0.1, 1 - pos * 0.1), 6)::DOUBLE AS score FROM tok WHERE pos < 15")
+@query("w05_positional_score", f"WITH {TOKENS_SQL} SELECT doc_id, pos, term, round(greatest(0.1, 1 - pos * 0.1), 6)::DOUBLE AS score FROM tok")
 def w05(spark, d):
-    return tokens(spark, d).where("pos < 15").select("doc_id", F.col("pos").cast("long").alias("pos"), "term", F.round(ranking.positional_score("pos"), 6).alias("score"))
+    return tokens(spark, d).select("doc_id", F.col("pos").cast("long").alias("pos"), "term", F.round(ranking.positional_score("pos"), 6).alias("score"))
 
 
 @query("w06_fallback_score", f"WITH {TOKENS_SQL}, t AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n FROM tok) SELECT doc_id, pos, (((1 - pos / n * 0.3::DOUBLE) + least(length(term) / 10, 1.0::DOUBLE)) / 2)::DOUBLE AS score FROM t")
@@ -99,9 +99,9 @@ def w09(spark, d):
     return ranking.shortest_per_cluster(x, "label", "term", "pos")
 
 
-@query("w10_keep_first_case_insensitive", f"WITH w AS (SELECT doc_id, unnest(w) AS t, unnest(range(len(w))) AS pos FROM (SELECT doc_id, ({split('text')})[1:60] AS w FROM documents)), f AS (SELECT *, row_number() OVER (PARTITION BY doc_id, lower(t) ORDER BY pos) AS n FROM w) SELECT doc_id, array_to_string(list(t ORDER BY pos), ' ') AS kept FROM f WHERE n = 1 GROUP BY doc_id")
+@query("w10_keep_first_case_insensitive", f"WITH w AS (SELECT doc_id, unnest(w) AS t, unnest(range(len(w))) AS pos FROM (SELECT doc_id, {split('text')} AS w FROM documents)), f AS (SELECT *, row_number() OVER (PARTITION BY doc_id, lower(t) ORDER BY pos) AS n FROM w) SELECT doc_id, array_to_string(list(t ORDER BY pos), ' ') AS kept FROM f WHERE n = 1 GROUP BY doc_id")
 def w10(spark, d):
-    return docs(spark, d).select("doc_id", F.array_join(T.keep_first(F.slice(T.split_words("text"), 1, 60)), " ").alias("kept")).where("kept != ''")
+    return docs(spark, d).select("doc_id", F.array_join(T.keep_first(T.split_words("text")), " ").alias("kept")).where("kept != ''")
 
 
 @query("w11_middle_third", "WITH r AS (SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) - 1 AS r, count(*) OVER (PARTITION BY p_brand) AS c FROM part) SELECT p_brand, p_partkey FROM r WHERE r >= c // 3 AND r < 2 * c // 3")
@@ -114,12 +114,14 @@ def w12(spark, d):
     return ranking.limit_then_filter(table(spark, d, "orders"), "o_custkey", ["o_orderkey"], 3, F.col("o_totalprice") >= 150000).select("o_custkey", "o_orderkey")
 
 
-@query("w13_rescored", f"""WITH q AS (SELECT item_id, list_distinct({split('lower(text)')}) AS q FROM benchmark WHERE item_id < 5), c AS (SELECT doc_id, list_distinct({split('lower(text)')}) AS c, n_chars / 100000 AS s FROM documents)
-SELECT item_id, doc_id, round(s * 0.5 + len(list_intersect(q, c)) / greatest(len(q), 1) * 0.5, 6)::DOUBLE AS score FROM q, c""")
+@query("w13_rescored", f"""WITH {BM25}, top AS (SELECT query_id, doc_id, round(score, 6) AS base FROM bm QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) <= 20),
+asked AS (SELECT item_id, list_distinct({split('lower(text)')}) AS words FROM benchmark), c AS (SELECT doc_id, list_distinct({split('lower(text)')}) AS c FROM documents)
+SELECT query_id, top.doc_id, round(base / 100 * 0.5 + len(list_intersect(words, c)) / greatest(len(words), 1) * 0.5, 6)::DOUBLE AS score FROM top JOIN asked ON asked.item_id = query_id JOIN c ON c.doc_id = top.doc_id""")
 def w13(spark, d):
-    q = table(spark, d, "benchmark").where("item_id < 5").select("item_id", F.col("text").alias("q"))
-    x = docs(spark, d).join(F.broadcast(q))  # five stated queries
-    return x.select("item_id", "doc_id", F.round(ranking.rescored(F.col("n_chars") / 100000, "text", "q"), 6).alias("score"))
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("q"))
+    found = ranking.top_by(lexical.bm25(docs(spark, d), asked.withColumnRenamed("q", "text")), ["query_id"], [F.desc(F.round("score", 6)), "doc_id"], 20)
+    x = found.select("query_id", "doc_id", (F.round("score", 6) / 100).alias("base")).join(asked, "query_id").join(docs(spark, d).select("doc_id", "text"), "doc_id")
+    return x.select("query_id", "doc_id", F.round(ranking.rescored(F.col("base"), "text", "q"), 6).alias("score"))
 
 
 @query("w14_term_expansion", f"WITH {RETRIEVED} SELECT q, m, score FROM ranked WHERE rk <= 3 AND score >= 0.15")
@@ -181,7 +183,7 @@ def u06(spark, d):
     return words.groupBy("conv_id").agg(F.array_join(F.array_sort(F.collect_list("w")), " ").alias("words"))
 
 
-@query("u07_ordered_union", f"SELECT conv_id, turn, array_to_string(list_filter(w, lambda x, i: list_position(w, x) = i), ' ') AS merged FROM (SELECT conv_id, turn, ({split('lower(text)')})[1:8] || ['the', 'with', 'new'] AS w FROM conversations)")
+@query("u07_ordered_union", f"SELECT conv_id, turn, array_to_string(list_filter(w, lambda x, i: list_position(w, x) = i), ' ') AS merged FROM (SELECT conv_id, turn, {split('lower(text)')} || ['the', 'with', 'new'] AS w FROM conversations)")
 def u07(spark, d):
     more = F.array(*[F.lit(x) for x in ("the", "with", "new")])
-    return table(spark, d, "conversations").select("conv_id", "turn", F.array_join(F.array_distinct(F.concat(F.slice(T.split_words(F.lower("text")), 1, 8), more)), " ").alias("merged"))
+    return table(spark, d, "conversations").select("conv_id", "turn", F.array_join(F.array_distinct(F.concat(T.split_words(F.lower("text")), more)), " ").alias("merged"))
