@@ -362,8 +362,9 @@ def test_leaks_found_in_the_tables(spark, sf_dir):
 # ---- mixing ------------------------------------------------------------------------------------------------------
 
 
-def test_mixing_against_sql(spark, sf_dir):
-    assert oracle.difference(queries.QUERIES["op5_mix"](spark, sf_dir), oracle.connect(sf_dir), queries.ORACLES["op5_mix"]) == ""
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_against_sql(spark, sf_dir, name):
+    assert oracle.difference(queries.QUERIES[name](spark, sf_dir), oracle.connect(sf_dir), queries.ORACLES[name]) == ""
 
 
 def with_sql(spark, docs, tmp_path, name):

@@ -69,6 +69,28 @@ SELECT doc_id, text, lang, source, n_chars, rate, n_copies::INT AS n_copies, cop
 FROM copies
 """
 
+#: Shared shingles of pairs whose sizes allow a link, links, and the least id that they lead to.
+OP3_SQL = """
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS s FROM w),
+t AS (SELECT doc_id, len(s) AS n, unnest(s) AS t FROM s),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS k FROM t a JOIN t b ON a.t = b.t AND a.doc_id <> b.doc_id AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n) GROUP BY ALL),
+edges AS (SELECT a, b FROM shared WHERE 100 * k >= 90 * (na + nb - k)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a)
+SELECT s.doc_id, len(s)::BIGINT AS n_shingles, min(r.b) AS component_id FROM s JOIN reach r ON r.a = s.doc_id GROUP BY s.doc_id, len(s)
+"""
+
+#: Windows by their words, the least document of each, and what is left of each text.
+OP4_SQL = """
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM w WHERE len(w) >= 50)),
+least_id AS (SELECT h, min(doc_id) AS d FROM win GROUP BY h),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM win JOIN least_id USING (h) WHERE doc_id > d),
+lists AS (SELECT doc_id, list(p ORDER BY p) AS ps FROM gone GROUP BY doc_id),
+kept AS (SELECT w.doc_id, len(w) AS n, coalesce(ps, []) AS ps, list_filter(w, lambda x, i: NOT list_contains(coalesce(ps, []), i)) AS k FROM w LEFT JOIN lists ON lists.doc_id = w.doc_id)
+SELECT doc_id, n::BIGINT AS n_words, len(ps)::BIGINT AS n_removed, len(list_filter(ps, lambda x, i: i = 1 OR ps[i - 1] <> x - 1))::BIGINT AS n_spans, sha256(array_to_string(k, ' ')) AS kept_sha256 FROM kept
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_tokens": op1_tokens,
     "op2_decontaminate": op2_decontaminate,
@@ -82,4 +104,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_lines": op10_lines,
 }
 
-ORACLES: dict[str, str] = {"op5_mix": OP5_SQL}
+ORACLES: dict[str, str] = {"op3_jaccard": OP3_SQL, "op4_passages": OP4_SQL, "op5_mix": OP5_SQL}
