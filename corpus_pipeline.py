@@ -41,7 +41,7 @@ STAGES = [
     ("sharding", sharding_),
 ]
 
-#: Scores of a boosted model and regular expressions with look-behind are beyond SQL; tests hold every stage against a brute-force version.
+#: Scores of a boosted model and regular expressions with look-behind are beyond SQL; tests/llm/test_pipeline.py holds the rows of every stage against plain Python.
 ORACLE_SQL = None
 
 
@@ -49,5 +49,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents table; each stage's rows are written to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = materialize(spark, stage(spark, docs, sf_dir))
+        docs = materialize(spark, stage(spark, docs, sf_dir), docs)  # the stage before it is read no more
     return STAGES[-1][1](spark, docs, sf_dir)
