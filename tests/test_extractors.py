@@ -127,6 +127,84 @@ def test_hybrid_concepts_stage_by_stage(spark, sf_dir):
         assert (r.dropped == "clusters") == (lab >= 0 and best[r.doc_id, lab][2] != r.term)
 
 
+def test_topics_and_outliers(spark):
+    x, own = blobs(5, (60, 50, 40))
+    far = np.array([[1.0, 1, 0, 0, 0, 0], [0, 1.0, 1, 0, 0, 0]]) / 2**0.5
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([x, far]))]
+    got = {r.k: (r.topic, r.confidence) for r in cluster.topic_model(spark.createDataFrame(rows, "k long, v array<double>"), "k", "v", 3, 4, 6.0).collect()}
+    assert got[150] == got[151] == (-1, 0.0)
+    of = [{got[i][0] for i in np.flatnonzero(own == g).tolist()} - {-1} for g in range(3)]
+    assert all(len(t) == 1 for t in of) and len(set.union(*of)) == 3 and all(0 <= c <= 1 for _, c in got.values())
+
+
+def test_discovery_of_two_vocabularies(spark):
+    r = random.Random(1)
+    worlds = ["apple banana cherry grape melon".split(), "engine wheel brake clutch gear".split()]
+    texts = [(i, " ".join(r.choice(worlds[i % 2]) for _ in range(40))) for i in range(40)]
+    docs = spark.createDataFrame([*texts, (98, ""), (99, None)], "doc_id long, text string")
+    assigned = cluster.topic_model(cluster.text_vectors(docs, size=64), "doc_id", "vector", 2, 2, 5.0).cache()
+    topics = {x.doc_id: x.topic for x in assigned.collect()}
+    assert set(topics) == set(range(40)) and len({topics[i] for i in range(0, 40, 2)}) == len({topics[i] for i in range(1, 40, 2)}) == 1 and topics[0] != topics[1]
+    found = {x.topic: x for x in cluster.discover(docs, assigned, min_df=2).collect()}
+    for k in (0, 1):
+        t = found[topics[k]]
+        assert t.size == 20 and t.representatives == [k, k + 2, k + 4] and {w for x in t.terms for w in x.split()} <= set(worlds[k]) and t.name == "_".join(t.terms[:3])
+    out = {x.topic: x for x in cluster.discover(docs, assigned.withColumn("topic", F.when(F.col("doc_id") < 4, -1).otherwise(F.col("topic")))).collect()}
+    assert out[-1].name == "Outlier" and out[-1].terms is None and out[-1].size == 4
+
+
+def test_trained_classifier_by_its_own_arithmetic(spark, sf_dir, tmp_path):
+    from pyspark.ml.classification import LogisticRegressionModel
+
+    from textloom.operators import classify
+    from textloom.queries import QUERIES
+
+    x, own = blobs(9, (80, 30), 0.3)
+    df = spark.createDataFrame([(i, v.tolist(), int(y)) for i, (v, y) in enumerate(zip(x, own, strict=True))], "vec_id long, embedding array<double>, y int")
+    model = classify.train(df, "embedding", "y")
+    model.save(str(tmp_path / "model"))
+    again = LogisticRegressionModel.load(str(tmp_path / "model"))
+    got = {r.vec_id: r for r in classify.predict(df, "embedding", model, ["keyword", "concept"]).collect()}
+    same = {r.vec_id: r for r in classify.predict(df, "embedding", again, ["keyword", "concept"]).collect()}
+    p = 1 / (1 + np.exp(-(x @ np.array(model.coefficients) + model.intercept)))
+    for i in range(len(x)):
+        best = max(p[i], 1 - p[i])
+        assert got[i].confidence == pytest.approx(best) and same[i] == got[i]
+        assert got[i].predicted == ("unknown" if best < 0.7 else "concept" if p[i] >= 0.5 else "keyword")
+    sure = [i for i in range(len(x)) if got[i].predicted != "unknown"]
+    assert sum((got[i].predicted == "concept") == bool(own[i]) for i in sure) > 0.9 * len(sure)
+    from collections import Counter
+
+    one = Counter(r.predicted for r in QUERIES["v18_trained_inference"](spark, sf_dir).collect())
+    assert one == {r.predicted: r.n for r in QUERIES["s15_model_artifact"](spark, sf_dir).collect()}
+
+
+def test_extract_terms_by_hand(spark, sf_dir):
+    """Candidates, their places, the ranker's score and the vote, for each query."""
+    docs = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("doc_id"), "text").limit(15).cache()
+    by = {}
+    for r in pipelines.concept_candidates(docs, STOP, clean=False).collect():
+        by.setdefault(r.doc_id, []).append((r.score, r.term))
+    wanted = []
+    for i, found in by.items():
+        rows = []
+        for place, (_, term) in enumerate(sorted(found)):
+            rank = ((1 - place / len(found) * 0.3) + min(len(term) / 10, 1.0)) / 2
+            agreed = 2 + (rank >= 0.5)
+            rows.append((round((0.8 + rank) / 3, 9), term, agreed))
+        rows.sort(key=lambda x: (-x[0], x[1]))
+        wanted += [(i, t, round(s, 6), a, n) for n, (s, t, a) in enumerate(rows[:10], 1)]
+    got = sorted(tuple(r) for r in pipelines.extract_terms(docs, STOP).collect())
+    assert [(i, t, a, n) for i, t, _, a, n in got] == [(i, t, a, n) for i, t, _, a, n in sorted(wanted)]
+    assert [s for _, _, s, _, _ in got] == pytest.approx([s for _, _, s, _, _ in sorted(wanted)], abs=2e-6)
+
+
+def test_approximate_distinct_counts(spark, sf_dir):
+    from textloom.queries import QUERIES
+
+    assert all(abs(r.estimate - r.n) <= 0.1 * r.n for r in QUERIES["x04_approximate_distinct"](spark, sf_dir).collect())
+
+
 def test_queries_in_blocks(spark):
     rows = spark.range(50).select(F.col("id").alias("k"))
     asked = spark.range(7).select(F.col("id").alias("q"))

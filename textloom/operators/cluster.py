@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.functions import text as T
+from textloom.operators import lexical
 from textloom.operators.components import components
 
 
@@ -152,7 +154,7 @@ def term_clusters(terms: DataFrame, key: str, term: str, vector: str, least: int
 
 
 def kmeans_topics(df: DataFrame, key: str, vector: str, k: int = 5, seed: int = 42):
-    """(key, topic, confidence) by k-means, confidence falling with the distance to the centre; and the centres."""
+    """(key, topic, confidence, distance) by k-means, confidence falling with the distance to the centre; and the centres."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
@@ -161,7 +163,43 @@ def kmeans_topics(df: DataFrame, key: str, vector: str, k: int = 5, seed: int =
     centres = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in model.clusterCenters()])
     out = model.transform(prepared).withColumn("_c", F.get(centres, F.col("prediction")))
     distance = F.sqrt(F.aggregate(F.zip_with("_a", "_c", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v))
-    return out.select(key, F.col("prediction").alias("topic"), F.greatest(F.lit(0.0), 1 - distance / 2).alias("confidence")), model.clusterCenters()
+    return out.select(key, F.col("prediction").alias("topic"), F.greatest(F.lit(0.0), 1 - distance / 2).alias("confidence"), distance.alias("distance")), model.clusterCenters()
+
+
+def text_vectors(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 256, stopwords: list[str] | None = None) -> DataFrame:
+    """(key, vector): hashed words weighted by TF-IDF, at length 1; texts without words have no row."""
+    from pyspark.ml.feature import IDF, HashingTF, Normalizer
+    from pyspark.ml.functions import vector_to_array
+
+    stop = stopwords or []
+    words = docs.select(key, F.filter(T.words(text), lambda w: ~w.isin(stop)).alias("_w")).where(F.size("_w") > 0)
+    counted = HashingTF(numFeatures=size, inputCol="_w", outputCol="_tf").transform(words)
+    weighted = IDF(inputCol="_tf", outputCol="_x").fit(counted).transform(counted)
+    return Normalizer(inputCol="_x", outputCol="_u").transform(weighted).select(key, vector_to_array("_u").alias("vector"))
+
+
+def topic_model(df: DataFrame, key: str, vector: str, k: int = 5, dims: int = 8, spread: float = 2.0, seed: int = 42) -> DataFrame:
+    """(key, topic, confidence): vectors reduced to `dims` principal components, k-means on them, and -1 for outliers, which lie more than `spread` standard deviations farther from their centre than their topic's mean."""
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    rows = df.select(key, array_to_vector(F.transform(F.col(vector), lambda x: x.cast("double"))).alias("_v"))
+    reduced = PCA(k=dims, inputCol="_v", outputCol="_p").fit(rows).transform(rows).select(key, vector_to_array("_p").alias("_a"))
+    assigned, centres = kmeans_topics(reduced, key, "_a", k, seed)
+    x = assigned.withColumn("_d", F.col("distance"))
+    stats = x.groupBy("topic").agg(F.avg("_d").alias("_mean"), F.stddev_pop("_d").alias("_std"))  # one row a topic
+    far = F.col("_d") > F.col("_mean") + spread * F.col("_std")
+    return x.join(F.broadcast(stats), "topic").select(key, F.when(far, -1).otherwise(F.col("topic")).alias("topic"), F.when(far, 0.0).otherwise(F.col("confidence")).alias("confidence"))
+
+
+def discover(docs: DataFrame, assigned: DataFrame, key: str = "doc_id", stopwords: list[str] | None = None, min_df: int = 2, most: int = 3, k: int = 10) -> DataFrame:
+    """(topic, size, representatives, name, terms) of assigned documents: the first members, the k terms of 1 to `most` words that a topic has above others (in `min_df` documents at least), and a name of the first three; -1 is Outlier, without terms."""
+    found = lexical.terms(docs, key, stopwords=stopwords, most=most)
+    often = found.distinct().groupBy("term").agg(F.count(F.lit(1)).alias("_df")).where(F.col("_df") >= min_df).select("term")
+    inside = assigned.where("topic >= 0")
+    best = topic_terms(inside, found.join(often, "term", "left_semi"), key, k=k)
+    lists = best.groupBy("topic").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda x: x["term"]).alias("terms"))
+    return topic_summary(assigned, "topic", key, best).join(lists, "topic", "left")
 
 
 def topic_terms(assigned: DataFrame, occurrences: DataFrame, key: str = "doc_id", topic: str = "topic", k: int = 5) -> DataFrame:

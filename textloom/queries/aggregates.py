@@ -44,10 +44,14 @@ def a03(spark, d):
     return concept_rows(spark, d).select("doc_id", "domain", "name", "confidence", "tier")
 
 
+#: Over kn keywords, cn concepts, the domain's share and the length of the text.
+QUALITY_SQL = """round_even(least(1.0, greatest(0.0, 0.3 * CASE WHEN kn >= 3 THEN least(kn / 20, 1.0) ELSE kn / 3 * 0.5 END + 0.3 * CASE WHEN cn >= 1 THEN least(cn / 10, 1.0) ELSE 0 END + 0.2 * share
+ + 0.2 * CASE WHEN len < 100 THEN len / 100 * 0.5 WHEN len > 10000 THEN 1.0 ELSE (len - 100) / 9900 * 0.5 + 0.5 END))::DOUBLE, 3)::DOUBLE"""
+
+
 @query("a04_quality_score", f"""WITH {SCORES}, kw2 AS (SELECT doc_id, count(DISTINCT term) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]{{2,}}')) AS term FROM documents) GROUP BY 1),
 c2 AS (SELECT k, count(*) AS n FROM concepts GROUP BY 1), x AS (SELECT d.doc_id, coalesce(kw2.n, 0) AS kn, coalesce(c2.n, 0) AS cn, coalesce(share, 0) AS share, length(text) AS len FROM documents d LEFT JOIN kw2 USING (doc_id) LEFT JOIN c2 ON c2.k = doc_id LEFT JOIN detected ON detected.k = doc_id AND r = 1)
-SELECT doc_id, round_even(least(1.0, greatest(0.0, 0.3 * CASE WHEN kn >= 3 THEN least(kn / 20, 1.0) ELSE kn / 3 * 0.5 END + 0.3 * CASE WHEN cn >= 1 THEN least(cn / 10, 1.0) ELSE 0 END + 0.2 * share
- + 0.2 * CASE WHEN len < 100 THEN len / 100 * 0.5 WHEN len > 10000 THEN 1.0 ELSE (len - 100) / 9900 * 0.5 + 0.5 END))::DOUBLE, 3)::DOUBLE AS quality FROM x""")
+SELECT doc_id, {QUALITY_SQL} AS quality FROM x""")
 def a04(spark, d):
     kn = tokens(spark, d).groupBy("doc_id").agg(F.count_distinct("term").alias("kn"))
     c = concept_rows(spark, d)

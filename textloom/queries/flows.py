@@ -12,10 +12,11 @@ from textloom.functions import text as T
 from textloom.operators import classify, documents
 from textloom.operators import vectors as X
 from textloom.plans import pipelines
+from textloom.queries.aggregates import QUALITY_SQL, SCORES
 from textloom.queries.filters import heuristic_sql, noise_sql
 from textloom.queries.joins import ALIAS_SQL, DIMS, DOMAINS, alias_dim, domain_dim, keyword_dim, term_list
 from textloom.queries.registry import BM25, TERMS_SQL, TOKENS_SQL, docs, literals, query, table, terms, tokens
-from textloom.queries.vectors import COS, labelled
+from textloom.queries.vectors import COS, discovered, labelled
 from textloom.queries.windows import STOP
 from textloom.sources import files, http, services
 from textloom.sources.scratch import scratch_path
@@ -220,9 +221,15 @@ def o01(spark, d):
     return x.select("doc_id", F.array_join("keywords", " ").alias("keywords"), F.col("n_keywords").cast("long").alias("n_keywords"), "n_noise")
 
 
-@query("o01_metadata_extraction_full")
+FULL_SQL = f"""WITH {SCORES}, {FLAGSHIP_SQL.removeprefix('WITH ').rsplit('SELECT d.doc_id, keywords', 1)[0].rstrip()}, c2 AS (SELECT k, count(*) AS n FROM concepts GROUP BY 1),
+x AS (SELECT d.doc_id, keywords, coalesce(kws.n, 0) AS kn, coalesce(n_noise, 0) AS n_noise, coalesce(c2.n, 0) AS cn, domain, detected.share AS own, coalesce(detected.share, 0) AS share, length(text) AS len
+ FROM documents d LEFT JOIN noise USING (doc_id) LEFT JOIN kws USING (doc_id) LEFT JOIN c2 ON c2.k = d.doc_id LEFT JOIN detected ON detected.k = d.doc_id AND r = 1)
+SELECT doc_id, keywords, kn AS n_keywords, cn AS n_concepts, n_noise, domain, own AS share, {QUALITY_SQL} AS quality FROM x"""
+
+
+@query("o01_metadata_extraction_full", FULL_SQL)
 def o01_full(spark, d):
-    return flagship(spark, d)
+    return flagship(spark, d).withColumn("keywords", F.array_join("keywords", " ")).withColumn("n_keywords", F.col("n_keywords").cast("long"))
 
 
 HASHED = pipelines.Stages(seeds=-0.2, similar=-0.4)
@@ -291,10 +298,8 @@ def o07(spark, d):
 
 @query("o08_topics_and_assignments")
 def o08(spark, d):
-    from textloom.operators import cluster
-
-    assigned, _ = cluster.kmeans_topics(table(spark, d, "embeddings"), "vec_id", "embedding", 5)
-    return assigned.select("vec_id", "topic", F.round("confidence", 4).alias("confidence"))
+    assigned, topics = discovered(spark, d)
+    return assigned.join(topics.select("topic", "size", "name"), "topic").select("doc_id", "topic", "size", "name", F.round("confidence", 4).alias("confidence"))
 
 
 @query("o09_cross_references", f"""WITH p AS (SELECT a.vec_id AS query, b.vec_id AS match, round({COS}, 6) AS base, CASE WHEN a.label = b.label THEN 0.15 ELSE 0.0 END::DOUBLE AS boost FROM embeddings a JOIN embeddings b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),

@@ -6,9 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
-from textloom.operators import classify, cluster, lexical, training
+from textloom.operators import classify, cluster, concepts, lexical, training
 from textloom.operators import vectors as X
 from textloom.operators.filters import concept_reason
+from textloom.queries.filters import TOPIC_NOISE
 from textloom.queries.joins import COS, DOT, alias_dim, term_list
 from textloom.queries.registry import BM25, TOKENS_SQL, docs, query, split, table, terms, tokens
 from textloom.queries.windows import NGRAMS, STOP, TFIDF, weights
@@ -143,7 +144,7 @@ def v14_similar(spark, d):
 
 @query("v15_topic_model")
 def v15(spark, d):
-    assigned, _ = cluster.kmeans_topics(table(spark, d, "embeddings"), "vec_id", "embedding", 8)
+    assigned = cluster.topic_model(table(spark, d, "embeddings"), "vec_id", "embedding", 8, 4)
     return assigned.groupBy("topic").agg(F.count(F.lit(1)).alias("size"), F.round(F.avg("confidence"), 4).alias("confidence"))
 
 
@@ -157,13 +158,20 @@ def v16(spark, d):
     return x.select("topic", "term", F.round("weight", 4).alias("weight"), "rank")
 
 
-@query("v17_concept_discovery", f"WITH {TOPIC_TERMS}, r AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY round(weight, 6) DESC, term) AS rank FROM w), s AS (SELECT lang AS topic, count(*) AS size, array_to_string(list_sort(list(doc_id))[1:3], ',') AS docs FROM documents GROUP BY lang) SELECT topic, size, docs, string_agg(term, '_' ORDER BY rank) AS name FROM s JOIN r USING (topic) WHERE rank <= 3 GROUP BY ALL")
+def discovered(spark, d):
+    """Topics of all documents, from their words."""
+    from textloom.sources.scratch import materialize
+
+    assigned = materialize(spark, cluster.topic_model(cluster.text_vectors(docs(spark, d), stopwords=STOP), "doc_id", "vector", 8))
+    return assigned, cluster.discover(docs(spark, d), assigned, stopwords=STOP)
+
+
+@query("v17_concept_discovery")
 def v17(spark, d):
-    assigned = docs(spark, d).select("doc_id", F.col("lang").alias("topic"))
-    words = cluster.topic_terms(assigned, tokens(spark, d).select("doc_id", "term"), k=5)
-    out = cluster.topic_summary(assigned.withColumn("topic", F.col("topic")), "topic", "doc_id")
-    named = words.where("rank <= 3").groupBy("topic").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda x: x["term"]), "_").alias("name"))
-    return out.join(named, "topic").select("topic", "size", F.array_join(F.transform("representatives", lambda v: v.cast("string")), ",").alias("docs"), "name")
+    _, topics = discovered(spark, d)
+    kept = topics.where("topic >= 0").withColumn("terms", F.filter("terms", lambda t: ~t.isin(TOPIC_NOISE)))
+    quality = concepts.topic_quality(F.array_join(F.slice("terms", 1, 3), " "), "terms", "size", TOPIC_NOISE)
+    return kept.select("topic", "size", "representatives", "name", "terms", F.round(quality, 6).alias("quality"))
 
 
 def labelled(spark, d):
