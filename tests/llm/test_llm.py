@@ -177,6 +177,29 @@ def linked(docs, k, percent):
     return sorted(((none(ids[x]), len(sets[x]), none(least[find(x)] if sets[x] else ids[x])) for x in range(len(docs))), key=repr)
 
 
+def test_counts_of_shingles(spark, rows):
+    """Levels by the exchange are those of the documents that have a shingle, for chunks of any size."""
+    docs = [(i, t) for i, t, _ in rows[:60]] + [(500 + i, t) for i, t, _ in rows[:30]]
+    df = frame(spark, [(i, t, "a") for i, t in docs]).transform(jaccard.documents_of)
+    have = Counter(x for _, t in docs for x in shingles(t, 3))
+    for chunk in (3_000, 10_000_000):
+        join = jaccard.Join(chunk=chunk)
+        monkey = jaccard.ROW_TOKENS
+        jaccard.ROW_TOKENS = 1
+        placed, bits = jaccard._places(df, join)
+        jaccard.ROW_TOKENS = monkey
+        got = Counter(x for r in jaccard._levels(placed, join, bits).collect() for x in r.levels)
+        assert (placed.select("chunk").distinct().count() > 1) == (chunk == 3_000)
+        sets = {r.doc_id: r for r in jaccard._sets(placed, jaccard._levels(placed, join, bits), join).collect()}
+        assert {i: r.n for i, r in sets.items()} == {i: len(shingles(t, 3)) for i, t in docs}
+        once = sum(n == 1 for n in have.values())
+        assert got[0] == once  # a shingle of one document is in one chunk
+        for i, t in docs:
+            repeated = sum(have[x] > 1 for x in shingles(t, 3))
+            can = len(shingles(t, 3)) >= 9 and len(shingles(t, 3)) - repeated < join.prefix(len(shingles(t, 3)))
+            assert (sets[i].shingles is not None) == can
+
+
 @pytest.mark.parametrize(("k", "percent", "block"), [(3, 90, 2_000_000), (5, 80, 400)])
 def test_jaccard(spark, rows, k, percent, block):
     r = random.Random(1)

@@ -13,18 +13,17 @@ from pyspark.sql import functions as F
 from textloom.llm import hashing as H
 from textloom.llm.common import ROW, discard, documents_of, materialize, row_identity, shuffle_parts, text_steps
 from textloom.llm.components import components
-from textloom.llm.sketch import ROWS, merge, partition_sketch
 
 
 @dataclass(frozen=True)
 class Join:
-    """Shingles of `words` words; two sets link at 100 * intersection >= percent * union. log2 sizes the sketch of document frequencies, `common` is the estimated frequency from which tokens are ordered by it, block bounds the shingles that one task compares."""
+    """Shingles of `words` words; two sets link at 100 * intersection >= percent * union. Document frequencies are counted for chunks of about `chunk` bytes of text in parts of about `part` tokens, block bounds the shingles that one task compares."""
 
     words: int = 3
     percent: int = 90
     orders: int = 3
-    log2: int = 28
-    common: int = 4
+    chunk: int = 16_000_000
+    part: int = 16_000_000
     block: int = 2_000_000
     step: int = 2_000_000
 
@@ -56,18 +55,75 @@ def shingle_sets(batch: pa.RecordBatch, join: Join) -> Iterator[tuple[int, np.nd
                 yield row + i, H.mix((p[b : b + 1] - p[a : a + 1]) * back[a] + H.U(b - a))
 
 
-def _sketch(docs: DataFrame, join: Join):
+#: Bytes of text for a shingle, about.
+SHINGLE_BYTES = 6
+#: A row of the exchange of counts, about: shingles of one chunk in one part.
+ROW_TOKENS = 16
+
+
+def _places(docs: DataFrame, join: Join) -> tuple[DataFrame, int]:
+    """docs with the chunk that counts its shingles, and the number of bits that name a part; both follow from the counted bytes."""
+    total = int(docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n)
+    bits = max(2 * shuffle_parts(docs.sparkSession), total // SHINGLE_BYTES // join.part).bit_length()
+    chunks = max(1, -(-total // max(join.chunk, ROW_TOKENS * SHINGLE_BYTES << bits)))
+    return docs.select(*ROW, "text", F.pmod(F.xxhash64(F.lit("chunk"), *ROW), F.lit(chunks)).alias("chunk")), bits
+
+
+def _asked(tokens: np.ndarray, counts: np.ndarray, chunk: int, bits: int) -> pa.RecordBatch:
+    """A chunk's distinct shingles, ascending, as rows of (part, chunk, cells, counts): the first bits of a shingle are its part, the next 32 its cell there."""
+    part = (tokens >> H.U(64 - bits)).astype(np.int64)
+    cells = ((tokens >> H.U(32 - bits)) & H.U(0xFFFFFFFF)).astype(np.uint32)
+    edges = np.searchsorted(part, np.arange((1 << bits) + 1))
+    met = np.flatnonzero(np.diff(edges))
+    cut = lambda x: pa.array([x[edges[p] : edges[p + 1]].tobytes() for p in met.tolist()], pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(met.astype(np.int32)), pa.array(np.full(len(met), chunk)), cut(cells), cut(np.minimum(counts, 65535).astype(np.uint16))], ["part", "chunk", "cells", "counts"])
+
+
+def count_cells(table: pa.Table) -> pa.Table:
+    """Of one part, the answers (chunk, part, levels) to its rows: for each cell a byte, 0 where one document has it, else 1 + 4 * log2 of the documents. Cells that two shingles share count both: never too few."""
+    cells = np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in table.column("cells")])
+    counts = np.concatenate([np.frombuffer(x.as_py(), np.uint16) for x in table.column("counts")])
+    _, inverse = np.unique(cells, return_inverse=True)
+    total = np.bincount(inverse, counts)
+    level = np.where(total < 2, 0, 1 + np.floor(4 * np.log2(np.maximum(total, 2)))).astype(np.uint8)[inverse]
+    ends = np.cumsum([len(x.as_py()) // 4 for x in table.column("cells")])
+    return pa.table({"chunk": table.column("chunk"), "part": table.column("part"), "levels": pa.array([x.tobytes() for x in np.split(level, ends[:-1])], pa.binary())})
+
+
+def _levels(placed: DataFrame, join: Join, bits: int) -> DataFrame:
+    """(chunk, part, levels): how many documents have each distinct shingle of a chunk.
+
+    Chunks ask parts: a shingle goes to the part of its hash once a chunk, however many documents have it there, and a
+    byte comes back for it. So counts are complete whatever the size of the corpus, nothing is broadcast, and a frequent
+    shingle has one row a chunk.
+    """
+
     def run(batches):
-        yield from partition_sketch((s for batch in batches for _, s in shingle_sets(batch, join)), 1, join.log2)
+        chunk, held = None, []
+
+        def flush():
+            return _asked(*np.unique(np.concatenate(held), return_counts=True), chunk, bits)
+
+        for batch in batches:
+            of = batch.column("chunk").to_numpy()
+            for row, s in shingle_sets(batch.select(["text"]), join):
+                if of[row] != chunk:
+                    if held:
+                        yield flush()
+                    chunk, held = int(of[row]), []
+                held.append(s)
+        if held:
+            yield flush()
 
-    return merge(docs.select("text").mapInArrow(run, ROWS), 1, join.log2, join.common)
+    dealt = placed.select("chunk", "text").repartition("chunk").sortWithinPartitions("chunk")
+    return dealt.mapInArrow(run, "part int, chunk long, cells binary, counts binary").groupBy("part").applyInArrow(count_cells, "chunk long, part int, levels binary")
 
 
 def prefixes(shingles: np.ndarray, join: Join, repeated: np.ndarray, level: np.ndarray) -> list[np.ndarray]:
     """For each order, the prefix tokens that other documents may have; empty lists if one order has none.
 
-    Tokens of one document come first, then the others by their estimated frequency, rare ones first, and within a
-    quarter octave by a hash: any function of a token is a valid global order. Where tokens of this document alone fill
+    Tokens of one document come first, then the others by their frequency, rare ones first, and within a quarter octave by
+    a hash: any function of a token is a valid global order. Where tokens of this document alone fill
     the prefix, no other set can reach the threshold.
     """
     n = join.prefix(len(shingles)) - int((~repeated).sum())
@@ -86,27 +142,50 @@ SETS = "doc_id long, known boolean, tag long, n long, sig1 long, sig2 long, pref
 CLASS = ["sig1", "sig2", "n"]
 
 
-def _sets(docs: DataFrame, join: Join, sketch) -> DataFrame:
+def _sets(placed: DataFrame, levels: DataFrame, join: Join) -> DataFrame:
     """A row a document: the size and a 128-bit signature of its set; its prefixes and the set itself only if it can have a partner."""
-
-    def run(batches):
-        for batch in batches:
-            n, one, two = (np.zeros(batch.num_rows, np.int64) for _ in range(3))
-            tokens, sets = [None] * batch.num_rows, [None] * batch.num_rows
+    names = [c.split()[0] for c in SETS.split(", ")]
+    types = {"long": pa.int64(), "boolean": pa.bool_(), "array<binary>": pa.list_(pa.binary()), "binary": pa.binary()}
+    schema = pa.schema([(c.split()[0], types[c.split()[1]]) for c in SETS.split(", ")])
+
+    def run(table: pa.Table, answers: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return schema.empty_table()
+        rows, sets = [], []
+        for first, batch in enumerate_rows(table):
             for row, s in shingle_sets(batch.select(["text"]), join):
+                rows.append(first + row)
+                sets.append(s)
+        n, one, two = (np.zeros(table.num_rows, np.int64) for _ in range(3))
+        tokens, kept = [None] * table.num_rows, [None] * table.num_rows
+        if sets:
+            answers = answers.sort_by("part")
+            level = np.concatenate([np.frombuffer(x.as_py(), np.uint8) for x in answers.column("levels")])
+            distinct, inverse = np.unique(np.concatenate(sets), return_inverse=True)
+            if len(distinct) != len(level):
+                raise ValueError("a chunk has other shingles than when it was counted")
+            own = np.split(level[inverse], np.cumsum([len(s) for s in sets])[:-1])
+            for row, s, lev in zip(rows, sets, own, strict=True):
                 n[row] = len(s)
                 one[row] = H.mix(s ^ H.U(0x452821E638D01377)).sum(dtype=np.uint64).astype(np.int64)
                 two[row] = H.mix(s ^ H.U(0xBE5466CF34E90C6C)).sum(dtype=np.uint64).astype(np.int64)
-                if len(s) < join.least_size:
-                    continue
-                repeated = sketch.value.repeated(s)
-                if len(s) - repeated.sum() < join.prefix(len(s)):
-                    found = prefixes(s, join, repeated, sketch.value.level(s[repeated]))
+                repeated = lev > 0
+                if len(s) >= join.least_size and len(s) - repeated.sum() < join.prefix(len(s)):
+                    found = prefixes(s, join, repeated, lev[repeated])
                     if found:
-                        tokens[row], sets[row] = [x.tobytes() for x in found], s.tobytes()
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ROW), pa.array(n), pa.array(one), pa.array(two), pa.array(tokens, pa.list_(pa.binary())), pa.array(sets, pa.binary())], [*ROW, *CLASS[2:], *CLASS[:2], "prefixes", "shingles"])
+                        tokens[row], kept[row] = [x.tobytes() for x in found], s.tobytes()
+        columns = [*(table.column(c) for c in ROW), pa.array(n), pa.array(one), pa.array(two), pa.array(tokens, pa.list_(pa.binary())), pa.array(kept, pa.binary())]
+        return pa.table(columns, schema=schema).select(names)
+
+    return placed.groupBy("chunk").cogroup(levels.groupBy("chunk")).applyInArrow(run, SETS)
+
 
-    return docs.select(*ROW, "text").mapInArrow(run, SETS)
+def enumerate_rows(table: pa.Table) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """The batches of a table, each with the number of rows before it."""
+    before = 0
+    for batch in table.to_batches():
+        yield before, batch
+        before += batch.num_rows
 
 
 def _first_tokens(reps: DataFrame) -> DataFrame:
@@ -242,8 +321,9 @@ def _linked(reps: DataFrame, join: Join) -> DataFrame:
 def _components(docs: DataFrame, join: Join) -> DataFrame:
     """(doc_id, known, tag, n, chief), a row a row of docs (which documents_of made); chief is the first row of its component: (unknown, doc_id, tag)."""
     spark = docs.sparkSession
-    sketch = spark.sparkContext.broadcast(_sketch(docs, join))  # 2 ** log2 bits and the common cells
-    sets = materialize(spark, _sets(docs, join, sketch))
+    placed, bits = _places(docs, join)
+    levels = materialize(spark, _levels(placed, join, bits))
+    sets = materialize(spark, _sets(placed, levels, join), levels)
     whole = materialize(spark, sets.select(*ROW, *CLASS))
     chief = F.struct((~F.col("known")).alias("unknown"), "doc_id", "tag")
     classes = whole.where("n > 0").groupBy(*CLASS).agg(F.min(chief).alias("first"))
