@@ -241,7 +241,7 @@ def j17(spark, d):
     books = part.select(F.col("p_type").alias("book")).distinct()
     files = part.select(F.when(F.col("p_partkey") % 2 == 0, F.col("p_type")).otherwise(F.concat(F.lit("x "), F.col("p_type"), F.lit(" 2nd"))).alias("file")).distinct()
     exact = books.join(files, F.col("book") == F.col("file"))
-    rest = books.join(exact.select("book"), "book", "left_anti").join(files, F.contains("file", F.substring("book", 1, 20)))
+    rest = X.against(books.join(exact.select("book"), "book", "left_anti"), files, F.contains("file", F.substring("book", 1, 20)), bytes_a_row=100)
     return exact.unionByName(rest.groupBy("book").agg(F.min("file").alias("file")))
 
 
