@@ -146,7 +146,7 @@ def test_density_clusters_in_blocks(spark, tmp_path):
         return out
 
     as_dict = lambda d: {(x[0], x[1]): x[2] for x in d.collect()}
-    assert as_dict(QUERIES["v14_density_clusters"](spark, str(tmp_path))) == expected(0.5)
+    assert as_dict(QUERIES["v14_similarity_clusters"](spark, str(tmp_path))) == expected(0.5)
     assert len(set(expected(0.9).values())) > 3
     assert as_dict(cluster.density_clusters(df, "label", "vec_id", "embedding", 0.9, block=7)) == expected(0.9)
 
