@@ -6,7 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 from weakref import WeakKeyDictionary
 
@@ -46,11 +46,11 @@ def shuffles_freed(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(FREE_SHUFFLES, before)
 
 
-def materialize(spark: SparkSession, df: DataFrame, *done: DataFrame) -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it back: cuts the lineage and survives lost executors. Then deletes `done`, materialised tables that nothing reads any more."""
+def materialize(spark: SparkSession, df: DataFrame, *done: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Writes df as Parquet to the shared folder and reads it back: cuts the lineage and survives lost executors. Then deletes `done`, materialised tables that nothing reads any more. `by`: columns that make folders, for readers of some of their values."""
     path = scratch_path(spark)
     with shuffles_freed(spark):
-        df.write.parquet(path)
+        df.write.partitionBy(*by).parquet(path)
     discard(spark, *done)
     out = spark.read.schema(df.schema).parquet(path)
     _paths[out] = path
@@ -62,8 +62,12 @@ def discard(spark: SparkSession, *tables: DataFrame) -> None:
     for table in tables:
         path = _paths.pop(table, None)
         if path is not None:
-            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+            remove_files(spark, path)
+
+
+def remove_files(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def hand_over(table: DataFrame, view: DataFrame) -> DataFrame:
