@@ -7,9 +7,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.sources.scratch import discard, materialize, scratch_dir, scratch_path, shuffles_freed
+from textloom.sources.scratch import discard, materialize, remove_files, scratch_dir, scratch_path, shuffles_freed
 
-__all__ = ["MOST_ID", "ROW", "STEP_BYTES", "counted_parts", "discard", "documents_of", "id_out", "materialize", "order_ids", "row_identity", "scratch_dir", "scratch_path", "shuffle_parts", "shuffles_freed", "table", "text_steps"]
+__all__ = ["MOST_ID", "ROW", "STEP_BYTES", "counted_parts", "discard", "documents_of", "id_out", "materialize", "order_ids", "remove_files", "row_identity", "scratch_dir", "scratch_path", "shuffle_parts", "shuffles_freed", "table", "text_steps"]
 
 #: Bytes of text that one vectorised step works on at a time; bounds a Python worker's memory.
 STEP_BYTES = 2_000_000

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import decontaminate, jaccard, lines, mixing, passages, quality, secrets, sharding, suffixes, tokens
+from textloom.llm import decontaminate, jaccard, linedup, lines, middle, mixing, passages, quality, secrets, sharding, suffixes, tokens
 from textloom.llm.common import table
 
 
@@ -54,6 +54,14 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.clean(table(spark, sf_dir, "documents"), with_text=False)
 
 
+def op11_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return middle.digest(table(spark, sf_dir, "documents"))
+
+
+def op13_linedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linedup.dedup(table(spark, sf_dir, "documents"), with_text=False)
+
+
 #: Poisson counts and copies: the cumulative distribution of each source is a list, and a count is the number of its values below the document's hash.
 OP5_SQL = """
 WITH sizes AS (SELECT coalesce(source, '') AS src, sum(strlen(coalesce(text, ''))) AS bytes FROM documents GROUP BY 1),
@@ -91,6 +99,28 @@ kept AS (SELECT w.doc_id, len(w) AS n, coalesce(ps, []) AS ps, list_filter(w, la
 SELECT doc_id, n::BIGINT AS n_words, len(ps)::BIGINT AS n_removed, len(list_filter(ps, lambda x, i: i = 1 OR ps[i - 1] <> x - 1))::BIGINT AS n_spans, sha256(array_to_string(k, ' ')) AS kept_sha256 FROM kept
 """
 
+#: Draws from the digest of each id, two cuts in characters, and the parts in the order of the form.
+OP11_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || doc_id::VARCHAR) AS h FROM documents),
+u AS (SELECT *, ('0x' || h[1:8])::BIGINT % (n + 1) AS a, ('0x' || h[9:16])::BIGINT % (n + 1) AS b, ('0x' || h[17:24])::BIGINT % 100 AS p, ('0x' || h[25:32])::BIGINT % 100 AS q FROM d),
+f AS (SELECT doc_id, t, n, CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR p >= 90 THEN 'plain' WHEN q < 20 THEN 'spm' ELSE 'psm' END AS form, least(a, b) AS a, greatest(a, b) AS b FROM u),
+c AS (SELECT *, substr(t, 1, a) AS pre, substr(t, a + 1, b - a) AS mid, substr(t, b + 1) AS suf FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+  sha256(CASE form WHEN 'plain' THEN t ELSE pre || mid || suf END) AS restored_sha256
+FROM c
+"""
+
+#: Lines by their keys, the least document of each key, and what is left of each text.
+OP13_SQL = """
+WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+keyed AS (SELECT doc_id, i, translate(trim(ls[i], chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM split)),
+owners AS (SELECT k, min(doc_id) AS owner FROM keyed WHERE length(k) >= 10 GROUP BY k),
+gone AS (SELECT doc_id, list(i) AS gone FROM keyed JOIN owners USING (k) WHERE doc_id > owner GROUP BY doc_id)
+SELECT s.doc_id, len(ls)::BIGINT AS n_lines, coalesce(len(gone), 0)::BIGINT AS n_dropped, sha256(array_to_string(list_filter(ls, lambda x, i: NOT list_contains(coalesce(gone, []), i)), chr(10))) AS kept_sha256
+FROM split s LEFT JOIN gone USING (doc_id)
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_tokens": op1_tokens,
     "op2_decontaminate": op2_decontaminate,
@@ -102,6 +132,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_shard": op9_shard,
     "op10_lines": op10_lines,
+    "op11_middle": op11_middle,
+    "op13_linedup": op13_linedup,
 }
 
-ORACLES: dict[str, str] = {"op3_jaccard": OP3_SQL, "op4_passages": OP4_SQL, "op5_mix": OP5_SQL}
+ORACLES: dict[str, str] = {"op3_jaccard": OP3_SQL, "op4_passages": OP4_SQL, "op5_mix": OP5_SQL, "op11_middle": OP11_SQL, "op13_linedup": OP13_SQL}
