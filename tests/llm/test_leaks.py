@@ -79,11 +79,8 @@ def stretch_best(found, windows, share):
 
 def brute(docs, items, width=5, share=0.8):
     out = []
-    texts = {}
-    for i, t in items:
-        if i is not None and t is not None:
-            texts[i] = max(texts.get(i, (-1, "")), (len(t), t))
-    forms = {i: item_windows(t, width) for i, (_, t) in texts.items()}
+    texts = {(i, t) for i, t in items if t is not None}
+    forms = {x: item_windows(x[1], width) for x in texts}
     for doc, text in {(d, t) for d, t in docs if t is not None}:
         words = read(text)
         cuts = {size: [(q, v, bare(v)) for q, v in cut(words, size)] for size in {len(k) for f in forms.values() for x in f for k in x[3]}}
@@ -109,7 +106,7 @@ def brute(docs, items, width=5, share=0.8):
                         row = (got[0] / windows, got[0], windows, got[1])
                         best = row if best is None else max(best, row)
             if best:
-                out.append((doc, item, best[2], best[1], best[0], best[3]))
+                out.append((doc, item[0], best[2], best[1], best[0], best[3]))
     return sorted(out, key=repr)
 
 
@@ -182,7 +179,7 @@ def test_leaks_odd_rows(spark):
     other = item.replace("Natalia", "Priya").replace("Marcus", "Olga").replace("48", "90")
     long = prose(77, 30_000)
     docs = [r[:2] for r in ODD + IDENTITY] + [(None, other), (None, "unrelated words here"), (20, other), (20, "other words of the same id"), (21, f"{long} {other} {long}"), (22, "1 2 3 4 5 6 7"), (23, "1 2 3 4 5 6 8"), (20, other)]
-    items = [(1, item), (1, item), (2, ""), (3, None), (None, item), (4, "1 2 3 4 5 6 7"), (5, long), (6, "Natalia")]
+    items = [(1, item), (1, item), (2, ""), (3, None), (None, item), (4, "1 2 3 4 5 6 7"), (5, long), (6, "Natalia"), (5, other + " And how many are left after that?"), (None, "words without an id of their own")]
     got = leaks(spark, docs, items)
     assert got == brute(docs, items)
     assert {(d, i) for d, i, *_ in got} == {(None, 1), (20, 1), (21, 1), (22, 4), (21, 5)}

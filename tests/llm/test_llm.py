@@ -275,6 +275,14 @@ def test_tokens(spark, none, docs, monkeypatch):
     assert tokens.digest(none, tokenizer()).count() == 0
 
 
+def test_keys_of_frequent_ids(spark, monkeypatch):
+    monkeypatch.setattr(tokens, "NUMBERS", 7)
+    docs = frame(spark, [(1, "a", "s")] * 22 + [(2, "b", "s")] * 7 + [(None, "", "s")] * 8)
+    got = Counter((r.doc_id, r.known) for r in tokens.keys_of(docs).collect())
+    assert sorted(got.values()) == [7, 8, 22] and tokens.keys_of(docs).distinct().count() == 37
+    assert {r.nth for r in tokens.keys_of(docs).where("doc_id = 1").collect()} == set(range(22))
+
+
 def test_token_lookup(spark, odd, tmp_path):
     path = str(tmp_path / "tokens")
     tokens.write(odd, path, tokenizer(), shards=3)
@@ -286,7 +294,7 @@ def test_token_lookup(spark, odd, tmp_path):
     assert ids == {4: [*e.ids(LONG).tolist(), 0], 5: [*e.ids(ODD[4][1]).tolist(), 0]}
 
 
-@pytest.mark.parametrize("column", ["fingerprints", "offsets", "chunks", "lengths", "bits"])
+@pytest.mark.parametrize("column", ["fingerprints", "offsets", "chunks", "lengths", "bits", "starts", "shards", "levels", "ranks"])
 def test_corrupted_index_is_found(spark, rows, tmp_path, column):
     """Every answer comes through the index: a wrong one can't give rows."""
     docs = frame(spark, rows[:60])
@@ -294,7 +302,7 @@ def test_corrupted_index_is_found(spark, rows, tmp_path, column):
     tokens.write(docs, path, tokenizer(), shards=2)
     assert tokens.read_back(spark, path, tokens.keys_of(docs)).count() == 60
     index = spark.read.parquet(f"{path}/index").toPandas()
-    width = {"offsets": 8, "lengths": 8}.get(column, 4)
+    width = {"offsets": 8, "lengths": 8, "starts": 8, "levels": 8}.get(column, 4)
     index[column] = [(np.frombuffer(x, f"<u{width}") ^ 1).tobytes() if len(x) % width == 0 else x for x in index[column]]
     spark.createDataFrame(index, tokens.INDEX).write.mode("overwrite").parquet(f"{path}/index")
     with pytest.raises(Exception, match="the index (lacks|says)"):
@@ -347,7 +355,7 @@ def test_leaks(spark, none):
     items = spark.createDataFrame([(0, ITEM), (1, "too short"), (2, None), (None, ITEM)], "item_id long, text string")
     got = {(r.doc_id, r.item_id): r for r in decontaminate.leaks(frame(spark, docs), items).collect()}
     assert {k for k, r in got.items() if k[0] in (1, 4, 5, 6, 7)} == set()
-    assert {(2, 0), (3, 0), (8, 0), (None, 0)} == set(got) and got[3, 0].slots >= 5
+    assert {(d, i) for d in (2, 3, 8, None) for i in (0, None)} == set(got) and got[3, 0].slots >= 5
     kept = decontaminate.clean(frame(spark, docs), items)
     assert {r.doc_id for r in kept.collect()} == {1, 4, 5, 6, 7} and kept.columns == frame(spark, docs).columns
     assert decontaminate.leaks(none, items).count() == 0 and decontaminate.leaks(frame(spark, docs), items.where("item_id > 5")).count() == 0
@@ -372,6 +380,15 @@ def test_leaks_reparameterised(spark):
     assert got[3, 3].coverage >= 0.9 and (8, 3) not in got  # 2 and 5 of 23 windows clash
 
 
+def test_leaks_of_items_without_ids_and_of_one_id(spark):
+    """Every text of the benchmark is searched for: a null or repeated item_id hides none."""
+    items = [(1, prose(50, 30)), (1, prose(51, 20)), (1, prose(51, 20)), (None, prose(52, 25)), (None, prose(53, 25)), (None, None), (2, "")]
+    docs = [(d, f"{prose(60 + d, 40)} {t} {prose(70 + d, 40)}", "a") for d, (_, t) in enumerate(items) if t] + [(9, prose(80, 90), "a")]
+    df, bench = frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")
+    assert sorted(((r.doc_id, r.item_id) for r in decontaminate.leaks(df, bench).collect()), key=repr) == sorted([(0, 1), (1, 1), (2, 1), (3, None), (4, None)], key=repr)
+    assert {r.doc_id for r in decontaminate.clean(df, bench).collect()} == {9}
+
+
 def test_leaks_found_in_the_tables(spark, sf_dir):
     """Documents that hold an item word for word are all found, and no others."""
     docs = duckdb.sql(f"SELECT doc_id, text FROM '{sf_dir}/documents.parquet'").fetchall()

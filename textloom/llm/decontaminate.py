@@ -65,42 +65,40 @@ def _cuts(bare: F.Column, words: F.Column, width: int) -> F.Column:
 
 
 def _item_windows(benchmark: DataFrame, width: int) -> DataFrame:
-    """(item_id, variant, item_pos, key, vals, strict, windows).
+    """(item, variant, item_pos, key, vals, strict, windows). item names a row by item_id and text: every text is searched for, whether its id is null, repeated or neither.
 
     Variant 0 has names as placeholders, variant 1 has them as words: that is how a text in lower or upper case reads. An
     item's first word may stand behind other text, so variant 0 has the windows there with it as a word and as a name.
     An item of fewer than `width` words is one window. Windows of fewer than LITERALS literal words don't count, unless
     the item has no others: these are strict, their values must be the same.
     """
-    usable = benchmark.where("text is not null and item_id is not null")
-    # one row an item: repeated ids keep the longest text, the first of equally long ones
-    usable = usable.groupBy("item_id").agg(F.max(F.struct(F.length("text").alias("n"), F.col("text"))).alias("_x")).select("item_id", F.col("_x.text").alias("text"))
-    tokens = usable.select("item_id", _tokens(F.col("text")).alias("w0"), _tokens(F.col("text"), names=False).alias("w1"))
+    usable = benchmark.where("text is not null").select(F.struct("item_id", F.xxhash64("text").alias("one"), F.xxhash64(F.lit("two"), "text").alias("two")).alias("item"), "text")
+    tokens = usable.select("item", _tokens(F.col("text")).alias("w0"), _tokens(F.col("text"), names=False).alias("w1"))
     first, rest = F.col("w0")[0], F.slice("w0", 2, F.greatest(F.size("w0") - 1, F.lit(0)))
     as_word = F.regexp_replace(first, r"^<name=([^>]*)>", "$1")
     as_name = F.when(first.startswith("<"), first).otherwise(F.concat(F.lit("<name="), first, F.lit(">")))
     form = lambda variant, words: F.struct(F.lit(variant).alias("variant"), words.alias("w"))
     forms = F.array(form(0, F.col("w0")), form(0, F.concat(F.array(as_word), rest)), form(0, F.concat(F.array(as_name), rest)), form(1, F.col("w1")))
     named = F.exists("w0", lambda w: w.startswith("<name"))
-    both = tokens.where(F.size("w0") > 0).select("item_id", F.explode(F.when(named, forms).otherwise(F.slice(forms, 1, 3))).alias("f")).select("item_id", "f.*")
+    both = tokens.where(F.size("w0") > 0).select("item", F.explode(F.when(named, forms).otherwise(F.slice(forms, 1, 3))).alias("f")).select("item", "f.*")
     # windows are cut before they become rows, which then carry no more than a window
     short = F.array(F.struct(F.lit(0).alias("doc_pos"), F.col("b").alias("key"), F.col("w").alias("doc_vals")))
     cuts = F.when(F.size("w") >= width, _cuts(F.col("b"), F.col("w"), width)).otherwise(short)
-    rows = both.withColumn("b", F.transform("w", _bare)).select("item_id", "variant", F.explode(cuts).alias("x"))
-    rows = rows.select("item_id", "variant", F.col("x.doc_pos").alias("item_pos"), "x.key", F.col("x.doc_vals").alias("vals")).distinct()
+    rows = both.withColumn("b", F.transform("w", _bare)).select("item", "variant", F.explode(cuts).alias("x"))
+    rows = rows.select("item", "variant", F.col("x.doc_pos").alias("item_pos"), "x.key", F.col("x.doc_vals").alias("vals")).distinct()
     rows = rows.withColumn("strict", F.size(F.filter("key", lambda k: ~k.startswith("<"))) < LITERALS)
-    needed = rows.groupBy("item_id", "variant").agg(
+    needed = rows.groupBy("item", "variant").agg(
         F.min("strict").alias("_strict"), F.count_distinct("item_pos").alias("_all"), F.count_distinct(F.when(~F.col("strict"), F.col("item_pos"))).alias("_literal")
     )
-    whole = rows.join(needed, ["item_id", "variant"]).where(F.col("strict") == F.col("_strict"))
-    return whole.select("item_id", "variant", "item_pos", "key", "vals", "strict", F.when(F.col("_strict"), F.col("_all")).otherwise(F.col("_literal")).alias("windows"))
+    whole = rows.join(needed, ["item", "variant"]).where(F.col("strict") == F.col("_strict"))
+    return whole.select("item", "variant", "item_pos", "key", "vals", "strict", F.when(F.col("_strict"), F.col("_all")).otherwise(F.col("_literal")).alias("windows"))
 
 
 def _leaks(docs: DataFrame, benchmark: DataFrame, width: int, share: float, most: int) -> DataFrame:
     """leaks() by row: doc_id, known and tag name a document."""
     items = _item_windows(benchmark.select("item_id", "text"), width)
     # get() is null behind the end of a short item, and nulls don't change the hash
-    hashed = items.select("item_id", "variant", "item_pos", "windows", F.size("key").alias("_k"), F.xxhash64(*[F.get("key", F.lit(i)) for i in range(width)]).alias("_h")).distinct()
+    hashed = items.select("item", "variant", "item_pos", "windows", F.size("key").alias("_k"), F.xxhash64(*[F.get("key", F.lit(i)) for i in range(width)]).alias("_h")).distinct()
     sizes = {r["_k"]: r["count"] for r in hashed.groupBy("_k").count().collect()}  # `width` numbers at most
     hashed = hashed.drop("_k")
     if 64 * sum(sizes.values()) <= most:
@@ -113,8 +111,8 @@ def _leaks(docs: DataFrame, benchmark: DataFrame, width: int, share: float, most
     own = documents_of(docs.where("text is not null").select("doc_id", "text"))
     words = own.select(*doc, _tokens(F.col("text"), values=False).alias("_w"))
     hashes = words.select(*doc, F.explode(F.concat(*[_hashes(F.col("_w"), n) for n in widths])).alias("_h"))
-    met = hashes.join(hashed, "_h").groupBy(*doc, "item_id", "variant").agg(F.count_distinct("item_pos").alias("_m"), F.first("windows").alias("_n"))
-    pairs = met.where(F.col("_m") >= share * F.col("_n")).select(*doc, "item_id")
+    met = hashes.join(hashed, "_h").groupBy(*doc, "item", "variant").agg(F.count_distinct("item_pos").alias("_m"), F.first("windows").alias("_n"))
+    pairs = met.where(F.col("_m") >= share * F.col("_n")).select(*doc, "item")
 
     found = own.join(pairs.select(*doc).distinct(), doc, "left_semi")
     cut = F.concat(*[_cuts(F.col("b"), F.col("w"), n) for n in widths])
@@ -124,9 +122,9 @@ def _leaks(docs: DataFrame, benchmark: DataFrame, width: int, share: float, most
     slots = F.filter(F.arrays_zip(F.col("item_vals").alias("i"), F.col("doc_vals").alias("d")), lambda z: z["i"].startswith("<"))
     matched = matched.withColumn("slots", slots)
     # all that follows is about one document and one item: dealt once
-    pair = [*doc, "item_id", "variant", "windows"]
+    pair = [*doc, "item", "variant", "windows"]
     same = F.size(F.filter("slots", lambda z: z["i"] != z["d"])) == 0
-    matched = matched.where(~F.col("strict") | same).repartition("doc_id", "item_id").withColumn("at", F.col("doc_pos") - F.col("item_pos"))
+    matched = matched.where(~F.col("strict") | same).repartition("doc_id", "item").withColumn("at", F.col("doc_pos") - F.col("item_pos"))
     places = matched.groupBy(*pair, "item_pos", "at").agg(F.max(F.struct(same.alias("same"), F.col("slots"))).alias("x")).select(*pair, "item_pos", "at", "x.*")
     # stretches: each alignment by itself, and parts of the document as long as the item, in two grids that overlap by half
     grid = lambda n, no: F.struct(F.lit(n).alias("grid"), no.cast("long").alias("no"))
@@ -146,8 +144,8 @@ def _leaks(docs: DataFrame, benchmark: DataFrame, width: int, share: float, most
     counted = lambda c: F.struct(F.sum(F.col(c).cast("long")).alias("matched"), F.size(F.array_distinct(F.flatten(F.collect_list(F.when(F.col(c), F.col("values")))))).alias("slots"))
     best = agreed.groupBy(*stretch).agg(F.greatest(counted("ok"), counted("same")).alias("_b")).where(F.col("_b.matched") >= share * F.col("windows"))
     coverage = (F.col("_b.matched") / F.col("windows")).alias("coverage")
-    out = best.groupBy(*doc, "item_id").agg(F.max(F.struct(coverage, F.col("_b.matched").alias("matched"), F.col("windows"), F.col("_b.slots").alias("slots"))).alias("_b"))
-    return out.select(*doc, "item_id", "_b.windows", "_b.matched", "_b.coverage", "_b.slots")
+    out = best.groupBy(*doc, "item").agg(F.max(F.struct(coverage, F.col("_b.matched").alias("matched"), F.col("windows"), F.col("_b.slots").alias("slots"))).alias("_b"))
+    return out.select(*doc, F.col("item.item_id").alias("item_id"), "_b.windows", "_b.matched", "_b.coverage", "_b.slots")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, width: int = 5, share: float = 0.8, most: int = BROADCAST_BYTES) -> DataFrame:
@@ -166,7 +164,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = 5, share: float =
     and slots of the few documents found. The benchmark's windows are broadcast up to `most` bytes, as counted, and
     joined by a shuffle beyond.
 
-    An item of fewer than `width` words is one window. Null texts match nothing. Each row is a document of its own,
+    An item of fewer than `width` words is one window. Null texts match nothing. Each item is one of its own, named by
+    item_id and text: texts of one item_id, or without any (reported as null), give a row each. Each row is a document of its own,
     whether its id is null (and reported as null), repeated or neither; rows equal in id and text give one row. Empty
     tables give an empty result; other columns are ignored.
     """

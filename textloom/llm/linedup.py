@@ -9,7 +9,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.common import ROW, documents_of, materialize, remove_files, scratch_path, shuffle_parts, shuffles_freed
+from textloom.llm.common import ROW, documents_of, materialize, remove_files, scratch_path, shuffles_freed
 
 #: What is stripped from a line's ends, and the letters that are lower-cased.
 BLANKS = "\x20\x09\x0a\x0b\x0c\x0d"
@@ -40,7 +40,8 @@ class Runs:
     """
 
     def __init__(self, spark: SparkSession, fanout: int = 4, buckets: int | None = None) -> None:
-        self.spark, self.fanout, self.buckets = spark, fanout, buckets or shuffle_parts(spark)
+        self.spark, self.fanout = spark, fanout
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))  # as many as a shuffle of a batch has
         self.levels: list[list[tuple[str, str]]] = []
 
     @contextmanager
@@ -80,8 +81,8 @@ class Runs:
             level = 0
             while len(self.levels[level]) >= self.fanout:
                 full, self.levels[level] = self.levels[level], []
-                # hashes are in one run each: this keeps all rows, bucket by bucket, where a union keeps the buckets
-                merged = self._union([self.spark.table(name) for name, _ in full]).groupBy(*KEY).agg(F.min("owner").alias("owner"))
+                # hashes are in one run each, so all rows stay; Spark doesn't keep the buckets of a union
+                merged = self._union([self.spark.table(name) for name, _ in full]).repartition(self.buckets, *KEY)
                 self._add(merged, level + 1)
                 self._drop(full)
                 level += 1

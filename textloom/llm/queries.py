@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import decontaminate, jaccard, linedup, lines, middle, mixing, passages, quality, secrets, sharding, suffixes, tokens
+from textloom.llm import decontaminate, jaccard, linedup, lines, middle, mixing, passages, quality, secrets, sharding, suffixes, tokens, trie
 from textloom.llm.common import table
 
 
@@ -58,6 +58,10 @@ def op11_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return middle.digest(table(spark, sf_dir, "documents"))
 
 
+def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.nodes(table(spark, sf_dir, "conversations"))
+
+
 def op13_linedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linedup.dedup(table(spark, sf_dir, "documents"), with_text=False)
 
@@ -111,6 +115,21 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CA
 FROM c
 """
 
+#: Prefixes of rebuilt conversations as lists of turns; nodes are named by their smallest member and depth, and joined with all nodes above them.
+OP12_SQL = """
+WITH own AS (SELECT conv_id AS c, list({'role': coalesce(role, ''), 'text': coalesce(text, '')} ORDER BY turn NULLS FIRST, md5(strlen(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, ''))) AS t FROM conversations WHERE conv_id IS NOT NULL GROUP BY 1),
+h AS (SELECT c, t, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 4 AS h FROM own),
+r AS (SELECT a.c, list_concat(coalesce(b.t[1:a.h], []), a.t[a.h + 1:]) AS t FROM h a LEFT JOIN own b ON b.c = a.c - a.c % 20),
+p AS (SELECT c, d, len(t) AS n, CASE WHEN d = 0 THEN 0 ELSE len(regexp_extract_all(t[d].text, '[^\\x20\\x09-\\x0D]+')) END AS words, t[1:d] AS k FROM (SELECT c, t, unnest(range(0, len(t) + 1)) AS d FROM r)),
+m AS (SELECT c, d, n, words, min(c) OVER w AS id, count(*) OVER w AS members FROM p WINDOW w AS (PARTITION BY d, k)),
+up AS (SELECT DISTINCT a.id, a.d, b.id AS over_id, b.d AS over_d, a.members, a.words FROM m a JOIN m b ON a.c = b.c AND b.d <= a.d),
+kids AS (SELECT over_id AS id, over_d AS d, count(*) AS children FROM up WHERE d = over_d + 1 GROUP BY 1, 2),
+sums AS (SELECT over_id AS id, over_d AS d, sum((children IS NULL)::INT) AS leaves, sum((members - 1) * words) AS saved FROM up LEFT JOIN kids USING (id, d) GROUP BY 1, 2),
+nodes AS (SELECT id, d, any_value(members) AS members, sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE n = d), '')) AS ends FROM m GROUP BY 1, 2)
+SELECT a.id AS conv_id, a.d::BIGINT AS depth, u.over_id AS parent_conv_id, a.members AS n_convs, coalesce(children, 0)::BIGINT AS n_children, leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, ends AS ends_sha256
+FROM nodes a JOIN sums USING (id, d) LEFT JOIN kids k USING (id, d) LEFT JOIN (SELECT DISTINCT id, d, over_id FROM up WHERE d = over_d + 1) u USING (id, d)
+"""
+
 #: Lines by their keys, the least document of each key, and what is left of each text.
 OP13_SQL = """
 WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
@@ -133,7 +152,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_shard": op9_shard,
     "op10_lines": op10_lines,
     "op11_middle": op11_middle,
+    "op12_trie": op12_trie,
     "op13_linedup": op13_linedup,
 }
 
-ORACLES: dict[str, str] = {"op3_jaccard": OP3_SQL, "op4_passages": OP4_SQL, "op5_mix": OP5_SQL, "op11_middle": OP11_SQL, "op13_linedup": OP13_SQL}
+ORACLES: dict[str, str] = {"op3_jaccard": OP3_SQL, "op4_passages": OP4_SQL, "op5_mix": OP5_SQL, "op11_middle": OP11_SQL, "op12_trie": OP12_SQL, "op13_linedup": OP13_SQL}

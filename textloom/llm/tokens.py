@@ -40,6 +40,8 @@ BUCKET_KEYS = 100_000
 GAMMA = 1.5
 LEVELS = 48
 BLOCK = 512
+#: Numbers of rows of one id that are made in one array.
+NUMBERS = 65_536
 
 #: Bytes that are letters, and punctuation marks but for the apostrophe.
 LETTER = np.isin(np.arange(256), np.frombuffer(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", np.uint8))
@@ -412,8 +414,10 @@ def _index(spark: SparkSession, path: str) -> DataFrame:
 
 def keys_of(docs: DataFrame) -> DataFrame:
     """(doc_id, known, nth): the keys under which write() stores documents."""
-    counted = documents_of(docs).groupBy("doc_id", "known").agg(F.count(F.lit(1)).alias("_n"))
-    return counted.select("doc_id", "known", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias("nth"))
+    counted = documents_of(docs).groupBy("doc_id", "known").agg((F.count(F.lit(1)) - 1).alias("_last"))
+    # a frequent key's numbers come from arrays of bounded length
+    blocks = counted.select("doc_id", "known", "_last", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_last"), F.lit(NUMBERS).cast("long"))).alias("_from"))
+    return blocks.select("doc_id", "known", F.explode(F.sequence("_from", F.least(F.col("_from") + (NUMBERS - 1), F.col("_last")))).alias("nth"))
 
 
 PLACE = "doc_id long, known boolean, nth long, shard int, chunk int, offset long, start long, n_tokens long"
@@ -439,8 +443,11 @@ def lookup(spark: SparkSession, path: str, keys: DataFrame, strict: bool = False
             r = index.iloc[0]
             read = lambda c, t: np.frombuffer(r[c], t)
             ids, rest = _keys(asked)
-            slot = slots(ids, rest, read("levels", np.uint64), read("bits", np.uint8), read("ranks", np.uint32))
-            known = slot >= 0
+            levels, bits, ranks = read("levels", np.uint64), read("bits", np.uint8), read("ranks", np.uint32)
+            if int(levels.sum()) > 8 * len(bits) or BLOCK * len(ranks) != 8 * len(bits):
+                raise ValueError(f"the index says that bucket {r['bucket']} has other levels than bits")
+            slot = slots(ids, rest, levels, bits, ranks)
+            known = (slot >= 0) & (slot < r["n"])
             known[known] = read("fingerprints", np.uint32)[slot[known]] == fingerprint(ids[known], rest[known])
             at = slot[known]
             kinds = {"shard": ("shards", np.uint32), "chunk": ("chunks", np.uint32), "offset": ("offsets", np.uint64), "start": ("starts", np.uint64), "n_tokens": ("lengths", np.uint64)}
@@ -458,7 +465,8 @@ def lookup(spark: SparkSession, path: str, keys: DataFrame, strict: bool = False
 def fetch(spark: SparkSession, path: str, places: DataFrame, with_ids: bool = True) -> DataFrame:
     """(doc_id, known, nth, shard, chunk, offset, start, n_tokens, ids_crc32[, ids]): the raw ids at each place, cut out of its chunk by offset and length.
 
-    What stands there must be the document that the place is said to hold, in id and length; anything else is an error.
+    What stands there must be the document that the place is said to hold, in id and length, and its start must be that
+    of the chunk and the offset, from the sizes of the chunks; anything else is an error.
     Places are packed by chunk (as many as a chunk has documents), and each chunk is read once.
     """
     names = ["doc_id", "known", "nth", "offset", "start", "n_tokens"]
@@ -467,7 +475,7 @@ def fetch(spark: SparkSession, path: str, places: DataFrame, with_ids: bool = Tr
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                r = {n: batch.column(n)[i].as_py() for n in ("shard", "chunk", "width", "doc_ids", "known", "ends", "ids")}
+                r = {n: batch.column(n)[i].as_py() for n in ("shard", "chunk", "width", "doc_ids", "known", "ends", "ids", "first")}
                 if r["ids"] is None:
                     raise ValueError(f"the index says that there is a chunk {r['chunk']} in shard {r['shard']}")
                 ids, known, begins, ends = _stored(r)
@@ -477,6 +485,7 @@ def fetch(spark: SparkSession, path: str, places: DataFrame, with_ids: bool = Tr
                 right = (at < len(begins)) & (length > 0)
                 at = np.where(right, at, 0)
                 right &= (begins[at] == offset) & (ends[at] - begins[at] == length) & (ids[at] == asked["doc_id"].to_numpy()) & (known[at] == asked["known"].to_numpy(zero_copy_only=False))
+                right &= asked["start"].to_numpy() == offset + r["first"]
                 if not right.all():
                     raise ValueError(f"shard {r['shard']}, chunk {r['chunk']}: {int((~right).sum())} places don't hold what the index says")
                 wide = np.frombuffer(r["ids"], "<u2" if r["width"] == 2 else "<u4").astype("<u4")
@@ -488,7 +497,7 @@ def fetch(spark: SparkSession, path: str, places: DataFrame, with_ids: bool = Tr
 
     schema = "doc_id long, known boolean, nth long, shard int, chunk int, offset long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
     chunks = payload(spark, path).select("shard", "chunk", "width", "doc_ids", "known", "ends", "ids")
-    return packed.join(chunks, ["shard", "chunk"], "left").mapInArrow(run, schema)
+    return packed.join(chunks.join(chunk_starts(spark, path), ["shard", "chunk"]), ["shard", "chunk"], "left").mapInArrow(run, schema)
 
 
 def read_back(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
