@@ -93,12 +93,12 @@ def test_consensus(spark):
 
 
 def test_ranges_first_and_last(spark):
-    points = spark.createDataFrame([(5,), (99,)], "page long")
-    spans = spark.createDataFrame([(0, 1, 6), (1, 4, 9)], "idx int, start int, end int")
-    for last, idx in ((True, 1), (False, 0)):
-        for longest in (None, 50):
-            got = documents.in_intervals(points, spans, "page", "start", "end", "idx", last, longest=longest).collect()
-            assert [(r.page, r.idx) for r in got] == [(5, idx)]
+    points = spark.createDataFrame([(5,), (99,), (150,), (-3,), (None,)], "page long")
+    spans = spark.createDataFrame([(0, 1, 6), (1, 4, 9), (2, -300, 300), (3, 8, 2), (4, None, 99)], "idx int, start int, end int")
+    for last, idx in ((True, 2), (False, 0)):
+        for cell in (None, 1, 7, 50, 1000):
+            got = documents.in_intervals(points, spans, "page", "start", "end", "idx", last, cell=cell).collect()
+            assert sorted((r.page, r.idx) for r in got) == [(-3, 2), (5, idx), (99, 2), (150, 2)]
 
 
 def test_diagrams(spark):

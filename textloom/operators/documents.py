@@ -61,17 +61,20 @@ def index_entries(df: DataFrame, line: str, keys: list[str]) -> DataFrame:
     return df.select(*keys, T.index_entry(line).alias("_e")).where("_e is not null").select(*keys, F.col("_e.term").alias("term"), F.explode("_e.pages").alias("page"))
 
 
-def in_intervals(points: DataFrame, intervals: DataFrame, point: str, start: str, end: str, idx: str, last: bool = True, keys: list[str] | None = None, longest: int | None = None) -> DataFrame:
+def in_intervals(points: DataFrame, intervals: DataFrame, point: str, start: str, end: str, idx: str, last: bool = True, keys: list[str] | None = None, cell: int | None = None) -> DataFrame:
     """Each point with the interval that holds it, the last one by idx or the first; points in none go.
 
-    Intervals no longer than `longest` are expanded to the numbers they hold, which makes the range join an equi-join.
+    With `cell`, intervals of any length are cut into cells of that many numbers, which makes the range join an
+    equi-join: a point meets only intervals that touch its cell.
     """
     keys = keys or []
-    if longest is not None:
-        wide = intervals.withColumn(point, F.explode(F.sequence(F.col(start).cast("long"), F.least(F.col(end), F.col(start) + longest).cast("long"))))
-        both = points.withColumn(point, F.col(point).cast("long")).join(wide, [*keys, point])
+    inside = F.col(point).between(F.col(start), F.col(end))
+    if cell is not None:
+        of = lambda c: F.floor(F.col(c) / cell).cast("long")
+        cut = intervals.where(F.col(start) <= F.col(end)).withColumn("_cell", F.explode(F.sequence(of(start), of(end))))
+        both = points.withColumn("_cell", of(point)).join(cut, [*keys, "_cell"]).where(inside).drop("_cell")
     else:
-        both = points.join(intervals, [F.col(point).between(F.col(start), F.col(end)), *[points[k] == intervals[k] for k in keys]])
+        both = points.join(intervals, [inside, *[points[k] == intervals[k] for k in keys]])
     order = F.desc(idx) if last else F.asc(idx)
     n = F.row_number().over(Window.partitionBy(*[c for c in points.columns]).orderBy(order))
     return both.withColumn("_n", n).where("_n = 1").drop("_n")

@@ -65,10 +65,11 @@ AGREED = f"""{STAGES}, t AS (SELECT doc_id, term, (term IN (SELECT term FROM val
 v AS (SELECT *, 1 + ok::INT + (rs >= 0.5)::INT AS models_agreed FROM t)"""
 
 
-@query("a05_consensus_vote", f"WITH {AGREED} SELECT doc_id, term, models_agreed, models_agreed >= 2 AS accepted, CASE WHEN models_agreed >= 2 THEN round((0.8 + rs) / 3, 6)::DOUBLE END AS score, CASE WHEN models_agreed < 2 THEN 'insufficient_agreement: ' || models_agreed || '/2' END AS reason FROM v")
+@query("a05_consensus_vote", f"WITH {AGREED} SELECT doc_id, term, models_agreed, models_agreed >= 2 AS accepted, CASE WHEN models_agreed >= 2 THEN floor((0.8 + rs) / 3 * 1e6 + 0.5) / 1e6 END AS score, CASE WHEN models_agreed < 2 THEN 'insufficient_agreement: ' || models_agreed || '/2' END AS reason FROM v")
 def a05(spark, d):
     x = ranking.consensus(assembled(spark, d))
-    return x.select("doc_id", "term", "models_agreed", "accepted", F.round("score", 6).alias("score"), "reason")
+    # halves are rounded alike on both sides: round() goes by the decimal digits in Spark and by the product in DuckDB
+    return x.select("doc_id", "term", "models_agreed", "accepted", (F.floor(F.col("score") * 1e6 + 0.5) / 1e6).alias("score"), "reason")
 
 
 @query("a06_tier_statistics", "SELECT l_partkey % 100 AS doc, count(*) FILTER (WHERE l_linenumber = 1) AS tier_1_hits, count(*) FILTER (WHERE l_linenumber = 2) AS tier_2_hits, count(*) FILTER (WHERE l_linenumber >= 3 AND l_returnflag = 'R') AS tier_3_rejections, count(*) AS total FROM lineitem GROUP BY 1")

@@ -87,7 +87,7 @@ CHAPTERS = "ch AS (SELECT n_nationkey AS idx, n_nationkey * 2 + 1 AS start_page,
 def page_join(spark, d, last):
     ch = table(spark, d, "nation").select(F.col("n_nationkey").alias("idx"), (F.col("n_nationkey") * 2 + 1).alias("start_page"), (F.col("n_nationkey") * 2 + 4).alias("end_page"))
     points = table(spark, d, "part").select("p_partkey", F.col("p_size").alias("page"))
-    return documents.in_intervals(points, ch, "page", "start_page", "end_page", "idx", last, longest=100).select("p_partkey", "page", "idx")
+    return documents.in_intervals(points, ch, "page", "start_page", "end_page", "idx", last, cell=10).select("p_partkey", F.col("page").cast("long").alias("page"), "idx")
 
 
 @query("j05_range_join_last", f"WITH {CHAPTERS} SELECT p_partkey, p_size::BIGINT AS page, max(idx) AS idx FROM part JOIN ch ON p_size BETWEEN start_page AND end_page GROUP BY ALL")
