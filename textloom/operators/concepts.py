@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from textloom import vocabulary as V
 from textloom.functions import text as T
-from textloom.operators.vectors import against
+from textloom.operators.phrases import holding
 
 BASE = 0.5
 BOOST = 0.1
@@ -26,14 +26,14 @@ def merge_terms(scored: DataFrame, ranked: DataFrame, key: str = "doc_id", defau
 def taxonomy_hits(docs: DataFrame, keywords: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, domain, keyword, kind): single words by an equi-join on each text's distinct words, phrases by containment anywhere in the text.
 
-    keywords is a dimension (domain, keyword, kind in primary or domain). Words meet by a hash join; the phrases are
-    stated queries against all texts, broadcast up to a counted size (see vectors.against).
+    keywords is a dimension (domain, keyword, kind in primary or domain). Words meet by a hash join; phrases are found by
+    one walk over each text (see phrases.holding), and their rows join by the phrase.
     """
     low = docs.select(key, F.lower(F.col(text)).alias("_t"))
     dim = keywords.select("domain", F.lower("keyword").alias("keyword"), "kind").distinct()
     single = low.select(key, F.explode(F.array_distinct(T.words("_t", r"\w+"))).alias("keyword")).join(dim.where(~F.contains("keyword", F.lit(" "))), "keyword")
     phrases = dim.where(F.contains("keyword", F.lit(" ")) & (F.col("kind") == "domain"))
-    held = against(phrases, low, F.contains(F.col("_t"), F.col("keyword")), bytes_a_row=200)
+    held = holding(low, phrases, key, "_t", "keyword").join(phrases, "keyword")
     out = [key, "domain", "keyword", "kind"]
     return single.select(*out).unionByName(held.select(*out)).distinct()
 

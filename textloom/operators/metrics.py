@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions.text import col
+from textloom.operators import ranking
 
 
 def recall(predicted: Column | str, relevant: Column | str, k: int) -> Column:
@@ -19,11 +20,11 @@ def hit(predicted: Column | str, relevant: Column | str, k: int) -> Column:
 
 
 def average_precision(ranked: DataFrame, query: str, rank: str, is_relevant: str, relevant_count: str) -> DataFrame:
-    """(query, ap): the mean precision at the ranks of relevant items, over all relevant ones."""
-    hits = F.sum(F.col(is_relevant).cast("int")).over(Window.partitionBy(query).orderBy(rank))
-    return ranked.withColumn("_p", F.when(F.col(is_relevant), hits / F.col(rank))).groupBy(query).agg(
-        F.when(F.max(relevant_count) > 0, F.coalesce(F.sum("_p"), F.lit(0.0)) / F.max(relevant_count)).otherwise(0.0).alias("ap")
-    )
+    """(query, ap): the mean precision at the ranks of relevant items, over all relevant ones. Only relevant rows are numbered, in ranges that one task holds."""
+    hits = ranking.ranked(ranked.where(F.col(is_relevant)).select(query, rank), [query], [rank], "_hit")
+    sums = hits.groupBy(query).agg(F.sum(F.col("_hit") / F.col(rank)).alias("_p"))
+    counts = ranked.groupBy(query).agg(F.max(relevant_count).alias("_n"))
+    return counts.join(sums, query, "left").select(query, F.when(F.col("_n") > 0, F.coalesce("_p", F.lit(0.0)) / F.col("_n")).otherwise(0.0).alias("ap"))
 
 
 def classification(df: DataFrame, label: str, predicted: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
+from textloom.sources.scratch import materialize
 
 
 def first_by(df: DataFrame, keys: list[Column | str], order: list[Column | str]) -> DataFrame:
@@ -19,6 +20,22 @@ def top_by(df: DataFrame, keys: list[Column | str], order: list[Column | str], k
     return df.withColumn(rank, n).where(F.col(rank) <= k)
 
 
+def ranked(df: DataFrame, keys: list[str], order: list[Column | str], rank: str = "rank") -> DataFrame:
+    """All rows with their rank among those of their keys, however many a key has; the order must be total.
+
+    Rows are sorted once by ranges of (keys, order), which cut a key with many rows into several; ranks are counted
+    within ranges, and a row for each key and range tells how many come before.
+    """
+    spark = df.sparkSession
+    by = [F.col(k) for k in keys] + [F.col(c) if isinstance(c, str) else c for c in order]
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = materialize(spark, df.repartitionByRange(parts, *by).withColumn("_range", F.spark_partition_id()))
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    place = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(*order))
+    return rows.withColumn("_place", place).join(counts.drop("_n"), [*keys, "_range"]).withColumn(rank, F.col("_before") + F.col("_place")).drop("_range", "_place", "_before")
+
+
 def best_results(results: DataFrame) -> DataFrame:
     """Of each book's chapter the result with the highest score, the first of equal ones."""
     return first_by(results, ["book", "chapter"], [F.desc("score"), "pos"])

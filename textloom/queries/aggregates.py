@@ -101,20 +101,34 @@ RETRIEVED = f"""sims AS (SELECT a.vec_id AS q, b.vec_id AS m, round({COS}, 6) AS
 ranked AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, m) AS rk, count(*) FILTER (WHERE rel) OVER (PARTITION BY q) AS nrel FROM sims)"""
 
 
-def retrieved(spark, d):
+def similarities(spark, d):
+    """(q, m, score, rel): each hundredth vector against all others."""
     e = table(spark, d, "embeddings")
     q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), F.col("label").alias("ql"), F.col("embedding").alias("qe"))
-    sims = X.against(q, e.select("vec_id", "embedding", "label"), F.col("vec_id") != F.col("q"), bytes_a_row=200).select("q", F.col("vec_id").alias("m"), F.round(X.cosine("qe", "embedding"), 6).alias("score"), (F.col("ql") == F.col("label")).alias("rel"))
-    w = Window.partitionBy("q")
-    return sims.withColumn("rk", F.row_number().over(w.orderBy(F.desc("score"), "m"))).withColumn("nrel", F.count_if("rel").over(w))
+    return X.against(q, e.select("vec_id", "embedding", "label"), F.col("vec_id") != F.col("q"), bytes_a_row=200).select("q", F.col("vec_id").alias("m"), F.round(X.cosine("qe", "embedding"), 6).alias("score"), (F.col("ql") == F.col("label")).alias("rel"))
+
+
+def retrieved(spark, d, k):
+    """The k most similar ones of each query, with their rank; only so many of a task's rows are shuffled."""
+    return ranking.top_by(similarities(spark, d), ["q"], [F.desc("score"), "m"], k, "rk")
+
+
+def relevant(spark, d):
+    """(q, nrel)"""
+    return similarities(spark, d).groupBy("q").agg(F.count_if("rel").alias("nrel"))
+
+
+def ranked(spark, d):
+    """All similarities with rank and number of relevant ones."""
+    return ranking.ranked(similarities(spark, d), ["q"], [F.desc("score"), "m"], "rk").join(relevant(spark, d), "q")
 
 
 @query("a09_recall_at_k", f"WITH {RETRIEVED} SELECT q, round(CASE WHEN max(nrel) > 0 THEN count(*) FILTER (WHERE rel AND rk <= 10) / max(nrel) ELSE 0 END, 6)::DOUBLE AS recall_10, (count(*) FILTER (WHERE rel AND rk <= 10) > 0)::INT::DOUBLE AS hit_10 FROM ranked GROUP BY q")
 def a09(spark, d):
-    lists = retrieved(spark, d).where("rk <= 10 or rel").groupBy("q").agg(
-        F.transform(F.array_sort(F.collect_list(F.when(F.col("rk") <= 10, F.struct("rk", "m")))), lambda x: x["m"]).alias("p"), F.collect_list(F.when(F.col("rel"), F.col("m"))).alias("r")
-    )
-    return lists.select("q", F.round(metrics.recall("p", "r", 10), 6).alias("recall_10"), metrics.hit("p", "r", 10).alias("hit_10"))
+    hits = retrieved(spark, d, 10).groupBy("q").agg(F.count_if("rel").alias("hits"))
+    found = relevant(spark, d).join(hits, "q", "left").withColumn("hits", F.coalesce("hits", F.lit(0)))
+    recall = F.when(F.col("nrel") > 0, F.col("hits") / F.col("nrel")).otherwise(0.0)
+    return found.select("q", F.round(recall, 6).alias("recall_10"), (F.col("hits") > 0).cast("int").cast("double").alias("hit_10"))
 
 
 AP = f"{RETRIEVED}, p AS (SELECT *, sum(rel::INT) OVER (PARTITION BY q ORDER BY rk) / rk AS prec FROM ranked)"
@@ -122,13 +136,13 @@ AP = f"{RETRIEVED}, p AS (SELECT *, sum(rel::INT) OVER (PARTITION BY q ORDER BY
 
 @query("a10_average_precision", f"WITH {AP} SELECT q, round(CASE WHEN max(nrel) > 0 THEN coalesce(sum(prec) FILTER (WHERE rel), 0) / max(nrel) ELSE 0 END, 6)::DOUBLE AS ap FROM p GROUP BY q")
 def a10(spark, d):
-    return metrics.average_precision(retrieved(spark, d), "q", "rk", "rel", "nrel").withColumn("ap", F.round("ap", 6))
+    return metrics.average_precision(ranked(spark, d), "q", "rk", "rel", "nrel").withColumn("ap", F.round("ap", 6))
 
 
 @query("a11_code_query_recall", f"WITH {RETRIEVED}, code AS (SELECT doc_id FROM documents WHERE {code_sql('text')}), h AS (SELECT q, max((rel AND rk <= 10)::INT) AS hit FROM ranked WHERE q IN (SELECT doc_id FROM code) GROUP BY q) SELECT round(avg(hit), 6) AS recall, count(*) AS n FROM h")
 def a11(spark, d):
     code = docs(spark, d).where(T.is_code_query("text", CODE_WORDS)).select(F.col("doc_id").alias("q"))  # a query's text is the document of its id
-    h = retrieved(spark, d).join(code, "q", "left_semi").groupBy("q").agg(F.max((F.col("rel") & (F.col("rk") <= 10)).cast("int")).alias("hit"))
+    h = retrieved(spark, d, 10).join(code, "q", "left_semi").groupBy("q").agg(F.max(F.col("rel").cast("int")).alias("hit"))
     return h.agg(F.round(F.avg("hit"), 6).alias("recall"), F.count(F.lit(1)).alias("n"))
 
 
@@ -136,10 +150,9 @@ BENCH = f"{AP}, ap AS (SELECT q, CASE WHEN max(nrel) > 0 THEN coalesce(sum(prec)
 
 
 def benchmark(spark, d):
-    r = retrieved(spark, d)
-    ap = metrics.average_precision(r, "q", "rk", "rel", "nrel").agg(F.round(F.avg("ap"), 6).alias("map"))
+    ap = metrics.average_precision(ranked(spark, d), "q", "rk", "rel", "nrel").agg(F.round(F.avg("ap"), 6).alias("map"))
     at = lambda k: F.max((F.col("rel") & (F.col("rk") <= k)).cast("int"))
-    h = r.groupBy("q").agg(at(1).alias("h1"), at(5).alias("h5"), at(10).alias("h10"))
+    h = retrieved(spark, d, 10).groupBy("q").agg(at(1).alias("h1"), at(5).alias("h5"), at(10).alias("h10"))
     return h.agg(F.round(F.avg("h1"), 6).alias("recall_1"), F.round(F.avg("h5"), 6).alias("recall_5"), F.round(F.avg("h10"), 6).alias("recall_10"), F.count(F.lit(1)).alias("queries")).join(ap)
 
 
@@ -167,7 +180,7 @@ def a14(spark, d):
 def a15(spark, d):
     e = table(spark, d, "embeddings")
     a = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("i"), F.col("label").alias("src"), F.col("embedding").alias("a"))
-    return e.join(a, F.col("vec_id") != F.col("i")).groupBy("src", F.col("label").alias("tgt")).agg(F.round(F.max(X.cosine("a", "embedding")), 6).alias("best"))
+    return X.against(a, e, F.col("vec_id") != F.col("i"), bytes_a_row=200).groupBy("src", F.col("label").alias("tgt")).agg(F.round(F.max(X.cosine("a", "embedding")), 6).alias("best"))
 
 
 TOPICS = f"""{TOKENS_SQL}, c AS (SELECT source, term, count(*) AS n FROM tok JOIN documents USING (doc_id) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, term) AS k FROM c),

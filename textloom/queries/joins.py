@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
-from textloom.operators import classify, concepts, documents, ranking, training
+from textloom.operators import classify, concepts, documents, grams, ranking, training
 from textloom.operators import vectors as X
 from textloom.queries.registry import TOKENS_SQL, docs, query, split, table, tokens
 
@@ -241,8 +241,18 @@ def j17(spark, d):
     books = part.select(F.col("p_type").alias("book")).distinct()
     files = part.select(F.when(F.col("p_partkey") % 2 == 0, F.col("p_type")).otherwise(F.concat(F.lit("x "), F.col("p_type"), F.lit(" 2nd"))).alias("file")).distinct()
     exact = books.join(files, F.col("book") == F.col("file"))
-    rest = X.against(books.join(exact.select("book"), "book", "left_anti"), files, F.contains("file", F.substring("book", 1, 20)), bytes_a_row=100)
-    return exact.unionByName(rest.groupBy("book").agg(F.min("file").alias("file")))
+    rest = books.join(exact.select("book"), "book", "left_anti").withColumn("start", F.substring("book", 1, 20))
+    first = grams.containing(rest, files, "start", "file").groupBy("start").agg(F.min("file").alias("file"))
+    return exact.unionByName(rest.join(first, "start").select("book", "file"))
+
+
+NAMED = "CASE WHEN p_partkey % 2 = 0 THEN p_name || ' ' || p_brand ELSE p_brand || p_name END"
+
+
+@query("j17_similar_names", f"WITH a AS (SELECT DISTINCT {NAMED} AS a FROM part), b AS (SELECT DISTINCT p_name || ' ' || p_brand AS b FROM part) SELECT a, b, levenshtein(a, b)::INT AS distance FROM a JOIN b ON levenshtein(a, b) <= 2")
+def j17_similar(spark, d):
+    part = table(spark, d, "part")
+    return grams.similar(part.select(F.expr(NAMED).alias("a")), part.select(F.concat_ws(" ", "p_name", "p_brand").alias("b")), "a", "b", 2)
 
 
 @query("j18_seen_title_resolution", """WITH c AS (SELECT p_partkey AS pos, p_type AS title FROM part), r AS (SELECT a.pos, min(b.pos) AS first_pos, count(*) AS n FROM c a JOIN c b ON a.title = b.title AND b.pos < a.pos GROUP BY a.pos)

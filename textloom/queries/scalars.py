@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from textloom import vocabulary as V
 from textloom.functions import text as T
 from textloom.operators import documents
+from textloom.operators.phrases import holding
 from textloom.queries.registry import PART_LINES, PART_LINES_SQL, TERMS_SQL, TOKENS_SQL, docs, literals, query, split, table, terms, tokens
 from textloom.queries.windows import STOP, stem_sql
 
@@ -102,7 +103,7 @@ def t13(spark, d):
 @query("t14_variant_search", "WITH v AS (SELECT unnest(['green', 'blue-', 'steel']) AS v) SELECT p_partkey, list_sort(list(v))[1] AS variant FROM part JOIN v ON contains(lower(p_name || ' ' || p_type), v) GROUP BY p_partkey")
 def t14(spark, d):
     v = spark.createDataFrame([("green",), ("blue-",), ("steel",)], "v string")  # a few given variants
-    x = table(spark, d, "part").join(F.broadcast(v), F.contains(F.lower(F.concat_ws(" ", "p_name", "p_type")), F.col("v")))
+    x = holding(table(spark, d, "part").select("p_partkey", F.lower(F.concat_ws(" ", "p_name", "p_type")).alias("t")), v, "p_partkey", "t", "v")
     return x.groupBy("p_partkey").agg(F.min("v").alias("variant"))
 
 

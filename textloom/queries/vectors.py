@@ -6,12 +6,13 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
-from textloom.operators import classify, cluster, concepts, lexical, training
+from textloom.operators import classify, cluster, concepts, density, lexical, text_index, training
 from textloom.operators import vectors as X
 from textloom.operators.filters import concept_reason
 from textloom.queries.filters import TOPIC_NOISE
 from textloom.queries.joins import COS, DOT, alias_dim, term_list
 from textloom.queries.registry import BM25, TOKENS_SQL, docs, query, split, table, terms, tokens
+from textloom.sources.scratch import scratch_path
 from textloom.queries.windows import NGRAMS, STOP, TFIDF, weights
 
 PAIRS = "embeddings a JOIN embeddings b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id"
@@ -148,6 +149,11 @@ def v15(spark, d):
     return assigned.groupBy("topic").agg(F.count(F.lit(1)).alias("size"), F.round(F.avg("confidence"), 4).alias("confidence"))
 
 
+@query("v15_density_topics")
+def v15_density(spark, d):
+    return density.clusters(table(spark, d, "embeddings"), "vec_id", "embedding", 5).select("vec_id", "cluster", F.round("confidence", 4).alias("confidence"))
+
+
 TOPIC_TERMS = f"{TOKENS_SQL}, occ AS (SELECT lang AS topic, term, count(*) AS tf FROM tok JOIN documents USING (doc_id) GROUP BY ALL), al AS (SELECT term, sum(tf) AS a FROM occ GROUP BY term), mean AS (SELECT avg(t) AS m FROM (SELECT sum(tf) AS t FROM occ GROUP BY topic)), w AS (SELECT topic, term, tf * ln(1 + m / a) AS weight FROM occ JOIN al USING (term), mean)"
 
 
@@ -266,6 +272,14 @@ def v28(spark, d):
     return x.select("query_id", "doc_id", F.round("score", 5).alias("score"))
 
 
+@query("v28_indexed_bm25", f"WITH {BM25} SELECT query_id, doc_id, round(score, 5) AS score FROM bm QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) <= 20")
+def v28_indexed(spark, d):
+    path = scratch_path(spark, "words")
+    text_index.build(docs(spark, d), path)
+    found = text_index.search(spark, path, table(spark, d, "benchmark").withColumnRenamed("item_id", "query_id"), 20)
+    return found.select("query_id", "doc_id", F.round("score", 5).alias("score"))
+
+
 @query("v29_triplets", f"WITH {BM25}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) - 1 AS k, count(*) OVER (PARTITION BY query_id) AS c FROM bm), m AS (SELECT * FROM r WHERE k >= c // 3 AND k < 2 * c // 3) SELECT query_id, arg_min(doc_id, md5(doc_id || ':0')) AS negative, (SELECT r.doc_id FROM r WHERE r.query_id = m.query_id AND k = 0) AS positive FROM m GROUP BY query_id")
 def v29(spark, d):
     from textloom.operators.ranking import first_by, middle_third

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from textloom import vocabulary as V
 from textloom.functions import text as T
-from textloom.operators import documents, lexical, ranking
+from textloom.operators import documents, lexical, ranking, vector_index
 from textloom.operators import vectors as X
 from textloom.queries.aggregates import RETRIEVED, retrieved
 from textloom.queries.joins import COS, STAGES, alias_dim, ALIAS_SQL, assembled
+from textloom.sources.scratch import scratch_path
 from textloom.queries.registry import BM25, SPLIT, TOKENS_SQL, docs, literals, query, split, table, terms, TERMS_SQL, tokens
 
 STOP = ["the", "of", "and", "to", "in", "is", "it", "on", "for", "der", "die", "und", "de", "la", "le", "el"]
@@ -40,11 +41,19 @@ def w02(spark, d):
     return x.withColumn("rank", again).where("rank <= 5 and score >= 0.1")
 
 
+@query("w02_indexed_similarity")
+def w02_indexed(spark, d):
+    e = table(spark, d, "embeddings")
+    path = scratch_path(spark, "vectors")
+    vector_index.build(e, path, "vec_id", "embedding")
+    return vector_index.search(spark, path, e.where("vec_id % 100 = 0"), "vec_id", "embedding", 10).withColumn("score", F.round("score", 6))
+
+
 @query("w03_similar_chapters", f"""WITH sims AS (SELECT b.vec_id AS id, round({COS}, 6) AS score FROM embeddings a JOIN embeddings b ON a.vec_id = 0) SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM sims WHERE score >= 0.05 QUALIFY rank <= 10""")
 def w03(spark, d):
     e = table(spark, d, "embeddings")
     one = e.where("vec_id = 0").select(F.col("embedding").alias("q"))
-    scored = e.join(F.broadcast(one)).select(F.col("vec_id").alias("id"), F.round(X.cosine("q", "embedding"), 6).alias("score")).where("score >= 0.05")
+    scored = X.against(one, e).select(F.col("vec_id").alias("id"), F.round(X.cosine("q", "embedding"), 6).alias("score")).where("score >= 0.05")
     top = scored.orderBy(F.desc("score"), "id").limit(10)
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id")))
 
@@ -53,8 +62,8 @@ def w03(spark, d):
 def w04(spark, d):
     e = table(spark, d, "embeddings")
     q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("a"))
-    x = e.join(F.broadcast(q)).select("q", F.col("vec_id").alias("id"), F.round(X.cosine("a", "embedding", "unit"), 6).alias("score"))
-    return x.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id")))
+    x = X.against(q, e, bytes_a_row=600).select("q", F.col("vec_id").alias("id"), F.round(X.cosine("a", "embedding", "unit"), 6).alias("score"))
+    return ranking.ranked(x, ["q"], [F.desc("score"), "id"])
 
 
 @query("w05_positional_score", f"WITH {TOKENS_SQL} SELECT doc_id, pos, term, round(greatest(0.1, 1 - pos * 0.1), 6)::DOUBLE AS score FROM tok")
@@ -126,7 +135,7 @@ def w13(spark, d):
 
 @query("w14_term_expansion", f"WITH {RETRIEVED} SELECT q, m, score FROM ranked WHERE rk <= 3 AND score >= 0.15")
 def w14(spark, d):
-    return retrieved(spark, d).where("rk <= 3").where("score >= 0.15").select("q", "m", "score")
+    return retrieved(spark, d, 3).where("score >= 0.15").select("q", "m", "score")
 
 
 @query("w15_quality_sort", "SELECT label AS topic, count(*) AS size, row_number() OVER (ORDER BY count(*) DESC, label) AS place FROM embeddings GROUP BY label")
