@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -10,11 +9,10 @@ from pyspark.sql import functions as F
 from textloom import vocabulary as V
 from textloom.functions import text as T
 from textloom.operators import classify, documents
-from textloom.operators import vectors as X
 from textloom.plans import pipelines
 from textloom.queries.aggregates import QUALITY_SQL, SCORES
 from textloom.queries.filters import heuristic_sql, noise_sql
-from textloom.queries.joins import ALIAS_SQL, DIMS, DOMAINS, alias_dim, domain_dim, keyword_dim, term_list
+from textloom.queries.joins import ALIAS_SQL, alias_dim, domain_dim, keyword_dim
 from textloom.queries.registry import BM25, TERMS_SQL, TOKENS_SQL, docs, literals, query, table, terms, tokens
 from textloom.queries.vectors import COS, discovered, labelled
 from textloom.queries.windows import STOP
@@ -49,27 +47,62 @@ def s02(spark, d):
     return files.dictionary_file(spark, path)
 
 
-@query("s03_noise_file", " UNION ALL ".join(f"SELECT unnest([{literals(v)}]) AS term, '{k}' AS category, {i + 1}::BIGINT AS priority" for i, (k, v) in enumerate(V.NOISE_CATEGORIES.items())))
-def s03(spark, d):
-    text = "# noise\n" + "\n".join(f"{k}:\n" + "\n".join(f"  - {t}" for t in v) for k, v in V.NOISE_CATEGORIES.items())
-    return files.noise_file(spark, written(spark, text))
+NOISE_OF = {"brands": "p_brand", "names": "p_name", "types": "p_type"}
 
 
-@query("s04_stopword_file", f"SELECT DISTINCT lower(unnest([{literals(STOP + ['Chapter', 'ISBN', 'isbn'])}])) AS term")
-def s04(spark, d):
-    return files.stopword_file(spark, written(spark, json.dumps({"common": STOP, "meta": ["Chapter", "ISBN", "isbn"]})))
+@query("s03_noise_file", " UNION ALL ".join(f"SELECT DISTINCT lower(trim({c})) AS term, '{k}' AS category, {i + 1}::BIGINT AS priority FROM part" for i, (k, c) in enumerate(NOISE_OF.items())))
+def s03(spark, d):
+    # a dimension: the lists of one file, in the order of its categories
+    part = table(spark, d, "part")
+    lists = part.agg(*[F.sort_array(F.collect_set(c)).alias(k) for k, c in NOISE_OF.items()])
+    parts = [F.concat(F.lit(f"{k}:\n  - "), F.array_join(k, "\n  - ")) for k in NOISE_OF]
+    path = scratch_path(spark, "noise")
+    lists.select(F.concat_ws("\n", F.lit("# noise"), *parts)).write.text(path)
+    return files.noise_file(spark, path)
 
 
-@query("s05_taxonomy_file", f"WITH {DIMS} SELECT domain, keyword, kind, min_matches, boost::DOUBLE AS boost, penalty::DOUBLE AS penalty, tier FROM kw JOIN dom USING (domain)")
+@query("s04_stopword_file", f"WITH {TOKENS_SQL} SELECT DISTINCT lower(p_name) AS term FROM part UNION SELECT term FROM (SELECT term, count(*) AS n FROM tok GROUP BY term ORDER BY n DESC, term LIMIT 50)")
+def s04(spark, d):
+    # the words that the documents have most often, and names of parts
+    often = tokens(spark, d).groupBy("term").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "term").limit(50)
+    names = table(spark, d, "part").agg(F.collect_set("p_name").alias("names"))
+    lists = often.agg(F.collect_list("term").alias("common")).join(names)  # one row each
+    path = scratch_path(spark, "stopwords")
+    lists.select(F.to_json(F.struct("common", "names"))).write.text(path)
+    return files.stopword_file(spark, path)
+
+
+TAXONOMY_SQL = """tx AS (SELECT p_brand AS domain, lower(p_name) AS keyword, 'primary' AS kind FROM part WHERE p_size <= 10 UNION SELECT p_brand, lower(p_type), 'domain' FROM part WHERE p_size > 10),
+td AS (SELECT p_brand AS domain, max(p_size)::INT AS min_matches, round(min(p_retailprice) / 10000, 6) AS boost, -0.1 AS penalty, CASE WHEN count(*) > 50 THEN min(p_type) END AS tier FROM part GROUP BY 1)"""
+
+
+def taxonomy(spark, d):
+    """(domain, keyword, kind) and (domain, min_matches, boost, penalty, tier) of a file whose domains are the brands of the parts."""
+    first = F.col("p_size") <= 10
+    adjust = F.create_map(F.lit("domain_keyword_present"), F.round(F.min("p_retailprice") / 10000, 6), F.lit("primary_only_no_domain"), F.lit(-0.1))
+    domain = table(spark, d, "part").groupBy("p_brand").agg(
+        F.collect_set(F.when(first, F.lower("p_name"))).alias("primary_keywords"), F.collect_set(F.when(~first, F.lower("p_type"))).alias("domain_keywords"), F.max("p_size").alias("min_domain_matches"),
+        F.when(F.count(F.lit(1)) > 50, F.array(F.min("p_type"))).otherwise(F.array().cast("array<string>")).alias("tier_whitelist"), adjust.alias("score_adjustments"),
+    )
+    path = scratch_path(spark, "taxonomy")
+    # a file for each domain, as a large taxonomy is kept
+    entry = F.create_map("p_brand", F.struct("primary_keywords", "domain_keywords", "min_domain_matches", "tier_whitelist", "score_adjustments"))
+    domain.select(F.to_json(F.struct(entry.alias("domains")))).write.option("maxRecordsPerFile", 1).text(path)
+    return files.taxonomy_file(spark, path)
+
+
+@query("s05_taxonomy_file", f"WITH {TAXONOMY_SQL} SELECT domain, keyword, kind, min_matches, boost::DOUBLE AS boost, penalty::DOUBLE AS penalty, tier FROM tx JOIN td USING (domain)")
 def s05(spark, d):
-    body = {
-        n: {"primary_keywords": x["primary"], "domain_keywords": x["domain"], "min_domain_matches": x["min"], "tier_whitelist": [x["tier"]] if x["tier"] else [], "score_adjustments": {"domain_keyword_present": x["boost"], "primary_only_no_domain": x["penalty"]}}
-        for n, x in DOMAINS.items()
-    }
-    words, dims = files.taxonomy_file(spark, written(spark, json.dumps({"domains": body})))
+    words, dims = taxonomy(spark, d)
     return words.join(dims, "domain")
 
 
+@query("j15_dimension_lookup", f"WITH {TAXONOMY_SQL} SELECT domain, string_agg(keyword, ',' ORDER BY keyword) AS keywords, count(*) AS n FROM tx WHERE kind = 'primary' GROUP BY domain")
+def j15(spark, d):
+    words, _ = taxonomy(spark, d)
+    return words.where("kind = 'primary'").groupBy("domain").agg(F.array_join(F.array_sort(F.collect_set("keyword")), ",").alias("keywords"), F.count_distinct("keyword").alias("n"))
+
+
 def book_files(spark, d) -> str:
     """Books of documents: a source is a book, its documents are the chapters."""
     path = scratch_path(spark, "books")

@@ -221,11 +221,6 @@ def j14(spark, d):
     return training.code_triplets(s, anchors=F.col("pos") % 100 == 0)  # the stated queries, against all snippets of their concepts
 
 
-@query("j15_dimension_lookup", f"WITH {DIMS} SELECT domain, array_to_string(list_sort(list_distinct(list(keyword))), ',') AS keywords FROM kw GROUP BY domain")
-def j15(spark, d):
-    return keyword_dim(spark).groupBy("domain").agg(F.array_join(F.array_sort(F.collect_set("keyword")), ",").alias("keywords"))
-
-
 @query("j16_coverage", f"WITH {TOKENS_SQL}, keep AS (SELECT DISTINCT lower(unnest(string_split(p_name || ' the for with', ' '))) AS term FROM part) SELECT count(*) AS kept, count(*) FILTER (WHERE term IN (SELECT term FROM tok)) AS found, round(100.0 * count(*) FILTER (WHERE term IN (SELECT term FROM tok)) / count(*), 6) AS percent FROM keep")
 def j16(spark, d):
     keep = table(spark, d, "part").select(F.explode(F.split(F.lower(F.concat(F.col("p_name"), F.lit(" the for with"))), " ")).alias("term")).distinct()
