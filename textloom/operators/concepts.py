@@ -10,6 +10,8 @@ from textloom.functions import text as T
 from textloom.operators.phrases import holding
 
 BASE = 0.5
+#: Words that a filter within the row looks for at most.
+FEW = 10_000
 BOOST = 0.1
 
 
@@ -26,12 +28,17 @@ def merge_terms(scored: DataFrame, ranked: DataFrame, key: str = "doc_id", defau
 def taxonomy_hits(docs: DataFrame, keywords: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, domain, keyword, kind): single words by an equi-join on each text's distinct words, phrases by containment anywhere in the text.
 
-    keywords is a dimension (domain, keyword, kind in primary or domain). Words meet by a hash join; phrases are found by
-    one walk over each text (see phrases.holding), and their rows join by the phrase.
+    keywords is a dimension (domain, keyword, kind in primary or domain). Words meet by a hash join; if the dimension has
+    few, texts are first reduced to these. Phrases are found by one walk over each text (see phrases.holding), and their
+    rows join by the phrase.
     """
     low = docs.select(key, F.lower(F.col(text)).alias("_t"))
     dim = keywords.select("domain", F.lower("keyword").alias("keyword"), "kind").distinct()
-    single = low.select(key, F.explode(F.array_distinct(T.words("_t", r"\w+"))).alias("keyword")).join(dim.where(~F.contains("keyword", F.lit(" "))), "keyword")
+    alone = dim.where(~F.contains("keyword", F.lit(" ")))
+    few = [r.keyword for r in alone.select("keyword").distinct().limit(FEW + 1).collect()]
+    found = T.words("_t", r"\w+")
+    words = F.array_distinct(F.filter(found, lambda w: w.isin(few)) if len(few) <= FEW else found)
+    single = low.select(key, F.explode(words).alias("keyword")).join(alone, "keyword")
     phrases = dim.where(F.contains("keyword", F.lit(" ")) & (F.col("kind") == "domain"))
     held = holding(low, phrases, key, "_t", "keyword").join(phrases, "keyword")
     out = [key, "domain", "keyword", "kind"]

@@ -24,6 +24,15 @@ def terms(docs: DataFrame, key: str = "doc_id", text: str = "text", stopwords: l
     return words.select(key, F.explode(F.concat(*[T.ngrams("_w", n) for n in range(1, most + 1)])).alias("term"))
 
 
+def term_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", stopwords: list[str] | None = None, pattern: str = "[a-z0-9_]{2,}") -> DataFrame:
+    """(key, length, term, tf): each document's distinct words but stopwords with their counts, and the length of its text; a document without words has one row without term. Counted within the row: no shuffle."""
+    stop = stopwords or []
+    found = T.words(text, pattern)
+    left = F.filter(found, lambda w: ~w.isin(stop)) if stop else found
+    counted = docs.select(key, F.length(text).alias("length"), F.explode_outer(T.counted(left)).alias("_c"))
+    return counted.select(key, "length", F.col("_c.term").alias("term"), F.col("_c.tf").alias("tf"))
+
+
 def tfidf(occurrences: DataFrame, documents: int | DataFrame, key: str = "doc_id", max_df: float = 1.0, min_df: int = 1, scope: str = "corpus") -> DataFrame:
     """(key, term, tf, df, weight): tf * (ln((1 + n) / (1 + df)) + 1), each document's weights of length 1.
 

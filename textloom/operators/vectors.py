@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.functions.text import col
+from textloom.functions.text import col, once
 
 
 class Embedder(Protocol):
@@ -26,11 +25,6 @@ def norm(a: Column | str) -> Column:
     return F.sqrt(dot(a, a))
 
 
-def once(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value), with the value computed once: inside a lambda it would be computed for each element."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def unit(a: Column | str) -> Column:
     """The vector at length 1; zeros stay zeros."""
     scaled = lambda v, n: F.when(n > 0, F.transform(v, lambda x: x / n)).otherwise(F.transform(v, lambda x: x.cast("double")))

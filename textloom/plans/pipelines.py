@@ -13,28 +13,50 @@ from textloom.operators import vectors as X
 from textloom.sources.scratch import materialize
 
 
-def extract_metadata(docs: DataFrame, keywords: DataFrame, domains: DataFrame, approved: DataFrame | None = None, stopwords: list[str] | None = None, top: int = 20, key: str = "doc_id") -> DataFrame:
-    """(key, keywords, n_keywords, n_concepts, n_noise, domain, share, quality): the whole extraction of every document.
-
-    Terms are weighted with each document as its own corpus, noise goes, approved terms stay, the best ones are kept;
-    concepts come from the taxonomy; domain, share and quality follow. Shuffles: term counts by document, the hits, and
-    the joins of one row a document.
+def extract_metadata(docs: DataFrame, keywords: DataFrame, domains: DataFrame, approved: DataFrame | None = None, stopwords: list[str] | None = None, top: int = 20, key: str = "doc_id", approved_concepts: DataFrame | None = None) -> DataFrame:
+    """(key, keywords, n_keywords, n_concepts, n_noise, domain, share, quality, concepts, rejected, stages, stats): the whole extraction of every document.
+
+    Words are weighed with each document as its own corpus, so by their counts; noise goes, then words that are not
+    approved, and the `top` heaviest stay (of equal ones those that sort last). Concepts come from the taxonomy, those
+    that are not approved go; domain, share and quality follow. `rejected` is the array of (term, reason) of all that went,
+    by term, words before concepts; `stages` names what was done, `stats` counts what each stage saw. Words are counted
+    within the row; they meet the dictionary by one join, and a document's words come together once. Keys are distinct.
     """
-    occurrences = lexical.terms(docs, key, stopwords=stopwords, most=1)
-    weighted = lexical.tfidf(occurrences, docs, key, scope="document").withColumn("_noise", filters.noise_reason("term").isNotNull())
-    noise = weighted.groupBy(key).agg(F.count_if("_noise").alias("n_noise"))
-    left = weighted.where(~F.col("_noise"))
+    counts = lexical.term_counts(docs, key, stopwords=stopwords).withColumn("noise", filters.noise_reason("term"))
+    counts = counts.withColumn("noise", F.when(F.col("term").isNotNull(), F.col("noise")))
+    reason = F.col("noise")
     if approved is not None:
-        left = filters.dictionary(left, "term", approved)
-    ranked = lexical.top_terms(left.withColumn("weight", F.round("weight", 9)), top, key)
-    lists = ranked.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda x: x["term"]).alias("keywords"))
+        known = approved.select(T.strip(F.lower(F.col("term"))).alias("term")).distinct().withColumn("_ok", F.lit(True))
+        counts = counts.join(known, "term", "left")
+        reason = F.coalesce(reason, F.when(F.col("term").isNotNull() & F.col("_ok").isNull(), "not_in_approved_keywords"))
+    good = F.col("term").isNotNull() & F.col("reason").isNull()
+    lists = counts.withColumn("reason", reason).groupBy(key).agg(
+        F.max("length").alias("length"), F.count("term").alias("n_words"), F.count("noise").alias("n_noise"), F.count_if(good).alias("n_good"),
+        F.transform(F.slice(F.sort_array(F.collect_list(F.when(good, F.struct("tf", "term"))), asc=False), 1, top), lambda x: x["term"]).alias("keywords"),
+        F.array_sort(F.collect_list(F.when(F.col("reason").isNotNull(), F.struct("term", "reason")))).alias("rejected"),
+    )
     hits = concepts.taxonomy_hits(docs, keywords, key)
     rows = concepts.concept_rows(hits, concepts.domain_scores(hits, domains, key), key)
-    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n_concepts"))
-    x = docs.select(key, F.length("text").alias("_len")).join(noise, key, "left").join(lists, key, "left").join(counts, key, "left").join(concepts.detect_domain(rows, key), key, "left")
-    n_keywords = F.coalesce(F.size("keywords"), F.lit(0))
-    n_concepts = F.coalesce("n_concepts", F.lit(0))
-    return x.select(key, "keywords", n_keywords.alias("n_keywords"), n_concepts.alias("n_concepts"), F.coalesce("n_noise", F.lit(0)).alias("n_noise"), "domain", "share", concepts.quality_score(n_keywords, n_concepts, "share", "_len").alias("quality"))
+    refused = F.lit(None).cast("string")
+    if approved_concepts is not None:
+        known = approved_concepts.select(T.strip(F.lower(F.col("term"))).alias("_name")).distinct().withColumn("_known", F.lit(True))
+        rows = rows.join(known, F.lower("name") == F.col("_name"), "left")
+        refused = F.when(F.col("_known").isNull(), "not_in_approved_concepts")
+    rows = rows.withColumn("_refused", refused)
+    names = rows.groupBy(key).agg(
+        F.count_if(F.col("_refused").isNull()).alias("n_concepts"), F.count(F.lit(1)).alias("n_hits"), F.array_sort(F.collect_set(F.when(F.col("_refused").isNull(), F.col("name")))).alias("concepts"),
+        F.array_sort(F.collect_set(F.when(F.col("_refused").isNotNull(), F.struct(F.col("name").alias("term"), F.col("_refused").alias("reason"))))).alias("_out"),
+    )
+    x = lists.join(names, key, "left").join(concepts.detect_domain(rows.where("_refused is null"), key), key, "left")
+    n_keywords, n_concepts = F.size("keywords"), F.coalesce("n_concepts", F.lit(0))
+    none = F.array().cast("array<string>")
+    done = F.array_compact(F.array(F.lit("keywords"), F.lit("noise_filter"), F.lit(None if approved is None else "dictionary_validation"), F.lit("concepts"), F.when(n_concepts > 0, "domain"), F.lit("quality")))
+    stats = {"words": F.col("n_words"), "after_noise": F.col("n_words") - F.col("n_noise"), "after_dictionary": F.col("n_good"), "keywords": n_keywords, "taxonomy_concepts": F.coalesce("n_hits", F.lit(0)), "concepts": n_concepts}
+    return x.select(
+        key, "keywords", n_keywords.alias("n_keywords"), n_concepts.alias("n_concepts"), "n_noise", "domain", "share", concepts.quality_score(n_keywords, n_concepts, "share", F.coalesce("length", F.lit(0))).alias("quality"),
+        F.coalesce("concepts", none).alias("concepts"), F.concat("rejected", F.coalesce("_out", F.array().cast("array<struct<term:string,reason:string>>"))).alias("rejected"), done.alias("stages"),
+        F.map_from_arrays(F.array(*[F.lit(k) for k in stats]), F.array(*[v.cast("long") for v in stats.values()])).alias("stats"),
+    )
 
 
 @dataclass(frozen=True)

@@ -251,7 +251,37 @@ SELECT d.doc_id, keywords, coalesce(n, 0) AS n_keywords, coalesce(n_noise, 0) AS
 @query("o01_metadata_extraction", FLAGSHIP_SQL)
 def o01(spark, d):
     x = flagship(spark, d)
-    return x.select("doc_id", F.array_join("keywords", " ").alias("keywords"), F.col("n_keywords").cast("long").alias("n_keywords"), "n_noise")
+    return x.select("doc_id", said("keywords"), F.col("n_keywords").cast("long").alias("n_keywords"), "n_noise")
+
+
+def said(c):
+    """An array joined by blanks, null if it is empty."""
+    return F.when(F.size(c) > 0, F.array_join(c, " ")).alias(c)
+
+
+REJECTED_SQL = f"""WITH {TOKENS_SQL}, app AS (SELECT term FROM tok GROUP BY term HAVING count(*) >= 3), u AS (SELECT DISTINCT doc_id, term FROM tok WHERE term NOT IN ({literals(STOP)})),
+r AS (SELECT doc_id, term, {noise_sql('term')} AS noise, term IN (SELECT term FROM app) AS ok FROM u),
+n AS (SELECT doc_id, count(*) AS words, count(*) FILTER (WHERE noise IS NULL) AS after_noise, count(*) FILTER (WHERE noise IS NULL AND ok) AS after_dictionary,
+ string_agg(term || '=' || coalesce(noise, 'not_in_approved_keywords'), ' ' ORDER BY term) FILTER (WHERE noise IS NOT NULL OR NOT ok) AS rejected FROM r GROUP BY doc_id)
+SELECT d.doc_id, coalesce(words, 0) AS words, coalesce(after_noise, 0) AS after_noise, coalesce(after_dictionary, 0) AS after_dictionary, least(20, coalesce(after_dictionary, 0)) AS keywords, coalesce(rejected, '') AS rejected FROM documents d LEFT JOIN n USING (doc_id)"""
+
+
+@query("o01_rejected_terms", REJECTED_SQL)
+def o01_rejected(spark, d):
+    x = flagship(spark, d)
+    stat = lambda k: F.element_at("stats", k).alias(k)
+    words = F.filter("rejected", lambda r: r["reason"] != "not_in_approved_concepts")
+    return x.select("doc_id", stat("words"), stat("after_noise"), stat("after_dictionary"), stat("keywords"), F.array_join(F.transform(words, lambda r: F.concat_ws("=", r["term"], r["reason"])), " ").alias("rejected"))
+
+
+@query("o01_stages", f"""WITH {SCORES}, c2 AS (SELECT k, count(*) AS hits, count(*) FILTER (WHERE name LIKE '%e%') AS n, string_agg(DISTINCT name || '=not_in_approved_concepts', ' ' ORDER BY name || '=not_in_approved_concepts') FILTER (WHERE name NOT LIKE '%e%') AS refused FROM concepts GROUP BY 1)
+SELECT doc_id, coalesce(hits, 0) AS taxonomy_concepts, coalesce(n, 0) AS concepts, coalesce(refused, '') AS refused, 'keywords noise_filter concepts ' || CASE WHEN n > 0 THEN 'domain ' ELSE '' END || 'quality' AS stages FROM documents LEFT JOIN c2 ON k = doc_id""")
+def o01_stages(spark, d):
+    named = keyword_dim(spark).where("keyword like '%e%'").select(F.col("keyword").alias("term"))  # the approved concepts
+    x = pipelines.extract_metadata(docs(spark, d), keyword_dim(spark), domain_dim(spark), None, STOP, approved_concepts=named)
+    out = F.filter("rejected", lambda r: r["reason"] == "not_in_approved_concepts")
+    stat = lambda k: F.element_at("stats", k).alias(k)
+    return x.select("doc_id", stat("taxonomy_concepts"), stat("concepts"), F.array_join(F.transform(out, lambda r: F.concat_ws("=", r["term"], r["reason"])), " ").alias("refused"), F.array_join("stages", " ").alias("stages"))
 
 
 FULL_SQL = f"""WITH {SCORES}, {FLAGSHIP_SQL.removeprefix('WITH ').rsplit('SELECT d.doc_id, keywords', 1)[0].rstrip()}, c2 AS (SELECT k, count(*) AS n FROM concepts GROUP BY 1),
@@ -262,7 +292,7 @@ SELECT doc_id, keywords, kn AS n_keywords, cn AS n_concepts, n_noise, domain, ow
 
 @query("o01_metadata_extraction_full", FULL_SQL)
 def o01_full(spark, d):
-    return flagship(spark, d).withColumn("keywords", F.array_join("keywords", " ")).withColumn("n_keywords", F.col("n_keywords").cast("long"))
+    return flagship(spark, d).select("doc_id", said("keywords"), F.col("n_keywords").cast("long").alias("n_keywords"), "n_concepts", "n_noise", "domain", "share", "quality")
 
 
 HASHED = pipelines.Stages(seeds=-0.2, similar=-0.4)
