@@ -42,14 +42,6 @@ def once(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def counted(items: Column | str) -> Column:
-    """Array of (term, tf): the distinct items of an array, sorted, and how often each is in it. Sorts once, then reads where runs begin."""
-    new = lambda s: lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1))
-    begins = lambda s: F.when(F.size(s) > 0, F.filter(F.sequence(F.lit(0), F.size(s) - 1), new(s))).otherwise(F.array().cast("array<int>"))
-    runs = lambda s, b: F.transform(b, lambda p, j: F.struct(F.get(s, p).alias("term"), (F.coalesce(F.get(b, j + 1), F.size(s)) - p).cast("long").alias("tf")))
-    return once(F.array_sort(col(items)), lambda s: once(begins(s), lambda b: runs(s, b)))
-
-
 def stem(c: Column | str) -> Column:
     """The first suffix rule that leaves enough of the word; keeps case, protects known terms."""
     word, low = col(c), F.lower(col(c))

@@ -25,12 +25,13 @@ def terms(docs: DataFrame, key: str = "doc_id", text: str = "text", stopwords: l
 
 
 def term_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", stopwords: list[str] | None = None, pattern: str = "[a-z0-9_]{2,}") -> DataFrame:
-    """(key, length, term, tf): each document's distinct words but stopwords with their counts, and the length of its text; a document without words has one row without term. Counted within the row: no shuffle."""
+    """(key, length, term, tf): each document's distinct words but stopwords with their counts, and the length of its text; a document without words has one row without term. A document's words are counted where it is read, before they are shuffled."""
     stop = stopwords or []
     found = T.words(text, pattern)
     left = F.filter(found, lambda w: ~w.isin(stop)) if stop else found
-    counted = docs.select(key, F.length(text).alias("length"), F.explode_outer(T.counted(left)).alias("_c"))
-    return counted.select(key, "length", F.col("_c.term").alias("term"), F.col("_c.tf").alias("tf"))
+    # the length is taken before words become rows, which would each carry the text
+    words = docs.select(key, F.length(text).alias("length"), left.alias("_w")).select(key, "length", F.explode_outer("_w").alias("term"))
+    return words.groupBy(key, "term").agg(F.count("term").alias("tf"), F.max("length").alias("length"))
 
 
 def tfidf(occurrences: DataFrame, documents: int | DataFrame, key: str = "doc_id", max_df: float = 1.0, min_df: int = 1, scope: str = "corpus") -> DataFrame:

@@ -20,7 +20,7 @@ def extract_metadata(docs: DataFrame, keywords: DataFrame, domains: DataFrame, a
     approved, and the `top` heaviest stay (of equal ones those that sort last). Concepts come from the taxonomy, those
     that are not approved go; domain, share and quality follow. `rejected` is the array of (term, reason) of all that went,
     by term, words before concepts; `stages` names what was done, `stats` counts what each stage saw. Words are counted
-    within the row; they meet the dictionary by one join, and a document's words come together once. Keys are distinct.
+    where they are read; they meet the dictionary by one join, and a document's words come together once. Keys are distinct.
     """
     counts = lexical.term_counts(docs, key, stopwords=stopwords).withColumn("noise", filters.noise_reason("term"))
     counts = counts.withColumn("noise", F.when(F.col("term").isNotNull(), F.col("noise")))
