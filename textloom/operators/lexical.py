@@ -92,10 +92,26 @@ def edits(a: str, b: str) -> int:
 
 
 def alike(a: str, b: str, similar: float) -> bool:
-    """Whether 1 - edits / length of the longer one exceeds `similar`."""
+    """Whether 1 - edits / length of the longer one exceeds `similar`. Most pairs are told apart by their lengths, ends and letters, without counting edits."""
     longer = max(len(a), len(b))
     if a == b or longer - min(len(a), len(b)) >= (1 - similar) * longer:
         return a == b
+    most = (1 - similar) * longer  # fewer edits than this
+    if most <= 1:
+        return False
+    i = 0
+    while i < min(len(a), len(b)) and a[i] == b[i]:
+        i += 1
+    a, b = a[i:], b[i:]
+    i = 0
+    while i < min(len(a), len(b)) and a[-1 - i] == b[-1 - i]:
+        i += 1
+    a, b = a[: len(a) - i], b[: len(b) - i]
+    if most <= 2 and max(len(a), len(b)) > 1:  # one edit leaves one letter at most
+        return False
+    # an edit changes two counts of letters at most
+    if sum(abs(a.count(c) - b.count(c)) for c in {*a, *b}) >= 2 * most:
+        return False
     return 1 - edits(a, b) / longer > similar
 
 
