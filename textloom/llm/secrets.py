@@ -52,9 +52,11 @@ def train(samples: DataFrame) -> list[float]:
     most come to the driver, whatever the sample.
     """
     usable = samples.where("token is not null and secret in (0, 1)").select("token", "secret")
-    chars, n = F.split("token", ""), F.length("token")
-    steps = F.zip_with(F.slice(chars, 1, n - 1), F.slice(chars, 2, n - 1), lambda a, b: _state(a) * STATES + _state(b))
-    counts = usable.where(F.length("token") >= 2).select("secret", F.explode(steps).alias("t")).groupBy("secret", "t").count().collect()
+    pairs = F.transform(F.sequence(F.lit(1), F.length("token") - 1), lambda i: F.substring("token", i, F.lit(2)))
+    # states are looked up once for each distinct pair of characters
+    counted = usable.where(F.length("token") >= 2).select("secret", F.explode(pairs).alias("pair")).groupBy("secret", "pair").count()
+    step = _state(F.substring("pair", 1, 1)) * STATES + _state(F.substring("pair", 2, 1))
+    counts = counted.groupBy("secret", step.alias("t")).agg(F.sum("count").alias("count")).collect()
     logs = {}
     for label in (0, 1):
         table = [[1.0] * STATES for _ in range(STATES)]
@@ -67,7 +69,8 @@ def train(samples: DataFrame) -> list[float]:
 
 def log_ratio(token: Column, model: list[float]) -> Column:
     """Sum of the transitions' log-likelihood ratios: one pass over the characters, whatever the token's length."""
-    table = F.array(*[F.lit(x) for x in model])
+    # one literal: a list of as many would be planned value by value
+    table = F.split(F.lit(" ".join(map(repr, model))), " ").cast("array<double>")
     start = F.struct(F.lit(-1).alias("last"), F.lit(0.0).alias("sum"))
 
     def step(a: Column, char: Column) -> Column:
