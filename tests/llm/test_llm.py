@@ -500,6 +500,21 @@ def test_secrets_in_time_linear_in_the_text(spark):
     assert got[2].spans == written(wanted) and got[2].n_assign == 30_000 and got[None].n_assign == 1
 
 
+def test_transitions_are_counted(spark):
+    """Ratios of the model against plain counts, odd characters and labels among them."""
+    samples = [("abcab", 1), ("a", 1), ("", 0), (None, 1), ("Zz-é漢_9", 0), ("abab", 0), ("abab", 0), ("zz", 5), ("zz", None), ("😀a😀", 1)]
+    state = lambda c: secrets.ALPHABET.find(c) if c in secrets.ALPHABET else secrets.STATES - 1
+    logs = []
+    for label in (1, 0):
+        table = np.ones((secrets.STATES, secrets.STATES))
+        for token, secret in samples:
+            for a, b in zip(token or "", (token or "")[1:]) if secret == label else ():
+                table[state(a), state(b)] += 1
+        logs.append(np.log(table / table.sum(1, keepdims=True)))
+    got = secrets.train(spark.createDataFrame(samples, "token string, secret int"))
+    assert np.allclose(got, (logs[0] - logs[1]).ravel())
+
+
 def test_markov_spans_against_brute_force(spark, rows):
     """Spans of the models: every run whose ratio exceeds the threshold and which no fixed pattern touches, by Python's arithmetic."""
     r = random.Random(6)
@@ -664,6 +679,17 @@ def test_line_rules():
     assert lines.line_fails("Alle Rechte vorbehalten.", [b"x"] * 3, english) == "" and lines.line_fails("click here", [b"x"] * 2, lines.Rules(boilerplate=())) == ""
 
 
+@pytest.mark.parametrize("name", lines.BOILERPLATE)
+def test_phrases_have_seeds(name):
+    """The quick test for seeds loses no line that a phrase is in, whatever its case."""
+    rules = lines.Rules(boilerplate=(lines.BOILERPLATE[name],))
+    assert rules.seeds and all(len(x) >= 3 or not x.isascii() for x in rules.seeds)  # letters enough to tell lines apart
+    made = ["Released under the MIT license", "ALL RIGHTS RESERVED", "Accept cookies", "use our cookies", "Terms of service", "log into", "logın to", "cliquez ici", "\u017fign up", "CLI\u212aC HERE", "Lorem  Ipsum", "LOREM IPSUM", "Conditions d'utilisation",
+            "DATENSCHUTZHINWEISE", "Unter der GPL-Lizenz", "t\u00c9rminos de uso", "(C)1999", "\u00a9", "", "plain words", "REGÍSTRESE", "s\u00edganos", "Impressum", "teilen auf"]
+    assert [bool(rules.phrases.search(x)) for x in made] == [rules.has_phrase(x) for x in made]
+    assert lines.Rules(boilerplate=(r"[ab]+\d",)).has_phrase("xx ab1") and not lines.Rules(boilerplate=()).has_phrase("click here")
+
+
 def lines_row(text, lost=0.5):
     """Verdict and what is left, from LINES' rule of each line."""
     rule = {x: r for x, r in LINES}

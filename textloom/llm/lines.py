@@ -28,6 +28,13 @@ BOILERPLATE = {
 }
 NAVIGATION = re.compile(r"\s(?:\||»|›|·|•|>)(?=\s|$)")
 WINDOW = 5
+#: Parts of a pattern: alternatives (a group is one part); groups, classes, escapes and letters that a match may lack; what stands between literals.
+ALTERNATIVE = re.compile(r"(?:\\.|\((?:[^()\\]|\\.)*\)|\[[^\]]*\]|[^|(\[\\])+")
+OPTIONAL = re.compile(r"(?:\((?:[^()\\]|\\.)*\)|\[[^\]]*\]|\\.|[^\\])(?:[?*]|\{[^}]*\})|\((?:[^()\\]|\\.)*\)|\[[^\]]*\]|\\.|[.^$]")
+SIGN = re.compile(r"\\([!-/:-@\[-`{-~])")
+LITERAL = re.compile(r"[\x00+]")
+#: Letters that match i when case is ignored, but don't fold to it.
+DOTTED = {0x130: "i", 0x131: "i"}
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -63,6 +70,23 @@ class Rules:
     def phrases(self) -> re.Pattern | None:
         return re.compile("|".join(self.boilerplate), re.I) if self.boilerplate else None
 
+    @cached_property
+    def seeds(self) -> tuple[str, ...]:
+        """Of each phrase letters that every match has, case folded; none at all if a phrase has no such letters."""
+        held = SIGN.sub(lambda m: chr(0xE000 + ord(m[1])), "|".join(self.boilerplate))  # signs behind a backslash are letters as others
+        found = [max(LITERAL.split(OPTIONAL.sub("\0", x)), key=len) for x in ALTERNATIVE.findall(held)]
+        found = ["".join(chr(ord(c) - 0xE000) if 0xE000 <= ord(c) < 0xE080 else c for c in x) for x in found]
+        return tuple(dict.fromkeys(x.casefold() for x in found)) if all(found) else ()
+
+    def has_phrase(self, line: str) -> bool:
+        if not self.phrases:
+            return False
+        if self.seeds:
+            low = (line if line.isascii() else line.translate(DOTTED)).casefold()
+            if not any(x in low for x in self.seeds):
+                return False
+        return self.phrases.search(line) is not None
+
 
 def line_fails(line: str, words: list[bytes], rules: Rules = Rules()) -> str:
     """The rule that a line with words fails, or the empty string."""
@@ -77,7 +101,7 @@ def line_fails(line: str, words: list[bytes], rules: Rules = Rules()) -> str:
         return "punctuation"
     if len(words) >= rules.letterless and not any(c.isalpha() for c in line):
         return "punctuation"
-    if len(words) <= rules.phrase and rules.phrases and rules.phrases.search(line):
+    if len(words) <= rules.phrase and rules.has_phrase(line):
         return "boilerplate"
     return ""
 
