@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 
 @runtime_checkable
 class Embedder(Protocol):
-    """A text column to a vector column; default: operators.vectors.hash_embedding. A model is an iterator pandas UDF."""
+    """A text column to a vector column; default: operators.vectors.hash_embedding. For a model see sources.models.Provider."""
 
     def __call__(self, text: Column) -> Column: ...
 

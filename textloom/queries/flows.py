@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from textloom import vocabulary as V
 from textloom.functions import text as T
 from textloom.operators import classify, documents
-from textloom.plans import pipelines
+from textloom.plans import pipelines, state_graph
 from textloom.queries.aggregates import QUALITY_SQL, SCORES
 from textloom.queries.filters import heuristic_sql, noise_sql
 from textloom.queries.joins import ALIAS_SQL, alias_dim, domain_dim, keyword_dim
@@ -347,6 +346,22 @@ def o05(spark, d):
     return pipelines.keyword_graph(table(spark, d, "conversations"), ["conv_id", "turn"]).withColumn("score", F.round("score", 6))
 
 
+#: Generators that fail: some conversations time out a few times, some are refused.
+FAILS = "CASE WHEN conv_id % 11 = 10 THEN 'GenerateError: bad input' WHEN conv_id % 7 = 0 AND retry_count < conv_id % 5 THEN 'GenerateError: Timeout of the service' END"
+
+
+@query("o05_keyword_states", f"""WITH q AS (SELECT conv_id, turn, list_filter(list_filter(regexp_split_to_array(lower(text), '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> ''), lambda w: length(w) > 2 AND w NOT IN ({literals(V.SIMPLE_STOPWORDS)})) AS w FROM conversations),
+s AS (SELECT *, (list_filter(w, lambda x, i: list_position(w, x) = i))[1:10] AS t, CASE WHEN conv_id % 11 = 10 THEN 0 WHEN conv_id % 7 = 0 THEN conv_id % 5 ELSE 0 END AS fails, conv_id % 11 = 10 AS refused FROM q),
+r AS (SELECT *, refused OR fails > 3 AS ended, list_filter(t, lambda x: x NOT IN ({literals(V.GRAPH_GENERIC_TERMS)})) AS good, list_filter(t, lambda x: x IN ({literals(V.GRAPH_GENERIC_TERMS)})) AS bad FROM s)
+SELECT conv_id, turn, least(fails, 3)::INT AS retry_count, CASE WHEN refused THEN 1 ELSE least(fails, 4) END::INT AS n_errors,
+ CASE WHEN ended THEN '' WHEN len(good) = 0 THEN 'generate validate consensus' ELSE 'generate validate rank consensus' END AS stages,
+ CASE WHEN ended THEN '' ELSE array_to_string(list_transform(good, lambda x, i: x || ':' || round(greatest(0.1, 1 - (i - 1) * 0.1), 1)::VARCHAR || ':3'), ' ') END AS final, CASE WHEN ended THEN '' ELSE array_to_string(bad, ' ') END AS excluded FROM r""")
+def o05_states(spark, d):
+    x = state_graph.keywords(table(spark, d, "conversations"), error=F.expr(FAILS))
+    final = F.transform("final_terms", lambda t: F.concat_ws(":", t["term"], F.format_number(t["score"], 1), t["models_agreed"].cast("string")))
+    return x.select("conv_id", "turn", "retry_count", F.size("errors").alias("n_errors"), F.array_join("stages_completed", " ").alias("stages"), F.array_join(final, " ").alias("final"), F.array_join(F.transform("excluded_terms", lambda t: t["term"]), " ").alias("excluded"))
+
+
 @query("o06_extract_terms")
 def o06(spark, d):
     q = table(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), "text")

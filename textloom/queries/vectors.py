@@ -12,6 +12,7 @@ from textloom.operators.filters import concept_reason
 from textloom.queries.filters import TOPIC_NOISE
 from textloom.queries.joins import COS, DOT, alias_dim, term_list
 from textloom.queries.registry import BM25, TOKENS_SQL, docs, query, split, table, terms, tokens
+from textloom.sources import models
 from textloom.sources.scratch import scratch_path
 from textloom.queries.windows import NGRAMS, STOP, TFIDF, weights
 
@@ -119,6 +120,22 @@ def v11(spark, d):
     return table(spark, d, "benchmark").select("item_id", F.size(one).cast("long").alias("n"))
 
 
+@query("v11_provider_terms", """WITH f AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]{6,}') AS w FROM documents), u AS (SELECT doc_id, list_filter(w, lambda x, i: list_position(w, x) = i)[1:5] AS w FROM f) SELECT doc_id, array_to_string(w, ' ') AS terms FROM u""")
+def v11_provider(spark, d):
+    x = models.answers(docs(spark, d).select("doc_id", "text"), "text", models.word_generator(), "terms")
+    return x.select("doc_id", F.array_join("terms", " ").alias("terms"))
+
+
+@query("v20_provider_similarity")
+def v20_provider(spark, d):
+    # two encoders by one interface: how alike a text's vectors are to those of its first line
+    x = docs(spark, d).select("doc_id", "text", F.substring_index("text", "\n", 1).alias("head"))
+    for provider, name in ((models.hash_embedder(), "sentence"), (models.pooled_embedder(), "code")):
+        for c in ("text", "head"):
+            x = models.answers(x, c, provider, f"{name}_{c}")
+    return x.select("doc_id", *[F.round(X.cosine(f"{n}_text", f"{n}_head"), 6).alias(n) for n in ("sentence", "code")])
+
+
 @query("v12_keyword_statistics")
 def v12(spark, d):
     return lexical.keyword_scores(docs(spark, d), stopwords=STOP).select("doc_id", "word", "tf", F.round("score", 6).alias("score"), "rank")
