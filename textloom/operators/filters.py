@@ -21,6 +21,14 @@ def noise_reason(term: Column | str) -> Column:
     )
 
 
+def is_noise(term: Column | str) -> Column:
+    """Whether noise_reason() rejects a term: one look-up and one pattern, for use on every word of a text."""
+    words = sorted({*V.WATERMARKS, *V.MORE_WATERMARKS, *V.URL_FRAGMENTS, *V.GENERIC_FILLER, *V.CODE_ARTIFACTS, *V.PAGE_MARKERS})
+    shape = r"^(\d+|['`]?(ll|nt|n't|s|ve|d|re|m)|_+\w*)$"
+    t = T.col(term)
+    return t.isNull() | (t == "") | T.once(T.strip(F.lower(t)), lambda low: (F.length(low) == 1) | low.isin(words) | low.rlike(shape))
+
+
 def heuristic_reason(term: Column | str, categories: dict[str, list[str]] | None = None) -> Column:
     """The cascade's rule tier: other codes and slightly other rules than noise_reason, and configurable categories."""
     low = F.lower(T.strip(T.col(term)))
@@ -51,12 +59,12 @@ def dictionary(df: DataFrame, term: str, approved: DataFrame, key: str = "term",
 
 def clean_text(text: Column | str) -> Column:
     """The text's words that are no noise, joined by one blank."""
-    return F.array_join(F.filter(T.split_words(text), lambda w: noise_reason(w).isNull()), " ")
+    return F.array_join(F.filter(T.split_words(text), lambda w: ~is_noise(w)), " ")
 
 
 def clean_phrase(term: Column | str) -> Column:
     """True if no word of the phrase is noise."""
-    return ~F.exists(T.split_words(term), lambda w: noise_reason(w).isNotNull())
+    return ~F.exists(T.split_words(term), lambda w: is_noise(w))
 
 
 def concept_reason(concept: Column | str) -> Column:
