@@ -76,7 +76,7 @@ def url(service):
 def test_read(spark, service, rows, fail_every):
     service.fail_every = fail_every
     service.rows = [{"id": i, "term": f"t{i}"} for i in range(rows)]
-    df = spark.read.format("textloom_http").schema("id long, term string, missing string").options(url=url(service), partitions=3, size=10, delay=0.01).load()
+    df = spark.read.format("textloom_http").schema("id long, term string, missing string").options(url=url(service), partitions=3, size=10, delay=0.01, attempts=12).load()
     assert df.rdd.getNumPartitions() == 3
     service.asked.clear()
     assert sorted((r.id, r.term, r.missing) for r in df.collect()) == [(i, f"t{i}", None) for i in range(rows)]
@@ -89,7 +89,7 @@ def test_write(spark, service, fail_every):
     """Rows are seen once each after the commit, though some batches were sent twice."""
     service.fail_every = fail_every
     df = spark.range(230).selectExpr("id", "concat('t', id) AS term", "timestamp '2024-01-01' AS at").repartition(4)
-    df.write.format("textloom_http").mode("append").options(url=url(service), size=20, delay=0.01, job="one").save()
+    df.write.format("textloom_http").mode("append").options(url=url(service), size=20, delay=0.01, attempts=12, job="one").save()
     assert sorted(r["id"] for r in service.committed["one"]) == list(range(230)) and service.aborted == []
     sent = [(b["stage"]["partition"], b["stage"]["batch"]) for b in service.asked if "stage" in b]
     assert (len(sent) > len(set(sent))) == bool(fail_every)
