@@ -157,12 +157,27 @@ def search(queries: DataFrame, docs: DataFrame, query: str, k: int = 5, domain:
 
 def cross_references(vectors: DataFrame, queries: DataFrame, key: str, vector: str, topic: str, k: int = 5, bonus: float = 0.15, least: float = 0.5) -> DataFrame:
     """(query, match, base, boost, score, rank): cosine plus a bonus for one topic, above a threshold, the best k."""
-    q = queries.select(F.col(key).alias("_q"), X.unit(vector).alias("_qv"), F.col(topic).alias("_qt"))
-    rows = vectors.select(F.col(key).alias("_k"), X.unit(vector).alias("_kv"), F.col(topic).alias("_kt"))
-    pairs = X.against(q, rows, F.col("_q") != F.col("_k")).select("_q", "_k", F.round(X.dot("_qv", "_kv"), 6).alias("base"), F.when(F.col("_qt") == F.col("_kt"), bonus).otherwise(0.0).alias("boost"))
-    scored = pairs.withColumn("score", F.round(F.col("base") + F.col("boost"), 6)).where(F.col("score") >= least)
-    best = F.row_number().over(Window.partitionBy("_q").orderBy(F.desc("score"), "_k"))
-    return scored.withColumn("rank", best).where(F.col("rank") <= k).select(F.col("_q").alias("query"), F.col("_k").alias("match"), "base", "boost", "score", "rank")
+    q = queries.where(F.col(key).isNotNull()).select(F.col(key).alias("_q"), F.col(vector).alias("_v"), F.col(topic).alias("_t"))
+    rows = vectors.where(F.col(key).isNotNull()).select(F.col(key).alias("_k"), F.col(vector).alias("_v"), F.col(topic).alias("_t"))
+
+    def work(asked, pack):
+        import numpy as np
+        import pyarrow as pa
+
+        dots, base = X.products(asked, pack)
+        base = X.rounded(np.where(np.isnan(dots), np.nan, base))
+        one, two = (np.array(p.columns["_t"].to_pylist(), object) for p in (asked, pack))
+        boost = np.where((one[:, None] == two[None, :]) & (two != None)[None, :], bonus, 0.0)  # noqa: E711
+        score = X.rounded(base + boost)
+        with np.errstate(invalid="ignore"):
+            score[(score < least) | (asked.ids("_q")[:, None] == pack.ids("_k")[None, :])] = np.nan
+        row, column = X.best_of(score, pack.ids("_k"), k)
+        ids = {"query": asked.columns["_q"].combine_chunks().take(pa.array(row)), "match": pack.columns["_k"].combine_chunks().take(pa.array(column))}
+        yield pa.RecordBatch.from_pydict(ids | {"base": base[row, column], "boost": boost[row, column], "score": score[row, column]})
+
+    scored = X.compared(q, rows, "_v", work, f"query {dict(q.dtypes)['_q']}, match {dict(rows.dtypes)['_k']}, base double, boost double, score double")
+    best = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "match"))
+    return scored.withColumn("rank", best).where(F.col("rank") <= k)
 
 
 def label_batches(topics: DataFrame, topic: str, quality: str, least: float = 0.5, size: int = 50) -> DataFrame:
