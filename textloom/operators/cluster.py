@@ -8,11 +8,15 @@ from pyspark.sql import functions as F
 from textloom.functions import text as T
 from textloom.operators import lexical
 from textloom.operators.components import components
+from textloom.sources.scratch import materialize
 
 
 #: Rows of a block; two blocks are compared in one task.
 BLOCK = 2048
 
+#: Terms of the lists that one call clusters, list by list.
+ROWS = 20_000
+
 
 def density_clusters(df: DataFrame, key: str, pos: str, vector: str, similarity: float = 0.8, least: int = 2, block: int = BLOCK) -> DataFrame:
     """(key, pos, label): within each key, vectors linked by cosines of at least `similarity`, directly or through others, form a cluster if there are `least` of them; others get -1.
@@ -139,18 +143,30 @@ def term_clusters(terms: DataFrame, key: str, term: str, vector: str, least: int
     For short lists of terms, of which extractors give a stated number a document: each list is one group.
     """
 
-    def run(pdf):
+    def labels(x):
         import numpy as np
 
-        pdf = pdf.sort_values(term).reset_index(drop=True)
-        x = np.array([list(v) for v in pdf[vector]], float)
         length = np.linalg.norm(x, axis=1, keepdims=True)
         x = np.divide(x, length, out=np.zeros_like(x), where=length > 0)
         distance = np.clip(1 - x @ x.T, 0, 2)
         np.fill_diagonal(distance, 0)
-        return pdf[[key, term]].assign(label=hierarchy_labels(distance, least))
+        return hierarchy_labels(distance, least)
+
+    def run(table):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
 
-    return terms.select(key, term, vector).groupBy(key).applyInPandas(run, f"{key} long, {term} string, label int")
+        table = table.take(pc.sort_indices(table, [(key, "ascending"), (term, "ascending")])).combine_chunks()
+        names, x = table[key].to_pylist(), np.array(table[vector].to_pylist(), float)
+        cuts = [0, *(i for i in range(1, len(names)) if names[i] != names[i - 1]), len(names)]
+        found = np.concatenate([labels(x[i:j]) for i, j in zip(cuts, cuts[1:], strict=False)])
+        return pa.table({key: table[key].cast(pa.int64()), term: table[term].cast(pa.string()), "label": pa.array(found, pa.int32())})
+
+    # lists are short, so many make one group: a group for each list would cost more than its clusters
+    own = materialize(terms.sparkSession, terms.select(key, term, vector))
+    groups = max(1, -(-own.count() // ROWS))
+    return own.groupBy(F.pmod(F.xxhash64(key), F.lit(groups))).applyInArrow(run, f"{key} long, {term} string, label int")
 
 
 def kmeans_topics(df: DataFrame, key: str, vector: str, k: int = 5, seed: int = 42):
@@ -194,17 +210,23 @@ def topic_model(df: DataFrame, key: str, vector: str, k: int = 5, dims: int = 8,
 
 def discover(docs: DataFrame, assigned: DataFrame, key: str = "doc_id", stopwords: list[str] | None = None, min_df: int = 2, most: int = 3, k: int = 10) -> DataFrame:
     """(topic, size, representatives, name, terms) of assigned documents: the first members, the k terms of 1 to `most` words that a topic has above others (in `min_df` documents at least), and a name of the first three; -1 is Outlier, without terms."""
-    found = lexical.terms(docs, key, stopwords=stopwords, most=most)
-    often = found.distinct().groupBy("term").agg(F.count(F.lit(1)).alias("_df")).where(F.col("_df") >= min_df).select("term")
-    inside = assigned.where("topic >= 0")
-    best = topic_terms(inside, found.join(often, "term", "left_semi"), key, k=k)
+    # a document's key takes its topic along, so that terms are summed by topic where they are weighted
+    named = docs.join(assigned.select(key, "topic"), key, "left").select(F.concat_ws("|", F.coalesce(F.col(key).cast("string"), F.lit("")), F.coalesce(F.col("topic"), F.lit(-1)).cast("string")).alias("_name"), "text")
+    found = lexical.weighted(named, "_name", stopwords=stopwords, most=most, min_df=min_df)
+    tf = found.withColumn("topic", F.substring_index("_name", "|", -1).cast("int")).where("topic >= 0").select("topic", F.explode("terms").alias("_t"))
+    tf = tf.groupBy("topic", F.col("_t.term").alias("term")).agg(F.sum("_t.tf").alias("tf"))
+    best = materialize(docs.sparkSession, heaviest(tf, "topic", k))  # few rows, read twice
     lists = best.groupBy("topic").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda x: x["term"]).alias("terms"))
     return topic_summary(assigned, "topic", key, best).join(lists, "topic", "left")
 
 
 def topic_terms(assigned: DataFrame, occurrences: DataFrame, key: str = "doc_id", topic: str = "topic", k: int = 5) -> DataFrame:
     """(topic, term, weight, rank): class-based TF-IDF, tf in the topic times ln(1 + mean tokens a topic / tf overall)."""
-    tf = occurrences.join(assigned.select(key, topic), key).groupBy(topic, "term").agg(F.count(F.lit(1)).alias("tf"))
+    return heaviest(occurrences.join(assigned.select(key, topic), key).groupBy(topic, "term").agg(F.count(F.lit(1)).alias("tf")), topic, k)
+
+
+def heaviest(tf: DataFrame, topic: str, k: int) -> DataFrame:
+    """topic_terms() of (topic, term, tf)."""
     total = tf.groupBy("term").agg(F.sum("tf").alias("_all"))
     mean = tf.groupBy(topic).agg(F.sum("tf").alias("_t")).agg(F.avg("_t").alias("_mean"))  # one row
     weighted = tf.join(total, "term").join(F.broadcast(mean)).withColumn("weight", F.col("tf") * F.log(1 + F.col("_mean") / F.col("_all")))
