@@ -125,12 +125,17 @@ def pooled_embedder(size: int = 16) -> Provider:
         import numpy as np
 
         inner = hash_embedder(size).load()
+        known: dict[str, Any] = {}  # vectors of words met before: texts repeat most of theirs
 
         def model(texts: list[str]) -> list[list[float]]:
             out = []
             for t in texts:
                 words = re.findall(r"\w+", t)
-                mean = np.mean(inner(words), axis=0) if words else np.zeros(size)
+                if len(known) > 200_000:
+                    known.clear()
+                new = [w for w in dict.fromkeys(words) if w not in known]
+                known.update(zip(new, np.array(inner(new)).reshape(-1, size), strict=True))
+                mean = np.mean([known[w] for w in words], axis=0) if words else np.zeros(size)
                 length = np.linalg.norm(mean)
                 out.append((mean / length if length else mean).tolist())
             return out
