@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 import textloom.queries as library
 from textloom.functions import text as T
-from textloom.operators import concepts, training
+from textloom.operators import concepts, lexical, training
 from textloom.sources import models
 
 
@@ -51,3 +51,15 @@ def test_many_lists_of_terms_make_one_group(spark, sf_dir):
 def test_topics_terms_are_made_once(spark, sf_dir):
     p = plan(library.QUERIES["v17_concept_discovery"](spark, sf_dir))
     assert "Generate" not in p and "FlatMap" not in p
+
+
+def test_terms_are_read_once(spark, sf_dir):
+    """No row for each word of a text, and the texts aren't read again for each use of the terms."""
+    p = plan(library.QUERIES["s18_classify_client"](spark, sf_dir))
+    assert "Generate" not in p and "documents.parquet" not in p and "regexp_extract_all" not in p
+
+
+def test_word_counts(spark):
+    d = spark.createDataFrame([("Ab ab x cd_1",), (None,), ("",), ("AB É cd_1 zz",)], "text string")
+    for held in (1, 100):
+        assert sorted(map(tuple, lexical.word_counts(d, held=held).collect())) == [("ab", 3), ("cd_1", 2), ("zz", 1)]

@@ -16,7 +16,7 @@ from textloom.queries.registry import BM25, TERMS_SQL, TOKENS_SQL, docs, literal
 from textloom.queries.vectors import COS, discovered, labelled
 from textloom.queries.windows import STOP
 from textloom.sources import files, http, services
-from textloom.sources.scratch import scratch_path
+from textloom.sources.scratch import materialize, scratch_path
 from textloom.streaming import events
 
 
@@ -333,8 +333,8 @@ def s18(spark, d):
     def client(term: str) -> dict:
         return {"classification": "keyword" if len(term) % 2 else "concept", "confidence": 0.95 if len(term) > 8 else 0.6, "canonical_term": term}
 
-    aliases = alias_dim(spark, d)
-    undecided = pipelines.cascade(terms(spark, d), "term", aliases).where("classification = 'unknown'").select("term")  # rows that no tier decided
+    aliases = materialize(spark, alias_dim(spark, d))  # both are read more than once
+    undecided = materialize(spark, pipelines.cascade(terms(spark, d), "term", aliases).where("classification = 'unknown'").select("term"))  # rows that no tier decided
     answers, _ = http.classify_open(undecided, "term", client, aliases)
     return answers
 
