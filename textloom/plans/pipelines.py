@@ -75,8 +75,10 @@ class Stages:
 def concept_candidates(docs: DataFrame, stopwords: list[str], key: str = "doc_id", top: int = 20, clean: bool = True) -> DataFrame:
     """(key, term, score, source): the best `top` statistical keywords and graph keywords of each document, merged."""
     texts = docs.select(key, (filters.clean_text("text") if clean else F.col("text")).alias("text"))
+    if clean:
+        texts = materialize(docs.sparkSession, texts)  # both extractors read it
     scored = lexical.keyword_scores(texts, key, stopwords=stopwords, top=top).select(key, F.col("rank").alias("pos"), F.col("word").alias("term"), "score")
-    ranked = lexical.word_ranks(texts, key, stopwords=stopwords).withColumn("rank", F.round("rank", 9))
+    ranked = lexical.word_ranks(texts, key, stopwords=stopwords, top=top).withColumn("rank", F.round("rank", 9))
     best = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("rank"), "word"))
     ranked = ranked.withColumn("pos", best).where(F.col("pos") <= top).select(key, "pos", F.col("word").alias("term"))
     return concepts.merge_terms(scored, ranked, key)
@@ -99,7 +101,7 @@ def audited_concepts(docs: DataFrame, stopwords: list[str], key: str = "doc_id",
         out = drop(out.withColumn("_place", place), "stems", F.col("_place") > 1).drop("_place")
     if stages.patterns:
         out = drop(out, "patterns", filters.concept_reason("term").isNotNull())
-    out = out.withColumn("_v", embed(F.col("term")))
+    out = out.withColumn("_v", F.when(left, embed(F.col("term"))))  # terms that are dropped are compared no more
     if stages.seeds is not None and seeds:
         known = docs.sparkSession.range(1).select(*[embed(F.lit(s)) for s in seeds]).first()  # a stated list of phrases
         nearest = F.array_max(F.array(*[X.cosine("_v", F.array(*[F.lit(float(x)) for x in v])) for v in known]))
