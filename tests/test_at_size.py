@@ -63,3 +63,16 @@ def test_word_counts(spark):
     d = spark.createDataFrame([("Ab ab x cd_1",), (None,), ("",), ("AB É cd_1 zz",)], "text string")
     for held in (1, 100):
         assert sorted(map(tuple, lexical.word_counts(d, held=held).collect())) == [("ab", 3), ("cd_1", 2), ("zz", 1)]
+
+
+def test_metadata_has_no_row_for_each_word_of_a_document(spark, sf_dir):
+    p = plan(library.QUERIES["o01_metadata_extraction"](spark, sf_dir))
+    assert "Generate explode_outer" not in p and "collect_list(CASE" not in p
+
+
+def test_judged_words_in_chunks(spark):
+    d = spark.createDataFrame([(1, "bb aa bb 12 zz zz qq"), (None, "aa the"), (2, ""), (3, None), (4, "the")], "doc_id long, text string")
+    judge = lambda t: t.withColumn("noise", F.when(F.col("term") == "12", "pure_number")).withColumn("reason", F.coalesce("noise", F.when(F.col("term") == "qq", "unknown")))
+    for chunk in (5, 10**6):
+        got = {r.doc_id: (r.length, r.n_words, r.n_noise, r.n_good, r.keywords, [tuple(x) for x in r.rejected]) for r in lexical.judged_words(d, judge, stopwords=["the"], top=2, chunk=chunk).collect()}
+        assert got == {1: (20, 5, 1, 3, ["zz", "bb"], [("12", "pure_number"), ("qq", "unknown")]), None: (6, 1, 0, 1, ["aa"], []), 2: (0, 0, 0, 0, [], []), 3: (None, 0, 0, 0, [], []), 4: (3, 0, 0, 0, [], [])}

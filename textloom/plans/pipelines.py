@@ -19,22 +19,17 @@ def extract_metadata(docs: DataFrame, keywords: DataFrame, domains: DataFrame, a
     Words are weighed with each document as its own corpus, so by their counts; noise goes, then words that are not
     approved, and the `top` heaviest stay (of equal ones those that sort last). Concepts come from the taxonomy, those
     that are not approved go; domain, share and quality follow. `rejected` is the array of (term, reason) of all that went,
-    by term, words before concepts; `stages` names what was done, `stats` counts what each stage saw. Words are counted
-    where they are read; they meet the dictionary by one join, and a document's words come together once. Keys are distinct.
+    by term, words before concepts; `stages` names what was done, `stats` counts what each stage saw. A chunk of
+    documents has its distinct words judged once, by one join with the dictionary (lexical.judged_words). Keys are distinct.
     """
-    counts = lexical.term_counts(docs, key, stopwords=stopwords).withColumn("noise", filters.noise_reason("term"))
-    counts = counts.withColumn("noise", F.when(F.col("term").isNotNull(), F.col("noise")))
-    reason = F.col("noise")
-    if approved is not None:
+    def judge(terms: DataFrame) -> DataFrame:
+        out = terms.withColumn("noise", filters.noise_reason("term"))
+        if approved is None:
+            return out.withColumn("reason", F.col("noise"))
         known = approved.select(T.strip(F.lower(F.col("term"))).alias("term")).distinct().withColumn("_ok", F.lit(True))
-        counts = counts.join(known, "term", "left")
-        reason = F.coalesce(reason, F.when(F.col("term").isNotNull() & F.col("_ok").isNull(), "not_in_approved_keywords"))
-    good = F.col("term").isNotNull() & F.col("reason").isNull()
-    lists = counts.withColumn("reason", reason).groupBy(key).agg(
-        F.max("length").alias("length"), F.count("term").alias("n_words"), F.count("noise").alias("n_noise"), F.count_if(good).alias("n_good"),
-        F.transform(F.slice(F.sort_array(F.collect_list(F.when(good, F.struct("tf", "term"))), asc=False), 1, top), lambda x: x["term"]).alias("keywords"),
-        F.array_sort(F.collect_list(F.when(F.col("reason").isNotNull(), F.struct("term", "reason")))).alias("rejected"),
-    )
+        return out.join(known, "term", "left").withColumn("reason", F.coalesce("noise", F.when(F.col("_ok").isNull(), "not_in_approved_keywords")))
+
+    lists = lexical.judged_words(docs, judge, key, stopwords=stopwords, top=top)
     hits = concepts.taxonomy_hits(docs, keywords, key)
     rows = concepts.concept_rows(hits, concepts.domain_scores(hits, domains, key), key)
     refused = F.lit(None).cast("string")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from textloom import vocabulary as V
 from textloom.functions import text as T
-from textloom.operators import classify, documents
+from textloom.operators import classify, documents, lexical
 from textloom.plans import pipelines, state_graph
 from textloom.queries.aggregates import QUALITY_SQL, SCORES
 from textloom.queries.filters import heuristic_sql, noise_sql
@@ -237,7 +237,7 @@ def s19(spark, d):
 
 
 def flagship(spark, d):
-    approved = tokens(spark, d).groupBy("term").agg(F.count(F.lit(1)).alias("n")).where("n >= 3").select("term")
+    approved = lexical.word_counts(docs(spark, d)).where("n >= 3").select("term")
     return pipelines.extract_metadata(docs(spark, d), keyword_dim(spark), domain_dim(spark), approved, STOP)
 
 
