@@ -76,3 +76,26 @@ def test_judged_words_in_chunks(spark):
     for chunk in (5, 10**6):
         got = {r.doc_id: (r.length, r.n_words, r.n_noise, r.n_good, r.keywords, [tuple(x) for x in r.rejected]) for r in lexical.judged_words(d, judge, stopwords=["the"], top=2, chunk=chunk).collect()}
         assert got == {1: (20, 5, 1, 3, ["zz", "bb"], [("12", "pure_number"), ("qq", "unknown")]), None: (6, 1, 0, 1, ["aa"], []), 2: (0, 0, 0, 0, [], []), 3: (None, 0, 0, 0, [], []), 4: (3, 0, 0, 0, [], [])}
+
+
+def test_heaviest_terms_is_the_join(spark):
+    from textloom.operators import cluster
+
+    rows = [(f"{i}", i % 4 - 1, " ".join(f"w{(i * j * j + j) % (5 + i % 7)} the" for j in range(i % 30))) for i in range(90)] + [("x", 0, "Aa bb cc"), ("x", 0, "aa BB"), ("y", 1, None), ("z", -1, "cc dd"), ("u", 5, "only one"), (None, 2, "aa"), (None, 2, "aa")]
+    d = spark.createDataFrame(rows, "name string, topic int, text string")
+    each = lexical.terms(d, "name", stopwords=["the"], most=3).withColumn("name", F.coalesce("name", F.lit("")))
+    topics = d.select(F.coalesce("name", F.lit("")).alias("name"), "topic").distinct()
+    often = each.groupBy("term").agg(F.count_distinct("name").alias("df")).where("df >= 2").select("term")
+    tf = each.join(often, "term").join(topics, "name").where("topic >= 0").groupBy("topic", "term").agg(F.count(F.lit(1)).alias("tf"))
+    rows = lambda x: sorted((r.topic, r["rank"], r.term, round(r.weight, 9)) for r in x.collect())
+    want = rows(cluster.heaviest(tf, "topic", 10))
+    for chunk in (lexical.CHUNK, 100):
+        assert rows(lexical.heaviest_terms(d, "name", "topic", stopwords=["the"], most=3, min_df=2, chunk=chunk)) == want and len(want) > 25
+
+
+def test_texts_are_cut_into_words_once(spark):
+    from textloom.operators import cluster
+
+    d = spark.createDataFrame([(1, "alpha beta beta"), (2, "beta gamma"), (3, ""), (4, None)], "doc_id long, text string")
+    x = cluster.text_vectors(d, size=16)
+    assert "regexp_extract_all" not in plan(x) and sorted(r.doc_id for r in x.collect()) == [1, 2]

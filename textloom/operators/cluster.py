@@ -185,11 +185,12 @@ def kmeans_topics(df: DataFrame, key: str, vector: str, k: int = 5, seed: int =
 def text_vectors(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 256, stopwords: list[str] | None = None) -> DataFrame:
     """(key, vector): hashed words weighted by TF-IDF, at length 1; texts without words have no row."""
     from pyspark.ml.feature import IDF, HashingTF, Normalizer
-    from pyspark.ml.functions import vector_to_array
+    from pyspark.ml.functions import array_to_vector, vector_to_array
 
     stop = stopwords or []
     words = docs.select(key, F.filter(T.words(text), lambda w: ~w.isin(stop)).alias("_w")).where(F.size("_w") > 0)
-    counted = HashingTF(numFeatures=size, inputCol="_w", outputCol="_tf").transform(words)
+    counted = HashingTF(numFeatures=size, inputCol="_w", outputCol="_x").transform(words).select(key, vector_to_array("_x").cast("array<int>").alias("_n"))
+    counted = materialize(docs.sparkSession, counted).select(key, array_to_vector(F.col("_n").cast("array<double>")).alias("_tf"))  # texts are cut into words once, and read twice
     weighted = IDF(inputCol="_tf", outputCol="_x").fit(counted).transform(counted)
     return Normalizer(inputCol="_x", outputCol="_u").transform(weighted).select(key, vector_to_array("_u").alias("vector"))
 
@@ -210,12 +211,9 @@ def topic_model(df: DataFrame, key: str, vector: str, k: int = 5, dims: int = 8,
 
 def discover(docs: DataFrame, assigned: DataFrame, key: str = "doc_id", stopwords: list[str] | None = None, min_df: int = 2, most: int = 3, k: int = 10) -> DataFrame:
     """(topic, size, representatives, name, terms) of assigned documents: the first members, the k terms of 1 to `most` words that a topic has above others (in `min_df` documents at least), and a name of the first three; -1 is Outlier, without terms."""
-    # a document's key takes its topic along, so that terms are summed by topic where they are weighted
-    named = docs.join(assigned.select(key, "topic"), key, "left").select(F.concat_ws("|", F.coalesce(F.col(key).cast("string"), F.lit("")), F.coalesce(F.col("topic"), F.lit(-1)).cast("string")).alias("_name"), "text")
-    found = lexical.weighted(named, "_name", stopwords=stopwords, most=most, min_df=min_df)
-    tf = found.withColumn("topic", F.substring_index("_name", "|", -1).cast("int")).where("topic >= 0").select("topic", F.explode("terms").alias("_t"))
-    tf = tf.groupBy("topic", F.col("_t.term").alias("term")).agg(F.sum("_t.tf").alias("tf"))
-    best = materialize(docs.sparkSession, heaviest(tf, "topic", k))  # few rows, read twice
+    # a document's key takes its topic along: rows of one key and topic are one document
+    named = docs.join(assigned.select(key, "topic"), key, "left").select(F.concat_ws("|", F.coalesce(F.col(key).cast("string"), F.lit("")), F.coalesce(F.col("topic"), F.lit(-1)).cast("string")).alias("_name"), F.coalesce("topic", F.lit(-1)).cast("int").alias("topic"), "text")
+    best = lexical.heaviest_terms(named, "_name", "topic", stopwords=stopwords, most=most, min_df=min_df, k=k, texts=docs)
     lists = best.groupBy("topic").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda x: x["term"]).alias("terms"))
     return topic_summary(assigned, "topic", key, best).join(lists, "topic", "left")
 
@@ -236,8 +234,9 @@ def heaviest(tf: DataFrame, topic: str, k: int) -> DataFrame:
 
 def topic_summary(assigned: DataFrame, topic: str, pos: str, words: DataFrame | None = None) -> DataFrame:
     """(topic, size, representatives, name): the first three members, and the first three terms joined by _; -1 is Outlier."""
-    first = F.row_number().over(Window.partitionBy(topic).orderBy(pos))
-    out = assigned.withColumn("_n", first).groupBy(topic).agg(F.count(F.lit(1)).alias("size"), F.sort_array(F.collect_list(F.when(F.col("_n") <= 3, F.col(pos)))).alias("representatives"))
+    # only rows that are among the first three of their task are shuffled and sorted
+    first = assigned.withColumn("_n", F.row_number().over(Window.partitionBy(topic).orderBy(pos))).where("_n <= 3").groupBy(topic).agg(F.sort_array(F.collect_list(pos)).alias("representatives"))
+    out = assigned.groupBy(topic).agg(F.count(F.lit(1)).alias("size")).join(first.withColumnRenamed(topic, "_topic"), F.col(topic).eqNullSafe(F.col("_topic"))).drop("_topic")
     if words is None:
         return out
     named = words.where("rank <= 3").groupBy(topic).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda x: x["term"]), "_").alias("_name"))
