@@ -43,3 +43,10 @@ def test_equal_vectors_tie_by_id(spark):
 def test_no_plan_multiplies_a_pair_at_a_time(spark, sf_dir, name):
     plan = library.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert "zip_with" not in plan and "MapInArrow" in plan
+
+
+def test_pairs_leave_in_order_of_their_cosine(spark):
+    rows = spark.createDataFrame([(i, [math.sin(i * i + j) for j in range(8)]) for i in range(600)], "k long, v array<double>").coalesce(1)
+    made = X.all_pairs(rows.where("k % 2 = 0"), rows, "k", "v", lambda dot, cos: [X.rounded(cos, 4)], "score")
+    scores = [r.score for r in made.collect()]
+    assert len(scores) == 300 * 599 and scores == sorted(scores)
