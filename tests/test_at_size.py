@@ -30,6 +30,14 @@ def test_triplets_in_blocks(spark, sf_dir, monkeypatch):
     assert rows() == want and want
 
 
+def test_pairs_of_a_snippet_follow_those_of_the_one_before(spark, sf_dir):
+    assert "Sort [concept" in plan(library.QUERIES["j14_intra_concept_pairs"](spark, sf_dir))  # Spark drops a plain sort below a join
+    s = spark.createDataFrame([(f"c{i * 7 % 5}", i, f"code {i}") for i in range(3000)], "concept string, pos long, code string").repartition(3)
+    made = training.code_triplets(s, anchors=F.col("pos") % 20 == 0)
+    got = [(r.concept, r.j) for r in made.select("concept", "j").collect()]
+    assert got == sorted(got) and len(got) > 40_000
+
+
 def test_triplet_ranks_have_no_window_over_all_rows_of_a_query(spark, sf_dir):
     assert "count(1) windowspecdefinition(query_id" not in plan(library.QUERIES["v29_triplets"](spark, sf_dir))
 
